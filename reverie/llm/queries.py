@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, read_table
 from .packing import pack
+from .simhash import near_duplicates
 from .sharding import shard_by_bytes
 from .tokenfile import read_token_files, write_token_files
 
@@ -17,6 +18,10 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = new_path(spark, "token-stream")
     files = write_token_files(read_table(spark, sf_dir, "documents"), uri)
@@ -29,7 +34,7 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hierarchical_packing, op6_arrow_token_files, op10_byte_shards)}
+    return {f.__name__: f for f in (op1_hierarchical_packing, op5_simhash_components, op6_arrow_token_files, op10_byte_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
