@@ -97,8 +97,8 @@ def _writer(path: str, uri: str, eos: int, pad: int, seq_len: int) -> Callable[[
         with fs.open_output_stream(names["tokens"][0]) as a, fs.open_output_stream(names["docs"][0]) as b, pa.ipc.new_stream(a, schema) as out, pa.ipc.new_stream(b, _DOC_SCHEMA) as index:
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                    ids = np.frombuffer(coder.encode(text.as_py()) + end, "<u4").astype(np_dtype)
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(t.as_py() for t in batch.column("text"))):
+                    ids = np.frombuffer(ids + end, "<u4").astype(np_dtype)
                     rows.append((doc_id, total, len(ids)))
                     total += len(ids)
                     held.append(ids)

@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
-import regex
 
-#: Fixed value: the pre-tokenizer's pattern of the byte-level BPE vocabularies, as their public files state it.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_KEPT = 700_000
+_KEPT = 1_000_000
 _LONGEST = 64
-#: A space before white space or the end, or a character that regular expression libraries class differently.
-_ODD = re.compile("^ | (?:\\s|\\Z)|[\x1c-\x1f\x85\u180e]").search
+_CHARS = 1 << 20
+#: White space after a space, and characters that are or may count as white space: texts with one are not cut.
+_ODD = ("  ", " \n", " \t", " \r", *"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def default_path() -> str:
@@ -28,9 +25,9 @@ class Encoder:
     """Ids of the tokenizers library as little-endian unsigned 32-bit bytes.
 
     Byte-level BPE never merges across pre-tokens, and a space before a non-space always begins one. So a text is cut before
-    such spaces, the ids of each piece are looked up, and only pieces not seen before go to the library. The two tables
-    are emptied at _KEPT entries and longer pieces are not kept, so memory is bounded. Texts with other runs of white space
-    are cut by the pattern itself; texts that hold the string of an added token go to the library whole.
+    such spaces, the ids of each piece are looked up, and pieces not seen before go to the library, those of many
+    texts in one call. The table is emptied when it is full and long pieces are not kept, so memory is bounded. Texts with
+    other runs of white space, or with the string of an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -39,66 +36,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.split = regex.compile(PATTERN).findall
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Words with a leading space, set side by side, fall apart again at their spaces: one call encodes them all."""
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        self.odd = (*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), *_ODD)
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}  # without the space that begins a piece
+        self.first: dict[str, bytes] = {}  # pieces at the start of a text
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces with the space that begins them. Set on lines of their own they are one text, cut again at the ids of its newlines."""
+        lines = [p for p in pieces if p and "\n" not in p]
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(lines) + "\n"], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else ()
+        if len(ends) != len(lines):
+            return dict(zip(pieces, self.whole([f" {p}" for p in pieces])))
+        flat, at = ids.tobytes(), 0
         found = {}
-        if words:
-            got = self.tokenizer.encode("".join(words), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            at = 0
-            for k, run in groupby(got.word_ids):
-                n = sum(1 for _ in run)
-                found[words[k]] = ids[at : at + n].tobytes()
-                at += n
+        for p, end in zip(lines, (4 * ends).tolist()):
+            found[p] = flat[at:end]
+            at = end + 4
         rest = [p for p in pieces if p not in found]
-        found |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))}
-        return found
-
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        if len(self.pieces) > _KEPT:
-            self.pieces.clear()
-        wanted = dict.fromkeys(pieces)
-        new = self._learn([p for p in wanted if p not in self.pieces])
-        found = {p: new[p] if p in new else self.pieces[p] for p in wanted}
-        self.pieces.update((p, v) for p, v in new.items() if len(p) <= _LONGEST)
-        return found
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(a in text for a in self.added):
-            return self.whole(text)
-        if _ODD(text):
-            if re.search("[\x1c-\x1f\x85\u180e]", text):
-                return self.whole(text)
-            pieces = self.split(text)
-            found = self._pieces(pieces)
-            return b"".join([found[p] for p in pieces])
-        units = text.split(" ")
-        units[1:] = [f" {u}" for u in units[1:]]
-        known = self.units
-        try:
-            return b"".join([known[u] for u in units])
-        except KeyError:
-            pass
-        new = {u: self.split(u) for u in dict.fromkeys(units) if u not in known}
-        found = self._pieces([p for pieces in new.values() for p in pieces])
-        new = {u: b"".join([found[p] for p in pieces]) for u, pieces in new.items()}
-        out = b"".join([new[u] if u in new else known[u] for u in units])
-        if len(known) > _KEPT:
-            known.clear()
-        known.update((u, v) for u, v in new.items() if len(u) <= _LONGEST)
+        return found | dict(zip(rest, self.whole([f" {p}" for p in rest])))
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [b""] * len(texts)
+        cut, left = [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if text[0] == " " or text[-1] == " " or any(a in text for a in self.odd):
+                left.append(i)
+            else:
+                head, *rest = text.split(" ")
+                cut.append((i, head, rest, list(map(self.known.get, rest))))
+        for i, ids in zip(left, self.whole([texts[i] for i in left])):
+            out[i] = ids
+        heads = dict.fromkeys(h for _, h, _, _ in cut if h not in self.first)
+        heads = dict(zip(heads, self.whole(list(heads))))
+        new = dict.fromkeys(p for _, _, rest, ids in cut if None in ids for p, x in zip(rest, ids) if x is None)
+        new = self._words(list(new)) if new else {}
+        for i, head, rest, ids in cut:
+            if None in ids:
+                ids = [new[p] if x is None else x for p, x in zip(rest, ids)]
+            out[i] = (heads.get(head) or self.first[head]) + b"".join(ids)
+        for table, found in ((self.known, new), (self.first, heads)):
+            if len(table) > _KEPT:
+                table.clear()
+            table.update((p, v) for p, v in found.items() if len(p) <= _LONGEST)
         return out
 
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text, in order; about _CHARS characters are in work at once, or one text."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(text or "")
+            chars += len(held[-1])
+            if chars >= _CHARS:
+                yield from self._batch(held)
+                held, chars = [], 0
+        yield from self._batch(held)
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
