@@ -61,19 +61,22 @@ def matches(text: Column, pattern: str) -> Column:
     The pieces between matches and the matches themselves, laid one after another, are the text, so a match starts where the
     lengths before it end. Texts without a match are scanned once.
     """
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<start:int,value:string>>")
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.size(values) - 1),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(values, i))).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(F.get(gaps, i))).alias("start"), F.get(values, i).alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(values) > 0, walked).otherwise(none)
+
+    def walked(values: Column) -> Column:
+        # one-element transforms bind what is computed once
+        return F.get(F.transform(F.array(F.split(text, pattern, -1)), lambda gaps: _laid_out(values, gaps, none)), F.lit(0))
+
+    found = F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda values: F.when(F.size(values) > 0, walked(values)).otherwise(none))
+    return F.get(found, F.lit(0))
+
+
+def _laid_out(values: Column, gaps: Column, none: Column) -> Column:
+    def step(acc: Column, i: Column) -> Column:
+        start = acc["at"] + F.length(F.get(gaps, i))
+        return F.struct((start + F.length(F.get(values, i))).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.get(values, i).alias("value")))).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 #: Scale of the integer c * log2(c) table: sums are exact, so thresholds do not depend on the order of additions.
