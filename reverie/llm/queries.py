@@ -13,6 +13,7 @@ from .packing import pack
 from .secrets import BASE, joined, scan_secrets
 from .simhash import near_duplicates
 from .sharding import shard_by_bytes
+from .topk import top_k
 from .tokenfile import read_token_files, write_token_files
 
 
@@ -45,14 +46,38 @@ def op6_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, uri, files)
 
 
+def op7_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    rows = rows.where(F.col("embedding").isNotNull() & finite).select("vec_id", F.transform(x, lambda v: F.floor(v * 256)).alias("vector"))
+    return top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = shard_by_bytes(read_table(spark, sf_dir, "documents"), 24)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op5_simhash_components, op6_arrow_token_files, op10_byte_shards)}
+    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op10_byte_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_kdtree_topk": OP7_SQL}
