@@ -14,6 +14,7 @@ from .secrets import BASE, joined, scan_secrets
 from .simhash import near_duplicates
 from .sharding import shard_by_bytes
 from .topk import top_k
+from .toxicity import score_toxicity, train_toxicity
 from .tokenfile import read_token_files, write_token_files
 
 
@@ -36,6 +37,17 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op4_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").where(_remainder(5) != 0)
+    scored = score_toxicity(docs, train_toxicity(docs, labels))
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -76,7 +88,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op10_byte_shards)}
+    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op4_toxicity_string_kernel, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op10_byte_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
