@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from .common import new_path, read_table
 from .decontam import contaminated
+from .langid import identify_languages, train_language_model
 from .packing import pack
 from .secrets import BASE, joined, scan_secrets
 from .simhash import near_duplicates
 from .sharding import shard_by_bytes
+from .tokenfile import read_token_files, write_token_files
 from .topk import top_k
 from .toxicity import score_toxicity, train_toxicity
-from .tokenfile import read_token_files, write_token_files
+from .viterbi import count_tokens
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,17 @@ def op7_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
+def op8_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = train_language_model(docs.where(_remainder(4) != 2))
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = shard_by_bytes(read_table(spark, sf_dir, "documents"), 24)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -88,7 +101,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op4_toxicity_string_kernel, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op10_byte_shards)}
+    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op4_toxicity_string_kernel, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op8_viterbi_token_counts, op9_language_id, op10_byte_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
