@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -14,6 +15,18 @@ _CHARS = 1 << 20
 #: White space after a space, and characters that are or may count as white space: texts with one are not cut.
 _ODD = ("  ", " \n", " \t", " \r", *"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
+_MARKS = ".,;:!?*&$%#|()[]{}<>/+=~^-"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, the others, in order, for the code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTES = _byte_letters()
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -37,7 +50,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.odd = (*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), *_ODD)
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.marks: dict[str, bytes] = {"": b""}
         self.known: dict[str, bytes] = {}  # without the space that begins a piece
         self.first: dict[str, bytes] = {}  # pieces at the start of a text
 
@@ -45,19 +58,21 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces with the space that begins them. Set on lines of their own they are one text, cut again at the ids of its newlines."""
-        lines = [p for p in pieces if p and "\n" not in p]
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(lines) + "\n"], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else ()
-        if len(ends) != len(lines):
-            return dict(zip(pieces, self.whole([f" {p}" for p in pieces])))
-        flat, at = ids.tobytes(), 0
-        found = {}
-        for p, end in zip(lines, (4 * ends).tolist()):
-            found[p] = flat[at:end]
-            at = end + 4
-        rest = [p for p in pieces if p not in found]
-        return found | dict(zip(rest, self.whole([f" {p}" for p in rest])))
+        """Ids of pieces with the space that begins them. Letters, and the marks behind them, are pre-tokens of their own; words of letters go to the library's model as they are."""
+        split = {p: p.rstrip(_MARKS) for p in pieces}
+        split = {p: w for p, w in split.items() if w.isalpha()}
+        known, tokenize = self.known, self.tokenizer.model.tokenize
+        new = [w for w in dict.fromkeys(split.values()) if w not in known]
+        mapped = "\n".join(new).encode().decode("latin-1").translate(_BYTES).split(_BYTES[10]) if new else []
+        found = {w: array("I", [t.id for t in tokenize(_BYTES[32] + m)]).tobytes() for w, m in zip(new, mapped)}
+        ends = [e for e in dict.fromkeys(p[len(w) :] for p, w in split.items()) if e not in self.marks]
+        if len(self.marks) > _KEPT:
+            ends = list(dict.fromkeys(p[len(w) :] for p, w in split.items()))
+            self.marks = {"": b""}
+        self.marks.update(zip(ends, self.whole(ends)))
+        out = {p: (found[w] if w in found else known[w]) + self.marks[p[len(w) :]] for p, w in split.items()}
+        rest = [p for p in pieces if p not in split]
+        return found | out | dict(zip(rest, self.whole([f" {p}" for p in rest])))
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [b""] * len(texts)
