@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import combinations
@@ -18,6 +19,7 @@ ALPHABET, LENGTH, SPAN, DECAY = 40, 4, 7, 0.5
 _START = 1
 _WIDTH, _STRIDE = 24, 16
 _KEPT = 700_000
+_ROWS = 4096
 _CHARS = 1 << 21
 _SPELLED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -68,8 +70,8 @@ def _subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
 def features(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each word, the keys of its subsequences and their summed weights, scaled to length one."""
     out = []
-    for at in range(0, len(codes), 2048):
-        every = [(k, np.full(k.shape, w)) for k, w in _subsequences(codes[at : at + 2048])]
+    for at in range(0, len(codes), 512):
+        every = [(k, np.full(k.shape, w)) for k, w in _subsequences(codes[at : at + 512])]
         keys, weights = np.concatenate([k for k, _ in every], 1), np.concatenate([w for _, w in every], 1)
         for k, w in zip(keys, weights):
             u, place = np.unique(k[k > 0], return_inverse=True)
@@ -84,7 +86,7 @@ class Landmarks:
     def __init__(self, words: list[str]):
         rows = features(encode(words))
         self.keys = np.unique(np.concatenate([k for k, _ in rows])) if rows else np.zeros(0, np.int64)
-        self.matrix = np.zeros((len(rows), len(self.keys)))
+        self.matrix = np.zeros((len(rows), len(self.keys)), np.float32)
         for row, (k, v) in zip(self.matrix, rows):
             row[np.searchsorted(self.keys, k)] = v
 
@@ -116,6 +118,9 @@ class ToxicityModel:
         return out
 
     def words(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self._some(words[at : at + _ROWS]) for at in range(0, len(words), _ROWS))])
+
+    def _some(self, words: list[str]) -> np.ndarray:
         codes = encode(words)
         top, square = np.zeros(len(words)), np.zeros(len(words))
         for keys, w in _subsequences(codes):
@@ -162,18 +167,18 @@ def _stems(word: str) -> set[str]:
     return {word[:n] for n in (4, 5, 6)} | {word}
 
 
-def fit(bags: list[tuple[list[str], int]], n_landmarks: int = 192, cost: float = 4.0, rounds: int = 3, max_words: int = 3000, seed: int = 7) -> ToxicityModel:
+def fit(bags: Iterable[tuple[list[str], int]], n_landmarks: int = 192, cost: float = 4.0, rounds: int = 3, max_words: int = 3000, seed: int = 7) -> ToxicityModel:
     """Multiple-instance training: a toxic text has a toxic word, a clean one has none.
 
     First witnesses are words whose stems occur in toxic texts beyond chance (a likelihood ratio against clean ones); then
     machine and witnesses are refined in turn: the best-scored words of toxic texts stay, and clean words that score
     high join the negative rows.
     """
-    if len({y for _, y in bags}) < 2:
-        rate = (sum(y for _, y in bags) + 0.5) / (len(bags) + 1)
+    sets = [({sys.intern(p) for t in dict.fromkeys(tokens) for p in pieces(t)}, y) for tokens, y in bags]
+    if len({y for _, y in sets}) < 2:
+        rate = (sum(y for _, y in sets) + 0.5) / (len(sets) + 1)
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0, -1.0 - float(np.log(rate / (1 - rate))), 1.0)
     rng = np.random.default_rng(seed)
-    sets = [({p for t in tokens for p in pieces(t)}, y) for tokens, y in bags]
     n1, n0 = sum(y for _, y in sets), sum(1 - y for _, y in sets)
     seen = (Counter(), Counter())
     for words, y in sets:
@@ -199,11 +204,11 @@ def fit(bags: list[tuple[list[str], int]], n_landmarks: int = 192, cost: float =
     model = None
     for _ in range(rounds):
         # the landmarks: varied positive words, the commonest first, and the negative words most like them
-        chosen = _varied(positive[: 8 * n_landmarks], n_landmarks * 2 // 3)
+        chosen = _varied(positive[: 3 * n_landmarks], n_landmarks * 2 // 3)
         likeness = Landmarks(chosen).kernel(negative).max(1)
         chosen += [negative[i] for i in np.argsort(-likeness, kind="stable")[: n_landmarks - len(chosen)]]
         marks = Landmarks(chosen)
-        values, vectors = np.linalg.eigh(marks.matrix @ marks.matrix.T)
+        values, vectors = np.linalg.eigh((marks.matrix @ marks.matrix.T).astype(np.float64))
         root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T  # the Nyström map, K ** -1/2
         words = positive + negative
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
@@ -234,15 +239,15 @@ def fit(bags: list[tuple[list[str], int]], n_landmarks: int = 192, cost: float =
     return ToxicityModel(model.keys, model.values, model.bias, float(np.median(best_cuts)), 4.0)
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_chars: int) -> list[tuple[list[str], int]]:
+def training_bags(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_chars: int) -> Iterator[tuple[list[str], int]]:
     """A bounded sample of labelled texts: the rows of least hash in each class, of at most max_chars characters."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     texts = texts.where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     order = F.xxhash64("doc_id", F.lit(11))
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(max_toxic).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(max_clean))
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "toxic").collect()  # at most max_toxic + max_clean ids
-    return [(tokens_of(r["text"]), int(r["toxic"])) for r in rows]
+    rows = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "toxic")
+    return ((tokens_of(r["text"]), int(r["toxic"])) for r in rows.collect())  # the texts of at most max_toxic + max_clean ids
 
 
 def _scorer(model: ToxicityModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -254,10 +259,8 @@ def _scorer(model: ToxicityModel) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         new = dict.fromkeys(t for ts, ms in zip(tokens, got) if None in ms for t, m in zip(ts, ms) if m is None)
         cut = [(t, p) for t in new for p in pieces(t)]
         found = dict.fromkeys(new, -1.0)
-        for at in range(0, len(cut), 4096):
-            part = cut[at : at + 4096]
-            for (t, _), m in zip(part, model.words([p for _, p in part]).tolist()):
-                found[t] = max(found[t], m)
+        for (t, _), m in zip(cut, model.words([p for _, p in cut]).tolist()):
+            found[t] = max(found[t], m)
         out = [max((found[t] if m is None else m for t, m in zip(ts, ms)), default=-1.0) if None in ms else max(ms, default=-1.0) for ts, ms in zip(tokens, got)]
         if len(known) > _KEPT:
             known.clear()
@@ -281,7 +284,7 @@ def _scorer(model: ToxicityModel) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 4500, max_chars: int = 20_000) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 3000, max_chars: int = 20_000) -> ToxicityModel:
     """Fits the machine on at most max_toxic + max_clean labelled texts of at most max_chars characters each.
 
     Rows with null ids, labels or texts are no training rows; with one class or none the model scores every text alike, by
