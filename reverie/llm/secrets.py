@@ -140,8 +140,8 @@ def entropy_spans(value: Column, window: int, bits: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda acc: acc["spans"])
 
 
-def scan_secrets(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, allow: AllowList = AllowList(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Secrets in whole texts: doc_id, text, and spans array<struct<kind, start, end>> by start, then kind as listed.
+def scan_secrets(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, allow: AllowList = AllowList(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Secrets in whole texts: doc_id, text, and spans array<struct<kind, start, end>> by start, then kind as listed; with keep, also those columns as the struct kept.
 
     Base kinds are assign, access and hex (see BASE). The method adds entropy spans: strings of a character class, unless the
     allow list suppresses them, are passed once with incremental counts, and windows of high Shannon entropy, merged where
@@ -151,14 +151,14 @@ def scan_secrets(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, a
     Null text counts as empty and has no spans. Null doc_ids and repeated rows are scanned like any others. Starts and ends
     are code points, ends exclusive. An empty table gives an empty result. Other columns are ignored.
     """
-    texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *([F.struct(*(docs[c] for c in keep)).alias("kept")] if keep else []))
     texts = texts.withColumns({f"_{kind}": _base_spans(rank, kind) for rank, kind in enumerate(BASE)})
     added = [_entropy_class_spans(rank, c, allow) for rank, c in enumerate(classes, len(BASE))]
     texts = texts.withColumn("_base", F.concat(*(F.col(f"_{k}") for k in BASE)))
     texts = texts.withColumn("_added", F.concat(*added))
     new = F.filter("_added", lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     every = F.array_sort(F.concat("_base", new))
-    return texts.select("doc_id", "text", F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    return texts.select("doc_id", "text", F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"), *(["kept"] if keep else []))
 
 
 def _base_spans(rank: int, kind: str) -> Column:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 ALPHABET, LENGTH, SPAN, DECAY = 40, 4, 7, 0.5
 _START = 1
@@ -270,16 +271,15 @@ def _scorer(model: ToxicityModel) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got, held, chars = [], [], 0
-            for t in batch.column("text"):
+            for t in batch.columns[-1]:
                 held.append(t.as_py())
                 chars += len(held[-1] or "")
                 if chars >= _CHARS:
                     got += margins(held)
                     held, chars = [], 0
             got += margins(held)
-            score = model.score(np.array(got, float))
-            cols = [c for n, c in zip(batch.schema.names, batch.columns) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(score, pa.float64())], names=[*(n for n in batch.schema.names if n != "text"), "score"])
+            scores = pa.array(model.score(np.array(got, float)), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "score"])
 
     return run
 
@@ -298,8 +298,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
 
     A narrow pass over the table: no shuffle. Null and empty texts have no word and score lowest; very long texts and long
     words are read in full, long words as overlapping pieces. Repeated rows and null ids are scored like any others.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Columns not in keep are ignored.
     """
-    texts = docs.select(*(docs[c] for c in keep), docs[text_col].cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
-    return texts.mapInArrow(_scorer(model), f"{schema}, score double")
+    kept = docs.select(*(docs[c] for c in keep)).schema
+    packed = docs.select(F.struct(*(docs[c] for c in keep)).alias("kept"), docs[text_col].cast("string").alias("scored"))
+    out = packed.mapInArrow(_scorer(model), StructType([StructField("kept", kept), StructField("score", DoubleType())]))
+    return out.select("kept.*", "score")
