@@ -100,9 +100,29 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+#: CRC-32 by its bitwise rule: a table of 256 remainders, then a fold over the bytes of the text.
+OP10_SQL = """
+WITH remainders AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)
+), sized AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 8 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), summed AS (
+  SELECT doc_id, size, h, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size AS byte_start, sum(size) OVER () AS total FROM sized
+), cut AS (
+  SELECT doc_id, size, h, CAST(least(23, ((2 * byte_start + size) * 24) // (2 * total)) AS INTEGER) AS shard FROM summed
+)
+SELECT doc_id, size,
+  CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295) AS BIGINT) AS text_crc32,
+  'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut, remainders
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op4_toxicity_string_kernel, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op8_viterbi_token_counts, op9_language_id, op10_byte_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_kdtree_topk": OP7_SQL}
+    return {"op7_kdtree_topk": OP7_SQL, "op10_byte_shards": OP10_SQL}
