@@ -12,8 +12,8 @@ import numpy as np
 _KEPT = 1_000_000
 _LONGEST = 64
 _CHARS = 1 << 20
-#: White space after a space, and characters that are or may count as white space: texts with one are not cut.
-_ODD = ("  ", " \n", " \t", " \r", *"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+#: Runs of white space, and characters but space and newline that are or may count as white space: texts with one are not cut.
+_ODD = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 _MARKS = ".,;:!?*&$%#|()[]{}<>/+=~^-"
 
@@ -37,10 +37,11 @@ def default_path() -> str:
 class Encoder:
     """Ids of the tokenizers library as little-endian unsigned 32-bit bytes.
 
-    Byte-level BPE never merges across pre-tokens, and a space before a non-space always begins one. So a text is cut before
-    such spaces, the ids of each piece are looked up, and pieces not seen before go to the library, those of many
-    texts in one call. The table is emptied when it is full and long pieces are not kept, so memory is bounded. Texts with
-    other runs of white space, or with the string of an added token, go to the library whole.
+    Byte-level BPE never merges across pre-tokens; a space before a non-space always begins one, and a single newline is one.
+    So a text is cut at such spaces and newlines, the ids of each piece are looked up, and pieces not seen before go to the
+    library, those of many texts at once. A full table becomes the older one and a new one begins, and long pieces are not
+    kept, so memory is bounded. Texts with other runs of white space, or with the string of an added token, go to the
+    library whole.
     """
 
     def __init__(self, path: str):
@@ -51,7 +52,9 @@ class Encoder:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.odd = (*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), *_ODD)
         self.marks: dict[str, bytes] = {"": b""}
+        self.newline = self.whole(["\n"])[0]
         self.known: dict[str, bytes] = {}  # without the space that begins a piece
+        self.older: dict[str, bytes] = {}  # what known held before it was last full
         self.first: dict[str, bytes] = {}  # pieces at the start of a text
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -59,9 +62,11 @@ class Encoder:
 
     def _words(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces with the space that begins them. Letters, and the marks behind them, are pre-tokens of their own; words of letters go to the library's model as they are."""
-        split = {p: p.rstrip(_MARKS) for p in pieces}
+        older = {p: self.older[p] for p in pieces if p in self.older}
+        split = {p: p.rstrip(_MARKS) for p in pieces if p not in older}
         split = {p: w for p, w in split.items() if w.isalpha()}
-        known, tokenize = self.known, self.tokenizer.model.tokenize
+        tokenize = self.tokenizer.model.tokenize
+        known = self.known
         new = [w for w in dict.fromkeys(split.values()) if w not in known]
         mapped = "\n".join(new).encode().decode("latin-1").translate(_BYTES).split(_BYTES[10]) if new else []
         found = {w: array("I", [t.id for t in tokenize(_BYTES[32] + m)]).tobytes() for w, m in zip(new, mapped)}
@@ -71,19 +76,20 @@ class Encoder:
             self.marks = {"": b""}
         self.marks.update(zip(ends, self.whole(ends)))
         out = {p: (found[w] if w in found else known[w]) + self.marks[p[len(w) :]] for p, w in split.items()}
-        rest = [p for p in pieces if p not in split]
-        return found | out | dict(zip(rest, self.whole([f" {p}" for p in rest])))
+        rest = [p for p in pieces if p not in split and p not in older]
+        return older | found | out | dict(zip(rest, self.whole([f" {p}" for p in rest])))
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [b""] * len(texts)
+        out: list[bytes] = [b""] * len(texts)
         cut, left = [], []
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if text[0] == " " or text[-1] == " " or any(a in text for a in self.odd):
+            if text[0] in " \n" or text[-1] in " \n" or any(a in text for a in self.odd):
                 left.append(i)
-            else:
-                head, *rest = text.split(" ")
+                continue
+            for line in text.split("\n"):
+                head, *rest = line.split(" ")
                 cut.append((i, head, rest, list(map(self.known.get, rest))))
         for i, ids in zip(left, self.whole([texts[i] for i in left])):
             out[i] = ids
@@ -91,13 +97,18 @@ class Encoder:
         heads = dict(zip(heads, self.whole(list(heads))))
         new = dict.fromkeys(p for _, _, rest, ids in cut if None in ids for p, x in zip(rest, ids) if x is None)
         new = self._words(list(new)) if new else {}
+        lines: dict[int, list[bytes]] = {}
         for i, head, rest, ids in cut:
             if None in ids:
                 ids = [new[p] if x is None else x for p, x in zip(rest, ids)]
-            out[i] = (heads.get(head) or self.first[head]) + b"".join(ids)
+            lines.setdefault(i, []).append((heads.get(head) or self.first[head]) + b"".join(ids))
+        for i, own in lines.items():
+            out[i] = self.newline.join(own)
+        if len(self.known) > _KEPT:
+            self.known, self.older = {}, self.known
+        if len(self.first) > _KEPT:
+            self.first = {}
         for table, found in ((self.known, new), (self.first, heads)):
-            if len(table) > _KEPT:
-                table.clear()
             table.update((p, v) for p, v in found.items() if len(p) <= _LONGEST)
         return out
 
