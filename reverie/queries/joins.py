@@ -16,7 +16,7 @@ from .base import TRACE, query, rounded, table, trace
 
 
 @query(
-    f"""WITH base AS (SELECT c_custkey AS k, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 <> 0), o AS (
+    f"""WITH base AS (SELECT c_custkey AS k, c_mktsegment, c_nationkey FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (
   SELECT o_custkey AS k, {rounded("avg(o_totalprice)", 4)} AS avg_price, max(o_totalprice) AS max_price, bool_or(o_orderstatus = 'F') AS any_final FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY o_custkey
 ), ranked AS (
   SELECT o_custkey AS k, l_tax - 0.041 AS v, l_quantity, l_discount, row_number() OVER (PARTITION BY o_custkey ORDER BY abs(l_tax - 0.041) DESC, l_orderkey, l_linenumber, l_partkey) AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
@@ -26,7 +26,7 @@ from .base import TRACE, query, rounded, table, trace
 )
 def wide_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per customer from three independent sources; what a source lacks is null."""
-    base = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("custkey"), "c_mktsegment", "c_nationkey")
+    base = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("custkey"), "c_mktsegment", "c_nationkey")
     orders = table(spark, sf_dir, "orders")
     o = orders.where(F.col("o_orderpriority").startswith("1")).groupBy(F.col("o_custkey").alias("custkey"))
     o = o.agg(r(F.avg("o_totalprice"), 4).alias("avg_price"), F.max("o_totalprice").alias("max_price"), F.bool_or(F.col("o_orderstatus") == "F").alias("any_final"))
@@ -41,16 +41,16 @@ def wide_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Customers as recordings; their orders as tasks of two layers, order lines as the persons of one."""
-    customers = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
+    customers = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'")
     orders = table(spark, sf_dir, "orders")
-    labels = orders.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.struct(F.col("o_orderpriority").alias("task_label")).alias("t")))).alias("x"))
+    labels = orders.where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.struct(F.col("o_orderpriority").alias("task_label")).alias("t")))).alias("x"))
     manifest = customers.join(labels, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         F.col("c_custkey").cast("string").alias("video_id"), F.col("c_mktsegment").alias("source_dataset"), F.col("c_acctbal").alias("duration_sec"), F.lit(30.0).alias("fps"),
         F.coalesce(F.transform("x", lambda y: y["t"]), F.array().cast("array<struct<task_label:string>>")).alias("identified_tasks"),
     )
     tasks = orders.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("task_id"), (F.col("o_totalprice") / 1000).alias("task_aggregate_score")))).alias("tasks_analyzed"))
     emotion = tasks.select(F.col("o_custkey").cast("string").alias("video_id"), F.lit("03b").alias("layer"), "tasks_analyzed", F.when(F.size("tasks_analyzed") > 9, "busy").alias("skipped_reason"))
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    lines = table(spark, sf_dir, "lineitem")
     person = F.struct(
         F.col("l_partkey").alias("person_id"), F.col("l_quantity").alias("q"), (F.col("l_tax") - 0.041).alias("proxemic_vector"), F.col("l_discount").alias("proxemic_confidence"),
         F.when(F.col("l_returnflag") == "R", "Approach").when(F.col("l_returnflag") == "A", "Retreat").otherwise("Neutral").alias("classified_action"),
@@ -62,12 +62,12 @@ def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Data
 
 
 @query(
-    f"""WITH base AS (SELECT CAST(c_custkey AS VARCHAR) AS video_id, c_mktsegment AS source_dataset, coalesce((SELECT string_agg(o_orderpriority, ', ' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 2 = 0), 'Unknown') AS task_labels,
-  c_acctbal AS duration_sec, 30.0::DOUBLE AS fps FROM customer WHERE c_custkey % 3 <> 0), e AS (
+    f"""WITH base AS (SELECT CAST(c_custkey AS VARCHAR) AS video_id, c_mktsegment AS source_dataset, coalesce((SELECT string_agg(o_orderpriority, ', ' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O'), 'Unknown') AS task_labels,
+  c_acctbal AS duration_sec, 30.0::DOUBLE AS fps FROM customer WHERE c_mktsegment <> 'BUILDING'), e AS (
   SELECT CAST(o_custkey AS VARCHAR) AS video_id, {rounded("avg(o_totalprice / 1000)", 4)} AS avg_task_score, CASE WHEN count(*) > 9 THEN 'busy' END AS skipped_reason FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey
 ), p AS (
   SELECT CAST(o_custkey AS VARCHAR) AS video_id, l_discount, l_returnflag, l_tax - 0.041 AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY abs(l_tax - 0.041) DESC, o_orderkey, l_partkey, l_quantity) AS i
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), d AS (
   SELECT video_id, max(l_discount) AS max_confidence, max(CASE WHEN i = 1 THEN v END) AS max_abs_vector, bool_or(l_returnflag = 'R') AS any_approach, bool_or(l_returnflag = 'A') AS any_retreat FROM p GROUP BY video_id
 ) SELECT video_id, source_dataset, task_labels, duration_sec, fps, avg_task_score, skipped_reason, max_confidence, {rounded("max_abs_vector", 4)} AS max_abs_vector, any_approach, any_retreat FROM base FULL OUTER JOIN e USING (video_id) FULL OUTER JOIN d USING (video_id)"""
@@ -160,10 +160,10 @@ def processed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.union(table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")).distinct()
 
 
-@query("SELECT o_orderkey AS id, o_totalprice AS score, CAST(NULL AS VARCHAR) AS flag FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT l_orderkey, CAST(NULL AS DOUBLE), l_returnflag FROM lineitem WHERE l_linenumber = 7")
+@query("SELECT o_orderkey AS id, o_totalprice AS score, CAST(NULL AS VARCHAR) AS flag FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT l_orderkey, CAST(NULL AS DOUBLE), l_returnflag FROM lineitem WHERE l_returnflag = 'R'")
 def appended_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
-    return old.unionByName(table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("flag")), allowMissingColumns=True)
+    return old.unionByName(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("flag")), allowMissingColumns=True)
 
 
 @query(
@@ -181,10 +181,10 @@ def metadata_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT s_suppkey, coalesce(n_name, 'pinhole') AS model, CASE WHEN s_nationkey % 2 = 0 THEN CAST(s_nationkey AS DOUBLE) ELSE -640.0 END AS focal FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 2 = 0"""
+    """SELECT s_suppkey, coalesce(n_name, 'pinhole') AS model, CASE WHEN n_nationkey IS NOT NULL THEN CAST(s_nationkey AS DOUBLE) ELSE -640.0 END AS focal FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey <= 2"""
 )
 def intrinsics_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", F.col("n_nationkey").cast("double").alias("focal"))
+    known = table(spark, sf_dir, "nation").where("n_regionkey <= 2").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", F.col("n_nationkey").cast("double").alias("focal"))
     out = table(spark, sf_dir, "supplier").join(known, "s_nationkey", "left")
     return out.select("s_suppkey", F.coalesce("n_name", F.lit("pinhole")).alias("model"), F.coalesce("focal", F.lit(-640.0)).alias("focal"))
 

@@ -35,9 +35,6 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SOLO = " OR ".join(f"contains(s, '{w}')" for w in ("the", "and"))
-
-
 @query(
     """SELECT page_id, regexp_matches(html, '^data:image/[a-z]+;base64,') OR regexp_matches(html, '^/[Vv]olumes/|^/Users/|^/tmp/') OR regexp_matches(url, '^/[Vv]olumes/|^/Users/|^/tmp/') AS leaks, regexp_replace(list_last(string_split(url, '/')), '(.)\\.[^.]*$', '\\1') AS stem FROM pages"""
 )

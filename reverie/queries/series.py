@@ -130,12 +130,12 @@ def plain_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PERSON_SCORES}, weights AS (SELECT user_id, {rounded("avg(score)", 2)} AS weight FROM trace WHERE user_id % 3 <> 0 GROUP BY user_id)
+    f"""WITH {PERSON_SCORES}, weights AS (SELECT user_id, {rounded("avg(score)", 2)} AS weight FROM trace WHERE event_type = 'signup' GROUP BY user_id)
 SELECT p.user_id % 10 AS task_id, CASE WHEN sum(coalesce(weight, 1.0)) > 0 THEN {rounded("(sum(late_stage_score * coalesce(weight, 1.0)) / sum(coalesce(weight, 1.0)))", 2)} ELSE 0.0 END + 0.0 AS task_aggregate_score
 FROM person p LEFT JOIN weights USING (user_id) GROUP BY 1"""
 )
 def attention_weighted_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = trace(spark, sf_dir).where("user_id % 3 <> 0").groupBy("user_id").agg(r(F.avg("score"), 2).alias("weight")).withColumn("one", F.lit(1))
+    weights = trace(spark, sf_dir).where("event_type = 'signup'").groupBy("user_id").agg(r(F.avg("score"), 2).alias("weight")).withColumn("one", F.lit(1))
     x = J.weighted_left_join(late_stage_scores(spark, sf_dir), weights, ["user_id"], "weight", "one")
     sums = x.groupBy((F.col("user_id") % 10).alias("task_id")).agg(F.sum(F.col("late_stage_score") * F.col("weight")).alias("n"), F.sum("weight").alias("d"))
     return sums.select("task_id", (F.when(F.col("d") > 0, r(F.col("n") / F.col("d"), 2)).otherwise(0.0) + 0.0).alias("task_aggregate_score"))

@@ -93,4 +93,4 @@ def inflation(df: DataFrame, source_bytes: int | None) -> tuple[float | None, st
     digest = df.sparkSession.range(1).select(schema_hash(F.array(*(F.lit(c) for c in df.columns)))).first()[0]
     if not source_bytes:
         return None, digest
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / source_bytes, digest
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / source_bytes, digest
