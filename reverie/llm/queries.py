@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import new_path, read_table
 from .decontam import contaminated
 from .langid import identify_languages, train_language_model
+from .oracles import decontamination_sql, secrets_sql
 from .packing import pack
 from .secrets import BASE, joined, scan_secrets
 from .simhash import near_duplicates
@@ -25,7 +26,8 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", "similarity")
 
 
 def _count(kind: str) -> Column:
@@ -125,4 +127,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_kdtree_topk": OP7_SQL, "op10_byte_shards": OP10_SQL}
+    return {
+        "op2_benchmark_decontamination": decontamination_sql(),
+        "op3_secret_scan": secrets_sql(),
+        "op7_kdtree_topk": OP7_SQL,
+        "op10_byte_shards": OP10_SQL,
+    }

@@ -373,3 +373,17 @@ def test_kd_tree_and_top_k(spark):
 def test_base_digest_of_nothing(spark):
     d = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert scan_secrets(d).select(F.sha2(joined(F.col("spans")), 256)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_secret_sql_agrees_where_entropy_spans_occur(spark):
+    import duckdb
+
+    from reverie.llm.oracles import secrets_sql
+
+    rows = [(i, t) for i, t in enumerate(SECRETS)]
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", rows)
+    want = {r[0]: r for r in db.sql(f"select doc_id, spans from ({secrets_sql().strip()})").fetchall()}
+    got = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("joined", joined(F.col("spans"))).collect()
+    assert {r["doc_id"]: r["joined"] for r in got} == {k: v[1] for k, v in want.items()}
