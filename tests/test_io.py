@@ -119,3 +119,27 @@ def test_burst_stream_equals_batch(spark, tmp_path):
 def test_tumbling_counts(spark):
     df = spark.createDataFrame([("2026-01-01 00:10:00", "a"), ("2026-01-01 00:50:00", "a"), ("2026-01-01 01:10:00", "a")], "ts string, k string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["count"] for r in incremental.tumbling_counts(df, "ts", "k").collect()) == [1, 2]
+
+
+def test_providers(spark):
+    from reverie.sources import providers
+
+    requests = spark.createDataFrame([("v", "t", 1, t, 0, 0, 10, 10, 0.0, 1.0) for t in (0.1, 0.5, 0.9)], "video_id string, task_id string, person_id long, t double, x1 int, y1 int, x2 int, y2 int, win_start double, win_end double")
+    rows = providers.observe(requests, providers.MockEmotions, providers.MockEmotions.schema).orderBy("t").collect()
+    assert rows[0]["emotion"] == "neutral" and rows[2]["emotion"] in {"joy", "anger", "surprise"} and rows == providers.observe(requests, providers.MockEmotions, providers.MockEmotions.schema).orderBy("t").collect()
+
+    class Broken:
+        schema = "a long"
+
+        def __call__(self, requests):
+            raise RuntimeError
+
+    assert providers.observe(requests, Broken, "a long").count() == 0
+    answers = ['{"positive_emotions": "joy", "negative_emotions": ["a", "b"], "neutral_baseline": []}', '{"positive_emotions": "joy"}', "no json"]
+    got = spark.createDataFrame([(a,) for a in answers], "x string").select(providers.valid_expectations(F.col("x")).alias("e")).collect()
+    assert got[0]["e"]["positive_emotions"] == ["joy"] and got[0]["e"]["negative_emotions"] == ["a", "b"] and got[1]["e"] is None and got[2]["e"] is None
+    dirs = spark.createDataFrame([('{"classified_direction": "positive"}',), ('{"classified_direction": "up"}',)], "x string").select(providers.valid_direction(F.col("x")).alias("d")).collect()
+    assert [r["d"] for r in dirs] == ["positive", None]
+    w = spark.createDataFrame([(1.0, 2.0, 100), (2.0, 2.0, 100), (1.0, 2.0, 44)], "s double, e double, n int")
+    assert w.where(providers.valid_audio_window(F.col("s"), F.col("e"), F.col("n"))).count() == 1
+    assert providers.enough_disk("/", 0.0)
