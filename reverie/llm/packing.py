@@ -116,8 +116,8 @@ def _packer(path: str, eos: int, tiers: tuple[int, ...], buffer_tokens: int, ste
         encode, part = encoder(path).encode, TaskContext.get().partitionId()
         docs, held, seq, group = [], 0, 0, 0
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(t.as_py() for t in batch.column("text"))):
-                ids += end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
+                ids = ids.tobytes() + end
                 docs.append((doc_id, ids))
                 held += len(ids) // 4
                 if held >= buffer_tokens:

@@ -72,8 +72,6 @@ class SequenceFile:
 
 
 def _writer(path: str, uri: str, eos: int, pad: int, seq_len: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    end = np.array([eos], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(path), TaskContext.get().partitionId()
         wide = max(coder.vocab_size, eos + 1, pad + 1) > 1 << 16
@@ -97,8 +95,8 @@ def _writer(path: str, uri: str, eos: int, pad: int, seq_len: int) -> Callable[[
         with fs.open_output_stream(names["tokens"][0]) as a, fs.open_output_stream(names["docs"][0]) as b, pa.ipc.new_stream(a, schema) as out, pa.ipc.new_stream(b, _DOC_SCHEMA) as index:
             for batch in batches:
                 rows = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(t.as_py() for t in batch.column("text"))):
-                    ids = np.frombuffer(ids + end, "<u4").astype(np_dtype)
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
+                    ids = np.append(ids, np.uint32(eos)).astype(np_dtype)
                     rows.append((doc_id, total, len(ids)))
                     total += len(ids)
                     held.append(ids)

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import os
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _KEPT = 1_000_000
 _LONGEST = 64
-_CHARS = 1 << 20
-#: Runs of white space, and characters but space and newline that are or may count as white space: texts with one are not cut.
-_ODD = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-
+_BYTES_AT_ONCE = 16 << 20
+#: A piece at the start of a text or line, which no space begins, and a newline, as they are marked while a text is cut.
+_HEAD, _LINE = "\x01", "\x00"
+#: Texts that are not cut: runs of white space, spaces at the ends, and characters but space and newline that are or may count as white space.
+_ODD = r"  | \n|\n |\n\n|\A[ \n]|[ \n]\z|[\x00\x01\t\r\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _MARKS = ".,;:!?*&$%#|()[]{}<>/+=~^-"
 
 
@@ -25,7 +27,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-_BYTES = _byte_letters()
+_LETTERS = _byte_letters()
 
 
 def default_path() -> str:
@@ -34,94 +36,133 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of flat, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
-    """Ids of the tokenizers library as little-endian unsigned 32-bit bytes.
+    """Ids of the tokenizers library as little-endian unsigned 32-bit numbers.
 
     Byte-level BPE never merges across pre-tokens; a space before a non-space always begins one, and a single newline is one.
-    So a text is cut at such spaces and newlines, the ids of each piece are looked up, and pieces not seen before go to the
-    library, those of many texts at once. A full table becomes the older one and a new one begins, and long pieces are not
-    kept, so memory is bounded. Texts with other runs of white space, or with the string of an added token, go to the
-    library whole.
+    So texts are cut at such spaces and newlines, and the distinct pieces of some megabytes of text are looked up in a table;
+    those not seen before go to the library, all in one call. The table is begun anew when it is full and does not keep
+    long pieces, so memory is bounded. Texts with other white space, or with the string of an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.odd = (*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), *_ODD)
-        self.marks: dict[str, bytes] = {"": b""}
-        self.newline = self.whole(["\n"])[0]
-        self.known: dict[str, bytes] = {}  # without the space that begins a piece
-        self.older: dict[str, bytes] = {}  # what known held before it was last full
-        self.first: dict[str, bytes] = {}  # pieces at the start of a text
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces with the space that begins them. Letters, and the marks behind them, are pre-tokens of their own; words of letters go to the library's model as they are."""
-        older = {p: self.older[p] for p in pieces if p in self.older}
-        split = {p: p.rstrip(_MARKS) for p in pieces if p not in older}
-        split = {p: w for p, w in split.items() if w.isalpha()}
-        tokenize = self.tokenizer.model.tokenize
-        known = self.known
-        new = [w for w in dict.fromkeys(split.values()) if w not in known]
-        mapped = "\n".join(new).encode().decode("latin-1").translate(_BYTES).split(_BYTES[10]) if new else []
-        found = {w: array("I", [t.id for t in tokenize(_BYTES[32] + m)]).tobytes() for w, m in zip(new, mapped)}
-        ends = [e for e in dict.fromkeys(p[len(w) :] for p, w in split.items()) if e not in self.marks]
-        if len(self.marks) > _KEPT:
-            ends = list(dict.fromkeys(p[len(w) :] for p, w in split.items()))
-            self.marks = {"": b""}
-        self.marks.update(zip(ends, self.whole(ends)))
-        out = {p: (found[w] if w in found else known[w]) + self.marks[p[len(w) :]] for p, w in split.items()}
-        rest = [p for p in pieces if p not in split and p not in older]
-        return older | found | out | dict(zip(rest, self.whole([f" {p}" for p in rest])))
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        cut, left = [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if text[0] in " \n" or text[-1] in " \n" or any(a in text for a in self.odd):
-                left.append(i)
-                continue
-            for line in text.split("\n"):
-                head, *rest = line.split(" ")
-                cut.append((i, head, rest, list(map(self.known.get, rest))))
-        for i, ids in zip(left, self.whole([texts[i] for i in left])):
-            out[i] = ids
-        heads = dict.fromkeys(h for _, h, _, _ in cut if h not in self.first)
-        heads = dict(zip(heads, self.whole(list(heads))))
-        new = dict.fromkeys(p for _, _, rest, ids in cut if None in ids for p, x in zip(rest, ids) if x is None)
-        new = self._words(list(new)) if new else {}
-        lines: dict[int, list[bytes]] = {}
-        for i, head, rest, ids in cut:
-            if None in ids:
-                ids = [new[p] if x is None else x for p, x in zip(rest, ids)]
-            lines.setdefault(i, []).append((heads.get(head) or self.first[head]) + b"".join(ids))
-        for i, own in lines.items():
-            out[i] = self.newline.join(own)
-        if len(self.known) > _KEPT:
-            self.known, self.older = {}, self.known
-        if len(self.first) > _KEPT:
-            self.first = {}
-        for table, found in ((self.known, new), (self.first, heads)):
-            table.update((p, v) for p, v in found.items() if len(p) <= _LONGEST)
-        return out
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of each text, in order; about _CHARS characters are in work at once, or one text."""
-        held, chars = [], 0
-        for text in texts:
-            held.append(text or "")
-            chars += len(held[-1])
-            if chars >= _CHARS:
-                yield from self._batch(held)
-                held, chars = [], 0
-        yield from self._batch(held)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_ODD, *("".join(f"\\x{{{ord(c):x}}}" for c in a) for a in added)])
+        self.lines = Tokenizer(self.tokenizer.model)  # the same model, for pre-tokens that stand on lines of their own
+        self.lines.pre_tokenizer = Split(_LETTERS[10], "isolated")
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {}  # piece -> its row below
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, the number of ids of each piece).
+
+        Letters and the marks behind them are pre-tokens. Distinct ones are set on lines, which one call of the model encodes,
+        and are told apart by the newlines between them; pieces are then put together from them.
+        """
+        index: dict[str, int] = {}
+        parts, count, others = [], np.ones(len(pieces), np.int64), []
+        for i, p in enumerate(pieces):
+            own = p[1:] if p[:1] == _HEAD else p
+            word = own.rstrip(_MARKS)
+            if word.isalpha():
+                parts.append(index.setdefault(word if own is not p else f" {word}", len(index)))
+                if len(word) < len(own):
+                    parts.append(index.setdefault(own[len(word) :], len(index)))
+                    count[i] = 2
+            else:
+                others.append("\n" if p == _LINE else own if own is not p else f" {p}")
+                parts.append(-len(others))
+        lines = list(index)
+        got, n = self._encode_lines(lines) if len(self.newline) == 1 else self._joined(self.whole(lines))
+        more, m = self._joined(self.whole(others))
+        flat, sizes = np.concatenate([got, more]), np.concatenate([n, m])
+        starts = np.cumsum(sizes) - sizes
+        at = np.array(parts, np.int64)
+        at = np.where(at < 0, len(lines) - 1 - at, at)  # the others stand behind the lines
+        ids = _gather(flat, starts[at], sizes[at])
+        return ids, np.bincount(np.repeat(np.arange(len(pieces)), count), weights=sizes[at], minlength=len(pieces)).astype(np.int64)
+
+    def _joined(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.zeros(0, "<u4"), *rows]), np.array([len(r) for r in rows], np.int64)
+
+    def _encode_lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not lines:
+            return self._joined([])
+        mapped = ("\n".join(lines) + "\n").encode().decode("latin-1").translate(_LETTERS)
+        got = np.array(self.lines.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(got == self.newline[0])
+        return np.delete(got, ends), np.diff(ends, prepend=-1) - 1
+
+    def _rows(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, starts, sizes) of pieces, known or new; the new are kept."""
+        rows = list(map(self.known.get, pieces))
+        new = [p for p, r in zip(pieces, rows) if r is None]
+        flat, starts, sizes = self.flat, self.starts, self.sizes
+        if new:
+            ids, n = self._learn(new)
+            first = len(starts)
+            starts = np.concatenate([starts, len(flat) + np.cumsum(n) - n])
+            sizes, flat = np.concatenate([sizes, n]), np.concatenate([flat, ids])
+            fresh = iter(range(first, first + len(new)))
+            rows = [next(fresh) if r is None else r for r in rows]
+            if len(self.known) > _KEPT:
+                self._empty()
+            else:
+                self.flat, self.starts, self.sizes = flat, starts, sizes
+                self.known.update((p, first + i) for i, p in enumerate(new) if len(p) <= _LONGEST)
+        at = np.array(rows, np.int64)
+        return flat, starts[at], sizes[at]
+
+    def _cut(self, texts: pa.Array) -> list[np.ndarray]:
+        odd = pc.match_substring_regex(texts, self.odd)
+        plain = texts.filter(pc.invert(odd))
+        pieces = pc.split_pattern(pc.binary_join_element_wise(_HEAD, pc.replace_substring(plain, "\n", f" {_LINE} {_HEAD}"), ""), " ")
+        coded = pc.dictionary_encode(pieces.flatten())
+        flat, starts, sizes = self._rows(coded.dictionary.to_pylist())
+        code = coded.indices.to_numpy()
+        ids, ends = _gather(flat, starts[code], sizes[code]), np.cumsum(sizes[code])
+        cuts = np.append(0, ends)[pieces.offsets.to_numpy()[1:] - pieces.offsets[0].as_py()]
+        own = iter(np.split(ids, cuts[:-1]) if len(cuts) else [])
+        rest = iter(self.whole(texts.filter(odd).to_pylist()))
+        return [next(rest) if o else next(own) for o in odd.to_pylist()]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; nulls are empty. Some megabytes of text are in work at once, or one text."""
+        texts = pc.fill_null(texts, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + _BYTES_AT_ONCE, "right")))
+            part = texts.slice(at, end - at)
+            empty = sizes[end - 1] == before
+            yield from ([np.zeros(0, "<u4")] * len(part) if empty else self._cut_filled(part))
+            at = end
+
+    def _cut_filled(self, texts: pa.Array) -> list[np.ndarray]:
+        full = pc.greater(pc.binary_length(texts), 0)
+        own = iter(self._cut(texts.filter(full)))
+        return [next(own) if f else np.zeros(0, "<u4") for f in full.to_pylist()]
 
 
 @lru_cache(maxsize=2)

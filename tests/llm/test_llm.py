@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -49,9 +50,9 @@ def ids(text, end):
 
 def test_encoder_equals_library():
     coder = encoder(default_path())
-    texts = [*ODD, "it's we'll don't 12ab ٣", "a \n b\n c", "x\x1cy z", "　 y", "end. Next, (x) [y]", "日本 語."]
+    texts = [*ODD, "it's we'll don't 12ab ٣", "a \n b\n c", "x\x1cy z", "　 y", "end. Next, (x) [y]", "日本 語.", "a\nb", "\n", "a\n", "x.\nY z\nw", "\x00 a", "b \x01c", "don't-stop.\nIt's", "a\u2003b", "éa\tb"]
     for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == [ids(t, 0)[:-1] for t in texts]
+        assert [b.tolist() for b in coder.encode(pa.array(texts, pa.string()))] == [ids(t, 0)[:-1] for t in texts]
 
 
 def test_packing(docs, empty):
