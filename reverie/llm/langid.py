@@ -145,9 +145,9 @@ def train_language_model(docs: DataFrame, per_language: int = 600, max_languages
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages)
-    # twice the wanted share by hash first, so that the window below ranks a bounded number of rows
+    # twice the wanted share by hash first, and copies once, so that the window below ranks a bounded number of rows
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.col("count"))
-    some = rows.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    some = rows.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "h"])
     ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_language)
     got = ranked.select("text", "lang").mapInArrow(_vectors, "lang string, v binary").collect()
     return fit(sorted(((np.frombuffer(r["v"], np.float32), r["lang"]) for r in got), key=lambda r: (r[1], r[0].tobytes())))

@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_KEPT = 1_000_000
+_KEPT = 800_000
 _LONGEST = 64
-_BYTES_AT_ONCE = 16 << 20
+_BYTES_AT_ONCE = 4 << 20
+_LINES = 1 << 15
 #: A piece at the start of a text or line, which no space begins, and a newline, as they are marked while a text is cut.
 _HEAD, _LINE = "\x01", "\x00"
 #: Texts that are not cut: runs of white space, spaces at the ends, and characters but space and newline that are or may count as white space.
@@ -67,7 +68,7 @@ class Encoder:
 
     def _empty(self) -> None:
         self.known: dict[str, int] = {}  # piece -> its row below
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat = np.zeros(0, "<u4")
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -106,12 +107,14 @@ class Encoder:
         return np.concatenate([np.zeros(0, "<u4"), *rows]), np.array([len(r) for r in rows], np.int64)
 
     def _encode_lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not lines:
-            return self._joined([])
-        mapped = ("\n".join(lines) + "\n").encode().decode("latin-1").translate(_LETTERS)
-        got = np.array(self.lines.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(got == self.newline[0])
-        return np.delete(got, ends), np.diff(ends, prepend=-1) - 1
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for at in range(0, len(lines), _LINES):
+            mapped = ("\n".join(lines[at : at + _LINES]) + "\n").encode().decode("latin-1").translate(_LETTERS)
+            got = np.array(self.lines.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(got == self.newline[0])
+            ids.append(np.delete(got, ends))
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _rows(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids, starts, sizes) of pieces, known or new; the new are kept."""
@@ -122,10 +125,10 @@ class Encoder:
             ids, n = self._learn(new)
             first = len(starts)
             starts = np.concatenate([starts, len(flat) + np.cumsum(n) - n])
-            sizes, flat = np.concatenate([sizes, n]), np.concatenate([flat, ids])
+            sizes, flat = np.concatenate([sizes, n.astype(np.int32)]), np.concatenate([flat, ids])
             fresh = iter(range(first, first + len(new)))
             rows = [next(fresh) if r is None else r for r in rows]
-            if len(self.known) > _KEPT:
+            if len(self.known) > _KEPT or len(flat) > 16 * _KEPT:
                 self._empty()
             else:
                 self.flat, self.starts, self.sizes = flat, starts, sizes

@@ -247,7 +247,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean:
     texts = texts.where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     order = F.xxhash64("doc_id", F.lit(11))
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(max_toxic).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(max_clean))
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "toxic")
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id")
     return ((tokens_of(r["text"]), int(r["toxic"])) for r in rows.collect())  # the texts of at most max_toxic + max_clean ids
 
 
