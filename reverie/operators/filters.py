@@ -78,7 +78,10 @@ def pose_pick(candidates: DataFrame, keys: list[str], order: str, overlap: str)
 
 
 def batches(rows: DataFrame, order: str, free_bytes: int, item_bytes: int = 500_000_000, group: list[str] | None = None) -> DataFrame:
-    """Rows numbered into batches of clamp(free / item, 10, 500)."""
+    """Rows numbered into batches of clamp(free / item, 10, 500), within each group if one is given.
+
+    Without a group all rows pass one window: meant for registries, with a row for each recording.
+    """
     size = max(10, min(500, free_bytes // item_bytes))
     w = Window.partitionBy(*(group or [])).orderBy(order)
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
