@@ -77,18 +77,24 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, the number of ids of each piece).
 
-        Letters and the marks behind them are pre-tokens. Distinct ones are set on lines, which one call of the model encodes,
-        and are told apart by the newlines between them; pieces are then put together from them.
+        Letters and the marks behind them are pre-tokens. Distinct ones that are not known yet are set on lines, which the model
+        encodes together, and are told apart by the newlines between them; pieces are then put together from them.
         """
         index: dict[str, int] = {}
+        known, old = self.known, len(self.starts)
         parts, count, others = [], np.ones(len(pieces), np.int64), []
         for i, p in enumerate(pieces):
             own = p[1:] if p[:1] == _HEAD else p
             word = own.rstrip(_MARKS)
             if word.isalpha():
-                parts.append(index.setdefault(word if own is not p else f" {word}", len(index)))
+                if own is not p:
+                    parts.append(old + index.setdefault(word, len(index)))
+                elif (row := known.get(word)) is None:
+                    parts.append(old + index.setdefault(f" {word}", len(index)))
+                else:
+                    parts.append(row)
                 if len(word) < len(own):
-                    parts.append(index.setdefault(own[len(word) :], len(index)))
+                    parts.append(old + index.setdefault(own[len(word) :], len(index)))
                     count[i] = 2
             else:
                 others.append("\n" if p == _LINE else own if own is not p else f" {p}")
@@ -96,10 +102,10 @@ class Encoder:
         lines = list(index)
         got, n = self._encode_lines(lines) if len(self.newline) == 1 else self._joined(self.whole(lines))
         more, m = self._joined(self.whole(others))
-        flat, sizes = np.concatenate([got, more]), np.concatenate([n, m])
-        starts = np.cumsum(sizes) - sizes
+        flat, new = np.concatenate([self.flat, got, more]), np.concatenate([n, m])
+        starts, sizes = np.concatenate([self.starts, len(self.flat) + np.cumsum(new) - new]), np.concatenate([self.sizes, new])
         at = np.array(parts, np.int64)
-        at = np.where(at < 0, len(lines) - 1 - at, at)  # the others stand behind the lines
+        at = np.where(at < 0, old + len(lines) - 1 - at, at)  # the others stand behind the lines
         ids = _gather(flat, starts[at], sizes[at])
         return ids, np.bincount(np.repeat(np.arange(len(pieces)), count), weights=sizes[at], minlength=len(pieces)).astype(np.int64)
 
