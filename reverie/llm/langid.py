@@ -52,9 +52,9 @@ def vector(text: str) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 40) -> tuple[np.ndarray, float]:
     """Squared-hinge machine by conjugate gradients on its active rows (Newton steps without a matrix)."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    weight = cost * np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
-    w = np.zeros(z.shape[1])
+    z = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    weight = (cost * np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))).astype(np.float32)
+    w = np.zeros(z.shape[1], np.float32)
     for _ in range(15):
         on = y * (z @ w) < 1
         if not on.any():
@@ -112,7 +112,7 @@ def fit(rows: list[tuple[np.ndarray, str]]) -> LanguageModel:
     families: dict[str, list[str]] = {}
     for lang in languages:
         families.setdefault(family(lang), []).append(lang)
-    x = np.array([v for v, _ in rows]).reshape(len(rows), DIMS)
+    x = np.array([v for v, _ in rows], np.float32).reshape(len(rows), DIMS)
     of_lang = np.array([lang for _, lang in rows])
     of_family = np.array([family(lang) for _, lang in rows])
 
@@ -120,8 +120,8 @@ def fit(rows: list[tuple[np.ndarray, str]]) -> LanguageModel:
         out = {}
         for a, b in combinations(sorted(classes), 2):
             own = (of == a) | (of == b)
-            w, bias = linear_svm(x[own], np.where(of[own] == a, 1.0, -1.0))
-            out[a, b] = (w.astype(np.float32), bias)
+            w, bias = linear_svm(x[own], np.where(of[own] == a, np.float32(1), np.float32(-1)))
+            out[a, b] = (w, bias)
         return out
 
     pairs = between(of_family, list(families))
