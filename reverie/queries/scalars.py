@@ -155,7 +155,7 @@ def confirmation_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
-SELECT vec_id, len(list_filter(e[1:5], lambda x: x >= 0.3)) > 0 AND len(list_filter(e[6:7], lambda x: x >= 0.3)) > 0 AS visible, CASE vec_id % 4 WHEN 0 THEN 0.2 WHEN 1 THEN 0.25 ELSE 0.3 END AS threshold FROM d"""
+SELECT vec_id, len(list_filter(e[1:5], lambda x: x >= 0.3)) > 0 AND len(list_filter(e[6:7], lambda x: x >= 0.3)) > 0 AS visible, CAST(CASE vec_id % 4 WHEN 0 THEN 0.2 WHEN 1 THEN 0.25 ELSE 0.3 END AS DOUBLE) AS threshold FROM d"""
 )
 def keypoint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.when(F.col("vec_id") % 4 == 0, "crossgaze").when(F.col("vec_id") % 4 == 1, "3dgazenet").otherwise("none")
