@@ -82,9 +82,10 @@ def emotion_direction(emotion: Column, positive: Iterable[str] = C.POSITIVE_EMOT
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key in which runs of digits compare as numbers."""
-    padded = F.transform(F.regexp_extract_all(name, F.lit(r"\d+|\D+"), F.lit(0)), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p))
-    return F.array_join(padded, "")
+    """Sort key in which runs of digits compare as numbers, of any length: by how many digits they have without leading zeros, then by the digits."""
+    number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    keyed = F.transform(F.regexp_extract_all(name, F.lit(r"\d+|\D+"), F.lit(0)), lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p))
+    return F.array_join(keyed, "\u0000")
 
 
 def schema_hash(names: Column) -> Column:

@@ -9,6 +9,7 @@ from ..functions import constants as C
 from ..functions import maths as M
 from ..functions import text as T
 from ..operators import filters as L
+from ..operators.ranks import ranked
 from ..operators.series import fixed_steps, strided
 from .base import TRACE, query, rounded, table, trace
 
@@ -186,7 +187,5 @@ def sampling_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     low = c.agg(F.min("c_custkey").alias("low"))
-    # a key in natural order sorts like the number in it
-    key = T.natural_key(F.col("c_name"))
-    number = F.regexp_extract(key, r"(\d+)$", 1).cast("long")
-    return c.join(F.broadcast(low)).select("c_custkey", (number == F.col("c_custkey")).alias("in_order"))
+    placed = ranked(c.select("c_custkey", T.natural_key(F.col("c_name")).alias("key")), [F.col("key").asc_nulls_last(), F.col("c_custkey").asc()])
+    return placed.join(F.broadcast(low)).select("c_custkey", (F.col("rank") == F.col("c_custkey") - F.col("low") + 1).alias("in_order"))

@@ -47,3 +47,21 @@ def test_entry_imports_without_the_optional_operators(monkeypatch):
 
     assert set(e.queries()) == set(QUERIES) and e.oracle_sql() == SQL
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+
+
+def test_natural_order_ranks_all_rows(spark, db, tmp_path):
+    names = {7: "C#9", 8: "C#10", 10: "C#11", 11: None, 12: "C#8", 13: "B#99"}
+    spark.createDataFrame(list(names.items()), "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["c_custkey"]: r["in_order"] for r in QUERIES["natural_order"](spark, str(tmp_path)).collect()}
+    sql = SQL["natural_order"].replace("FROM customer", f"FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert got == dict(db.sql(sql).fetchall()) and not all(got.values())
+
+
+def test_natural_key_of_long_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from reverie.functions import text as T
+
+    names = ["A1", "A#1", "a" + "9" * 21 + "7", "a" + "9" * 21 + "8", "a1" + "0" * 22, "a007b", "a8b"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(T.natural_key(F.col("n"))).collect()
+    assert [r["n"] for r in rows] == ["A1", "A#1", "a007b", "a8b", "a" + "9" * 21 + "7", "a" + "9" * 21 + "8", "a1" + "0" * 22]
