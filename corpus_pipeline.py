@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from reverie.llm.common import materialise, read_table
 from reverie.llm.decontam import contaminated
+from reverie.llm.jaccard import near_copies
 from reverie.llm.packing import pack
 from reverie.llm.secrets import redact, scan_secrets
-from reverie.llm.simhash import near_duplicates
 from reverie.llm.toxicity import score_toxicity, train_toxicity
 
 #: Ids of dropped documents are broadcast up to this many (8 bytes each), and joined by shuffle beyond.
 BROADCAST_IDS = 4_000_000
-#: Near copies of a document of some hundred words differ in a few bits more than copies of long ones; see the README.
-RADIUS = 6
+#: Near copies are texts whose sets of five-word shingles have at least this Jaccard similarity.
+SIMILARITY = 0.8
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -38,8 +38,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each SimHash component, and one row of it; rows without a doc_id stay once for each text."""
-    groups = materialise(near_duplicates(docs.where(F.col("doc_id").isNotNull()), RADIUS), "dedup-groups")
+    """Keeps the document of least doc_id of each component of near copies, and one row of it; rows without a doc_id stay once for each text.
+
+    The search is an exact join: near copies of some hundred words differ in up to 11 of 64 SimHash bits and more, where a
+    radius either misses them or links strangers.
+    """
+    groups = materialise(near_copies(docs.where(F.col("doc_id").isNotNull()), SIMILARITY), "dedup-groups")
     kept = _without(docs.where(F.col("doc_id").isNotNull()), groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
     repeated = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1")
     if repeated.limit(1).count():
@@ -82,7 +86,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("secret_scan", secret_redaction),
     ("packing", packing),
 ]
-#: Models, SimHash and token ids are beyond SQL; tests hold the stages against brute force.
+#: Models, near copies and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from reverie.llm import langid, packing, simhash, tokenfile, toxicity, viterbi
 from reverie.llm.common import new_path
 from reverie.llm.decontam import contaminated
+from reverie.llm.jaccard import near_copies, shingle_set
 from reverie.llm.secrets import AllowList, entropy_limit, joined, redact, scan_secrets
 from reverie.llm.sharding import shard_by_bytes
 from reverie.llm.tokens import default_path, encoder
@@ -195,6 +196,39 @@ def test_allocation_is_optimal():
     assert math.isclose(cost, min(map(price, every))) and math.isclose(price(ts), cost)
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_against_all_pairs(spark, docs, empty):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    line = " ".join(rng.choices(vocabulary, k=60))  # in many texts that are no copies of each other
+    texts = [*ODD, "a b c", "A  b c", "a b"]
+    for _ in range(40):
+        words = rng.choices(vocabulary, k=rng.randint(20, 120))
+        texts.append(" ".join(words) + " " + line)
+        for _ in range(6):
+            other = list(words)
+            for _ in range(rng.randint(0, 4)):
+                other[rng.randrange(len(other))] = rng.choice(vocabulary)
+            texts += [" ".join(other), " ".join(other[rng.randint(0, 6) :])]
+    big = rng.choices(vocabulary, k=100)
+    texts += [" ".join(big[:i] + ["odd"] + big[i + 1 :]) for i in range(90)]
+    sets = [set(shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies(d).collect()} == dict(enumerate(root))
+    assert len(set(root)) < len(texts) - 200
+    assert Counter(r["doc_id"] for r in near_copies(docs).collect()) == Counter(r["doc_id"] for r in docs.collect())
+    assert near_copies(empty).count() == 0
+
+
 def test_decontamination(spark, docs, empty):
     item = [f"item{i}" for i in range(30)]
     noise = [f"n{i}" for i in range(60)]

@@ -63,6 +63,16 @@ def test_stages(spark, corpus):
     assert {r["doc_id"] for r in pieces.collect()} == set(kept["secret_scan"])
 
 
+def test_near_copies_of_short_documents(spark, tmp_path):
+    """Pairs of similarity 0.8 or more, most of them beyond 6 bits of SimHash."""
+    rows = []
+    for i in range(30):
+        words = prose(90).split()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:45], "changed", *words[46:88]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()) == list(range(0, 60, 2))
+
+
 def test_run_and_empty_tables(spark, corpus, tmp_path):
     assert pipeline.run(spark, corpus).count() > 0
     for t in ("documents", "labels", "benchmark"):
