@@ -102,9 +102,10 @@ def contaminated(
 ) -> DataFrame:
     """Documents that hold a benchmark item: doc_id, item_id, start_word, n_words, hamming, similarity of the best window.
 
-    1. Windows. A window as long as an item can only be similar to it if nearly all of its shingles are the item's. The
-       shingles of every document meet those of the items, and each (document, item) with enough of them gives windows of
-       the item's length, one for each alignment of a common shingle. This leaves out no similar window.
+    1. Windows. A window can only be similar to an item if it shares at least similarity times the item's shingles with it,
+       also where the end of the text makes it shorter than the item. The shingles of every document meet those of the
+       items, and each (document, item) with enough of them gives windows of the item's length, one for each alignment of
+       a common shingle. This count leaves out no similar window.
     2. Candidates. Windows and items of one length meet by their SimHash fingerprints: bits are split into blocks so that
        fingerprints within radius differ in at most `within` bits of one block; items stand at all such values.
     3. Verification. Candidates within radius are kept if their exact weighted-shingle similarity reaches similarity. At
@@ -132,7 +133,7 @@ def contaminated(
     hits = materialise(hits, "decontam-hits")
 
     aligned = hits.join(small(placed), ["hash", "k"])
-    least = F.ceil(F.col("n_shingles") * (2 * similarity / (1 + similarity)) - 1e-9)  # common shingles that two windows of that many need
+    least = F.ceil(F.col("n_shingles") * similarity - 1e-9)  # common shingles of an item and a window of any length
     enough = aligned.groupBy("doc_id", "item_id", "n_shingles").agg(F.countDistinct("at").alias("n")).where(F.col("n") >= least)
     pairs = enough.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
     windows = (

@@ -229,6 +229,14 @@ def test_near_copies_against_all_pairs(spark, docs, empty):
     assert near_copies(empty).count() == 0
 
 
+def test_decontamination_at_the_end_of_a_text(spark):
+    item = [f"item{i}" for i in range(22)]
+    rows = [(1, "some words before " + " ".join(item[:19])), (2, " ".join(item[:19])), (3, "some words before " + " ".join(item[:17])), (4, " ".join(item[:19]) + " and three more")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = contaminated(d, spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["similarity"] for r in found} == {1: 15 / 18, 2: 15 / 18}
+
+
 def test_decontamination(spark, docs, empty):
     item = [f"item{i}" for i in range(30)]
     noise = [f"n{i}" for i in range(60)]
