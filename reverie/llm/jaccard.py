@@ -1,8 +1,8 @@
-"""Near-duplicates by an exact set-similarity join: every pair of texts whose word shingles have a Jaccard similarity of at least a threshold."""
+"""Near-duplicates by SimHash and an exact set-similarity join: every pair of texts whose word shingles have a Jaccard similarity of at least a threshold."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, lookup, materialise, released
 from .components import connected_components
+from .simhash import fingerprint_links, majority
 
 #: Texts whose shingles are counted for the order, shingles that the order puts last, and rounds against one text of each shingle.
 _SAMPLE, _COMMON, _ROUNDS = 5_000, 200_000, 2
-#: Rows of an output batch, buckets of a sketch, and set ids that are broadcast (8 bytes each); more are joined by shuffle.
-_ROWS, _BUCKETS, _BROADCAST = 256, 1024, 4_000_000
+#: Rows of an output batch, buckets of a sketch, and set ids that are broadcast (24 bytes each); more are joined by shuffle.
+_ROWS, _BUCKETS, _BROADCAST = 256, 1024, 1_000_000
 
 
 def shingle_set(text: str | None, shingle_words: int = 5, seed: int = 42) -> np.ndarray:
@@ -35,62 +36,80 @@ def shingle_set(text: str | None, shingle_words: int = 5, seed: int = 42) -> np.
     return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in spans), np.uint64, len(starts)).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, set_id (equal for equal sets), n (its size), sketch (whether each of _BUCKETS buckets holds an odd number of its hashes, as bits), hashes."""
+def prefix_length(n: int, similarity: float) -> int:
+    """Of n shingles in a common order, so many of the first must hold one of any set that is similar enough: it shares at least ceil(similarity * n)."""
+    return n - ceil(similarity * n - 1e-9) + 1
+
+
+def _lists(rows: list[np.ndarray], dtype: type) -> pa.ListArray:
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate([np.empty(0, dtype), *rows])))
+
+
+class _Prefix:
+    """The first shingles of a set in the order: by hash, and after all others the common ones, the most common last."""
+
+    def __init__(self, common: np.ndarray, similarity: float):
+        self.common, self.similarity = common, similarity
+        self.by_hash = np.argsort(common)
+        self.known = common[self.by_hash]
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        p = prefix_length(len(h), self.similarity)
+        if not len(self.known):
+            return h[:p]
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        held = self.known[at] == h
+        rare = h[~held]
+        return rare[:p] if len(rare) >= p else np.append(rare, self.common[np.sort(self.by_hash[at[held]])[: p - len(rare)]])
+
+
+def shingle_sets(texts: DataFrame, common: np.ndarray, similarity: float, shingle_words: int) -> DataFrame:
+    """doc_id, text_hash, set_id (equal for equal sets), n (its size), fp (SimHash of the set), sketch, prefix.
+
+    sketch: whether each of _BUCKETS buckets holds an odd number of the set's hashes, as bits. prefix: the first
+    prefix_length shingles in the common order, once for equal sets of a task and empty where repeated.
+    """
+    columns = ("doc_id", "text_hash", "set_id", "n", "fp", "sketch", "prefix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        first, seen, none = _Prefix(common, similarity), set(), np.empty(0, np.int64)
+
+        def fresh(i: int, s: np.ndarray) -> np.ndarray:
+            if not len(s) or i in seen:
+                return none
+            seen.add(i)
+            return first(s)
+
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
                 sets = [shingle_set(t.as_py(), shingle_words) for t in batch.column("text")]
                 ids = np.fromiter((xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
                 sizes = np.fromiter(map(len, sets), np.int32, len(sets))
-                hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(sets)))
-                odd = np.stack([np.packbits(np.bincount(s & (_BUCKETS - 1), minlength=_BUCKETS) & 1).view(np.int64) for s in sets])
-                sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * odd.shape[1], pa.int32()), pa.array(odd.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), pa.array(sizes), sketches, hashes], names=["doc_id", "set_id", "n", "sketch", "hashes"])
+                prints = np.fromiter((majority([s.view(np.uint64)]) for s in sets), np.int64, len(sets))
+                odd = [np.packbits(np.bincount(s & (_BUCKETS - 1), minlength=_BUCKETS) & 1).view(np.int64) for s in sets]
+                prefixes = [fresh(i, s) for i, s in zip(ids.tolist(), sets)]
+                cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(ids), pa.array(sizes), pa.array(prints), _lists(odd, np.int64), _lists(prefixes, np.int64)]
+                yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, set_id long, n int, sketch array<long>, hashes array<long>")
+    return texts.mapInArrow(released(run), "doc_id long, text_hash long, set_id long, n int, fp long, sketch array<long>, prefix array<long>")
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    """Of n shingles in a common order, so many of the first must hold one of any set that is similar enough: it shares at least ceil(similarity * n)."""
-    return n - ceil(similarity * n - 1e-9) + 1
-
-
-def _prefixes(common: np.ndarray, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(hash, set_id, n) of the prefix of every set. Order: by hash, and after all others the common ones, the most common last."""
-    by_hash = np.argsort(common)
-    known = common[by_hash]
-
-    def first(h: np.ndarray) -> np.ndarray:
-        p = prefix_length(len(h), similarity)
-        if not len(known):
-            return h[:p]
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        held = known[at] == h
-        rare = h[~held]
-        return rare[:p] if len(rare) >= p else np.append(rare, common[np.sort(by_hash[at[held]])[: p - len(rare)]])
+def common_shingles(texts: DataFrame, shingle_words: int) -> np.ndarray:
+    """Shingles that occur in more than one text of a sample, at most _COMMON of them, the most common last. They only order the prefixes: any list gives the same links."""
+    n = texts.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # equal sets of a task stand once
         for batch in batches:
-            ids, sizes, lists = batch.column("set_id").to_numpy(), batch.column("n").to_numpy(), batch.column("hashes")
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            rows, out = [], []
-            for i, (s, n) in enumerate(zip(ids.tolist(), sizes.tolist())):
-                if n and s not in seen:
-                    seen.add(s)
-                    rows.append(i)
-                    out.append(first(values[ends[i] : ends[i] + n]))
-            if rows:
-                counts = np.fromiter(map(len, out), np.int64, len(out))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(ids[rows], counts)), pa.array(np.repeat(sizes[rows], counts))], names=["hash", "set_id", "n"])
+            for t in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle_words))], names=["hash"])
 
-    return run
+    sample = texts.where(F.pmod("text_hash", F.lit(max(1, n // _SAMPLE))) == 0).select("text", "text_hash").dropDuplicates(["text_hash"]).select("text")
+    often = sample.mapInArrow(run, "hash long").groupBy("hash").count().where("count > 1").orderBy(F.desc("count"), "hash").limit(_COMMON)
+    return often.toPandas()["hash"].to_numpy(np.int64)[::-1].copy()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,77 +131,117 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) of set ids, those of similarity or more by their whole sets.
+def _held_sets(texts: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
+    """set_id and the sorted upper halves of its shingles' hashes, of the wanted (doc_id, text_hash, set_id), from the texts again."""
+    keys = wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "set_id")
+    keys = F.broadcast(keys) if wanted.count() <= _BROADCAST else keys
+    rows = texts.join(keys, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("set_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows of a task stand once
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                ids = batch.column("set_id").to_pylist()
+                fresh = [i for i, x in enumerate(ids) if x not in seen and not seen.add(x)]
+                halves = [np.unique(shingle_set(batch.column("text")[i].as_py(), shingle_words) >> 32).astype(np.int32) for i in fresh]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in fresh], pa.int64()), _lists(halves, np.int32)], names=["set_id", "halves"])
+
+    return rows.mapInArrow(released(run), "set_id long, halves array<int>")
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """Of distinct pairs (a, b) of set ids, those of similarity or more by their whole sets.
 
     Sketches differ in at most as many bits as the sets have shingles that are not common, so pairs whose sketches differ in
-    more than the similarity allows are out before any set is read.
+    more than the similarity allows are out before any text is read again.
     """
 
-    def wanted(of: DataFrame) -> DataFrame:
-        ids = materialise(of.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "copies-wanted")
-        return F.broadcast(ids) if ids.count() <= _BROADCAST else ids
-
-    def sides(of: DataFrame, columns: list[str], name: str) -> DataFrame:
-        held = materialise(sets.select("set_id", *columns).join(wanted(of), "set_id", "left_semi").dropDuplicates(["set_id"]), name)
-        a, b = (held.select(F.col("set_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
+    def sides(of: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+        a, b = (table.select(F.col("set_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
         return of.join(a, "a").join(b, "b")
 
+    pairs = materialise(pairs, "copies-pairs")
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = sides(pairs, ["n", "sketch"], "copies-sketches").where(apart <= (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
-    both = sides(materialise(near.select("a", "b"), "copies-near"), ["hashes"], "copies-held").withColumn("common", F.size(F.array_intersect("hashes_a", "hashes_b")))
-    return both.where(F.col("common") / (F.size("hashes_a") + F.size("hashes_b") - F.col("common")) >= similarity).select("a", "b")
+    allowed = (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    near = materialise(sides(pairs, classes, ["n", "sketch"]).where(apart <= allowed).select("a", "b"), "copies-near")
+    ids = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    wanted = materialise(classes.join(ids, "set_id", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "set_id"), "copies-wanted")
+    held = materialise(_held_sets(texts, wanted, shingle_words), "copies-held")
+    both = sides(near, held, ["halves"]).withColumn("common", F.size(F.array_intersect("halves_a", "halves_b")))
+    found = materialise(both.where(F.col("common") / (F.size("halves_a") + F.size("halves_b") - F.col("common")) >= similarity).select("a", "b"), "copies-links")
+    discard(pairs, near, wanted, held)
+    return found
+
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+
+def similar_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, shingle_words: int, radius: int) -> DataFrame:
     """Edges (a, b) between set ids: all of similarity or more, directly or through a path of other such edges.
 
-    Prefix filter: in any order of all shingles, two sets of that similarity share one of the first prefix_length of each.
-    Shingles that are common in a sample go last, so boilerplate makes no candidates unless a text is little else; the order
-    changes the cost and never the result. Sets that share a prefix shingle meet by it. The first rounds compare each with
-    one set of the shingle, which joins large groups of copies by a number of pairs in proportion to their members; the last
-    compares all pairs that are still in different components.
+    1. SimHash: sets of one fingerprint are compared with one of them, and fingerprints within radius, found by the
+       generalised pigeonhole, by one set of each. That joins most copies at little cost. It misses pairs whose
+       fingerprints lie farther apart, as about half of those at 0.8 do.
+    2. Prefix filter, which leaves none out: in any order of all shingles, two sets of that similarity share one of the first
+       prefix_length of each. Shingles that are common in a sample go last, so boilerplate makes no candidates unless a text
+       is little else; the order changes the cost and never the result. Sets meet by the prefix shingles they share. The
+       first rounds compare each with one set of the shingle, which joins large groups of copies by a number of pairs in
+       proportion to their members; the last compares all pairs that are still in different components.
     """
-    n = sets.count()
-    sample = sets.where(F.pmod(F.xxhash64("set_id"), F.lit(max(1, n // _SAMPLE))) == 0)
-    often = sample.select(F.explode("hashes").alias("hash")).groupBy("hash").count().where("count > 1").orderBy(F.desc("count"), "hash").limit(_COMMON)
-    common = often.toPandas()["hash"].to_numpy(np.int64)[::-1].copy()
-
-    rows = sets.select("set_id", "n", "hashes").mapInArrow(_prefixes(common, similarity), "hash long, set_id long, n int")
+    prints = materialise(classes.where("n > 0").groupBy("fp").agg(F.min("set_id").alias("set_id")), "copies-prints")
+    of = lookup(classes.where("n > 0").select("fp", F.col("set_id").alias("a")), prints.withColumnRenamed("set_id", "b"), "fp").select("a", "b")
+    near = fingerprint_links(prints, radius)
+    x, y = prints.select(F.col("fp").alias("a"), F.col("set_id").alias("ra")), prints.select(F.col("fp").alias("b"), F.col("set_id").alias("rb"))
+    across = near.join(x, "a").join(y, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    links = _similar(_ordered(of.union(across)), classes, texts, similarity, shingle_words)
+    discard(prints)
+
+    rows = sets.select(F.explode("prefix").alias("hash"), "set_id", "n")
     rows = materialise(rows.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_shared, "hash long, set_id long, n int"), "copies-shared")
     near_size = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    links, left = None, rows.withColumn("root", F.col("set_id"))
     for k in range(_ROUNDS + 1):
+        roots = connected_components(links).withColumnRenamed("node", "set_id")
+        now = lookup(rows, roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        mixed = now.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hash")
+        left = materialise(now.join(mixed, "hash", "left_semi"), "copies-left")
         if k < _ROUNDS:
             centre = left.groupBy("hash").agg(F.min_by(F.struct("set_id", "n", "root"), F.xxhash64("set_id", F.lit(k))).alias("c"))
             met = left.join(centre, "hash").select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("c.set_id").alias("b"), F.col("c.n").alias("nb"), F.col("c.root").alias("rb"))
         else:
             a, b = (left.select("hash", F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
             met = a.join(b, "hash").where("a < b")
-        pairs = met.where((F.col("ra") != F.col("rb")) & near_size).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = materialise(_similar(materialise(pairs, "copies-pairs"), sets, similarity), "copies-links")
-        links = found if links is None else links.union(found)
-        if k < _ROUNDS:
-            roots = connected_components(links)
-            now = rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-            mixed = now.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hash")
-            left = materialise(now.join(mixed, "hash", "left_semi"), "copies-left")
+        found = _similar(_ordered(met.where((F.col("ra") != F.col("rb")) & near_size).select("a", "b")), classes, texts, similarity, shingle_words)
+        discard(left, roots)
+        links = links.union(found)
+    discard(rows)
     return links
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard similarity of at least similarity, directly or through others.
 
-    Exact but for collisions of 64-bit hashes: no similar pair is left out, and none below the threshold is linked. ASCII
-    letters are folded to lower case and words are split at ASCII white space; fewer words than a shingle make one shingle.
-    Texts without a word are copies of each other. Equal sets are one class from the start. Rows with a null doc_id are kept,
-    and a component with no other id has a null component_id. An empty table gives an empty result. Other columns are ignored.
-
-    Returns doc_id, set_id, component_id (the least doc_id of the component).
+    SimHash fingerprints find most of them, a prefix-filter join the rest (see similar_links), and whole sets decide. No
+    similar pair is left out, and none below the threshold is linked, but for collisions of hashes: candidates meet by 64
+    bits of a shingle's hash and are compared by 32 of them. ASCII letters are folded to lower case and words are split at
+    ASCII white space; fewer words than a shingle make one shingle. Null, empty and blank texts are copies of each other.
+    Equal sets are one class from the start. Rows with a null doc_id are kept, and a component with no other id has a null
+    component_id; rows that share an id are compared by their own texts. An empty table gives an empty result. Other columns
+    are ignored. Texts are read three times and more, so docs should be a table.
+
+    Returns a row for each of docs: doc_id, text_hash (XXH64 of the text, as Spark's xxhash64), set_id, component_id (the
+    least doc_id of the component), kept (doc_id and text_hash of the one row of the component to keep: the least doc_id,
+    null ids last, then the least text_hash).
     """
-    sets = materialise(shingle_sets(docs, shingle_words, id_col, text_col), "copies-sets")
-    classes = sets.groupBy("set_id").agg(F.min("doc_id").alias("low"))
-    roots = connected_components(similar_links(sets, similarity)).withColumnRenamed("node", "set_id")
-    rooted = materialise(classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "copies-roots")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return sets.select("doc_id", "set_id").join(rooted.join(lows, "root").select("set_id", "component_id"), "set_id").select("doc_id", "set_id", "component_id")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sets = materialise(shingle_sets(texts, common_shingles(texts, shingle_words), similarity, shingle_words), "copies-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = materialise(sets.groupBy("set_id").agg(first.alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("sketch").alias("sketch")), "copies-classes")
+    roots = connected_components(similar_links(sets, classes, texts, similarity, shingle_words, radius)).withColumnRenamed("node", "set_id")
+    rooted = materialise(classes.select("set_id", "first").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "copies-roots")
+    best = materialise(rooted.groupBy("root").agg(F.min("first").alias("kept")), "copies-best")
+    owners = materialise(lookup(rooted.select("set_id", "root"), best, "root").select("set_id", "kept"), "copies-owners")
+    out = lookup(sets.select("doc_id", "text_hash", "set_id"), owners, "set_id")
+    discard(classes, roots, rooted, best)
+    return out.select("doc_id", "text_hash", "set_id", F.col("kept.doc_id").alias("component_id"), F.struct("kept.doc_id", "kept.text_hash").alias("kept"))

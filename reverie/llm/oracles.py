@@ -9,10 +9,10 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _placed(pattern: str) -> str:
+def _placed(pattern: str, text: str = "text") -> str:
     """Matches of a pattern as a list of {s, v}: a match starts where the lengths of what lies before it end."""
     p = _quoted(pattern)
-    values, gaps = f"regexp_extract_all(text, {p})", f"string_split_regex(text, {p})"
+    values, gaps = f"regexp_extract_all({text}, {p})", f"string_split_regex({text}, {p})"
     before = f"list_sum(list_transform({gaps}[1:i + 1], lambda g: len(g))) + coalesce(list_sum(list_transform({values}[1:i], lambda m: len(m))), 0)"
     return f"list_transform(range(len({values})), lambda i: {{'s': CAST({before} AS BIGINT), 'v': {values}[i + 1]}})"
 
@@ -27,15 +27,17 @@ def secrets_sql(allow: AllowList = AllowList()) -> str:
     for b in base[1:]:
         lists = f"list_concat({lists}, {b})"
     whole = _quoted("|".join(f"(?:{p})" for p in allow.patterns))
-    held = " OR ".join(f"contains(m.v, {_quoted(w)})" for w in allow.words)
+    blanked = "text"
+    for w in allow.words:
+        blanked = f"replace({blanked}, {_quoted(w)}, {_quoted(' ' * len(w))})"
     candidates = []
     for rank, c in enumerate(CLASSES, len(BASE)):
         candidates.append(
-            f"SELECT doc_id, {rank} AS k, '{c.kind}' AS kind, {c.window} AS w, {entropy_limit(c.window, c.bits)} AS most, unnest(list_filter({_placed(c.pattern)}, lambda m: NOT (regexp_full_match(m.v, {whole}) OR {held}))) AS m FROM texts"
+            f"SELECT doc_id, {rank} AS k, '{c.kind}' AS kind, {c.window} AS w, {entropy_limit(c.window, c.bits)} AS most, unnest(list_filter({_placed(c.pattern, 'blanked')}, lambda m: NOT regexp_full_match(m.v, {whole}))) AS m FROM texts"
         )
     terms = str(_terms(max(c.window for c in CLASSES)))
     return f"""
-WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), base AS (
+WITH texts AS (SELECT doc_id, text, {blanked} AS blanked FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)), base AS (
   SELECT doc_id, {lists} AS b FROM texts
 ), candidates AS (
   {' UNION ALL '.join(candidates)}

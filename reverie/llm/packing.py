@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exclusive_bases, materialise
+from .common import exclusive_bases, materialise, released
 from .tokens import default_path, encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -113,10 +113,10 @@ def _packer(path: str, eos: int, tiers: tuple[int, ...], buffer_tokens: int, ste
         return pa.RecordBatch.from_arrays(cols, names=[n for n, _ in fields]), seq + len(windows), group + max(groups) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path).encode, TaskContext.get().partitionId()
+        coder, part = encoder(path), TaskContext.get().partitionId()
         docs, held, seq, group = [], 0, 0, 0
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
                 ids = ids.tobytes() + end
                 docs.append((doc_id, ids))
                 held += len(ids) // 4
@@ -126,8 +126,9 @@ def _packer(path: str, eos: int, tiers: tuple[int, ...], buffer_tokens: int, ste
                     yield out
         if docs:
             yield packed(docs, seq, group, part)[0]
+        coder.forget()
 
-    return run
+    return released(run)
 
 
 def pack(

@@ -21,25 +21,32 @@ BASE = {
 }
 
 
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 @dataclass(frozen=True)
 class EntropyClass:
-    """Candidate strings of one character class, and the entropy (bits a character) from which a window of them counts."""
+    """Candidate strings of one character class, and the entropy (bits a character) from which a window of them counts.
+
+    alphabet holds every character that pattern matches; they are ASCII.
+    """
 
     kind: str
     pattern: str
+    alphabet: str
     window: int
     bits: float
 
 
 CLASSES = (
-    EntropyClass("entropy_hex", r"[0-9A-Fa-f]{24,}", 24, 3.0),
-    EntropyClass("entropy_base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 4.0),
+    EntropyClass("entropy_hex", r"[0-9A-Fa-f]{24,}", _DIGITS + "abcdefABCDEF", 24, 3.0),
+    EntropyClass("entropy_base64", r"[A-Za-z0-9+/_=-]{24,}", _UPPER + _LOWER + _DIGITS + "+/_=-", 24, 4.0),
 )
 
 
 @dataclass(frozen=True)
 class AllowList:
-    """Candidates that are no secrets: whole strings that match one of the patterns, and those that hold one of the words."""
+    """What is no secret: candidates that match one of the patterns as a whole, and the words, at which candidates are cut."""
 
     patterns: tuple[str, ...] = (
         r"[A-Za-z]+",  # words without a digit or sign
@@ -52,7 +59,34 @@ class AllowList:
 
     def suppressed(self, c: Column) -> Column:
         whole = "|".join(f"(?:{p})" for p in self.patterns)
-        return c.rlike(rf"\A(?:{whole})\z") | F.exists(F.array(*map(F.lit, self.words)), lambda w: F.contains(c, w))
+        return c.rlike(rf"\A(?:{whole})\z")
+
+    def blanked(self, text: Column) -> Column:
+        """The text with every word of the list replaced by as many spaces, so that places stay and no candidate runs over one."""
+        for w in self.words:
+            text = F.replace(text, F.lit(w), F.lit(" " * len(w)))
+        return text
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once: a one-element transform binds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_STEP = 512
+
+
+def running(values: Column) -> Column:
+    """Of an array of numbers, the sum of those before each; in blocks, so that the cost of building the array does not grow with its square."""
+
+    def sums(xs: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _STEP).cast("int")), lambda b: F.slice(values, b * _STEP + 1, _STEP))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x)
+    whole = _let(blocks, lambda bs: F.flatten(F.zip_with(bs, sums(F.transform(bs, total)), lambda b, base: F.transform(sums(b), lambda x: x + base))))
+    return F.when(F.size(values) > 0, whole).otherwise(F.array().cast("array<int>"))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -63,20 +97,14 @@ def matches(text: Column, pattern: str) -> Column:
     """
     none = F.array().cast("array<struct<start:int,value:string>>")
 
-    def walked(values: Column) -> Column:
-        # one-element transforms bind what is computed once
-        return F.get(F.transform(F.array(F.split(text, pattern, -1)), lambda gaps: _laid_out(values, gaps, none)), F.lit(0))
+    def placed(values: Column) -> Column:
+        def by_gaps(gaps: Column) -> Column:
+            before = running(F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.length(g) + F.length(v)))
+            return _let(before, lambda at: F.transform(values, lambda v, i: F.struct((F.get(at, i) + F.length(F.get(gaps, i))).alias("start"), v.alias("value"))))
 
-    found = F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda values: F.when(F.size(values) > 0, walked(values)).otherwise(none))
-    return F.get(found, F.lit(0))
+        return _let(F.split(text, pattern, -1), by_gaps)
 
-
-def _laid_out(values: Column, gaps: Column, none: Column) -> Column:
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        return F.struct((start + F.length(F.get(values, i))).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.get(values, i).alias("value")))).alias("out"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda values: F.when(F.size(values) > 0, placed(values)).otherwise(none))
 
 
 #: Scale of the integer c * log2(c) table: sums are exact, so thresholds do not depend on the order of additions.
@@ -92,52 +120,81 @@ def entropy_limit(window: int, bits: float) -> int:
     return math.floor((math.log2(window) - bits) * window * SCALE)
 
 
-def entropy_spans(value: Column, window: int, bits: float) -> Column:
-    """Merged spans [start, end) of the windows of value whose entropy is at least bits, by one pass of incremental counts.
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _window_spans(codes: Column, c: EntropyClass, width: int, n_longs: int) -> Column:
+    """Merged spans of the high-entropy windows of one block of character codes, in one pass of incremental counts.
 
-    The state holds the count of each character in the window and the sum of c log2 c; a step takes the entering character's
-    old term out and its new one in, and the same for the character that leaves.
+    The state holds the count of every character of the alphabet in the window, width bits each, side by side in a few longs,
+    and the sum of n log2 n over them. A step adds the character that enters, takes out the one that leaves, and corrects
+    the sum by two table entries, whatever the length of the block.
     """
-    terms = F.array(*map(F.lit, _terms(window)))
-    limit = entropy_limit(window, bits)
-    spans_type = "array<struct<start:int,end:int>>"
+    terms = _terms(c.window)
+    up = F.array(*(F.lit(b - a) for a, b in zip(terms, [*terms[1:], 0])))
+    down = F.array(*(F.lit(a - b) for a, b in zip([0, *terms[:-1]], terms)))
+    limit, one, mask = entropy_limit(c.window, c.bits), F.lit(1).cast("bigint"), (1 << width) - 1
 
-    def term(c: Column) -> Column:
-        return F.get(terms, c)
+    def place(code: Column) -> Column:
+        return F.call_function("shiftleft", one, code.bitwiseAND(F.lit(15)) * width)
 
-    def count(counts: Column, ch: Column) -> Column:
-        return F.coalesce(F.try_element_at(counts, ch), F.lit(0))
+    def held(acc: Column, code: Column) -> Column:
+        long = F.coalesce(*(F.when(F.shiftright(code, 4) == j, acc[f"c{j}"]) for j in range(n_longs)))
+        return F.call_function("shiftright", long, code.bitwiseAND(F.lit(15)) * width).bitwiseAND(F.lit(mask)).cast("int")
 
-    def put(counts: Column, ch: Column, n: Column) -> Column:
-        return F.map_concat(F.map_filter(counts, lambda k, _: k != ch), F.create_map(ch, n))
+    def step(acc: Column, i: Column) -> Column:
+        came, gone = F.get(codes, i), F.get(codes, i - c.window)  # gone is null until the window is full
+        change = F.get(up, held(acc, came)) + F.when(gone.isNotNull(), F.get(down, held(acc, gone))).otherwise(0)
+        total = F.when(came.eqNullSafe(gone), acc["sum"]).otherwise(acc["sum"] + change)
+        return _let(total, lambda now: counted(acc, i, came, gone, now))
 
-    def enter(acc: Column, i: Column) -> Column:
-        ch = F.substring(value, i, F.lit(1))
-        c = count(acc["counts"], ch)
-        return F.struct(put(acc["counts"], ch, c + 1).alias("counts"), (acc["sum"] - term(c) + term(c + 1)).alias("sum"), acc["spans"].alias("spans"))
+    def counted(acc: Column, i: Column, came: Column, gone: Column, total: Column) -> Column:
+        def count(j: int) -> Column:
+            more = F.when(F.shiftright(came, 4) == j, acc[f"c{j}"] + place(came)).otherwise(acc[f"c{j}"])
+            return F.when(F.shiftright(gone, 4) == j, more - place(gone)).otherwise(more)
 
-    def leave(acc: Column, i: Column) -> Column:
-        ch = F.substring(value, i - window, F.lit(1))
-        c = count(acc["counts"], ch)
-        gone = F.struct(put(acc["counts"], ch, c - 1).alias("counts"), (acc["sum"] - term(c) + term(c - 1)).alias("sum"), acc["spans"].alias("spans"))
-        return F.when(i > window, gone).otherwise(acc)
+        low, on = i - (c.window - 1), (i >= c.window - 1) & (total <= limit)
+        pushed = F.when(on & (acc["end"] > 0) & (low > acc["end"]), F.concat(acc["spans"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["spans"])
+        start = F.when(on & ((acc["end"] == 0) | (low > acc["end"])), low).otherwise(acc["start"])
+        end = F.when(on, i + 1).otherwise(acc["end"])
+        return F.struct(*(count(j).alias(f"c{j}") for j in range(n_longs)), total.alias("sum"), start.alias("start"), end.alias("end"), pushed.alias("spans"))
 
-    def flag(acc: Column, i: Column) -> Column:
-        last = F.try_element_at(acc["spans"], F.lit(-1))
-        own = F.array(F.struct((i - window).cast("int").alias("start"), i.cast("int").alias("end")))
-        joined = F.concat(F.slice(acc["spans"], 1, F.greatest(F.size(acc["spans"]) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), i.cast("int").alias("end"))))
-        grown = F.when(last.isNotNull() & (last["end"] >= i - window), joined).otherwise(F.concat(acc["spans"], own))
-        spans = F.when((i >= window) & (acc["sum"] <= limit), grown).otherwise(acc["spans"])
-        return F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum"), spans.alias("spans"))
+    zero = F.struct(*(F.lit(0).cast("bigint").alias(f"c{j}") for j in range(n_longs)), F.lit(0).alias("sum"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.array().cast(_SPANS).alias("spans"))
+    last = lambda acc: F.when(acc["end"] > 0, F.concat(acc["spans"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["spans"])
+    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, last)
 
-    start = F.struct(F.create_map().cast("map<string,int>").alias("counts"), F.lit(0).alias("sum"), F.array().cast(spans_type).alias("spans"))
 
-    def step(acc: Column, i: Column) -> Column:
-        # let-bindings by one-element transforms: each state is computed once
-        entered = F.transform(F.array(leave(acc, i)), lambda a: enter(a, i))
-        return F.get(F.transform(entered, lambda a: flag(a, i)), F.lit(0))
+def entropy_spans(value: Column, c: EntropyClass) -> Column:
+    """Merged spans [start, end) of the windows of value, a string of the class, whose entropy is at least c.bits.
+
+    The string is cut into blocks that overlap by a window less one character, each is passed once with incremental counts,
+    and spans that touch are merged. A character costs the same in a string of any length.
+    """
+    width = c.window.bit_length()
+    per = min(16, 63 // width)
+    table = [0] * 128
+    for k, ch in enumerate(c.alphabet):
+        table[ord(ch)] = k // per << 4 | k % per
+    codes = F.transform(F.split(value, ""), lambda ch: F.get(F.array(*map(F.lit, table)), F.ascii(ch)))
+
+    def by_blocks(all_codes: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(all_codes) - c.window) / _STEP).cast("int"))
+
+        def block(b: Column) -> Column:
+            own = F.slice(all_codes, b * _STEP + 1, _STEP + c.window - 1)
+            spans = _let(own, lambda x: _window_spans(x, c, width, -(-len(c.alphabet) // per)))
+            return F.transform(spans, lambda s: F.struct((s["start"] + b * _STEP).alias("start"), (s["end"] + b * _STEP).alias("end")))
+
+        return _let(F.flatten(F.transform(starts, block)), _merged)
+
+    return F.when(F.length(value) >= c.window, _let(codes, by_blocks)).otherwise(F.array().cast(_SPANS))
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda acc: acc["spans"])
+def _merged(spans: Column) -> Column:
+    """Sorted spans, those that touch as one."""
+    starts = F.filter(spans, lambda s, i: F.coalesce(F.get(spans, i - 1)["end"] < s["start"], F.lit(True)))
+    ends = F.filter(spans, lambda s, i: F.coalesce(F.get(spans, i + 1)["start"] > s["end"], F.lit(True)))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(s["start"].alias("start"), e["end"].alias("end")))
 
 
 def scan_secrets(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, allow: AllowList = AllowList(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -153,6 +210,7 @@ def scan_secrets(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, a
     """
     texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *([F.struct(*(docs[c] for c in keep)).alias("kept")] if keep else []))
     texts = texts.withColumns({f"_{kind}": _base_spans(rank, kind) for rank, kind in enumerate(BASE)})
+    texts = texts.withColumn("_blanked", allow.blanked(F.col("text")))
     added = [_entropy_class_spans(rank, c, allow) for rank, c in enumerate(classes, len(BASE))]
     texts = texts.withColumn("_base", F.concat(*(F.col(f"_{k}") for k in BASE)))
     texts = texts.withColumn("_added", F.concat(*added))
@@ -168,8 +226,8 @@ def _base_spans(rank: int, kind: str) -> Column:
 
 
 def _entropy_class_spans(rank: int, c: EntropyClass, allow: AllowList) -> Column:
-    candidates = F.filter(matches(F.col("text"), c.pattern), lambda m: ~allow.suppressed(m["value"]))
-    return F.flatten(F.transform(candidates, lambda m: F.transform(entropy_spans(m["value"], c.window, c.bits), lambda s: _span(m["start"] + s["start"], m["start"] + s["end"], c.kind, rank))))
+    candidates = F.filter(matches(F.col("_blanked"), c.pattern), lambda m: ~allow.suppressed(m["value"]))
+    return F.flatten(F.transform(candidates, lambda m: F.transform(entropy_spans(m["value"], c), lambda s: _span(m["start"] + s["start"], m["start"] + s["end"], c.kind, rank))))
 
 
 def _span(start: Column, end: Column, kind: str, rank: int) -> Column:
@@ -185,16 +243,16 @@ def redact(text: Column, spans: Column, mark: str = "[{}]") -> Column:
     before, after = mark.split("{}")
     walked = F.aggregate(
         spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(
                 s["start"] >= acc["at"],
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(before), s["kind"], F.lit(after)),
+                F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit(before), s["kind"], F.lit(after)))),
             )
             .otherwise(acc["out"])
             .alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+        lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), ""),
     )
     return F.when(F.size(spans) > 0, walked).otherwise(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lookup, materialise, released
 from .components import connected_components
 
 BITS, BLOCK = 64, 16
@@ -32,11 +32,21 @@ def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int
     starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
     n = max(1, len(words) - shingle_words + 1)
     stops = ends[min(shingle_words, len(words)) - 1 :] - 1
-    total = np.zeros(BITS, np.int64)
-    for at in range(0, n, _HASHES):
-        spans = zip(starts[at : min(n, at + _HASHES)].tolist(), stops[at : at + _HASHES].tolist())
-        h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in spans], ">u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+    def hashes() -> Iterator[np.ndarray]:
+        for at in range(0, n, _HASHES):
+            spans = zip(starts[at : min(n, at + _HASHES)].tolist(), stops[at : at + _HASHES].tolist())
+            yield np.array([xxh64_intdigest(joined[a:b], seed) for a, b in spans], np.uint64)
+
+    return majority(hashes())
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of unsigned 64-bit numbers, which come in chunks; as a signed number."""
+    total, n = np.zeros(BITS, np.int64), 0
+    for h in hashes:
+        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * total > n).view(">i8")[0])
 
 
@@ -47,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    return texts.mapInArrow(released(run), "doc_id long, fp long")
 
 
 def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +274,13 @@ def hamming_links(distinct: DataFrame, partitions: list[tuple[int, int]], radius
     return lists.mapInArrow(_linker(radius), "a long, b long")
 
 
+def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between the fingerprints fp of a materialised table of distinct ones, within radius and leaving no linked pair without a path."""
+    blocks = correlated_blocks(distinct)
+    n, shares = distance_distributions(distinct, blocks)
+    return hamming_links(distinct, choose_partitions(n, blocks, shares, radius), radius)
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose SimHash fingerprints differ in at most radius bits, directly or through others.
 
@@ -280,13 +297,9 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle_words: int = 3, id
     """
     fps = materialise(fingerprints(docs, shingle_words, id_col, text_col), "simhash-fps")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    blocks = correlated_blocks(distinct)
-    n, shares = distance_distributions(distinct, blocks)
-    partitions = choose_partitions(n, blocks, shares, radius)
-    roots = connected_components(hamming_links(distinct, partitions, radius))
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    owned = roots.join(lows, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = distinct.join(owned, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
+    roots = connected_components(fingerprint_links(distinct, radius)).withColumnRenamed("node", "fp")
+    linked = materialise(distinct.join(roots, "fp"), "simhash-linked")
+    lows = materialise(linked.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
+    owned = lookup(linked, lows, "root").select("fp", "component_id")
+    classes = materialise(distinct.join(owned, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "simhash-classes")
+    return lookup(fps, classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exclusive_bases, materialise, shuffle_partitions
+from .common import exclusive_bases, materialise, released, shuffle_partitions
 from .tokens import default_path, encoder
 
 _BATCH = 256

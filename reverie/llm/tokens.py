@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_KEPT = 800_000
+_KEPT = 200_000
 _LONGEST = 64
 _BYTES_AT_ONCE = 4 << 20
 _LINES = 1 << 15
@@ -49,7 +49,7 @@ class Encoder:
     Byte-level BPE never merges across pre-tokens; a space before a non-space always begins one, and a single newline is one.
     So texts are cut at such spaces and newlines, and the distinct pieces of some megabytes of text are looked up in a table;
     those not seen before go to the library, all in one call. The table is begun anew when it is full and does not keep
-    long pieces, so memory is bounded. Texts with other white space, or with the string of an added token, go to the library whole.
+    long pieces, so memory is bounded; a task that is done lets it go by forget(). Texts with other white space, or with the string of an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -64,9 +64,9 @@ class Encoder:
         self.lines = Tokenizer(self.tokenizer.model)  # the same model, for pre-tokens that stand on lines of their own
         self.lines.pre_tokenizer = Split(_LETTERS[10], "isolated")
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self._empty()
+        self.forget()
 
-    def _empty(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}  # piece -> its row below
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat = np.zeros(0, "<u4")
@@ -135,7 +135,7 @@ class Encoder:
             fresh = iter(range(first, first + len(new)))
             rows = [next(fresh) if r is None else r for r in rows]
             if len(self.known) > _KEPT or len(flat) > 16 * _KEPT:
-                self._empty()
+                self.forget()
             else:
                 self.flat, self.starts, self.sizes = flat, starts, sizes
                 self.known.update((p, first + i) for i, p in enumerate(new) if len(p) <= _LONGEST)

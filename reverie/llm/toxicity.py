@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import released
+
 ALPHABET, LENGTH, SPAN, DECAY = 40, 4, 7, 0.5
 _START = 1
 _WIDTH, _STRIDE = 24, 16
-_KEPT = 700_000
+_KEPT = 200_000
 _ROWS = 4096
 _CHARS = 1 << 21
 _SPELLED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
@@ -280,8 +282,9 @@ def _scorer(model: ToxicityModel) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             got += margins(held)
             scores = pa.array(model.score(np.array(got, float)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "score"])
+        known.clear()
 
-    return run
+    return released(run)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 3000, max_chars: int = 20_000) -> ToxicityModel:
