@@ -1,35 +1,50 @@
-"""A training-data pipeline of five operators, each stage on what its predecessor kept."""
+"""A training-data pipeline of five operators, each stage on what its predecessor kept.
+
+In every stage a decision binds rows, not ids: rows that share a doc_id, or have none, are judged by their own texts. Columns
+of documents other than doc_id and text, whatever their names, pass through, and an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reverie.llm.common import materialise, read_table
+from reverie.llm.common import delete, materialise, new_path, read_table, temporary
 from reverie.llm.decontam import contaminated
 from reverie.llm.jaccard import near_copies
 from reverie.llm.packing import pack
 from reverie.llm.secrets import redact, scan_secrets
 from reverie.llm.toxicity import score_toxicity, train_toxicity
 
-#: Ids of dropped documents are broadcast up to this many (8 bytes each), and joined by shuffle beyond.
-BROADCAST_IDS = 4_000_000
+#: Keys of dropped rows are broadcast up to this many (16 bytes each), and joined by shuffle beyond.
+BROADCAST_KEYS = 1_000_000
 #: Near copies are texts whose sets of five-word shingles have at least this Jaccard similarity.
 SIMILARITY = 0.8
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among dropped (doc_id); rows without a doc_id stay."""
-    ids = materialise(dropped.where(F.col("doc_id").isNotNull()).distinct(), "dropped-ids")
-    ids = ids.select(F.col("doc_id").alias("dropped_id"))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, docs["doc_id"] == ids["dropped_id"], "left_anti")
+def _key(docs: DataFrame) -> list[Column]:
+    """What tells the rows of documents apart: doc_id and a hash of the text. Rows that agree in both are repeated rows."""
+    return [docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))]
+
+
+def _on(docs: DataFrame, keys: DataFrame) -> Column:
+    own = _key(docs)
+    return own[0].eqNullSafe(keys["key_id"]) & (own[1] == keys["key_hash"])
+
+
+def _small(keys: DataFrame, name: str) -> DataFrame:
+    keys = materialise(keys.toDF("key_id", "key_hash").distinct(), name)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score 0.5 or more. Learns from the labelled rows of the corpus."""
+    """Drops documents that score 0.5 or more. Learns from the labelled rows of the corpus.
+
+    Null and empty texts score lowest and stay. Very long texts are read whole. Rows that tie or repeat score alike, so they go or
+    stay together. Without labels of both classes every row has the same score; without any labels all rows stay.
+    """
     labels = read_table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     model = train_toxicity(read_table(spark, sf_dir, "documents"), labels)
     columns = docs.columns
@@ -38,23 +53,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each component of near copies, and one row of it; rows without a doc_id stay once for each text.
+    """Keeps one row of each component of near copies: that of least doc_id, null ids last, then of least text hash.
 
-    The search is an exact join: near copies of some hundred words differ in up to 11 of 64 SimHash bits and more, where a
-    radius either misses them or links strangers.
+    SimHash fingerprints find the closer copies; pairs that they miss (about half of those near similarity 0.8) are found
+    by an exact join, and whole sets of shingles decide on all of them. Null, empty and blank texts are copies of each
+    other, so one of them stays. Of repeated rows one stays. Very long texts are compared whole.
     """
-    groups = materialise(near_copies(docs.where(F.col("doc_id").isNotNull()), SIMILARITY), "dedup-groups")
-    kept = _without(docs.where(F.col("doc_id").isNotNull()), groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
-    repeated = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1")
-    if repeated.limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    groups = materialise(near_copies(docs, SIMILARITY), "dedup-groups")
+    own = F.struct("doc_id", "text_hash").eqNullSafe(F.col("kept"))
+    kept = docs.join(gone := _small(groups.where(~own).select("doc_id", "text_hash"), "dedup-gone"), _on(docs, gone), "left_anti")
+    repeated = groups.where(own).groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    twice = _small(repeated, "dedup-repeated")
+    if not twice.limit(1).count():
+        return kept
+    once = kept.join(twice, _on(kept, twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, _on(kept, twice), "left_anti").unionByName(once)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    found = contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.select("doc_id"))
+    """Drops rows that hold a benchmark item, also those without a doc_id; null and empty texts hold none and stay.
+
+    Repeated rows go or stay together. Very long texts are searched whole. With no items, all rows stay.
+    """
+    rows = docs.select(F.xxhash64(*_key(docs)).alias("doc_id"), docs["text"])
+    found = materialise(contaminated(rows, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct(), "decontam-found")
+    found = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
+    return docs.join(found, F.xxhash64(*_key(docs)) == found["key"], "left_anti")
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +99,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left; a row per piece."""
+    """Packs what is left; a row per piece. Null and empty texts are their end id alone; repeated rows are packed each; very long texts are cut, never dropped."""
     return pack(docs)
 
 
@@ -91,7 +115,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages on the table documents; the pieces of the last. Each stage is written and read again; tables that are not needed any more are deleted."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
