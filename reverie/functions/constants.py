@@ -28,6 +28,8 @@ EMOTION_FOLD = {"contempt": "disgust", "happiness": "joy", "unknown": "neutral"}
 VOICE_LABELS = ("angry", "happy", "sad", "surprised", "fearful", "neutral", "disgusted", "other", "unknown")
 AUDIO_EVENTS = ("laughter", "applause", "cough", "crying", "sneeze")
 GAZE_THRESHOLDS = {"l2cs_net_3d_gaze": 0.3, "crossgaze": 0.2, "3dgazenet": 0.25}
+#: What a gaze is classified as aimed at: the wearer's camera, or the wearer's hands
+GAZE_TARGETS = ("Camera", "POV_Actor_Hands")
 #: velocity -> seconds after the climax at which its reaction window starts and ends
 REACTION_WINDOWS = {"fast": (0.5, 2.0), "medium": (1.0, 3.0), "slow": (2.0, 6.0)}
 LEAK_PATTERNS = (r"^data:image/[a-z]+;base64,", r"^/[Vv]olumes/|^/Users/|^/tmp/")

@@ -16,6 +16,25 @@ def r(x: Column, digits: int) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
 
 
+def py_round(x: Column, digits: int) -> Column:
+    """Nearest decimal to the exact binary value, half to even, as in Python: the product with the scale is carried with its rounding error."""
+    scale = float(10**digits)
+    a = F.abs(x)
+    high = a * 134217729.0 - (a * 134217729.0 - a)  # the upper half of the digits of a, by Veltkamp's split
+    whole = F.floor(a * scale)
+    beyond = (a * scale - whole - 0.5) + ((high * scale - a * scale) + (a - high) * scale)
+    up = (beyond > 0) | ((beyond == 0) & (F.pmod(whole, F.lit(2)) == 1))
+    return F.signum(x) * (whole + F.when(up, 1).otherwise(0)) / scale
+
+
+def gesture(nod: Column, shake: Column, least: float = 0.6, apart: float = 0.15) -> Column:
+    """struct<label, confidence>: a nod or shake above least; where both are and differ by less than apart, an ambiguous wobble with their mean."""
+    both = (nod > least) & (shake > least) & (F.abs(nod - shake) < apart)
+    label = F.when(both, "ambiguous_wobble").when((nod > least) & (nod > shake), "affirming_nod").when(shake > least, "negating_shake").otherwise("none")
+    sure = F.when(both, (nod + shake) / 2).when((nod > least) & (nod > shake), nod).when(shake > least, shake).otherwise(0.0)
+    return F.struct(label.alias("label"), sure.alias("confidence"))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
@@ -39,8 +58,8 @@ def attention_score(alignment: Column) -> Column:
 
 
 def target_class(bystander: Column, hand: Column) -> Column:
-    """The hand wins only with a strictly larger alignment."""
-    return F.when(hand > bystander, "hand").otherwise("person")
+    """The hand wins only with a strictly larger alignment; without a hand it is the camera."""
+    return F.when(hand > bystander, C.GAZE_TARGETS[1]).otherwise(C.GAZE_TARGETS[0])
 
 
 def softmax_angle(logits: Column, step: float = 4.0, offset: float = 180.0) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, NumericType, StructType
 
 from ..functions import constants as C
-from ..functions.maths import r
+from ..functions.maths import r, spine_angle
 
 
 def first_max_by(value: Column, score: Column, order: Column) -> Column:
@@ -80,12 +80,12 @@ def _fits(kind, agg: str) -> bool:
 def tracks(detections: DataFrame, keys: list[str], t: str, box: list[str], conf: str) -> DataFrame:
     """Co-indexed arrays of times, boxes and confidences per person, in time order."""
     rows = F.array_sort(F.collect_list(F.struct(t, *box, conf)))
-    out = detections.groupBy(*keys).agg(rows.alias("_r"))
+    out = detections.groupBy(*keys).agg(rows.alias("__r"))
     return out.select(
         *keys,
-        F.transform("_r", lambda x: x[t]).alias("timestamps_sec"),
-        F.transform("_r", lambda x: F.array(*(x[b] for b in box))).alias("bounding_boxes"),
-        F.transform("_r", lambda x: x[conf]).alias("detection_confidence"),
+        F.transform("__r", lambda x: x[t]).alias("timestamps_sec"),
+        F.transform("__r", lambda x: F.array(*(x[b] for b in box))).alias("bounding_boxes"),
+        F.transform("__r", lambda x: x[conf]).alias("detection_confidence"),
     )
 
 
@@ -106,7 +106,7 @@ def dominant(df: DataFrame, keys: list[str], value: str, order: str, ignored: st
 
 def area_delta(df: DataFrame, keys: list[str], t: str, area: Column) -> DataFrame:
     """Percent from the first to the last area in time; null under two samples, 0 where the first is not positive."""
-    out = df.withColumn("_a", area).groupBy(*keys).agg(F.min_by("_a", t).alias("a0"), F.max_by("_a", t).alias("a1"), F.count("*").alias("n"))
+    out = df.withColumn("__a", area).groupBy(*keys).agg(F.min_by("__a", t).alias("a0"), F.max_by("__a", t).alias("a1"), F.count("*").alias("n"))
     return out.select(*keys, F.when(F.col("n") >= 2, F.when(F.col("a0") > 0, (F.col("a1") - F.col("a0")) / F.col("a0") * 100).otherwise(0.0)).alias("area_delta_pct"))
 
 
@@ -129,15 +129,35 @@ def normalised_variance(df: DataFrame, keys: list[str], value: str, divisor: flo
     return df.groupBy(*keys).agg(F.when(F.count(value) > 1, F.least(F.lit(1.0), F.var_pop(value) / divisor)).otherwise(0.0).alias("variance"))
 
 
-def mirroring(flow: DataFrame, angles: DataFrame, keys: list[str], flow_t: str, vertical: str, angle_t: str, angle: str) -> DataFrame:
-    """The first downward point whose body angle changes around it: detected and scalar."""
+def mirroring(flow: DataFrame, angles: DataFrame, keys: list[str], flow_t: str, vertical: str, angle_t: str, angle: str, half: float = 0.5, each: list[str] | None = None) -> DataFrame:
+    """The first downward point whose body angle changes around it: detected and scalar. With each, further keys of angles alone, per key of angles."""
     from .joins import before_after_means
 
-    both = before_after_means(flow.where(F.col(vertical) < -1.0), angles, keys, flow_t, angle_t, angle)
+    both = [*keys, *(each or [])]
+    points = flow.where(F.col(vertical) < -1.0).select(*keys, flow_t)
+    means = before_after_means(points, angles, keys, flow_t, angle_t, angle, half, each)
     change = F.abs(F.col("after") - F.col("before"))
-    first = both.where(change > 0.1).groupBy(*keys).agg(F.min_by(change, flow_t).alias("_d"))
-    out = flow.select(*keys).distinct().join(first, keys, "left")
-    return out.select(*keys, F.col("_d").isNotNull().alias("mirroring_detected"), F.coalesce(F.least(F.lit(1.0), F.col("_d") / 0.5), F.lit(0.0)).alias("mirroring_scalar"))
+    first = means.where(change > 0.1).groupBy(*both).agg(F.min_by(change, flow_t).alias("__d"))
+    out = (angles if each else flow).select(*both).distinct().join(first, both, "left")
+    return out.select(*both, F.col("__d").isNotNull().alias("mirroring_detected"), F.coalesce(F.least(F.lit(1.0), F.col("__d") / 0.5), F.lit(0.0)).alias("mirroring_scalar"))
+
+
+def spine_angles(samples: DataFrame, keys: list[str], t: str, point: str, x: str, y: str) -> DataFrame:
+    """Angle of the line from the mean hip to the mean shoulder of each sample that shows at least one of either (points 5 and 6, 11 and 12)."""
+
+    def mean(points: tuple[int, int], value: str) -> Column:
+        return F.avg(F.when(F.col(point).isin(*points), F.col(value)))
+
+    shoulder, hip = (5, 6), (11, 12)
+    means = samples.groupBy(*keys, t).agg(mean(shoulder, x).alias("__sx"), mean(shoulder, y).alias("__sy"), mean(hip, x).alias("__hx"), mean(hip, y).alias("__hy"))
+    angle = spine_angle(F.col("__sx"), F.col("__sy"), F.col("__hx"), F.col("__hy"))
+    return means.select(*keys, t, angle.alias("angle")).where(F.col("angle").isNotNull())
+
+
+def masked_median(df: DataFrame, keys: list[str], value: str, mask: Column, scale: float = 255.0) -> DataFrame:
+    """Exact median of the values under the mask over scale; of all values where the mask of a key is empty."""
+    under, every = F.percentile(F.when(mask, F.col(value)), 0.5), F.percentile(F.col(value), 0.5)
+    return df.groupBy(*keys).agg((F.coalesce(under, every) / scale).alias("median"))
 
 
 def resident_bytes(models: DataFrame, tier: str) -> DataFrame:

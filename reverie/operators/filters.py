@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions.text import collapsed, holds_any
+from .ranks import ranked
 
 
 def supported(dataset: Column, names: tuple[str, ...] = C.SUPPORTED_DATASETS) -> Column:
@@ -35,13 +36,13 @@ def consistent(detections: DataFrame, key: str, frame: str, least: int = 2, enfo
     """Detections of keys that have them in at least so many frames; without enforcement, all."""
     if not enforced:
         return detections
-    enough = detections.groupBy(key).agg(F.countDistinct(frame).alias("_n")).where(F.col("_n") >= least).select(key)
+    enough = detections.groupBy(key).agg(F.countDistinct(frame).alias("__n")).where(F.col("__n") >= least).select(key)
     return detections.join(enough, key, "left_semi")
 
 
 def confirmed(answers: DataFrame, key: str, order: str, yes: Column, budget: int = 5, least: int = 2) -> DataFrame:
     """Keys confirmed by at least so many of their first answers."""
-    first = answers.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_r") <= budget)
+    first = answers.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("__r") <= budget)
     return first.groupBy(key).agg(F.count_if(yes).alias("yes")).select(key, "yes", (F.col("yes") >= least).alias("confirmed"))
 
 
@@ -56,7 +57,7 @@ def valid_tasks(labels: Column) -> Column:
 
 def enough_points(df: DataFrame, keys: list[str], least: int) -> DataFrame:
     n = F.count("*").over(Window.partitionBy(*keys))
-    return df.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
+    return df.withColumn("__n", n).where(F.col("__n") >= least).drop("__n")
 
 
 def gaze_threshold(model: Column) -> Column:
@@ -66,22 +67,40 @@ def gaze_threshold(model: Column) -> Column:
     return out
 
 
+def chin_gate(y2: Column, height: Column, face_up: Column) -> Column:
+    """False for boxes that reach into the lowest fifth and whose face is confirmed to look up: the wearer's own. No answer keeps a box."""
+    return ~((y2 > 0.80 * height) & F.coalesce(face_up, F.lit(False)))
+
+
+def sound_box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return (x2 > x1) & (y2 > y1)
+
+
 def purge(decision: Column) -> Column:
     """A recording is kept where the decision is missing."""
     return F.coalesce(decision, F.lit(True))
 
 
-def pose_pick(candidates: DataFrame, keys: list[str], order: str, overlap: str) -> DataFrame:
-    """The candidate of largest overlap for each key, the first of equals."""
-    w = Window.partitionBy(*keys).orderBy(F.col(overlap).desc(), order)
-    return candidates.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+def pose_pick(candidates: DataFrame, keys: list[str], order: str, overlap: str, spread: str) -> DataFrame:
+    """One candidate for each key: the only one; else that of largest overlap if every one has a box; else that of largest keypoint spread.
+
+    Equals go to the first by order, and so does a key none of whose candidates shows a keypoint (null spread).
+    """
+    w = Window.partitionBy(*keys)
+    boxed = F.count(overlap).over(w) == F.count("*").over(w)
+    score = F.when(boxed, F.col(overlap)).otherwise(F.coalesce(F.col(spread), F.lit(-1.0)))
+    ranked_rows = candidates.withColumn("__s", score).withColumn("__r", F.row_number().over(w.orderBy(F.col("__s").desc(), order)))
+    return ranked_rows.where(F.col("__r") == 1).drop("__r", "__s")
 
 
 def batches(rows: DataFrame, order: str, free_bytes: int, item_bytes: int = 500_000_000, group: list[str] | None = None) -> DataFrame:
     """Rows numbered into batches of clamp(free / item, 10, 500), within each group if one is given.
 
-    Without a group all rows pass one window: meant for registries, with a row for each recording.
+    Without a group the places are global (see ranked), so no task gets all rows.
     """
     size = max(10, min(500, free_bytes // item_bytes))
-    w = Window.partitionBy(*(group or [])).orderBy(order)
+    if not group:
+        placed = ranked(rows, [F.col(order).asc()], "__place")
+        return placed.withColumn("batch", F.floor((F.col("__place") - 1) / size)).drop("__place")
+    w = Window.partitionBy(*group).orderBy(order)
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))

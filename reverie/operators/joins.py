@@ -19,50 +19,60 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], left_t: str
     """
     mine = [c for c in right.columns if c not in keys]
     if tolerance is not None:
-        far = right.withColumn("_b", F.explode(F.array(*(F.floor(F.col(right_t) / tolerance) + d for d in (-1, 0, 1)))))
-        near = left.withColumn("_b", F.floor(F.col(left_t) / tolerance)).join(far, [*keys, "_b"]).withColumn("_gap", F.abs(F.col(right_t) - F.col(left_t)))
-        best = near.where(F.col("_gap") <= tolerance).groupBy(*keys, *(c for c in left_id if c not in keys)).agg(F.min_by(F.struct(*mine), F.struct("_gap", *order)).alias("_m"))
+        far = right.withColumn("__b", F.explode(F.array(*(F.floor(F.col(right_t) / tolerance) + d for d in (-1, 0, 1)))))
+        near = left.withColumn("__b", F.floor(F.col(left_t) / tolerance)).join(far, [*keys, "__b"]).withColumn("__gap", F.abs(F.col(right_t) - F.col(left_t)))
+        best = near.where(F.col("__gap") <= tolerance).groupBy(*keys, *(c for c in left_id if c not in keys)).agg(F.min_by(F.struct(*mine), F.struct("__gap", *order)).alias("__m"))
         on = list(dict.fromkeys([*keys, *left_id]))
-        return left.join(best, on, "left").select(*left.columns, *(F.col("_m")[c].alias(c) for c in mine))
-    both = left.select(*keys, F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*mine).alias("m")).schema["m"].dataType).alias("_m"), F.col(left_t).alias("_t"))
-    both = both.unionByName(right.groupBy(*keys, F.col(right_t).alias("_t")).agg(F.min_by(F.struct(*mine), F.struct(*order)).alias("_m")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", F.col("_l").isNotNull())
-    before = F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("_before", before).withColumn("_after", after).where(F.col("_l").isNotNull())
-    gap_b, gap_a = F.abs(F.col("_t") - F.col("_before")[right_t]), F.abs(F.col("_after")[right_t] - F.col("_t"))
-    first = F.struct(*(F.col("_before")[c] for c in order)) <= F.struct(*(F.col("_after")[c] for c in order))
-    pick = F.when(F.col("_after").isNull() | (gap_b < gap_a) | ((gap_b == gap_a) & first), F.col("_before")).otherwise(F.col("_after"))
-    pick = F.when(F.col("_before").isNull(), F.col("_after")).otherwise(pick)
-    return found.withColumn("_pick", pick).select("_l.*", *(F.col("_pick")[c].alias(c) for c in mine))
-
-
-def interval_join(points: DataFrame, windows: DataFrame, keys: list[str], t: str, start: str, end: str) -> DataFrame:
-    """Points within the closed intervals of the same keys."""
-    return points.join(windows, keys).where(F.col(t).between(F.col(start), F.col(end)))
+        return left.join(best, on, "left").select(*left.columns, *(F.col("__m")[c].alias(c) for c in mine))
+    both = left.select(*keys, F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(F.struct(*mine).alias("m")).schema["m"].dataType).alias("__m"), F.col(left_t).alias("__t"))
+    both = both.unionByName(right.groupBy(*keys, F.col(right_t).alias("__t")).agg(F.min_by(F.struct(*mine), F.struct(*order)).alias("__m")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("__t", F.col("__l").isNotNull())
+    before = F.last("__m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("__m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumn("__before", before).withColumn("__after", after).where(F.col("__l").isNotNull())
+    gap_b, gap_a = F.abs(F.col("__t") - F.col("__before")[right_t]), F.abs(F.col("__after")[right_t] - F.col("__t"))
+    first = F.struct(*(F.col("__before")[c] for c in order)) <= F.struct(*(F.col("__after")[c] for c in order))
+    pick = F.when(F.col("__after").isNull() | (gap_b < gap_a) | ((gap_b == gap_a) & first), F.col("__before")).otherwise(F.col("__after"))
+    pick = F.when(F.col("__before").isNull(), F.col("__after")).otherwise(pick)
+    return found.withColumn("__pick", pick).select("__l.*", *(F.col("__pick")[c].alias(c) for c in mine))
+
+
+def interval_join(points: DataFrame, windows: DataFrame, keys: list[str], t: str, start: str, end: str, width: float | None = None) -> DataFrame:
+    """Points within the closed intervals of the same keys.
+
+    Time is cut into buckets of the mean length of the windows (one aggregate of them, unless width is given), and a window
+    stands in each bucket that it reaches: two for a window on average. So it is an equi-join, and a point meets only
+    windows near it, however many its key has. Null times match nothing.
+    """
+    if width is None:
+        width = windows.agg(F.avg(F.when(F.col(end) > F.col(start), F.col(end) - F.col(start)))).first()[0] or 1.0
+    bucket = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
+    near = windows.where(F.col(start) <= F.col(end)).withColumn("__b", F.explode(bucket))
+    return points.withColumn("__b", F.floor(F.col(t) / width)).join(near, [*keys, "__b"]).where(F.col(t).between(F.col(start), F.col(end))).drop("__b")
 
 
 def bucketed_after(causes: DataFrame, effects: DataFrame, keys: list[str], cause_t: str, effect_t: str, within: float) -> DataFrame:
     """Pairs with 0 < effect - cause <= within, by buckets of that length."""
-    far = effects.withColumn("_b", F.explode(F.array(*(F.floor(F.col(effect_t) / within) + d for d in (-1, 0)))))
-    near = causes.withColumn("_b", F.floor(F.col(cause_t) / within)).join(far, [*keys, "_b"]).drop("_b")
+    far = effects.withColumn("__b", F.explode(F.array(*(F.floor(F.col(effect_t) / within) + d for d in (-1, 0)))))
+    near = causes.withColumn("__b", F.floor(F.col(cause_t) / within)).join(far, [*keys, "__b"]).drop("__b")
     gap = F.col(effect_t) - F.col(cause_t)
     return near.where((gap > 0) & (gap <= within))
 
 
-def spike_response(spikes: DataFrame, peaks: DataFrame, keys: list[str], spike_t: str, peak_t: str, within: float = 0.5) -> DataFrame:
-    """Per key of spikes: whether a peak follows any spike in time, and the least delay, else 0."""
-    delays = bucketed_after(spikes, peaks, keys, spike_t, peak_t, within).groupBy(*keys).agg(F.min(F.col(peak_t) - F.col(spike_t)).alias("_d"))
-    out = spikes.select(*keys).distinct().join(delays, keys, "left")
-    return out.select(*keys, F.col("_d").isNotNull().alias("detected"), F.coalesce("_d", F.lit(0.0)).alias("delay"))
+def spike_response(spikes: DataFrame, peaks: DataFrame, keys: list[str], spike_t: str, peak_t: str, within: float = 0.5, each: list[str] | None = None) -> DataFrame:
+    """Per key of spikes: whether a peak follows any spike in time, and the least delay, else 0. With each, further keys of peaks alone, per key of peaks."""
+    both = [*keys, *(each or [])]
+    delays = bucketed_after(spikes, peaks, keys, spike_t, peak_t, within).groupBy(*both).agg(F.min(F.col(peak_t) - F.col(spike_t)).alias("__d"))
+    out = (peaks if each else spikes).select(*both).distinct().join(delays, both, "left")
+    return out.select(*both, F.col("__d").isNotNull().alias("detected"), F.coalesce("__d", F.lit(0.0)).alias("delay"))
 
 
-def before_after_means(points: DataFrame, series: DataFrame, keys: list[str], point_t: str, series_t: str, value: str, half: float = 0.5) -> DataFrame:
-    """Points with the mean of the series in [t - half, t] and in (t, t + half]; points that lack either side are left out."""
-    far = series.withColumn("_b", F.explode(F.array(*(F.floor(F.col(series_t) / half) + d for d in (-1, 0, 1)))))
-    near = points.withColumn("_b", F.floor(F.col(point_t) / half)).join(far, [*keys, "_b"])
+def before_after_means(points: DataFrame, series: DataFrame, keys: list[str], point_t: str, series_t: str, value: str, half: float = 0.5, each: list[str] | None = None) -> DataFrame:
+    """Points with the mean of the series in [t - half, t] and in (t, t + half]; points that lack either side are left out. With each, per further key of the series."""
+    far = series.withColumn("__b", F.explode(F.array(*(F.floor(F.col(series_t) / half) + d for d in (-1, 0, 1)))))
+    near = points.withColumn("__b", F.floor(F.col(point_t) / half)).join(far, [*keys, "__b"])
     gap = F.col(series_t) - F.col(point_t)
-    own = [c for c in points.columns]
+    own = [*points.columns, *(each or [])]
     out = near.groupBy(*own).agg(
         F.avg(F.when((gap >= -half) & (gap <= 0), F.col(value))).alias("before"), F.avg(F.when((gap > 0) & (gap <= half), F.col(value))).alias("after")
     )
@@ -71,10 +81,10 @@ def before_after_means(points: DataFrame, series: DataFrame, keys: list[str], po
 
 def lookup_with_fallback(rows: DataFrame, dimension: DataFrame, key: str, value: str, fallback: Column) -> DataFrame:
     """value of dimension at key, else at the fallback key: two left joins, each of which Spark broadcasts if its size allows it."""
-    one = dimension.select(F.col(key).alias("_k1"), F.col(value).alias("_v1"))
-    two = dimension.select(F.col(key).alias("_k2"), F.col(value).alias("_v2"))
-    out = rows.join(one, rows[key] == one["_k1"], "left").join(two, fallback == two["_k2"], "left")
-    return out.select(*(rows[c] for c in rows.columns), F.coalesce("_v1", "_v2").alias(value))
+    one = dimension.select(F.col(key).alias("__k1"), F.col(value).alias("__v1"))
+    two = dimension.select(F.col(key).alias("__k2"), F.col(value).alias("__v2"))
+    out = rows.join(one, rows[key] == one["__k1"], "left").join(two, fallback == two["__k2"], "left")
+    return out.select(*(rows[c] for c in rows.columns), F.coalesce("__v1", "__v2").alias(value))
 
 
 def weighted_left_join(rows: DataFrame, weights: DataFrame, keys: list[str], weight: str, order: str, default: float = 1.0) -> DataFrame:

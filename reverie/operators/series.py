@@ -15,16 +15,16 @@ from ..functions.text import emotion_direction
 def runs(df: DataFrame, keys: list[str], order: list[str], state: Column) -> DataFrame:
     """df with run: 0, 1, ... as the state changes along order."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    marked = df.withColumn("_s", state)
-    changed = F.when(F.lag("_s").over(w).isNull() | F.lag("_s").over(w).eqNullSafe(F.col("_s")), 0).otherwise(1)
-    return marked.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w)).drop("_s", "_c")
+    marked = df.withColumn("__s", state)
+    changed = F.when(F.lag("__s").over(w).isNull() | F.lag("__s").over(w).eqNullSafe(F.col("__s")), 0).otherwise(1)
+    return marked.withColumn("__c", changed).withColumn("run", F.sum("__c").over(w)).drop("__s", "__c")
 
 
 def sustained(df: DataFrame, keys: list[str], t: str, on: Column) -> DataFrame:
     """Per key: seconds from first to last of the longest run on which the condition holds, 0 if it never does."""
-    marked = runs(df, keys, [t], on).withColumn("_on", on)
-    spans = marked.groupBy(*keys, "run").agg(F.when(F.first("_on"), F.max(t) - F.min(t)).otherwise(0.0).alias("_span"))
-    return spans.groupBy(*keys).agg(F.max("_span").alias("sustained"))
+    marked = runs(df, keys, [t], on).withColumn("__on", on)
+    spans = marked.groupBy(*keys, "run").agg(F.when(F.first("__on"), F.max(t) - F.min(t)).otherwise(0.0).alias("__span"))
+    return spans.groupBy(*keys).agg(F.max("__span").alias("sustained"))
 
 
 def state_slices(df: DataFrame, keys: list[str], t: str, state: str, magnitude: str) -> DataFrame:
@@ -65,8 +65,8 @@ def history(slices: DataFrame, keys: list[str]) -> DataFrame:
 def late_stage_score(slices: DataFrame, keys: list[str], climax: Column) -> DataFrame:
     """Mean of slice scalars weighted by length and by time since the climax (0.1 at least); 0 where nothing weighs."""
     weight = (F.col("slice_end") - F.col("slice_start")) * F.greatest(F.lit(0.1), F.col("slice_start") - climax)
-    out = slices.withColumn("_w", weight).groupBy(*keys).agg(F.sum("_w").alias("_d"), F.sum(F.col("scalar") * F.col("_w")).alias("_n"))
-    return out.select(*keys, F.when(F.col("_d") > 0, r(F.col("_n") / F.col("_d"), 2)).otherwise(0.0).alias("late_stage_score"))
+    out = slices.withColumn("__w", weight).groupBy(*keys).agg(F.sum("__w").alias("__d"), F.sum(F.col("scalar") * F.col("__w")).alias("__n"))
+    return out.select(*keys, F.when(F.col("__d") > 0, r(F.col("__n") / F.col("__d"), 2)).otherwise(0.0).alias("late_stage_score"))
 
 
 def fixed_steps(start: Column, end: Column, step: float) -> Column:
@@ -82,23 +82,23 @@ def strided(frame: Column, fps: Column, rate: float) -> Column:
 def evenly_picked(df: DataFrame, keys: list[str], t: str, least: int = 5, most: int = 20, per_second: float = 3.0) -> DataFrame:
     """At most clamp(int(3 * duration), 5, 20) rows of each key, evenly spaced by index, the last one among them."""
     w = Window.partitionBy(*keys)
-    x = df.withColumn("_i", F.row_number().over(w.orderBy(t)) - 1).withColumn("_n", F.count("*").over(w))
-    x = x.withColumn("_k", F.greatest(F.lit(least), F.least(F.lit(most), ((F.max(t).over(w) - F.min(t).over(w)) * per_second).cast("int"))))
-    wanted = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.when(j == F.col("_k") - 1, F.col("_n") - 1).otherwise((j * ((F.col("_n") - 1) / (F.col("_k") - 1))).cast("long")))
-    return x.where((F.col("_n") <= F.col("_k")) | F.array_contains(wanted, F.col("_i").cast("long"))).drop("_i", "_n", "_k")
+    x = df.withColumn("__i", F.row_number().over(w.orderBy(t)) - 1).withColumn("__n", F.count("*").over(w))
+    x = x.withColumn("__k", F.greatest(F.lit(least), F.least(F.lit(most), ((F.max(t).over(w) - F.min(t).over(w)) * per_second).cast("int"))))
+    wanted = F.transform(F.sequence(F.lit(0), F.col("__k") - 1), lambda j: F.when(j == F.col("__k") - 1, F.col("__n") - 1).otherwise((j * ((F.col("__n") - 1) / (F.col("__k") - 1))).cast("long")))
+    return x.where((F.col("__n") <= F.col("__k")) | F.array_contains(wanted, F.col("__i").cast("long"))).drop("__i", "__n", "__k")
 
 
 def nan_interpolated(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Missing values by line between neighbours by index; ends hold the nearest value; with none at all, 0. filled: 1 where filled."""
     w = Window.partitionBy(*keys).orderBy(order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    x = df.withColumn("_i", F.row_number().over(w)).withColumn("_v", F.when(~F.isnan(F.col(value)), F.col(value)))
-    known = F.when(F.col("_v").isNotNull(), F.struct("_i", "_v"))
-    x = x.withColumn("_a", F.last(known, True).over(back)).withColumn("_b", F.first(known, True).over(ahead))
-    a, b = F.col("_a"), F.col("_b")
-    line = a["_v"] + (b["_v"] - a["_v"]) * (F.col("_i") - a["_i"]) / (b["_i"] - a["_i"])
-    full = F.when(F.col("_v").isNotNull(), F.col("_v")).when(a.isNotNull() & b.isNotNull(), line).otherwise(F.coalesce(a["_v"], b["_v"], F.lit(0.0)))
-    return x.withColumn("filled", F.col("_v").isNull().cast("int")).withColumn(value, full).drop("_i", "_v", "_a", "_b")
+    x = df.withColumn("__i", F.row_number().over(w)).withColumn("__v", F.when(~F.isnan(F.col(value)), F.col(value)))
+    known = F.when(F.col("__v").isNotNull(), F.struct("__i", "__v"))
+    x = x.withColumn("__a", F.last(known, True).over(back)).withColumn("__b", F.first(known, True).over(ahead))
+    a, b = F.col("__a"), F.col("__b")
+    line = a["__v"] + (b["__v"] - a["__v"]) * (F.col("__i") - a["__i"]) / (b["__i"] - a["__i"])
+    full = F.when(F.col("__v").isNotNull(), F.col("__v")).when(a.isNotNull() & b.isNotNull(), line).otherwise(F.coalesce(a["__v"], b["__v"], F.lit(0.0)))
+    return x.withColumn("filled", F.col("__v").isNull().cast("int")).withColumn(value, full).drop("__i", "__v", "__a", "__b")
 
 
 def median3(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -115,32 +115,32 @@ def detrended(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def spikes(df: DataFrame, keys: list[str], value: str, share: float = 0.7, least: float = 3.0) -> DataFrame:
     """Rows above a share of their key's maximum, for keys whose maximum reaches least."""
     top = F.max(value).over(Window.partitionBy(*keys))
-    return df.withColumn("_top", top).where((F.col("_top") >= least) & (F.col(value) > share * F.col("_top"))).drop("_top")
+    return df.withColumn("__top", top).where((F.col("__top") >= least) & (F.col(value) > share * F.col("__top"))).drop("__top")
 
 
 def climax(df: DataFrame, keys: list[str], t: str, value: str, half: float = 1.0, coarse: int = 6) -> DataFrame:
     """Time of the largest value on every coarse-th sample, then of the largest sample within half a second band around it; the first of equals wins."""
     w = Window.partitionBy(*keys).orderBy(t)
-    x = df.withColumn("_i", F.row_number().over(w) - 1)
-    rough = x.where(F.pmod("_i", F.lit(coarse)) == 0).groupBy(*keys).agg(F.max_by(t, F.struct(value, -F.col(t))).alias("_c"))
-    dense = df.join(rough, keys).where(F.abs(F.col(t) - F.col("_c")) <= half)
+    x = df.withColumn("__i", F.row_number().over(w) - 1)
+    rough = x.where(F.pmod("__i", F.lit(coarse)) == 0).groupBy(*keys).agg(F.max_by(t, F.struct(value, -F.col(t))).alias("__c"))
+    dense = df.join(rough, keys).where(F.abs(F.col(t) - F.col("__c")) <= half)
     return dense.groupBy(*keys).agg(F.max_by(t, F.struct(value, -F.col(t))).alias("climax"), F.max(value).alias("peak"))
 
 
 def top_by_time(df: DataFrame, keys: list[str], t: str, value: str, k: int = 3) -> DataFrame:
     """The k largest of each key, numbered in time order."""
     best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(value).desc(), t))
-    return df.withColumn("_r", best).where(F.col("_r") <= k).drop("_r").withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(t)))
+    return df.withColumn("__r", best).where(F.col("__r") <= k).drop("__r").withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(t)))
 
 
 def velocities(samples: DataFrame, keys: list[str], t: str, point: str, x: str, y: str, most_gap: float = 0.5) -> DataFrame:
     """Mean distance of the points common to successive samples, over the time between them; gaps over most_gap give none."""
     order = F.dense_rank().over(Window.partitionBy(*keys).orderBy(t))
-    now = samples.select(*keys, t, point, x, y).withColumn("_n", order)
-    was = now.select(*keys, point, (F.col("_n") + 1).alias("_n"), F.col(t).alias("_t"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    pairs = now.join(was, [*keys, "_n", point])
-    gap = F.col(t) - F.col("_t")
-    out = pairs.where((gap > 0) & (gap <= most_gap)).groupBy(*keys, t).agg((F.avg(F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"))) / F.first(gap)).alias("velocity"))
+    now = samples.select(*keys, t, point, x, y).withColumn("__n", order)
+    was = now.select(*keys, point, (F.col("__n") + 1).alias("__n"), F.col(t).alias("__t"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    pairs = now.join(was, [*keys, "__n", point])
+    gap = F.col(t) - F.col("__t")
+    out = pairs.where((gap > 0) & (gap <= most_gap)).groupBy(*keys, t).agg((F.avg(F.hypot(F.col(x) - F.col("__x"), F.col(y) - F.col("__y"))) / F.first(gap)).alias("velocity"))
     return out
 
 

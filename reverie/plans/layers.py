@@ -21,16 +21,16 @@ def tasks_of(videos: DataFrame, labels: str) -> DataFrame:
     """Valid labels of each recording as equal contiguous spans with ids t_00, t_01, ... and a velocity class."""
     from ..operators.filters import valid_tasks
 
-    rows = videos.withColumn("_l", valid_tasks(F.col(labels))).select("video_id", "duration_sec", F.size("_l").alias("_n"), F.posexplode("_l").alias("_i", "task_label"))
-    span = F.col("duration_sec") / F.col("_n")
+    rows = videos.withColumn("__l", valid_tasks(F.col(labels))).select("video_id", "duration_sec", F.size("__l").alias("__n"), F.posexplode("__l").alias("__i", "task_label"))
+    span = F.col("duration_sec") / F.col("__n")
     return rows.select(
         "video_id",
-        T.task_id(F.col("_i")).alias("task_id"),
+        T.task_id(F.col("__i")).alias("task_id"),
         "task_label",
         F.lit(1.0).alias("task_confidence"),
         T.velocity_class(F.col("task_label")).alias("task_velocity"),
-        M.r(F.col("_i") * span, 2).alias("task_start_sec"),
-        M.r((F.col("_i") + 1) * span, 2).alias("task_end_sec"),
+        M.r(F.col("__i") * span, 2).alias("task_start_sec"),
+        M.r((F.col("__i") + 1) * span, 2).alias("task_end_sec"),
         "duration_sec",
     )
 
@@ -44,32 +44,47 @@ def with_climax(tasks: DataFrame, flow: DataFrame, t: str = "t", value: str = "m
     return out.withColumns({"win_start": start, "win_end": end, "climax_method": F.when(F.col("peak").isNotNull(), "flow").otherwise("start")})
 
 
-def attention(gaze: DataFrame, boxes: DataFrame, intrinsics: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """Score of every gaze sample: alignment of the gaze ray with the ray to the nearest box in time."""
+def attention(gaze: DataFrame, boxes: DataFrame, intrinsics: DataFrame, tolerance: float = 2.0, hands: DataFrame | None = None) -> DataFrame:
+    """Score of every gaze sample: alignment of the gaze ray with the ray to the nearest box in time, or to a hand that it meets better.
+
+    hands (video_id, t, hand_boxes array<array>) has the hands of the wearer by frame; the frame nearest in time counts, also
+    if it shows none. Samples without a box within tolerance are left out.
+    """
     near = J.nearest_join(gaze, boxes.select("video_id", "person_id", F.col("t").alias("box_t"), "x1", "y1", "x2", "y2"), PERSON, "t", "box_t", ["box_t"], tolerance, [*PERSON, "t"])
-    near = near.where(F.col("box_t").isNotNull()).join(intrinsics, "video_id")
-    x = (F.col("x1") + F.col("x2")) / 2 - F.coalesce("cx", F.col("width") / 2)
-    y = (F.col("y1") + F.col("y2")) / 2 - F.coalesce("cy", F.col("height") / 2)
+    near = near.where(F.col("box_t").isNotNull())
+    if hands is not None:
+        frames = hands.select("video_id", F.col("t").alias("hand_t"), "hand_boxes")
+        near = J.nearest_join(near, frames, ["video_id"], "t", "hand_t", ["hand_t"], tolerance, [*PERSON, "t"])
+    near = near.join(intrinsics, "video_id")
     focal = F.coalesce("focal", F.col("width").cast("double"))
     ray = M.unit(M.gaze_ray(F.col("pitch_rad"), F.col("yaw_rad")))
-    back = M.unit([-x, -y, -focal])
-    return near.select(*PERSON, "t", "pitch_rad", "yaw_rad", M.attention_score(M.dot(ray, back)).alias("score"))
+
+    def alignment(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        x = (x1 + x2) / 2 - F.coalesce("cx", F.col("width") / 2)
+        y = (y1 + y2) / 2 - F.coalesce("cy", F.col("height") / 2)
+        return M.dot(ray, M.unit([-x, -y, -focal]))
+
+    person = alignment(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
+    hand = F.array_max(F.transform("hand_boxes", lambda b: alignment(*(F.get(b, i) for i in range(4))))) if hands is not None else F.lit(None).cast("double")
+    scored = near.withColumns({"__person": person, "__hand": hand})
+    best = F.greatest("__person", "__hand")
+    return scored.select(*PERSON, "t", "pitch_rad", "yaw_rad", M.attention_score(best).alias("score"), M.target_class(F.col("__person"), F.col("__hand")).alias("target"))
 
 
 def attention_summary(trace: DataFrame, target: str = "target") -> DataFrame:
     """Per person: mean, first time of the peak, sample variance, longest sustained run, engagement and the commonest target."""
     stats = trace.groupBy(*PERSON).agg(
-        F.avg("score").alias("_m"), A.first_max_by(F.col("t"), F.col("score"), F.col("t")).alias("peak_t"), F.coalesce(F.var_samp("score"), F.lit(0.0)).alias("_v")
+        F.avg("score").alias("__m"), A.first_max_by(F.col("t"), F.col("score"), F.col("t")).alias("peak_t"), F.coalesce(F.var_samp("score"), F.lit(0.0)).alias("__v")
     )
     held = S.sustained(trace, PERSON, "t", F.col("score") >= 0.7)
     out = stats.join(held, PERSON).join(A.dominant(trace, PERSON, target, "t"), PERSON)
     return out.select(
         *PERSON,
-        M.r(F.col("_m"), 2).alias("average_attention_score"),
+        M.r(F.col("__m"), 2).alias("average_attention_score"),
         F.col("peak_t").alias("peak_engagement_timestamp_sec"),
-        M.r(F.col("_v"), 4).alias("attention_variance"),
+        M.r(F.col("__v"), 4).alias("attention_variance"),
         M.r(F.col("sustained"), 2).alias("sustained_engagement_sec"),
-        ((F.col("_m") >= 0.5) | (F.col("sustained") > 2.0)).alias("is_engaged"),
+        ((F.col("__m") >= 0.5) | (F.col("sustained") > 2.0)).alias("is_engaged"),
         F.col("dominant").alias("gaze_target_classification"),
     )
 
@@ -95,12 +110,17 @@ def emotion(samples: DataFrame, tasks: DataFrame, attention_scores: DataFrame |
     slices = S.state_slices(own, keys, "t", "emotion", "magnitude")
     climaxes = tasks.select(*TASK, "climax_sec")
     persons = S.late_stage_score(slices.join(climaxes, TASK), keys, F.col("climax_sec"))
+    return slices, persons, task_scores(persons, TASK, attention_scores, PERSON)
+
+
+def task_scores(persons: DataFrame, task: list[str], attention_scores: DataFrame | None, person: list[str]) -> DataFrame:
+    """Mean of late_stage_score over the persons of each task, weighted by their attention; a person without it weighs 1."""
     weighted = persons.withColumn("weight", F.lit(1.0))
     if attention_scores is not None:
-        scores = attention_scores.select(*PERSON, F.col("average_attention_score").alias("weight"), F.lit(0).alias("_o"))
-        weighted = J.weighted_left_join(persons, scores, PERSON, "weight", "_o")
-    task_scores = weighted.groupBy(*TASK).agg(F.sum(F.col("late_stage_score") * F.col("weight")).alias("_n"), F.sum("weight").alias("_d"))
-    return slices, persons, task_scores.select(*TASK, F.when(F.col("_d") > 0, M.r(F.col("_n") / F.col("_d"), 2)).otherwise(0.0).alias("task_aggregate_score"))
+        scores = attention_scores.select(*person, F.col("average_attention_score").alias("weight"), F.lit(0).alias("__o"))
+        weighted = J.weighted_left_join(persons, scores, person, "weight", "__o")
+    sums = weighted.groupBy(*task).agg(F.sum(F.col("late_stage_score") * F.col("weight")).alias("__n"), F.sum("weight").alias("__d"))
+    return sums.select(*task, F.when(F.col("__d") > 0, M.r(F.col("__n") / F.col("__d"), 2)).otherwise(0.0).alias("task_aggregate_score"))
 
 
 def prosody(audio: DataFrame, confident: float = 0.6) -> DataFrame:
@@ -109,11 +129,11 @@ def prosody(audio: DataFrame, confident: float = 0.6) -> DataFrame:
     filled = audio.withColumns({"scores": scores, "max_dbfs": F.coalesce("max_dbfs", F.lit(-100.0)), "pitch_var": F.coalesce("pitch_var", F.lit(0.0))})
     top = M.first_largest([(F.lit(k), F.try_element_at("scores", F.lit(k))) for k in C.VOICE_LABELS])
     best = F.array_max(F.map_values("scores"))
-    out = filled.withColumn("_tone", M.tone(F.col("scores"), F.col("max_dbfs"), F.col("pitch_var")))
+    out = filled.withColumn("__tone", M.tone(F.col("scores"), F.col("max_dbfs"), F.col("pitch_var")))
     events = F.when(best < confident, T.audio_events(F.coalesce("sv_text", F.lit("")))).otherwise(F.array().cast("array<string>"))
     return out.select(
         *TASK, "max_dbfs", "pitch_var", top.alias("dominant_emotion"), best.alias("dominant_confidence"), events.alias("audio_events"),
-        F.col("_tone.tone").alias("classified_acoustic_tone"), F.col("_tone.scalar").alias("prosody_scalar"),
+        F.col("__tone.tone").alias("classified_acoustic_tone"), F.col("__tone.scalar").alias("prosody_scalar"),
     )
 
 
@@ -123,10 +143,10 @@ def proxemics(boxes: DataFrame, depth: DataFrame, noise: DataFrame, tasks: DataF
     windows = tasks.select(*TASK, "win_start", "win_end")
     own = J.interval_join(boxes, windows, ["video_id"], "t", "win_start", "win_end")
     area = A.area_delta(own, keys, "t", M.box_area(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
-    base = area.where(F.col("area_delta_pct").isNotNull()).join(noise, TASK, "left").withColumn("_v", F.coalesce(F.col("noise") > veto, F.lit(False)))
-    vetoed = base.where("_v").select(*keys, "area_delta_pct", F.lit(0.0).alias("depth_delta"), F.lit(0.0).alias("proxemic_vector"), F.lit("Neutral").alias("classified_action"), F.lit(0.0).alias("proxemic_confidence"))
+    base = area.where(F.col("area_delta_pct").isNotNull()).join(noise, TASK, "left").withColumn("__v", F.coalesce(F.col("noise") > veto, F.lit(False)))
+    vetoed = base.where("__v").select(*keys, "area_delta_pct", F.lit(0.0).alias("depth_delta"), F.lit(0.0).alias("proxemic_vector"), F.lit("Neutral").alias("classified_action"), F.lit(0.0).alias("proxemic_confidence"))
     picked = S.evenly_picked(J.interval_join(depth, windows, TASK, "t", "win_start", "win_end"), keys, "t")
-    rest = base.where(~F.col("_v")).join(A.slope_span(picked, keys, "t", "depth"), keys, "left").withColumn("depth_delta", F.coalesce("delta", F.lit(0.0)))
+    rest = base.where(~F.col("__v")).join(A.slope_span(picked, keys, "t", "depth"), keys, "left").withColumn("depth_delta", F.coalesce("delta", F.lit(0.0)))
     vector = M.proxemic_vector(F.col("area_delta_pct"), F.col("depth_delta"))
     scored = rest.select(
         *keys, "area_delta_pct", "depth_delta", vector.alias("proxemic_vector"), M.proxemic_action(vector).alias("classified_action"),
@@ -135,34 +155,47 @@ def proxemics(boxes: DataFrame, depth: DataFrame, noise: DataFrame, tasks: DataF
     return scored.unionByName(vetoed)
 
 
-def gesture(trace: DataFrame, tasks: DataFrame, model: Column) -> DataFrame:
-    """Nods and shakes within the reaction windows; reasons in the order no_tasks, insufficient_trace."""
+def require(df: DataFrame | None, layer: str, needed: str) -> DataFrame:
+    """df, or an error if a layer's input from another one is missing or empty."""
+    if df is None or df.isEmpty():
+        raise RuntimeError(f"{layer} cannot run: {needed} is missing or empty")
+    return df
+
+
+def gesture(trace: DataFrame | None, tasks: DataFrame, model: Column) -> DataFrame:
+    """Nods and shakes within the reaction windows; reasons in the order no_tasks, insufficient_trace. Without attention traces the run fails."""
     keys = [*TASK, "person_id"]
+    trace = require(trace, "03e_affirmation_gesture", "03a_attention")
     own = J.interval_join(trace, tasks.select(*TASK, "win_start", "win_end"), ["video_id"], "t", "win_start", "win_end")
     found = S.oscillations(own.select(*keys, "t", "pitch_rad", "yaw_rad"), keys, "t", "pitch_rad", "yaw_rad")
     usable = F.coalesce((F.col("interpolated") <= gaze_threshold(model)) & F.col("pitch_conf").isNotNull(), F.lit(False))
-    best = F.greatest("pitch_conf", "yaw_conf")
-    label = F.when(~usable | (best <= 0), "none").when(F.col("pitch_conf") >= F.col("yaw_conf"), "affirming_nod").otherwise("negating_shake")
-    return found.select(
-        *keys, M.r(F.col("pitch_hz"), 2).alias("pitch_oscillation_hz"), M.r(F.col("yaw_hz"), 2).alias("yaw_oscillation_hz"), F.col("interpolated").alias("interpolated_fraction"),
-        label.alias("gesture_detected"), F.when(usable, M.r(best, 2)).otherwise(0.0).alias("confidence"), F.when(~usable, "insufficient_trace").alias("skipped_reason"),
+    out = found.withColumn("__u", usable).withColumn("__g", M.gesture(F.col("pitch_conf"), F.col("yaw_conf")))
+    return out.select(
+        *keys, M.r(F.col("pitch_hz"), 2).alias("pitch_oscillation_hz"), M.r(F.col("yaw_hz"), 2).alias("yaw_oscillation_hz"), M.r(F.col("interpolated"), 3).alias("interpolated_fraction"),
+        F.when(F.col("__u"), F.col("__g.label")).otherwise("none").alias("gesture_detected"), F.when(F.col("__u"), M.r(F.col("__g.confidence"), 2)).otherwise(0.0).alias("confidence"),
+        F.when(~F.col("__u"), "insufficient_trace").alias("skipped_reason"),
     )
 
 
-def resonance(flow: DataFrame, samples: DataFrame, angles: DataFrame) -> DataFrame:
-    """Motor resonance and mirroring per task and person from motion, keypoints and body angles."""
+def resonance(flow: DataFrame, samples: DataFrame, angles: DataFrame | None = None) -> DataFrame:
+    """Motor resonance and mirroring per task and person from motion and keypoints; body angles come from the keypoints unless given.
+
+    Motion is a task's, keypoints are a person's: they meet in time buckets of the task, so motion is never multiplied by persons.
+    """
     keys = [*TASK, "person_id"]
-    chaos = flow.groupBy(*TASK).agg(F.max("p95_mag").alias("_c"))
+    if angles is None:
+        angles = A.spine_angles(samples, keys, "t", "kpt", "x", "y").withColumnRenamed("t", "t_angle")
+    chaos = flow.groupBy(*TASK).agg(F.max("p95_mag").alias("__c"))
     spikes = S.spikes(flow, TASK, "p95_mag").select(*TASK, F.col("t").alias("spike_t"))
     peaks = A.velocity_peak(S.velocities(samples, keys, "t", "kpt", "x", "y"), keys, "t", "velocity")
     people = samples.select(*keys).distinct()
-    met = J.spike_response(spikes.join(people, TASK), peaks, keys, "spike_t", "peak_t")
+    met = J.spike_response(spikes, peaks, TASK, "spike_t", "peak_t", each=["person_id"])
     out = people.join(chaos, TASK).join(peaks, keys, "left").join(met, keys, "left")
-    mirrored = A.mirroring(flow.join(people, TASK), angles, keys, "t", "mean_dy", "t_angle", "angle")
+    mirrored = A.mirroring(flow, angles, TASK, "t", "mean_dy", "t_angle", "angle", each=["person_id"])
     out = out.join(mirrored, keys, "left")
     resonant = F.coalesce("detected", F.lit(False))
     return out.select(
-        *keys, M.r(M.normalised(F.col("_c"), 20.0), 2).alias("ego_kinetic_chaos_score"), F.coalesce(F.least(F.lit(10.0), F.col("peak") / 0.5), F.lit(0.0)).alias("bystander_pose_velocity_peak"),
+        *keys, M.r(M.normalised(F.col("__c"), 20.0), 2).alias("ego_kinetic_chaos_score"), F.coalesce(F.least(F.lit(10.0), F.col("peak") / 0.5), F.lit(0.0)).alias("bystander_pose_velocity_peak"),
         F.coalesce("delay", F.lit(0.0)).alias("resonance_delay_sec"), resonant.alias("motor_resonance_detected"),
         F.when(resonant, F.least(F.lit(1.0), F.col("peak") / 0.5 / 5)).otherwise(0.0).alias("empathy_scalar"),
         F.coalesce("mirroring_detected", F.lit(False)).alias("mirroring_detected"), F.coalesce("mirroring_scalar", F.lit(0.0)).alias("mirroring_scalar"),
@@ -173,7 +206,7 @@ def shared_reality(flow: DataFrame, boxes: DataFrame, tasks: DataFrame, videos:
     """Whether the wearer turned the camera to a bystander after the climax."""
     windows = tasks.select(*TASK, "win_start", "win_end")
     shift = A.camera_shift(J.interval_join(flow, windows, TASK, "t", "win_start", "win_end"), TASK, "mean_dx", "mean_dy")
-    own = boxes.join(windows, "video_id").join(videos.select("video_id", "width", "height"), "video_id")
+    own = J.interval_join(boxes, windows, ["video_id"], "t", "win_start", "win_end").join(videos.select("video_id", "width", "height"), "video_id")
     centred = S.tail_centred(own, TASK, "t", "win_start", "win_end", (F.col("x1") + F.col("x2")) / 2 / F.col("width"), (F.col("y1") + F.col("y2")) / 2 / F.col("height"))
     out = tasks.select(*TASK).join(shift, TASK, "left").join(centred, TASK, "left").join(videos.select("video_id", "width", "height"), "video_id", "left")
     out = out.fillna({"shift_x": 0.0, "shift_y": 0.0, "centred": False})

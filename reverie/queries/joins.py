@@ -11,7 +11,7 @@ from ..operators import aggregates as A
 from ..operators import filters as L
 from ..operators import joins as J
 from ..plans.export import wide_rows
-from ..plans.models import models_table, with_installed_tag
+from ..plans.models import with_installed_tag
 from .base import TRACE, query, rounded, table, trace
 
 
@@ -64,13 +64,13 @@ def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Data
 @query(
     f"""WITH base AS (SELECT CAST(c_custkey AS VARCHAR) AS video_id, c_mktsegment AS source_dataset, coalesce((SELECT string_agg(o_orderpriority, ', ' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O'), 'Unknown') AS task_labels,
   c_acctbal AS duration_sec, 30.0::DOUBLE AS fps FROM customer WHERE c_mktsegment <> 'BUILDING'), e AS (
-  SELECT CAST(o_custkey AS VARCHAR) AS video_id, {rounded("avg(o_totalprice / 1000)", 4)} AS avg_task_score, CASE WHEN count(*) > 9 THEN 'busy' END AS skipped_reason FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey
+  SELECT CAST(o_custkey AS VARCHAR) AS video_id, {rounded("avg(o_totalprice / 1000)", 4)} AS avg_task_score, CASE WHEN count(*) > 9 THEN 'busy' END AS skipped_reason, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS raw_tasks FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey
 ), p AS (
   SELECT CAST(o_custkey AS VARCHAR) AS video_id, l_discount, l_returnflag, l_tax - 0.041 AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY abs(l_tax - 0.041) DESC, o_orderkey, l_partkey, l_quantity) AS i
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), d AS (
   SELECT video_id, max(l_discount) AS max_confidence, max(CASE WHEN i = 1 THEN v END) AS max_abs_vector, bool_or(l_returnflag = 'R') AS any_approach, bool_or(l_returnflag = 'A') AS any_retreat FROM p GROUP BY video_id
-) SELECT video_id, source_dataset, task_labels, duration_sec, fps, avg_task_score, skipped_reason, max_confidence, {rounded("max_abs_vector", 4)} AS max_abs_vector, any_approach, any_retreat FROM base FULL OUTER JOIN e USING (video_id) FULL OUTER JOIN d USING (video_id)"""
+) SELECT video_id, source_dataset, task_labels, duration_sec, fps, avg_task_score, skipped_reason, raw_tasks, max_confidence, {rounded("max_abs_vector", 4)} AS max_abs_vector, any_approach, any_retreat FROM base FULL OUTER JOIN e USING (video_id) FULL OUTER JOIN d USING (video_id)"""
 )
 def wide_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export row: base columns, and each layer's summaries by the registry."""
@@ -78,6 +78,7 @@ def wide_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = wide_rows(manifest, layers)
     return wide.select(
         "video_id", "source_dataset", "task_labels", "duration_sec", "fps", F.col("03b_reasonable_emotion_avg_task_score").alias("avg_task_score"), F.col("03b_reasonable_emotion_skipped_reason").alias("skipped_reason"),
+        F.array_join(F.from_json(F.col("03b_reasonable_emotion_tasks_analyzed_raw"), "array<struct<task_id:bigint>>")["task_id"].cast("array<string>"), ",").alias("raw_tasks"),
         F.col("03d_proxemic_kinematics_max_proxemic_confidence").alias("max_confidence"), r(F.col("03d_proxemic_kinematics_max_abs_proxemic_vector"), 4).alias("max_abs_vector"),
         F.col("03d_proxemic_kinematics_any_approach_detected").alias("any_approach"), F.col("03d_proxemic_kinematics_any_retreat_detected").alias("any_retreat"),
     )
@@ -141,11 +142,8 @@ def mirroring(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = trace(spark, sf_dir)
     points = x.where("event_type = 'purchase'").select("user_id", "t")
     angles = x.where("event_type = 'view'").select("user_id", F.col("t").alias("u"), "score")
-    both = J.before_after_means(points, angles, ["user_id"], "t", "u", "score", half=400_000.0)
-    change = F.abs(F.col("after") - F.col("before"))
-    first = both.where(change > 0.1).groupBy("user_id").agg(F.min_by(change, "t").alias("d"))
-    out = points.select("user_id").distinct().join(first, "user_id", "left")
-    return out.select("user_id", F.col("d").isNotNull().alias("mirroring_detected"), r(F.coalesce(F.least(F.lit(1.0), F.col("d") / 0.5), F.lit(0.0)), 4).alias("mirroring_scalar"))
+    out = A.mirroring(points.withColumn("dy", F.lit(-2.0)), angles, ["user_id"], "t", "dy", "u", "score", half=400_000.0)
+    return out.withColumn("mirroring_scalar", r(F.col("mirroring_scalar"), 4))
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -184,18 +182,23 @@ def metadata_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT s_suppkey, coalesce(n_name, 'pinhole') AS model, CASE WHEN n_nationkey IS NOT NULL THEN CAST(s_nationkey AS DOUBLE) ELSE -640.0 END AS focal FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey <= 2"""
 )
 def intrinsics_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "nation").where("n_regionkey <= 2").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", F.col("n_nationkey").cast("double").alias("focal"))
-    out = table(spark, sf_dir, "supplier").join(known, "s_nationkey", "left")
-    return out.select("s_suppkey", F.coalesce("n_name", F.lit("pinhole")).alias("model"), F.coalesce("focal", F.lit(-640.0)).alias("focal"))
+    known = table(spark, sf_dir, "nation").where("n_regionkey <= 2").select(F.col("n_nationkey").alias("k"), F.struct("n_name", F.col("n_nationkey").cast("double").alias("focal")).alias("v"))
+    out = J.lookup_with_fallback(table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "k"), known, "k", "v", F.lit(-1))
+    return out.select("s_suppkey", F.coalesce("v.n_name", F.lit("pinhole")).alias("model"), F.coalesce("v.focal", F.lit(-640.0)).alias("focal"))
 
 
-MODELS = [("pose", "small", "pose:n", 6_500_000), ("pose", "large", "pose:x", 100_000_000), ("verify", "small", "moon:1b", None), ("verify", "large", "moon:7b", 7_000_000_000)]
-
-
-@query("SELECT * FROM (VALUES ('pose', 'small', 'pose:n', 6500000::BIGINT, 'pose:latest'), ('pose', 'large', 'pose:x', 100000000, 'pose:x'), ('verify', 'small', 'moon:1b', NULL, 'moon:1b'), ('verify', 'large', 'moon:7b', 7000000000, 'moon:7b')) AS t(layer_key, tier, model_id, bytes, resolved_id)")
+@query(
+    """WITH m AS (SELECT p_brand AS layer_key, p_type AS tier, p_name || ':' || p_size AS model_id, p_name AS base, CASE WHEN p_size > 5 THEN CAST(p_size * 1000 AS BIGINT) END AS bytes FROM part), i AS (
+  SELECT p_name || ':' || p_size AS tag FROM part WHERE p_size % 3 = 0 UNION SELECT p_name || ':latest' FROM part WHERE p_size % 2 = 0
+) SELECT layer_key, tier, model_id, bytes, CASE WHEN model_id NOT IN (SELECT tag FROM i) AND base || ':latest' IN (SELECT tag FROM i) THEN base || ':latest' ELSE model_id END AS resolved_id FROM m"""
+)
 def resolved_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    installed = spark.createDataFrame([("pose:latest",), ("pose:x",), ("other:latest",)], "tag string")
-    return with_installed_tag(models_table(spark, MODELS), installed)
+    """Parts stand for models, sizes for their versions."""
+    p = table(spark, sf_dir, "part")
+    own = F.concat("p_name", F.lit(":"), F.col("p_size").cast("string"))
+    models = p.select(F.col("p_brand").alias("layer_key"), F.col("p_type").alias("tier"), own.alias("model_id"), F.when(F.col("p_size") > 5, F.col("p_size").cast("long") * 1000).alias("bytes"))
+    installed = p.where("p_size % 3 = 0").select(own.alias("tag")).union(p.where("p_size % 2 = 0").select(F.concat("p_name", F.lit(":latest")))).distinct()
+    return with_installed_tag(models, installed)
 
 
 @query("SELECT doc_id, coalesce(CAST(quality AS DOUBLE), 1.0) AS weight, CASE WHEN l.doc_id IS NULL THEN 'no_attention_data' WHEN quality = 0 THEN 'insufficient_trace' END AS skipped_reason FROM documents LEFT JOIN labels l USING (doc_id)".replace("l.doc_id IS NULL", "quality IS NULL"))
@@ -233,7 +236,8 @@ def batched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.batches(x, "o_orderkey", free_bytes=1_000_000_000, group=["o_custkey"]).select("o_orderkey", F.col("batch").cast("long").alias("batch"))
 
 
-@query("SELECT substr(sha256(array_to_string(list_sort(['video_id', 'fps', 'b', 'a']), ',')), 1, 6) AS digest, count(*) AS total FROM region")
+@query("SELECT n_regionkey, substr(sha256(array_to_string(list_sort(list(n_name)), ',')), 1, 6) AS digest, count(*) AS total FROM nation GROUP BY n_regionkey")
 def schema_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = schema_hash(F.array(*(F.lit(c) for c in ("video_id", "fps", "b", "a"))))
-    return table(spark, sf_dir, "region").agg(F.count("*").alias("total")).select(digest.alias("digest"), "total")
+    """The nations of a region stand for the columns of a schema."""
+    names = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("names"), F.count("*").alias("total"))
+    return names.select("n_regionkey", schema_hash(F.col("names")).alias("digest"), "total")

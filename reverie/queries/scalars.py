@@ -65,12 +65,17 @@ def task_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("video_id").alias("conv_id"), "task_id", "task_label", "task_start_sec", "task_end_sec")
 
 
-@query(
-    f"""WITH {TRACE} SELECT event_id, CASE event_type WHEN 'purchase' THEN {rounded("(value + 0.5)", 2)} WHEN 'error' THEN {rounded("(value + 2.0)", 2)} ELSE {rounded("(value + 1.0)", 2)} END AS win_start FROM trace"""
-)
-def reaction_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _window(at: dict[str, float]) -> str:
+    """SQL of one end of the reaction window, clamped to 60 seconds."""
+    return f"least(60.0, CASE event_type WHEN 'purchase' THEN {rounded(f'(value + {at["fast"]})', 2)} WHEN 'error' THEN {rounded(f'(value + {at["slow"]})', 2)} ELSE {rounded(f'(value + {at["medium"]})', 2)} END)"
+
+
+@query(f"WITH {TRACE} SELECT event_id, {_window({k: v[0] for k, v in C.REACTION_WINDOWS.items()})} AS win_start, {_window({k: v[1] for k, v in C.REACTION_WINDOWS.items()})} AS win_end FROM trace")
+def reaction_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of the windows, of recordings of a minute, so that many are clamped."""
     velocity = F.when(F.col("event_type") == "purchase", "fast").when(F.col("event_type") == "error", "slow").otherwise("medium")
-    return trace(spark, sf_dir).select("event_id", M.reaction_window(F.col("value"), velocity, F.lit(1e9))[0].alias("win_start"))
+    start, end = M.reaction_window(F.col("value"), velocity, F.lit(60.0))
+    return trace(spark, sf_dir).select("event_id", start.alias("win_start"), end.alias("win_end"))
 
 
 VECTOR = "v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_quantity - 25 AS area, l_tax - l_discount AS depth FROM lineitem)"
@@ -177,15 +182,105 @@ def json_and_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), T.folded_emotion(kind).alias("emotion"))
 
 
-@query("SELECT p_partkey, CAST(floor(p_size / 0.33 + 1e-9) AS INTEGER) + 1 AS n_steps, (p_partkey % greatest(1, CAST(trunc(30.0 / 10) AS INTEGER))) = 0 AS sampled FROM part")
+@query(
+    f"""SELECT p_partkey, len(g) AS n_steps, {rounded("list_sum(g)", 4)} AS total, {rounded("g[-1]", 4)} AS last, (p_partkey % greatest(1, CAST(trunc(30.0 / 10) AS INTEGER))) = 0 AS sampled
+FROM (SELECT p_partkey, list_transform(range(CAST(floor(p_size / 0.33 + 1e-9) AS BIGINT) + 1), lambda i: CAST(p_partkey % 7 + i * 0.33::DOUBLE AS DOUBLE)) AS g FROM part)"""
+)
 def sampling_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = fixed_steps(F.lit(0.0), F.col("p_size").cast("double"), 0.33)
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(steps).alias("n_steps"), strided(F.col("p_partkey"), F.lit(30.0), 10.0).alias("sampled"))
+    start = (F.col("p_partkey") % 7).cast("double")
+    steps = fixed_steps(start, start + F.col("p_size"), 0.33)
+    total = F.aggregate("g", F.lit(0.0), lambda s, x: s + x)
+    x = table(spark, sf_dir, "part").select("p_partkey", steps.alias("g"), strided(F.col("p_partkey"), F.lit(30.0), 10.0).alias("sampled"))
+    return x.select("p_partkey", F.size("g").cast("long").alias("n_steps"), M.r(total, 4).alias("total"), M.r(F.element_at("g", -1), 4).alias("last"), "sampled")
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY regexp_extract(c_name, '^\\D*'), CAST(regexp_extract(c_name, '\\d+') AS BIGINT)) = c_custkey - min(c_custkey) OVER () + 1 AS in_order FROM customer")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY regexp_extract(c_name, '^\\D*') NULLS LAST, CAST(nullif(regexp_extract(c_name, '\\d+'), '') AS BIGINT), c_custkey) AS place FROM customer")
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    low = c.agg(F.min("c_custkey").alias("low"))
-    placed = ranked(c.select("c_custkey", T.natural_key(F.col("c_name")).alias("key")), [F.col("key").asc_nulls_last(), F.col("c_custkey").asc()])
-    return placed.join(F.broadcast(low)).select("c_custkey", (F.col("rank") == F.col("c_custkey") - F.col("low") + 1).alias("in_order"))
+    """The place of every row in the order of the natural key, nulls last."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", T.natural_key(F.col("c_name")).alias("key"))
+    return ranked(c, [F.col("key").asc_nulls_last(), F.col("c_custkey").asc()], "place").select("c_custkey", "place")
+
+
+GESTURE = "nod > 0.6 AND shake > 0.6 AND abs(nod - shake) < 0.15"
+
+
+@query(
+    f"""WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 50 AS nod, l_discount * 10 AS shake FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN {GESTURE} THEN 'ambiguous_wobble' WHEN nod > 0.6 AND nod > shake THEN 'affirming_nod' WHEN shake > 0.6 THEN 'negating_shake' ELSE 'none' END AS gesture,
+  {rounded(f"(CASE WHEN {GESTURE} THEN (nod + shake) / 2 WHEN nod > 0.6 AND nod > shake THEN nod WHEN shake > 0.6 THEN shake ELSE 0.0 END)", 4)} AS confidence FROM g"""
+)
+def gesture_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities and discounts stand for the confidences of a nod and a shake."""
+    g = M.gesture(F.col("l_quantity") / 50, F.col("l_discount") * 10)
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", g.alias("g"))
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", F.col("g.label").alias("gesture"), M.r(F.col("g.confidence"), 4).alias("confidence"))
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, greatest(0.0, l_quantity - 30) AS x1, greatest(0.0, l_linenumber - 5.0) AS y1, least(15.0, l_quantity - 20) AS x2, least(4.0, l_linenumber + 5.0) AS y2 FROM lineitem)
+SELECT * FROM b WHERE x2 > x1 AND y2 > y1"""
+)
+def clamped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points padded by 5 to boxes and clamped to a frame of 15 by 4; those that are left without an area go."""
+    x, y, names = F.col("l_quantity") - 25, F.col("l_linenumber").cast("double"), ("x1", "y1", "x2", "y2")
+    box = M.clamp_box(x, y, x, y, F.lit(15.0), F.lit(4.0), F.lit(5.0))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *(c.alias(n) for c, n in zip(box, names)))
+    return rows.where(L.sound_box(*(F.col(n) for n in names)))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round_even(CAST(l_quantity AS DECIMAL(18, 6)) / 8, 2) AS DOUBLE) AS eighths FROM lineitem")
+def half_even_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eighths are exact in binary, so every fourth of them is a tie at two digits."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", M.py_round(F.col("l_quantity") / 8, 2).alias("eighths"))
+
+
+SEEN = """d AS (SELECT *, least(l_discount * 10, 1.0) AS head, l_tax * 12.5 AS shoulder FROM lineitem), own AS (
+  SELECT * FROM d WHERE NOT ((l_quantity > 0.95 * 50 AND l_linenumber > 0.15 * 50) OR (l_linenumber = 0 AND l_quantity > 0.9 * 50)) AND head >= 0.3 AND shoulder >= 0.3
+)"""
+
+
+@query(
+    f"""WITH {SEEN}, plain AS (SELECT l_orderkey FROM own GROUP BY l_orderkey HAVING count(DISTINCT l_shipdate) >= 2), faces AS (
+  SELECT DISTINCT l_orderkey, l_shipdate FROM own WHERE NOT (l_quantity > 0.80 * 50 AND l_returnflag = 'R')
+), said AS (SELECT l_orderkey, l_shipdate, max(l_tax) > 0.04 AS several, max(l_tax) > 0.07 AS stereo FROM lineitem GROUP BY 1, 2), asked AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate) AS i FROM faces JOIN said USING (l_orderkey, l_shipdate)
+), sure AS (SELECT l_orderkey FROM asked GROUP BY l_orderkey HAVING count(*) FILTER (WHERE several AND i <= 5) >= 2 AND NOT bool_or(stereo AND i = 1))
+SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM plain) AS present, o_orderkey IN (SELECT l_orderkey FROM sure) AS verified FROM orders"""
+)
+def social_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for recordings, ship dates for frames, lines for detections; discounts and taxes for what is visible."""
+    from ..plans.presence import presence
+
+    lines = table(spark, sf_dir, "lineitem")
+    conf = F.concat(F.array_repeat(F.least(F.col("l_discount") * 10, F.lit(1.0)), 5), F.array_repeat(F.col("l_tax") * 12.5, 2))
+    seen = lines.select(
+        F.col("l_orderkey").alias("video_id"), F.col("l_shipdate").alias("frame"), F.col("l_linenumber").alias("y1"), F.col("l_quantity").alias("y2"), F.lit(50.0).alias("height"), conf.alias("keypoints"),
+        F.when(F.col("l_returnflag") == "R", True).when(F.col("l_returnflag") == "A", False).alias("face_up"),
+    )
+    said = lines.groupBy(F.col("l_orderkey").alias("video_id"), F.col("l_shipdate").alias("frame")).agg((F.max("l_tax") > 0.04).alias("several"), (F.max("l_tax") > 0.07).alias("stereo"))
+    videos = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video_id"))
+    plain, verified = presence(videos, seen), presence(videos, seen, said).withColumnRenamed("present", "verified")
+    return plain.join(verified, "video_id").withColumnRenamed("video_id", "o_orderkey")
+
+
+@query("SELECT n_nationkey, n_regionkey < 2 OR n_regionkey = 3 AS kept FROM nation")
+def streaming_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions 0 and 1 are confirmed, 2 and 4 rejected, 3 has no decision and stays."""
+    from ..plans.presence import kept_recordings
+
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("video_id"), "n_regionkey")
+    decisions = n.where("n_regionkey <> 3").select("video_id", (F.col("n_regionkey") < 2).alias("present"))
+    kept = kept_recordings(n.select("video_id"), decisions).withColumn("kept", F.lit(True))
+    return n.join(kept, "video_id", "left").select(F.col("video_id").alias("n_nationkey"), F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, l_partkey * 100000 + CAST(l_quantity AS BIGINT) * 100 + l_linenumber AS idx, CASE WHEN l_partkey % 5 > 0 THEN l_discount END AS iou, CASE WHEN l_tax > 0 THEN l_quantity * l_tax END AS spread FROM lineitem), m AS (
+  SELECT l_orderkey, idx, CASE WHEN count(iou) OVER p = count(*) OVER p THEN iou ELSE coalesce(spread, -1.0) END AS s FROM c WINDOW p AS (PARTITION BY l_orderkey)
+) SELECT l_orderkey, idx FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s DESC, idx) AS k FROM m) WHERE k = 1"""
+)
+def pose_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines stand for the poses found in a crop: discounts for overlaps with it, some missing; quantity and tax for the spread of keypoints."""
+    idx = F.col("l_partkey") * 100000 + F.col("l_quantity").cast("long") * 100 + F.col("l_linenumber")
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", idx.alias("idx"), F.when(F.col("l_partkey") % 5 > 0, F.col("l_discount")).alias("iou"), F.when(F.col("l_tax") > 0, F.col("l_quantity") * F.col("l_tax")).alias("spread"))
+    return L.pose_pick(x, ["l_orderkey"], "idx", "iou", "spread").select("l_orderkey", "idx")

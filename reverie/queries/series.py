@@ -135,10 +135,10 @@ SELECT p.user_id % 10 AS task_id, CASE WHEN sum(coalesce(weight, 1.0)) > 0 THEN
 FROM person p LEFT JOIN weights USING (user_id) GROUP BY 1"""
 )
 def attention_weighted_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = trace(spark, sf_dir).where("event_type = 'signup'").groupBy("user_id").agg(r(F.avg("score"), 2).alias("weight")).withColumn("one", F.lit(1))
-    x = J.weighted_left_join(late_stage_scores(spark, sf_dir), weights, ["user_id"], "weight", "one")
-    sums = x.groupBy((F.col("user_id") % 10).alias("task_id")).agg(F.sum(F.col("late_stage_score") * F.col("weight")).alias("n"), F.sum("weight").alias("d"))
-    return sums.select("task_id", (F.when(F.col("d") > 0, r(F.col("n") / F.col("d"), 2)).otherwise(0.0) + 0.0).alias("task_aggregate_score"))
+    weights = trace(spark, sf_dir).where("event_type = 'signup'").groupBy("user_id").agg(r(F.avg("score"), 2).alias("average_attention_score"))
+    persons = late_stage_scores(spark, sf_dir).withColumn("task_id", F.col("user_id") % 10)
+    out = L.task_scores(persons, ["task_id"], weights, ["user_id"])
+    return out.select("task_id", (F.col("task_aggregate_score") + 0.0).alias("task_aggregate_score"))
 
 
 @query(
@@ -240,7 +240,15 @@ def person_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("user_id", F.size(ids).cast("long").alias("n"), F.array_join(ids, ",").alias("events"), F.array_join(F.transform("detection_confidence", lambda v: F.round(v * 100).cast("long").cast("string")), ",").alias("hundredths"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TRACE}, n AS (SELECT user_id, event_id, t / 86400 AS t, score, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM trace), walked AS (
+  SELECT user_id, event_id, t, score, i, true AS taken, false AS in_burst, t + 1.0 AS due, -1e300::DOUBLE AS until, score AS last FROM n WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, t, score, i, taken, taken AND t <= until AS in_burst, CASE WHEN taken THEN t + CASE WHEN t < until THEN 0.5 ELSE 1.0 END ELSE due END AS due, until, CASE WHEN taken THEN score ELSE last END AS last FROM (
+    SELECT n.user_id, n.event_id, n.t, n.score, n.i, n.t + 1e-9 >= w.due AS taken, CASE WHEN n.t + 1e-9 >= w.due AND abs(n.score - w.last) > 0.3 THEN n.t + 2.0 ELSE w.until END AS until, w.due, w.last
+    FROM walked w JOIN n ON n.user_id = w.user_id AND n.i = w.i + 1)
+) SELECT user_id, event_id, t, score, in_burst FROM walked WHERE taken"""
+)
 def burst_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days stand for eighths of a second."""
     x = trace(spark, sf_dir).select("user_id", "event_id", (F.col("t") / 86400).alias("t"), "score")
@@ -285,3 +293,50 @@ def signal_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift = A.camera_shift(x, ["user_id"], "value", "score")
     var = A.normalised_variance(x, ["user_id"], "value").withColumn("variance", r(F.col("variance"), 4))
     return stats.join(shift, "user_id").join(var, "user_id")
+
+
+@query(
+    f"""WITH x AS (SELECT l_orderkey, l_shipdate, l_partkey % 13 AS k, l_quantity AS x, l_discount AS y FROM lineitem), m AS (
+  SELECT l_orderkey, l_shipdate, avg(x) FILTER (WHERE k IN (5, 6)) AS sx, avg(y) FILTER (WHERE k IN (5, 6)) AS sy, avg(x) FILTER (WHERE k IN (11, 12)) AS hx, avg(y) FILTER (WHERE k IN (11, 12)) AS hy FROM x GROUP BY 1, 2
+) SELECT l_orderkey, l_shipdate, {rounded("atan2(sy - hy, sx - hx)", 4)} AS angle FROM m WHERE sx IS NOT NULL AND hx IS NOT NULL"""
+)
+def body_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order on one day stand for the keypoints of a sample."""
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", (F.col("l_partkey") % 13).alias("k"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
+    return A.spine_angles(x, ["l_orderkey"], "l_shipdate", "k", "x", "y").withColumn("angle", r(F.col("angle"), 4))
+
+
+@query(f"""SELECT l_orderkey, {rounded("coalesce(median(l_quantity) FILTER (WHERE l_returnflag = 'R'), median(l_quantity)) / 255", 6)} AS depth FROM lineitem GROUP BY l_orderkey""")
+def masked_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned lines stand for the pixels under the mask of a sample."""
+    x = A.masked_median(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity", F.col("l_returnflag") == "R")
+    return x.select("l_orderkey", r(F.col("median"), 6).alias("depth"))
+
+
+def _ray(x1: str, y1: str, x2: str, y2: str) -> str:
+    x, y, z = f"-(({x1} + {x2}) / 2 - 320.0)", f"-(({y1} + {y2}) / 2 - 240.0)", "-640.0"
+    return f"((-cos(yaw) * sin(pitch)) * ({x}) + (-sin(yaw)) * ({y}) + (-cos(yaw) * cos(pitch)) * ({z})) / sqrt(({x}) * ({x}) + ({y}) * ({y}) + ({z}) * ({z}))"
+
+
+def _closest(kind: str, columns: str) -> str:
+    return f"""SELECT g.event_id, {columns}, row_number() OVER (PARTITION BY g.event_id ORDER BY abs(b.t - g.t), b.t) AS k FROM g JOIN trace b ON b.user_id = g.user_id AND b.event_type = '{kind}' AND abs(b.t - g.t) <= 400000"""
+
+
+@query(
+    f"""WITH {TRACE}, g AS (SELECT user_id, event_id, t, score - 0.5 AS pitch, value / 100 - 0.5 AS yaw FROM trace WHERE event_type = 'purchase'), box AS ({_closest("view", "b.value * 6 AS x, b.score * 400 AS y")}), hand AS ({_closest("signup", "b.value * 6 AS hx, b.score * 480 AS hy, b.value")}), d AS (
+  SELECT user_id, g.t, {_ray("x", "y", "x + 20", "y + 40")} AS person, CASE WHEN h.value > 5 THEN greatest({_ray("hx", "hy", "hx + 30", "hy + 30")}, {_ray("(640 - hx)", "hy", "(640 - hx)", "(hy + 10)")}) END AS hand
+  FROM g JOIN box b ON b.event_id = g.event_id AND b.k = 1 LEFT JOIN hand h ON h.event_id = g.event_id AND h.k = 1
+) SELECT user_id, t, CASE WHEN hand > person THEN 'POV_Actor_Hands' ELSE 'Camera' END AS target, {rounded("greatest(0.0, least(1.0, (greatest(person, coalesce(hand, person)) - 0.5) * 2))", 2)} AS score FROM d"""
+)
+def gaze_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases stand for gaze samples, views for boxes, signups for frames with two hands, or none if their value is small."""
+    x = trace(spark, sf_dir).withColumns({"video_id": F.col("user_id"), "person_id": F.lit(0)})
+    gaze = x.where("event_type = 'purchase'").select("video_id", "person_id", "t", (F.col("score") - 0.5).alias("pitch_rad"), (F.col("value") / 100 - 0.5).alias("yaw_rad"))
+    left, top = F.col("value") * 6, F.col("score") * 400
+    boxes = x.where("event_type = 'view'").select("video_id", "person_id", "t", left.alias("x1"), top.alias("y1"), (left + 20).alias("x2"), (top + 40).alias("y2"))
+    low = F.col("score") * 480
+    two = F.array(F.array(left, low, left + 30, low + 30), F.array(640 - left, low, 640 - left, low + 10))
+    hands = x.where("event_type = 'signup'").select("video_id", "t", F.when(F.col("value") > 5, two).otherwise(F.array().cast("array<array<double>>")).alias("hand_boxes"))
+    camera = x.select("video_id", F.lit(640).alias("width"), F.lit(480).alias("height"), *(F.lit(None).cast("double").alias(c) for c in ("cx", "cy", "focal"))).distinct()
+    out = L.attention(gaze, boxes, camera, 400_000.0, hands)
+    return out.select(F.col("video_id").alias("user_id"), "t", "target", "score")

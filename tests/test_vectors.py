@@ -227,6 +227,8 @@ def test_layer_plans_end_to_end(spark):
     points = spark.createDataFrame([("v", "t_00", 1, t, 1, x, 0.0) for t, x in ((0.9, 0.0), (1.2, 0.9))], "video_id string, task_id string, person_id long, t double, kpt int, x double, y double")
     angles = spark.createDataFrame([("v", "t_00", 1, t, a) for t, a in ((0.8, 0.0), (1.3, 0.25))], "video_id string, task_id string, person_id long, t_angle double, angle double")
     row = layers.resonance(flow, points, angles).first()
+    spine = points.union(spark.createDataFrame([("v", "t_00", 1, t, k, x, y) for t, k, x, y in ((0.8, 5, 1.0, 0.0), (0.8, 12, 0.0, 0.0), (1.3, 6, 1.0, math.tan(0.25)), (1.3, 11, 0.0, 0.0), (1.3, 3, 5.0, 5.0))], points.schema))
+    assert abs(layers.resonance(flow, spine).first()["mirroring_scalar"] - 0.5) < 1e-9
     assert row["motor_resonance_detected"] and round(row["resonance_delay_sec"], 6) == 0.2 and row["mirroring_detected"] and row["mirroring_scalar"] == 0.5 and row["ego_kinetic_chaos_score"] == 1.0
     videos = spark.createDataFrame([("v", 300, 300)], "video_id string, width int, height int")
     row = layers.shared_reality(flow, boxes, tasks, videos).first()
@@ -239,6 +241,11 @@ def test_layer_plans_end_to_end(spark):
     trace = spark.createDataFrame([("v", 1, float(x), float(0.1 * np.sin(4 * np.pi * x)), 0.0) for x in t], "video_id string, person_id long, t double, pitch_rad double, yaw_rad double")
     row = layers.gesture(trace, tasks, F.lit("none")).first()
     assert row["gesture_detected"] == "affirming_nod" and row["skipped_reason"] is None
+    row = layers.gesture(trace.withColumn("yaw_rad", F.col("pitch_rad")), tasks, F.lit("none")).first()
+    assert row["gesture_detected"] == "ambiguous_wobble"
+    for missing in (None, trace.limit(0)):
+        with pytest.raises(RuntimeError, match="missing or empty"):
+            layers.gesture(missing, tasks, F.lit("none"))
     full = spark.createDataFrame([("v", 10.0, ["Cook", " idling ", "Slip"])], "video_id string, duration_sec double, labels array<string>")
     tiled = layers.tasks_of(full, "labels")
     motion = spark.createDataFrame([("v", i / 4, 1.0 if i == 26 else 0.1) for i in range(40)], "video_id string, t double, mean_mag double")
@@ -252,3 +259,45 @@ def test_model_tiers(spark):
     assert model_for(m, "a", "medium") == "y:1" and A.resident_bytes(m, "small").first()["bytes"] == 5
     with pytest.raises(KeyError):
         model_for(m, "b", "small")
+
+
+@pytest.mark.parametrize("nod,shake,label,sure", [(0.6, 0.6, "none", 0.0), (0.7, 0.84, "ambiguous_wobble", 0.77), (0.7, 0.9, "negating_shake", 0.9), (0.9, 0.7, "affirming_nod", 0.9), (0.61, 0.2, "affirming_nod", 0.61)])
+def test_gesture_decision(spark, nod, shake, label, sure):
+    row = one(spark, g=M.gesture(F.lit(nod), F.lit(shake)))["g"]
+    assert row["label"] == label and round(row["confidence"], 9) == sure
+
+
+def test_rounding_as_in_python(spark):
+    rng = random.Random(1)
+    values = [0.125, 0.375, 2.675, 1.005, -0.125, 0.5, 1.5, -2.5, 1e-9, 0.0] + [rng.randint(-4000, 4000) / 1000 for _ in range(500)] + [rng.uniform(-5, 5) for _ in range(500)]
+    for digits in (0, 2, 4):
+        rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", M.py_round(F.col("v"), digits).alias("p"), M.r(F.col("v"), digits).alias("r")).collect()
+        assert [r["p"] + 0.0 for r in rows] == [round(r["v"], digits) + 0.0 for r in rows]
+
+
+def test_interval_join_meets_no_far_pair(spark):
+    points = spark.range(2000).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("t"))
+    windows = spark.range(200).select(F.lit(1).alias("k"), (F.col("id") * 10.0).alias("s"), (F.col("id") * 10.0 + F.when(F.col("id") == 3, 1900.0).otherwise(4.0)).alias("e"))
+    got = J.interval_join(points, windows, ["k"], "t", "s", "e")
+    brute = [(t, w) for t in range(2000) for w in range(200) if w * 10 <= t <= w * 10 + (1900 if w == 3 else 4)]
+    assert got.count() == len(brute)
+    width = 13.5  # the mean length, so each window stands in two buckets on average
+    reach = windows.select(F.sum(F.floor(F.col("e") / width) - F.floor(F.col("s") / width) + 1)).first()[0]
+    assert reach <= 3 * 200
+    assert J.interval_join(points, windows.limit(0), ["k"], "t", "s", "e").count() == 0
+
+
+def test_gaze_at_hands(spark):
+    gaze = spark.createDataFrame([("v", 1, t, 0.0, 0.0) for t in (0.0, 1.0, 5.0)], "video_id string, person_id int, t double, pitch_rad double, yaw_rad double")
+    boxes = spark.createDataFrame([("v", 1, t, 80.0, 80.0, 100.0, 100.0) for t in (0.0, 5.0)], "video_id string, person_id int, t double, x1 double, y1 double, x2 double, y2 double")
+    camera = spark.createDataFrame([("v", 100, 100, None, None, None)], "video_id string, width int, height int, cx double, cy double, focal double")
+    hands = spark.createDataFrame([("v", 0.2, [[45.0, 45.0, 55.0, 55.0], [0.0, 0.0, 4.0, 4.0]]), ("v", 5.1, [])], "video_id string, t double, hand_boxes array<array<double>>")
+    rows = {r["t"]: r for r in layers.attention(gaze, boxes, camera, hands=hands).collect()}
+    assert rows[0.0]["target"] == rows[1.0]["target"] == "POV_Actor_Hands" and rows[0.0]["score"] == 1.0
+    assert rows[5.0]["target"] == "Camera" and rows[5.0]["score"] < 1.0
+
+
+def test_pose_pick_falls_back(spark):
+    rows = [("one", 0, None, None), ("box", 0, 0.2, 9.0), ("box", 1, 0.5, 1.0), ("box", 2, 0.5, 2.0), ("spread", 0, 0.9, 1.0), ("spread", 1, None, 3.0), ("none", 0, None, None), ("none", 1, None, None)]
+    d = spark.createDataFrame(rows, "k string, i int, iou double, spread double")
+    assert {r["k"]: r["i"] for r in L.pose_pick(d, ["k"], "i", "iou", "spread").collect()} == {"one": 0, "box": 1, "spread": 1, "none": 0}
