@@ -7,15 +7,15 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, lookup, materialise, released
 from .components import connected_components
 from .simhash import fingerprint_links, majority
 
-#: Texts whose shingles are counted for the order, shingles that the order puts last, and rounds against one text of each shingle.
-_SAMPLE, _COMMON, _ROUNDS = 5_000, 200_000, 2
+#: Texts whose shingles are counted for the order, and shingles that the order puts last.
+_SAMPLE, _COMMON = 5_000, 200_000
 #: Rows of an output batch, buckets of a sketch, and set ids that are broadcast (24 bytes each); more are joined by shuffle.
 _ROWS, _BUCKETS, _BROADCAST = 256, 1024, 1_000_000
 
@@ -112,23 +112,32 @@ def common_shingles(texts: DataFrame, shingle_words: int) -> np.ndarray:
     return often.toPandas()["hash"].to_numpy(np.int64)[::-1].copy()
 
 
+_SHARED = ("hash", "set_id", "n", "pos", "centre", "centre_n", "centre_pos")
+_SHARED_TYPES = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of (hash, set_id), those whose hash has another set_id; repeated rows once."""
-    names = ["hash", "set_id", "n"]
-    last, joined = [np.empty(0, t) for t in (np.int64, np.int64, np.int32)], False  # a row held back, and whether the one before it has its hash
+    """Of rows in the order of (hash, set_id), those whose hash has another set_id, with the first of their hash as its centre; repeated rows once."""
+    last, joined = [np.empty(0, t) for t in _SHARED_TYPES], False  # a row held back, and whether the one before it has its hash
     for batch in batches:
-        h, s, n = (np.append(x, batch.column(c).to_numpy()) for x, c in zip(last, names))
+        h, s, n, p = (np.append(x, batch.column(c).to_numpy()) for x, c in zip(last, _SHARED[:4]))
         if not len(h):
             continue
         fresh = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))
-        h, s, n = h[fresh], s[fresh], n[fresh]
-        same = np.append(joined, h[1:] == h[:-1])
-        keep = same[:-1] | same[1:]
-        last, joined = [h[-1:], s[-1:], n[-1:]], bool(same[-1])
+        h, s, n, p = h[fresh], s[fresh], n[fresh], p[fresh]
+        first = np.append(True, h[1:] != h[:-1])
+        start = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+        c, cn, cp = s[start], n[start], p[start]
+        if len(last[0]):  # the group that goes on has its centre from before
+            own = start == 0
+            c[own], cn[own], cp[own] = last[4][0], last[5][0], last[6][0]
+        same = np.append(joined, ~first[1:])
+        keep, columns = same[:-1] | same[1:], (h, s, n, p, c, cn, cp)
+        last, joined = [x[-1:] for x in columns], bool(same[-1])
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (h, s, n)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in columns], names=_SHARED)
     if joined:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=_SHARED)
 
 
 def _held_sets(texts: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
@@ -184,11 +193,12 @@ def similar_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, similar
     1. SimHash: sets of one fingerprint are compared with one of them, and fingerprints within radius, found by the
        generalised pigeonhole, by one set of each. That joins most copies at little cost. It misses pairs whose
        fingerprints lie farther apart, as about half of those at 0.8 do.
-    2. Prefix filter, which leaves none out: in any order of all shingles, two sets of that similarity share one of the first
-       prefix_length of each. Shingles that are common in a sample go last, so boilerplate makes no candidates unless a text
-       is little else; the order changes the cost and never the result. Sets meet by the prefix shingles they share. The
-       first rounds compare each with one set of the shingle, which joins large groups of copies by a number of pairs in
-       proportion to their members; the last compares all pairs that are still in different components.
+    2. Prefix filter, which leaves none out. In any order of all shingles, two sets of sizes m and n of that similarity have
+       at least k = ceil(similarity / (1 + similarity) * (m + n)) in common, so one of the first m - k + 1 of the one is among
+       the first n - k + 1 of the other. Shingles that are common in a sample go last, so boilerplate makes no candidates unless
+       a text is little else; the order changes the cost and never the result. Sets meet by the shingles they share
+       there: first each with one set of the shingle, which joins large groups of copies by a number of pairs in proportion to
+       their members, then all pairs that are still in different components.
     """
     prints = materialise(classes.where("n > 0").groupBy("fp").agg(F.min("set_id").alias("set_id")), "copies-prints")
     of = lookup(classes.where("n > 0").select("fp", F.col("set_id").alias("a")), prints.withColumnRenamed("set_id", "b"), "fp").select("a", "b")
@@ -198,24 +208,32 @@ def similar_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, similar
     links = _similar(_ordered(of.union(across)), classes, texts, similarity, shingle_words)
     discard(prints)
 
-    rows = sets.select(F.explode("prefix").alias("hash"), "set_id", "n")
-    rows = materialise(rows.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_shared, "hash long, set_id long, n int"), "copies-shared")
-    near_size = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    for k in range(_ROUNDS + 1):
-        roots = connected_components(links).withColumnRenamed("node", "set_id")
-        now = lookup(rows, roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        mixed = now.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hash")
-        left = materialise(now.join(mixed, "hash", "left_semi"), "copies-left")
-        if k < _ROUNDS:
-            centre = left.groupBy("hash").agg(F.min_by(F.struct("set_id", "n", "root"), F.xxhash64("set_id", F.lit(k))).alias("c"))
-            met = left.join(centre, "hash").select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("c.set_id").alias("b"), F.col("c.n").alias("nb"), F.col("c.root").alias("rb"))
-        else:
-            a, b = (left.select("hash", F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-            met = a.join(b, "hash").where("a < b")
-        found = _similar(_ordered(met.where((F.col("ra") != F.col("rb")) & near_size).select("a", "b")), classes, texts, similarity, shingle_words)
-        discard(left, roots)
-        links = links.union(found)
-    discard(rows)
+    rows = sets.select(F.posexplode("prefix").alias("pos", "hash"), "set_id", "n")
+    schema = "hash long, set_id long, n int, pos int, centre long, centre_n int, centre_pos int"
+    rows = materialise(rows.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_shared, schema), "copies-shared")
+
+    def apart(of: DataFrame, by: list[str]) -> DataFrame:
+        """of with roots of the sets named by columns by."""
+        roots = connected_components(links)
+        for column in by:
+            of = lookup(of, roots.withColumnRenamed("node", column), column, "left").withColumn(f"root_{column}", F.coalesce("root", column)).drop("root")
+        return of
+
+    def reach(na: str, pa_: str, nb: str, pb: str) -> Column:
+        least = F.ceil((F.col(na) + F.col(nb)) * (similarity / (1 + similarity)) - 1e-9)
+        return (F.col(pa_) <= F.col(na) - least) & (F.col(pb) <= F.col(nb) - least)
+
+    stars = apart(rows.where("set_id <> centre"), ["set_id", "centre"]).where("root_set_id <> root_centre")
+    stars = stars.where(reach("n", "pos", "centre_n", "centre_pos")).select(F.col("set_id").alias("a"), F.col("centre").alias("b"))
+    links = links.union(_similar(_ordered(stars), classes, texts, similarity, shingle_words))
+
+    now = materialise(apart(rows, ["set_id", "centre"]).withColumn("other", F.col("root_set_id") != F.col("root_centre")), "copies-rooted")
+    mixed = now.where("other").select("hash").distinct()
+    left = materialise(now.select("hash", "set_id", "n", "pos", F.col("root_set_id").alias("root")).join(mixed, "hash", "left_semi"), "copies-left")
+    a, b = (left.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "pos", "root"))) for x in "ab")
+    met = a.join(b, "hash").where(F.col("set_id_a") < F.col("set_id_b")).where((F.col("root_a") != F.col("root_b")) & reach("n_a", "pos_a", "n_b", "pos_b"))
+    links = links.union(_similar(_ordered(met.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))), classes, texts, similarity, shingle_words))
+    discard(rows, now, left)
     return links
 
 

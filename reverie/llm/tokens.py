@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 _KEPT = 200_000
 _LONGEST = 64
-_BYTES_AT_ONCE = 4 << 20
+_BYTES_AT_ONCE = 1 << 20
 _LINES = 1 << 15
 #: A piece at the start of a text or line, which no space begins, and a newline, as they are marked while a text is cut.
 _HEAD, _LINE = "\x01", "\x00"
