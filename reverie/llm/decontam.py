@@ -6,8 +6,9 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import discard, materialise
 
 BITS = 64
 
@@ -103,52 +104,60 @@ def contaminated(
     """Documents that hold a benchmark item: doc_id, item_id, start_word, n_words, hamming, similarity of the best window.
 
     1. Windows. A window can only be similar to an item if it shares at least similarity times the item's shingles with it,
-       also where the end of the text makes it shorter than the item. The shingles of every document meet those of the
-       items, and each (document, item) with enough of them gives windows of the item's length, one for each alignment of
-       a common shingle. This count leaves out no similar window.
-    2. Candidates. Windows and items of one length meet by their SimHash fingerprints: bits are split into blocks so that
-       fingerprints within radius differ in at most `within` bits of one block; items stand at all such values.
+       also where the end of the text makes it shorter than the item. So it shares one of the item's rarest shingles, of as
+       many as leave out fewer than that; those alone make pairs of a row and an item, and a shingle that many items hold
+       makes none unless an item has no rarer ones. Pairs with enough common shingles give windows of the item's length,
+       one for each alignment of a common shingle. This leaves out no similar window at such an alignment.
+    2. Candidates. A window meets its item by their SimHash fingerprints: bits are split into blocks so that fingerprints
+       within radius differ in at most `within` bits of one block; items stand at all such values, windows at their own.
     3. Verification. Candidates within radius are kept if their exact weighted-shingle similarity reaches similarity. At
-       0.8, fingerprints differ in 10 bits on average and in over 20 for about one pair in 10,000.
+       0.8, fingerprints differ in 10 bits on average and in over 20 for about one pair in 10,000, which are lost.
 
     Words are lower-cased runs of letters and digits, so case, punctuation and layout do not hide a passage. Items with fewer
     words than a shingle are one shingle of all their words. Null and empty texts hold nothing; items without a word match
-    nothing. Rows that share a doc_id (or have none) count as one document: it holds an item if one of its rows does. Equal
-    windows tie to the smallest start. Empty tables give an empty result. Other columns are ignored.
+    nothing. Rows are searched one by one; those that share a doc_id (or have none) count as one document: it holds an item if
+    one of its rows does. Equal windows tie to the smallest start. Empty tables give an empty result. Other columns are ignored.
 
-    Of the document table only shingle hashes that occur in the benchmark leave the scan; texts are read again for documents
+    Of the document table only shingle hashes that occur in the benchmark leave the scan; texts are read again for rows
     with windows. The item tables are broadcast up to broadcast_rows rows and joined by shuffle beyond.
     """
     items = materialise(benchmark_items(benchmark, shingle_words), "decontam-items")
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    placed = items.select("item_id", "n_words", "n_shingles", "k", F.posexplode("hashes").alias("item_at", "hash"))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))  # tells rows apart; equal rows are one
+    placed = materialise(items.select("item_id", "n_words", "n_shingles", "k", F.posexplode("hashes").alias("item_at", "hash")), "decontam-placed")
     n_placed, sizes = placed.count(), [r["k"] for r in items.select("k").distinct().collect()]  # sizes: at most shingle_words numbers
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if n_placed <= broadcast_rows else df
 
+    least = F.ceil(F.col("n_shingles") * similarity - 1e-9)  # common shingles of an item and a window of any length
+    often = placed.groupBy("hash", "k").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("often", "hash", "item_at"))
+    rare = placed.join(often, ["hash", "k"]).withColumn("place", place).where(F.col("place") <= F.col("n_shingles") - least + 1).select("hash", "k", "item_id").distinct()
+
     hashed = let(words_of(F.col("text")), lambda w: F.array(*(F.struct(F.lit(k).alias("k"), shingle_hashes(w, k).alias("hashes")) for k in sizes or [shingle_words])))
-    rows = texts.select("doc_id", F.explode(hashed).alias("s")).select("doc_id", F.col("s.k").alias("k"), F.posexplode("s.hashes").alias("at", "hash"))
+    rows = texts.select("doc_id", "row", F.explode(hashed).alias("s")).select("doc_id", "row", F.col("s.k").alias("k"), F.posexplode("s.hashes").alias("at", "hash"))
     hits = rows.join(small(placed.select("hash", "k").distinct()), ["hash", "k"], "left_semi")
     hits = materialise(hits, "decontam-hits")
 
-    aligned = hits.join(small(placed), ["hash", "k"])
-    least = F.ceil(F.col("n_shingles") * similarity - 1e-9)  # common shingles of an item and a window of any length
-    enough = aligned.groupBy("doc_id", "item_id", "n_shingles").agg(F.countDistinct("at").alias("n")).where(F.col("n") >= least)
-    pairs = enough.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
+    met = materialise(hits.join(small(rare), ["hash", "k"]).select("row", "item_id").distinct(), "decontam-met")
+    met = F.broadcast(met) if met.count() <= broadcast_rows // 4 else met
+    aligned = hits.join(met, "row").join(small(placed), ["item_id", "hash", "k"])
+    pairs = aligned.groupBy("row", "item_id", "n_shingles").agg(F.countDistinct("at").alias("n")).where(F.col("n") >= least).select("row", "item_id")
+    pairs = materialise(pairs, "decontam-pairs")
     windows = (
-        aligned.join(pairs, aligned["doc_id"].eqNullSafe(pairs["d"]) & (aligned["item_id"] == pairs["i"]))
-        .select("doc_id", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("start"), "n_words", "k")
+        aligned.join(F.broadcast(pairs) if pairs.count() <= broadcast_rows // 4 else pairs, ["row", "item_id"])
+        .select("row", "item_id", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("start"), "n_words", "k")
         .distinct()
     )
-    per_doc = materialise(windows.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("start", "n_words", "k")).alias("windows")), "decontam-windows")
-    held = F.broadcast(per_doc) if per_doc.select(F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()[0] <= broadcast_rows // 20 else per_doc
-    cut = texts.join(held, texts["doc_id"].eqNullSafe(per_doc["d"])).select(
+    per_row = materialise(windows.groupBy(F.col("row").alias("own")).agg(F.collect_list(F.struct("item_id", "start", "n_words", "k")).alias("windows")), "decontam-windows")
+    held = F.broadcast(per_row) if per_row.select(F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()[0] <= broadcast_rows // 20 else per_row
+    cut = texts.join(held, texts["row"] == per_row["own"]).select(
         "doc_id",
         F.explode(
             let(
                 words_of(F.col("text")),
-                lambda w: F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n_words"].alias("n_words"), x["k"].alias("k"), F.slice(w, x["start"] + 1, x["n_words"]).alias("words"))),
+                lambda w: F.transform("windows", lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), x["n_words"].alias("n_words"), x["k"].alias("k"), F.slice(w, x["start"] + 1, x["n_words"]).alias("words"))),
             )
         ).alias("w"),
     )
@@ -156,19 +165,23 @@ def contaminated(
     prints = F.coalesce(*(F.when(F.col("k") == k, simhash(shingle_hashes(F.col("words"), k))) for k in sizes or [shingle_words]))
     windows = materialise(cut.withColumn("fp", prints), "decontam-prints")
 
-    masks = hamming_blocks(radius, within)
-    item_prints = materialise(items.select("item_id", F.col("words").alias("item_words"), "n_words", "k", let(F.col("hashes"), simhash).alias("item_fp")), "decontam-item-prints")
-    at_items = item_prints.withColumn("at", F.explode(_block_keys(F.col("item_fp"), masks, within)))
-    at_windows = windows.withColumn("at", F.explode(_block_keys(F.col("fp"), masks, 0)))
-    near = (
-        at_windows.join(at_items, ["n_words", "k", "at"])
-        .withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-        .where(F.col("hamming") <= radius)
-        .select("doc_id", "start", "n_words", "k", "words", "item_id", "item_words", "hamming")
-        .distinct()
-    )
+    near = candidates(windows, items, radius, within)
     exact = let(_shingle_strings(F.col("words"), F.col("k")), lambda a: let(_shingle_strings(F.col("item_words"), F.col("k")), lambda b: weighted_similarity(a, b)))
     kept = near.withColumn("similarity", exact).where(F.col("similarity") >= similarity)
     best = F.min_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct(-F.col("similarity"), "start"))
-    found = kept.groupBy("doc_id", "item_id").agg(best.alias("b"))
+    found = materialise(kept.groupBy("doc_id", "item_id").agg(best.alias("b")), "decontam-found")
+    discard(items, placed, hits, pairs, per_row, windows)
     return found.select("doc_id", "item_id", F.col("b.start").alias("start_word"), F.col("b.n_words").alias("n_words"), F.col("b.hamming").alias("hamming"), F.col("b.similarity").alias("similarity"))
+
+
+def candidates(windows: DataFrame, items: DataFrame, radius: int, within: int) -> DataFrame:
+    """windows (doc_id, item_id, start, n_words, k, words, fp) whose fingerprint lies within radius of their item's, with item_words and hamming: all of them, and each once.
+
+    They meet at the values of multi-index blocks, so a window that agrees with its item in no block is never compared with it.
+    """
+    masks = hamming_blocks(radius, within)
+    prints = materialise(items.select("item_id", F.col("words").alias("item_words"), let(F.col("hashes"), simhash).alias("item_fp")), "decontam-item-prints")
+    at_items = prints.withColumn("at", F.explode(_block_keys(F.col("item_fp"), masks, within)))
+    at_windows = windows.withColumn("at", F.explode(_block_keys(F.col("fp"), masks, 0)))
+    met = at_windows.join(at_items, ["item_id", "at"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= radius)
+    return met.select("doc_id", "start", "n_words", "k", "words", "item_id", "item_words", "hamming").distinct()

@@ -77,7 +77,7 @@ WITH items AS (
 ), hits AS (
   SELECT d.doc_id, p.item_id, p.k, p.n, p.n_words, d.pos, greatest(d.pos - p.item_pos, 0) AS start FROM (SELECT doc_id, k, unnest(s) AS x, unnest(range(len(s))) AS pos FROM docs) d JOIN placed p USING (k, x)
 ), enough AS (
-  SELECT doc_id, item_id FROM hits GROUP BY doc_id, item_id, n HAVING count(DISTINCT pos) >= ceil(n * {2 * similarity / (1 + similarity)} - 1e-9)
+  SELECT doc_id, item_id FROM hits GROUP BY doc_id, item_id, n HAVING count(DISTINCT pos) >= ceil(n * {similarity} - 1e-9)
 ), windows AS (
   SELECT DISTINCT h.doc_id, h.item_id, h.k, h.n, h.n_words, h.start FROM hits h JOIN enough USING (doc_id, item_id)
 ), cut AS (
