@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, released
 
-#: Inner products below this are exact in doubles.
-_EXACT = 1 << 52
+#: Inner products below these are exact in doubles and in 64-bit integers; larger ones take Python's integers.
+_DOUBLE, _LONG = 1 << 52, 1 << 62
 
 
 class KDTree:
@@ -46,92 +47,172 @@ class KDTree:
                 todo += [(lo + mid, hi, at), (lo, lo + mid, at)]
         self.ids, self.vectors = ids[order], vectors[order]
         self.lows, self.highs = np.array(lows), np.array(highs)
+        self.leaves, self.read = sum(len(n) == 2 for n in self.nodes), 0
 
-    def search(self, query: np.ndarray, own_id: int, k: int, floor: float) -> list[tuple[int, int]]:
-        """The best k (score, -id) but own_id's, best first, among those that score at least floor (a kth score known from elsewhere)."""
+    def search(self, query: np.ndarray, own_id: int, k: int, floor: int | None = None, best: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+        """Adds to best, a heap of at most k (score, -id), the rows but own_id's that belong to the k best so far and score at least floor.
+
+        Nodes are visited in the order of their bounds until none can hold a better row; read counts the leaves that were.
+        """
+        best = [] if best is None else best
         bounds = np.where(query >= 0, self.highs, self.lows) @ query  # no vector in a box scores more
-        best: list[tuple[int, int]] = []
+        least = best[0][0] if len(best) == k else floor
         front = [(-bounds[0], 0)] if len(self.nodes) else []
         while front:
             bound, at = heapq.heappop(front)
-            if -bound < (best[0][0] if len(best) == k else floor):
+            if least is not None and -bound < least:
                 break
             lo, hi, *children = self.nodes[at]
             for child in children:
                 heapq.heappush(front, (-bounds[child], child))
-            if not children:
-                scores = self.vectors[lo:hi] @ query
-                for j in np.flatnonzero(scores >= (best[0][0] if len(best) == k else floor)):
-                    if (vec_id := int(self.ids[lo + j])) != own_id:
-                        item = (int(scores[j]), -vec_id)
-                        if len(best) < k:
-                            heapq.heappush(best, item)
-                        elif item > best[0]:
-                            heapq.heapreplace(best, item)
-        return sorted(best, reverse=True)
-
-
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    vectors = np.array(pdf["vector"].tolist(), np.int64)
-    top = int(np.abs(vectors).max(initial=0))
-    exact = top * top * max(1, vectors.shape[1]) < _EXACT
-    return pdf["vec_id"].to_numpy(np.int64), vectors.astype(np.float64) if exact else vectors
-
-
-def _searcher(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(rows) and len(queries):
-            # vectors of another dimension never meet
-            for size, own in rows.groupby(rows["vector"].map(len)):
-                asked = queries[queries["vector"].map(len) == size]
-                if not len(asked):
-                    continue
-                tree = KDTree(*_arrays(own))
-                ids, vectors = _arrays(asked)
-                for i, q, floor in zip(ids.tolist(), vectors, asked["floor"].fillna(-np.inf).tolist()):
-                    out += [(i, -n, score) for score, n in tree.search(q.astype(tree.vectors.dtype), i, k, floor)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    return run
-
-
-_FOUND = "query_id long, vec_id long, score long"
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192, block_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
+            if children:
+                continue
+            self.read += 1
+            scores = self.vectors[lo:hi] @ query
+            for j in range(hi - lo) if least is None else np.flatnonzero(scores >= least):
+                if (vec_id := int(self.ids[lo + j])) != own_id:
+                    item = (int(scores[j]), -vec_id)
+                    if len(best) < k:
+                        heapq.heappush(best, item)
+                    elif item > best[0]:
+                        heapq.heapreplace(best, item)
+            least = best[0][0] if len(best) == k else floor
+        return best
+
+
+def _top(vectors: np.ndarray) -> int:
+    return max(abs(int(vectors.max(initial=0))), abs(int(vectors.min(initial=0))))
+
+
+def _by_dimension(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as a matrix) of each dimension; vectors of different dimensions never meet."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[:-1]
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        yield own, flat[starts[own][:, None] + np.arange(size)]
+
+
+@dataclass
+class _Queries:
+    """A block of queries of one dimension, with what a task has found for them so far."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    floors: list[int | None]
+    best: list[list[tuple[int, int]]] = field(default_factory=list)
+
+    def ask(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        most = _top(vectors) * _top(self.vectors) * max(1, vectors.shape[1])
+        kind = np.float64 if most < _DOUBLE else np.int64 if most < _LONG else object
+        self.best = self.best or [[] for _ in self.ids]
+        tree, queries = KDTree(ids, vectors.astype(kind)), self.vectors.astype(kind)
+        for i, q, floor, best in zip(self.ids.tolist(), queries, self.floors, self.best):
+            tree.search(q, i, k, floor, best)
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one shard after another; rows arrive in the order of shards."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shards = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and hi > lo and held[0].column("shard")[0].as_py() != shards[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _vectors_of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of each dimension, repeated rows once."""
+    table = table.combine_chunks()
+    ids = table.column("vec_id").to_numpy()
+    for own, matrix in _by_dimension(table.column("vector").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int64()))):
+        if len(np.unique(ids[own])) < len(own):
+            once = np.unique(np.column_stack([ids[own], matrix]), axis=0)
+            yield once[:, 0], once[:, 1:]
+        else:
+            yield ids[own], matrix
+
+
+def _home(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """query_id and the kth score in the query's own shard, null where that holds fewer rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _shards(batches):
+            asks = table.column("asks").to_numpy()
+            if not asks.any():
+                continue
+            asked = {q.shape[1]: _Queries(i, q, [None] * len(i)) for i, q in _vectors_of(table.filter(pa.array(asks)))}
+            for ids, vectors in _vectors_of(table.filter(pa.array(~asks))):
+                if vectors.shape[1] in asked:
+                    asked[vectors.shape[1]].ask(ids, vectors, k)
+            for q in asked.values():
+                best = q.best or [[]] * len(q.ids)
+                floors = pa.array([b[0][0] if len(b) == k and -_LONG < b[0][0] < _LONG else None for b in best], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(q.ids, pa.int64()), floors], names=["query_id", "floor"])
+
+    return released(run)
+
+
+def _search(k: int, block: list[tuple[np.ndarray, np.ndarray, list[int | None]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = {q.shape[1]: _Queries(i, q, floors) for i, q, floors in block}
+        for table in _shards(batches):
+            for ids, vectors in _vectors_of(table):
+                if vectors.shape[1] in asked:
+                    asked[vectors.shape[1]].ask(ids, vectors, k)
+        for q in asked.values():
+            found = [(i, -n, max(-(1 << 63), min((1 << 63) - 1, score))) for i, best in zip(q.ids.tolist(), q.best) for score, n in best]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"])
+
+    return released(run)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
     """The k vectors of largest integer inner product for every query but itself: query_id, rank, vec_id, score.
 
-    Vectors are dealt by hash to shards of about shard_rows. Round one asks each query in its own shard alone and so learns a
-    kth score; round two asks every block of queries in every other shard, with that score as the floor below which
-    subtrees and rows are passed over. Each (shard, block) pair is a task's work of bounded size, and the merge ranks at
-    most k rows of each shard for a query. In many dimensions boxes bound poorly and most leaves are read, as in any
-    exact search; the floor still keeps rows from leaving the shard.
+    Vectors are dealt by hash to shards of about shard_rows and lie in their order, so one shuffle moves each vector once. Round
+    one asks each query in its own shard alone and so learns a kth score. Round two passes over the shards where they lie,
+    once for each block of about block_rows queries, which goes to every task (with 64 dimensions, 4 MB): a task builds
+    the tree of one shard after another, and the best of a query so far, at least its score of round one, is the bound below
+    which subtrees and rows are passed over. Only a task's k best rows for a query leave it. In many dimensions boxes bound
+    poorly and most leaves are read, as in any exact search.
 
     Ties go to the smaller id. Null vectors and vectors with null components take no part. Repeated rows of one id and
     vector count once. Fewer than k candidates give fewer rows; empty tables give an empty result. Queries with a null
-    id are left out, as are candidates. Vectors of another dimension than the query's are no candidates.
+    id are left out, as are candidates. Vectors of another dimension than the query's are no candidates. Scores are compared
+    exactly at any size and held at the ends of 64 bits when they are returned.
     """
 
     def clean(df: DataFrame) -> DataFrame:
         v = df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<long>").alias("vector"))
-        return v.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.exists(F.coalesce("vector", F.array().cast("array<long>")), lambda x: x.isNull())).distinct()
+        return v.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.exists(F.coalesce("vector", F.array().cast("array<long>")), lambda x: x.isNull()))
 
     rows = clean(vectors)
     n_shards = max(1, -(-rows.count() // shard_rows))
     shard = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_shards)).cast("int")
-    rows = materialise(rows.withColumn("shard", shard), "topk-rows")
-    asked = materialise(clean(queries).withColumn("home", shard), "topk-queries")
+    every = rows.withColumn("asks", F.lit(False)).union(clean(queries).distinct().withColumn("asks", F.lit(True))).withColumn("shard", shard)
+    every = materialise(every.repartition("shard").sortWithinPartitions("shard"), "topk-shards")
+    asked = every.where("asks").select("vec_id", "vector")
     n_blocks = max(1, -(-asked.count() // block_rows))
-    run = _searcher(k)
-
-    first = rows.groupBy("shard").cogroup(asked.withColumn("shard", F.col("home")).withColumn("floor", F.lit(None).cast("double")).groupBy("shard")).applyInPandas(run, _FOUND)
-    first = materialise(first, "topk-home")
-    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-    blocks = asked.join(floors, asked["vec_id"] == floors["query_id"], "left").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int"))
-    sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).where("shard <> home")
-    dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))) if n_blocks > 1 else rows.withColumn("block", F.lit(0))
-    others = dealt.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(run, _FOUND)
+
+    floors = every.mapInArrow(_home(k), "query_id long, floor long").groupBy("query_id").agg(F.when(F.count("floor") == F.count("*"), F.min("floor")).alias("floor"))
+    block_of = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int")
+    asked = materialise(asked.join(floors, asked["vec_id"] == floors["query_id"], "left").select("vec_id", "vector", "floor", block_of.alias("block")), "topk-queries")
+    held = every.where("not asks").select("vec_id", "vector", "shard")
+    found = None
+    for b in range(n_blocks):  # a pass over the shards for each block; a block is about block_rows vectors
+        table = asked.where(F.col("block") == b).toArrow().combine_chunks()
+        lists = table.column("vector").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int64()))
+        ids, known = table.column("vec_id").to_numpy(), table.column("floor").to_pylist()
+        block = [(ids[own], matrix, [known[i] for i in own.tolist()]) for own, matrix in _by_dimension(lists)]
+        part = held.mapInArrow(_search(k, block), "query_id long, vec_id long, score long")
+        found = part if found is None else found.union(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = first.union(others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
