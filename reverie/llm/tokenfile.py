@@ -14,10 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exclusive_bases, materialise, released, shuffle_partitions
+from .common import exclusive_bases, released, shuffle_partitions
 from .tokens import default_path, encoder
 
 _BATCH = 256
+_MANIFEST = pa.schema([("part", pa.int64()), ("stem", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+#: Bytes of text that go into one pair of files.
+FILE_BYTES = 32 << 20
 _DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -35,24 +38,43 @@ def sequence_schema(seq_len: int, dtype: pa.DataType, about: dict) -> pa.Schema:
 class SequenceFile:
     """Random access to the sequences of one stream file.
 
-    A local file is mapped, so the arrays below are views of its pages; any other store is read through its Arrow file
-    system. All record batches but the last hold as many sequences, so sequence i is in batch i // per_batch.
+    All record batches but the last hold as many sequences, so sequence i is in batch i // per_batch. A local file is mapped,
+    and the arrays below are views of its pages: zero copy. Any other store is read through its Arrow file system, forward
+    and one batch at a time; a step back begins anew.
     """
 
     def __init__(self, uri: str):
         fs, path = _place(uri)
-        source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
-        reader = pa.ipc.open_stream(source)
-        self.about = json.loads(reader.schema.metadata[b"tokens"])
-        self.seq_len = reader.schema.field("input_ids").type.list_size
-        self.batches = list(reader)
-        self.per_batch = self.batches[0].num_rows if self.batches else 1
+        local = isinstance(fs, pafs.LocalFileSystem)
+        self._open = lambda: pa.ipc.open_stream(pa.memory_map(path) if local else fs.open_input_file(path))
+        self._stream, self._at, self._held = self._open(), -1, None
+        self.about = json.loads(self._stream.schema.metadata[b"tokens"])
+        self.seq_len = self._stream.schema.field("input_ids").type.list_size
+        self._mapped = list(self._stream) if local else None
+        first = self._batch(0)
+        self.per_batch = first.num_rows if first is not None else 1
+
+    def _batch(self, i: int) -> pa.RecordBatch | None:
+        if self._mapped is not None:
+            return self._mapped[i] if i < len(self._mapped) else None
+        if i < self._at:
+            self._stream, self._at, self._held = self._open(), -1, None
+        while self._at < i:
+            try:
+                self._held = self._stream.read_next_batch()
+            except StopIteration:
+                return None
+            self._at += 1
+        return self._held
 
     def __len__(self) -> int:
-        return sum(b.num_rows for b in self.batches)
+        n = i = 0
+        while (batch := self._batch(i)) is not None:
+            n, i = n + batch.num_rows, i + 1
+        return n
 
     def _row(self, i: int) -> tuple[pa.RecordBatch, int]:
-        return self.batches[i // self.per_batch], i % self.per_batch
+        return self._batch(i // self.per_batch), i % self.per_batch
 
     def sequence(self, i: int) -> np.ndarray:
         batch, row = self._row(i)
@@ -66,7 +88,7 @@ class SequenceFile:
         """Views of the ids start to start + n of the file, batch by batch."""
         per = self.per_batch * self.seq_len
         while n:
-            values = self.batches[start // per].column(0).values.to_numpy(zero_copy_only=True)[start % per : start % per + n]
+            values = self._batch(start // per).column(0).values.to_numpy(zero_copy_only=True)[start % per : start % per + n]
             yield values
             start, n = start + len(values), n - len(values)
 
@@ -80,8 +102,7 @@ def _writer(path: str, uri: str, eos: int, pad: int, seq_len: int) -> Callable[[
         schema = sequence_schema(seq_len, dtype, about)
         fs, root = _place(uri)
         fs.create_dir(root, recursive=True)
-        own, stem, per = uuid.uuid4().hex, f"{root}/part-{part:06d}", _BATCH * seq_len
-        names = {x: (f"{root}/.{own}.{x}", f"{stem}.{x}.arrows") for x in ("tokens", "docs")}
+        stem, per = f"part-{part:06d}-{uuid.uuid4().hex[:12]}", _BATCH * seq_len  # of this attempt alone
         held, n_held, total, n_docs = [], 0, 0, 0
 
         def put(out: pa.ipc.RecordBatchStreamWriter, values: np.ndarray) -> None:
@@ -92,7 +113,7 @@ def _writer(path: str, uri: str, eos: int, pad: int, seq_len: int) -> Callable[[
             cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), schema)]
             out.write_batch(pa.RecordBatch.from_arrays(cols, schema=schema))
 
-        with fs.open_output_stream(names["tokens"][0]) as a, fs.open_output_stream(names["docs"][0]) as b, pa.ipc.new_stream(a, schema) as out, pa.ipc.new_stream(b, _DOC_SCHEMA) as index:
+        with fs.open_output_stream(f"{root}/{stem}.tokens.arrows") as a, fs.open_output_stream(f"{root}/{stem}.docs.arrows") as b, pa.ipc.new_stream(a, schema) as out, pa.ipc.new_stream(b, _DOC_SCHEMA) as index:
             for batch in batches:
                 rows = []
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
@@ -111,41 +132,47 @@ def _writer(path: str, uri: str, eos: int, pad: int, seq_len: int) -> Callable[[
                     index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_DOC_SCHEMA))
             if n_held:
                 put(out, np.concatenate(held))
-        for temporary, final in names.values():  # a task that runs twice writes the same bytes; the last move stays
-            fs.move(temporary, final)
-        yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": n_docs, "n_tokens": total}], schema=pa.schema([("part", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        coder.forget()
+        yield pa.RecordBatch.from_pylist([{"part": part, "stem": stem, "n_docs": n_docs, "n_tokens": total}], schema=_MANIFEST)
 
-    return run
+    return released(run)
 
 
 def write_token_files(
     docs: DataFrame, uri: str, tokenizer_path: str | None = None, eos_id: int = 0, pad_id: int = 0, seq_len: int = 2048, n_files: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Encodes whole documents in ascending doc_id order into stream files under uri; returns (part, n_docs, n_tokens) per file.
+    """Encodes whole documents in ascending doc_id order into stream files under uri; returns the manifest (part, stem, n_docs, n_tokens), a row per file.
+
+    A range partition of doc_id becomes one pair of files: stem.tokens.arrows, record batches of 256 sequences of seq_len
+    ids (16 bits where the vocabulary allows it, else 32) with a bit mask, and stem.docs.arrows, an index of (doc_id,
+    start, n_tokens). The last sequence of a file is padded with pad_id and masked there. Without n_files their number is
+    that of the text's bytes over FILE_BYTES.
 
-    A range partition of doc_id becomes one pair of files: part-N.tokens.arrows, record batches of 256 sequences of seq_len
-    ids (16 bits where the vocabulary allows it, else 32) with a bit mask, and part-N.docs.arrows, an index of (doc_id,
-    start, n_tokens). The last sequence of a file is padded with pad_id and masked there. Files appear by a move once they
-    are whole.
+    Every attempt of a task writes under a stem of its own, and the manifest, kept in uri/manifest, names the pair of the
+    attempt that Spark committed: a task may run again at any time, and a pair is never of two attempts. Files that the manifest
+    does not name are left over from lost attempts.
 
-    Null text is empty: the end id alone. Null doc_ids come first, repeated rows are kept; an empty table writes nothing of
-    any length. Other columns are ignored.
+    Null text is empty: the end id alone. Null doc_ids come first, rows of one doc_id stand in the order of their texts'
+    hashes, repeated rows are kept; an empty table writes nothing of any length. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    ordered = texts.repartitionByRange(n_files or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    if n_files is None:
+        n_files = -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // FILE_BYTES)
+    ordered = texts.repartitionByRange(n_files, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     run = _writer(tokenizer_path or default_path(), uri, eos_id, pad_id, seq_len)
-    return materialise(ordered.mapInArrow(run, "part long, n_docs long, n_tokens long"), "token-files")
+    manifest = ordered.mapInArrow(run, "part long, stem string, n_docs long, n_tokens long")
+    path = f"{uri.rstrip('/')}/manifest"
+    manifest.write.parquet(path)
+    return docs.sparkSession.read.schema(manifest.schema).parquet(path)
 
 
 def _reader(uri: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _place(uri)
         for batch in batches:
-            for part, base in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist()):
-                stem = f"{uri}/part-{part:06d}"
-                tokens = SequenceFile(f"{stem}.tokens.arrows")
-                with fs.open_input_file(f"{root}/part-{part:06d}.docs.arrows") as f:
+            for stem, base in zip(batch.column("stem").to_pylist(), batch.column("base").to_pylist()):
+                tokens = SequenceFile(f"{uri}/{stem}.tokens.arrows")
+                with fs.open_input_file(f"{root}/{stem}.docs.arrows") as f:
                     for rows in pa.ipc.open_stream(f):
                         starts, lengths = rows.column(1).to_pylist(), rows.column(2).to_pylist()
                         crcs = []
@@ -164,5 +191,5 @@ def _reader(uri: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 def read_token_files(spark: SparkSession, uri: str, files: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. files: what write_token_files returned."""
     placed = files.join(F.broadcast(exclusive_bases(files, "part", base="n_tokens")), "part")  # one row per file
-    dealt = placed.select("part", "base").repartition(max(1, shuffle_partitions(spark)), "part")
+    dealt = placed.select("part", "stem", "base").repartition(max(1, shuffle_partitions(spark)), "part")
     return dealt.mapInArrow(_reader(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
