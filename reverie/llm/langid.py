@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import released
+
 #: Families of ISO 639-1 codes. A language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv"),
@@ -136,16 +138,19 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(v, pa.binary())], names=["lang", "v"])
 
 
-def train_language_model(docs: DataFrame, per_language: int = 600, max_languages: int = 64, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fits on at most per_language labelled texts of each of the max_languages commonest languages, chosen by hash.
+def train_language_model(docs: DataFrame, per_language: int = 600, max_rows: int = 20_000, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fits on at most per_language distinct labelled texts of every language, fewer if all languages together had over max_rows, chosen by hash.
 
-    Whole texts become vectors of DIMS numbers in the tasks; only the chosen vectors reach the driver. Rows with null or empty
-    text, without a letter or without a language are no training rows; no rows at all give a model that answers und.
+    Every language with a labelled text is learned, however rare. Whole texts become vectors of DIMS numbers in the tasks;
+    only the chosen vectors reach the driver (16 KB each, so max_rows bounds its memory). Copies of a text count once. Rows
+    with null or empty text, without a letter or without a language are no training rows; no rows at all give a model that
+    answers und.
     """
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages)
-    # twice the wanted share by hash first, and copies once, so that the window below ranks a bounded number of rows
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("count"))
+    per_language = max(1, min(per_language, max_rows // max(1, counts.count())))
+    # about twice the wanted share of the texts by hash first, and copies once, so that the window below ranks a bounded number of rows
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.col("count"))
     some = rows.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "h"])
     ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_language)
@@ -161,7 +166,7 @@ def _predictor(model: LanguageModel) -> Callable[[Iterator[pa.RecordBatch]], Ite
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return run
+    return released(run)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

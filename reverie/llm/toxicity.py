@@ -170,9 +170,12 @@ def _stems(word: str) -> set[str]:
     return {word[:n] for n in (4, 5, 6)} | {word}
 
 
-def fit(bags: Iterable[tuple[list[str], int]], n_landmarks: int = 192, cost: float = 4.0, rounds: int = 3, max_words: int = 3000, seed: int = 7) -> ToxicityModel:
+def fit(bags: Iterable[tuple[list[str], int]], n_landmarks: int = 192, cost: float = 4.0, rounds: int = 3, max_words: int = 3000, pool: int = 3, seed: int = 7) -> ToxicityModel:
     """Multiple-instance training: a toxic text has a toxic word, a clean one has none.
 
+    Bounds of the training sample: max_words witness words, those in most toxic texts, and twice as many clean words, drawn
+    at random; landmarks come from the first pool * n_landmarks witnesses.
+
     First witnesses are words whose stems occur in toxic texts beyond chance (a likelihood ratio against clean ones); then
     machine and witnesses are refined in turn: the best-scored words of toxic texts stay, and clean words that score
     high join the negative rows.
@@ -207,7 +210,7 @@ def fit(bags: Iterable[tuple[list[str], int]], n_landmarks: int = 192, cost: flo
     model = None
     for _ in range(rounds):
         # the landmarks: varied positive words, the commonest first, and the negative words most like them
-        chosen = _varied(positive[: 3 * n_landmarks], n_landmarks * 2 // 3)
+        chosen = _varied(positive[: pool * n_landmarks], n_landmarks * 2 // 3)
         likeness = Landmarks(chosen).kernel(negative).max(1)
         chosen += [negative[i] for i in np.argsort(-likeness, kind="stable")[: n_landmarks - len(chosen)]]
         marks = Landmarks(chosen)

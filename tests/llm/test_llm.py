@@ -103,10 +103,15 @@ def test_token_files(spark, docs, empty):
         at += r["n_tokens"]
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
     first = files.where("n_tokens > 0").first()
-    f = tokenfile.SequenceFile(f"{uri}/part-{first['part']:06d}.tokens.arrows")
+    f = tokenfile.SequenceFile(f"{uri}/{first['stem']}.tokens.arrows")
     flat = np.concatenate([f.sequence(i) for i in range(len(f))])
     mask = np.concatenate([f.mask(i).to_numpy(zero_copy_only=False) for i in range(len(f))])
     assert mask.sum() == first["n_tokens"] and flat[: mask.sum()].tolist() == np.concatenate(list(f.span(0, first["n_tokens"]))).tolist()
+    far = tokenfile.SequenceFile(f"{uri}/{first['stem']}.tokens.arrows")
+    far._mapped, far._stream, far._at = None, far._open(), -1  # as in a store that cannot be mapped: one batch at a time, and back again
+    assert [far.sequence(i).tolist() for i in (len(far) - 1, 0)] == [f.sequence(i).tolist() for i in (len(f) - 1, 0)]
+    again = tokenfile.write_token_files(docs, uri + "2", seq_len=64, n_files=3)
+    assert sorted(map(tuple, tokenfile.read_token_files(spark, uri + "2", again).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1]) == [tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in got]
     view = f.sequence(0)
     assert view.base is not None and not view.flags.owndata
     uri = new_path(spark, "t")
@@ -230,6 +235,39 @@ def test_near_copies_against_all_pairs(spark, docs, empty):
     assert near_copies(empty).count() == 0
 
 
+def test_decontamination_recall(spark):
+    """Passages edited to about the threshold: against exact similarity at the alignments, and all fingerprints within the radius."""
+    from reverie.llm import decontam
+
+    rng = random.Random(11)
+    bench = {i: [f"w{rng.randrange(5000)}" for _ in range(60)] for i in range(12)}
+    docs, pairs = [], set()
+    for n in range(240):
+        item = rng.randrange(12)
+        words = list(bench[item])
+        for at in rng.sample(range(60), rng.randint(0, 2)):
+            words[at] = f"x{rng.randrange(5000)}"
+        text = [f"y{rng.randrange(5000)}" for _ in range(30)] + words[: rng.choice([60, 60, 58])] + [f"z{rng.randrange(5000)}" for _ in range(rng.choice([0, 30]))]
+        docs.append((n, " ".join(text)))
+        windows = [text[s : s + 60] for s in range(len(text))]
+        grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        b = grams(bench[item])
+        if max(sum((grams(w) & b).values()) / max(1, sum((grams(w) | b).values())) for w in windows) >= 0.8:
+            pairs.add((n, item))
+    d, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in bench.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(d, items).collect()}
+    assert got <= pairs and len(got) >= 0.99 * len(pairs) and len(pairs) > 100
+    masks = decontam.hamming_blocks(20, 2)
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 20)))
+        assert any(bin((x ^ y) & m).count("1") <= 2 for m in masks)
+    prints = decontam.benchmark_items(items, 5).select("item_id", "n_words", "k", "words", decontam.let(F.col("hashes"), decontam.simhash).alias("fp"))
+    near = prints.crossJoin(spark.range(20).select(F.col("id").cast("int").alias("b"))).withColumn("fp", F.expr("fp ^ (shiftleft(1L, b + 1) - 1)")).select(F.col("b").cast("long").alias("doc_id"), "item_id", F.lit(0).alias("start"), "n_words", "k", "words", "fp")
+    found = decontam.candidates(near, decontam.benchmark_items(items, 5), 20, 2)
+    assert sorted((r["item_id"], r["hamming"]) for r in found.collect()) == sorted((i, n) for i in range(12) for n in range(1, 21))
+
+
 def test_decontamination_at_the_end_of_a_text(spark):
     item = [f"item{i}" for i in range(22)]
     rows = [(1, "some words before " + " ".join(item[:19])), (2, " ".join(item[:19])), (3, "some words before " + " ".join(item[:17])), (4, " ".join(item[:19]) + " and three more")]
@@ -416,6 +454,16 @@ def test_kd_tree_and_top_k(spark):
         for q, best in want.items():
             assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == best
         assert {r["query_id"] for r in got} == set(want)
+    near, far = KDTree(np.arange(400), v.astype(float), leaf_size=8), KDTree(np.arange(400), np.hstack([v[:, :1] * 1000.0, v[:, 1:]]), leaf_size=8)
+    for q in range(0, 400, 10):
+        far.search(far.vectors[q], int(far.ids[q]), 5)
+        assert near.search(v[q].astype(float), q, 5) and sorted(near.search(v[q].astype(float), q, 5, want[q][-1][0] * -1), reverse=True) == [(-s, -i) for s, i in want[q]]
+    assert far.read < 40 * far.leaves / 3  # where one dimension tells rows apart, most leaves are never read
+    huge = [(i, [x * 10**12 for x in row[1]]) for i, row in enumerate(rows[:40])] + [(99, [2**62] * 6)]
+    e = spark.createDataFrame(huge, "vec_id long, vector array<long>")
+    exact = {q: sorted((-sum(a * b for a, b in zip(huge[q][1], y)), i) for i, y in huge if i != q)[:2] for q in (0, 20)}
+    got = top_k(e, e.where("vec_id in (0, 20)"), 2).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got] == [i for q in (0, 20) for _, i in exact[q]] and all(abs(r["score"]) < 2**63 for r in got)
     assert top_k(d.limit(0), d.limit(0)).count() == 0
     assert top_k(d.where("vec_id < 2"), d.where("vec_id = 0"), 5).count() == 1
 
