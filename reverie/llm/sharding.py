@@ -47,7 +47,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, row_overhead: int = 8, i
     than one document at either end.
 
     Null text weighs row_overhead and has CRC 0; an empty text likewise. Null doc_ids come first. Rows that repeat (same or
-    null doc_id) are kept, each with a place of its own, in the order in which they were read. A document longer than a
+    null doc_id) are kept, each with a place of its own, in the order of their texts' hashes, so a task that is run again
+    gives the same places. A document longer than a
     target takes the shard of its midpoint, and shards may then stay empty. An empty table gives an empty result. Other
     columns are ignored.
 
@@ -58,8 +59,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, row_overhead: int = 8, i
         docs[id_col].cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + row_overhead).cast("long").alias("size"),
         F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary")).alias("text_crc32"),
-    ).withColumn("seen", F.monotonically_increasing_id())
-    ordered = sized.repartitionByRange(shuffle_partitions(spark), "doc_id", "seen").sortWithinPartitions("doc_id", "seen")
+        F.xxhash64(docs[text_col]).alias("h"),
+    )
+    ordered = sized.repartitionByRange(shuffle_partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h")
     rows = materialise(ordered.select("doc_id", "size", "text_crc32").mapInArrow(_running, _SCHEMA), "shard-rows")
     totals = rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     bases = exclusive_bases(totals, "part", byte_base="bytes", row_base="rows")

@@ -40,8 +40,8 @@ class KDTree:
             self.nodes.append((lo, hi))
             lows.append(low)
             highs.append(high)
-            dim = int(np.argmax(high - low))
-            if hi - lo > leaf_size and high[dim] > low[dim]:
+            dim = int(np.argmax(high - low)) if len(high) else 0
+            if hi - lo > leaf_size and len(high) and high[dim] > low[dim]:
                 mid = (hi - lo) // 2
                 order[lo:hi] = order[lo:hi][np.argpartition(rows[:, dim], mid)]
                 todo += [(lo + mid, hi, at), (lo, lo + mid, at)]

@@ -228,10 +228,16 @@ def test_near_copies_against_all_pairs(spark, docs, empty):
             if jaccard(sets[i], sets[j]) >= 0.8:
                 old, new = max(root[i], root[j]), min(root[i], root[j])
                 root = [new if r == old else r for r in root]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert {r["doc_id"]: r["component_id"] for r in near_copies(d).collect()} == dict(enumerate(root))
+    more = [(None, texts[20]), (None, "no other text is like this one"), (None, "no other text is like this one"), (20, texts[20]), (20, "one id on two texts of no likeness")]
+    d = spark.createDataFrame([*enumerate(texts), *more], "doc_id long, text string").repartition(3).withColumn("set_id", F.lit("clash"))
+    rows = near_copies(d).collect()
+    lone = [r for r in rows if r["component_id"] is None]
+    assert len(rows) == len(texts) + 5 and len(lone) == 2 and len({r["kept"] for r in lone}) == 1
+    at = {r["text_hash"]: r["component_id"] for r in rows}
+    assert Counter(r["component_id"] for r in rows if r["doc_id"] is None) == Counter([None, None, root[20]])
+    assert sum(r["doc_id"] == 20 and r["component_id"] == root[20] for r in rows) == 2 and len(at) == len(set(texts)) + 2
+    assert {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"] not in (None, 20)} == {i: r for i, r in enumerate(root) if i != 20}
     assert len(set(root)) < len(texts) - 200
-    assert Counter(r["doc_id"] for r in near_copies(docs).collect()) == Counter(r["doc_id"] for r in docs.collect())
     assert near_copies(empty).count() == 0
 
 
@@ -485,3 +491,57 @@ def test_secret_sql_agrees_where_entropy_spans_occur(spark):
     want = {r[0]: r for r in db.sql(f"select doc_id, spans from ({secrets_sql().strip()})").fetchall()}
     got = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("joined", joined(F.col("spans"))).collect()
     assert {r["doc_id"]: r["joined"] for r in got} == {k: v[1] for k, v in want.items()}
+
+
+def test_word_scores_equal_the_kernel_sum(spark):
+    """The shortcut passes over words that nothing speaks for, at most the bias, and over none above it."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdegiknostu", k=rng.randint(1, 12))) for _ in range(500)] + ["grubwit", "gr.ubwit", "grubwits", "aaaaaaaaaaaaaaaa", "grubgrubgrub"]
+    bags = [([*rng.sample(words[:400], 8), *(["grubwit", "grubwits"] if i % 4 == 0 else [])], int(i % 4 == 0)) for i in range(120)]
+    model = toxicity.fit(bags, n_landmarks=24)
+    want = np.array([max(-1.0, float(model.weights[k] @ v) + model.bias) for k, v in toxicity.features(toxicity.encode(words))])
+    got, above = model.words(words), want > max(-1.0, model.bias) + 1e-6
+    assert np.allclose(got[above], want[above], atol=1e-5) and (got[~above] <= want[~above] + 1e-6).all() and above.sum() > 5 and want.max() > 0
+    assert float(model.score(np.array([model.threshold]))[0]) == 0.5  # a tie counts as toxic
+    marks = toxicity.Landmarks(["grubwit", "garden"])
+    assert abs(marks.kernel(["grubwit"])[0, 0] - 1) < 1e-5 and marks.kernel(["grubwit"])[0, 1] < 0.5
+
+
+def test_language_votes():
+    x = np.zeros(langid.DIMS)
+    tied = langid.LanguageModel(["a", "b", "c"], {"f": ["a", "b", "c"]}, {("a", "b"): (x, 0.0), ("a", "c"): (x, -1.0), ("b", "c"): (x, 1.0)})
+    assert tied._vote(x, ["a", "b", "c"])[0] == "b"  # one win each; the largest sum of margins decides
+    even = langid.LanguageModel(["a", "b"], {"f": ["a", "b"]}, {("a", "b"): (x, 0.0)})
+    assert even._vote(x, ["a", "b"]) == ("a", 0.5)
+    assert even.predict("12 34") == ("und", 0.0) and even.predict(None) == ("und", 0.0)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"{c} {i} {chr(97 + c % 26)}bc", f"l{c:03d}") for c in range(80) for i in range(3)] + [("copy abc", "l000")] * 300
+    model = langid.train_language_model(spark.createDataFrame(rows, "text string, lang string"), per_language=2)
+    assert len(model.languages) == 80
+
+
+def test_an_oversized_document_leaves_shards_empty(spark):
+    d = spark.createDataFrame([(1, "x" * 1000), (2, "y"), (2, "z"), (3, None)], "doc_id long, text string")
+    got = shard_by_bytes(d, 6).collect()
+    assert {r["shard"] for r in got if r["doc_id"] == 1} == {2} and len({r["shard"] for r in got}) == 2
+    assert sorted(r["slot"] for r in got if r["doc_id"] != 1) == [0, 1, 2]
+
+
+def test_queries_apply_the_operators(spark, tmp_path):
+    from reverie.llm import queries
+
+    docs = spark.createDataFrame([(1, "token = abcdef1"), (2, None), (2, ""), (None, "token = abcdef1")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(0, [0.5, 0.001, -0.001]), (50, [1.0, -1.0, 0.0]), (51, [float("nan"), 0.0, 0.0]), (52, [float("inf"), 0.0, 0.0]), (53, None), (54, [None, 1.0, 1.0]), (55, [1.0, -1.0, 0.0]), (None, [1.0, 1.0, 1.0]), (100, [])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op3_secret_scan(spark, str(tmp_path)).collect()
+    digest = hashlib.sha256(b"assign:0:15").hexdigest()
+    assert sorted((r["n_assign"], r["base_sha256"] == digest) for r in got) == [(0, False), (0, False), (1, True), (1, True)]
+    found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in queries.op7_kdtree_topk(spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
+    q0, q50 = [128, 0, -1], [256, -256, 0]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert found == [(0, 1, 50, dot(q0, q50)), (0, 2, 55, dot(q0, q50)), (50, 1, 55, dot(q50, q50)), (50, 2, 0, dot(q0, q50))]
+    shards = queries.op10_byte_shards(spark, str(tmp_path)).collect()
+    assert sorted(r["size"] for r in shards) == [8, 8, 23, 23] and {r["law"] for r in shards} == {"bytes"}
