@@ -58,7 +58,11 @@ def test_encoder_equals_library():
 
 
 def test_packing(docs, empty):
-    rows = packing.pack(docs, with_ids=True).collect()
+    rows = packing.pack(docs.repartition(3), buffer_tokens=1000, step_tokens=1500, with_ids=True).collect()
+    groups = Counter()
+    for _, tier, group in {(r["sequence_id"], r["tier"], r["step_group"]) for r in rows}:
+        groups[group] += tier
+    assert set(groups) == set(range(len(groups))) and len(groups) > 1 and max(groups.values()) - min(groups.values()) <= 2048
     whole = Counter((r["doc_id"], tuple(ids(r["text"], 1))) for r in docs.collect())
     by_doc = {}
     for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["start"])):
@@ -83,10 +87,10 @@ def test_windows_hold_every_token_once():
         for doc, start, n in window:
             seen.update((doc, i) for i in range(start, start + n))
     assert len(seen) == sum(lengths) and max(seen.values()) == 1
-    groups = Counter()
-    for (tier, _), g in zip(windows, packing.step_groups(windows, 1 << 14)):
-        groups[g] += tier
-    assert max(groups.values()) - min(groups.values()) <= 2048
+    dealt = {}
+    ranks = packing.tier_ranks(windows, dealt) + packing.tier_ranks(windows, dealt)
+    for tier in {t for t, _ in windows}:
+        assert sorted(r for r, (t, _) in zip(ranks, windows + windows) if t == tier) == list(range(dealt[tier] + 1))
 
 
 def test_token_files(spark, docs, empty):
