@@ -296,14 +296,15 @@ def signal_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH x AS (SELECT l_orderkey, l_shipdate, l_partkey % 13 AS k, l_quantity AS x, l_discount AS y FROM lineitem), m AS (
-  SELECT l_orderkey, l_shipdate, avg(x) FILTER (WHERE k IN (5, 6)) AS sx, avg(y) FILTER (WHERE k IN (5, 6)) AS sy, avg(x) FILTER (WHERE k IN (11, 12)) AS hx, avg(y) FILTER (WHERE k IN (11, 12)) AS hy FROM x GROUP BY 1, 2
-) SELECT l_orderkey, l_shipdate, {rounded("atan2(sy - hy, sx - hx)", 4)} AS angle FROM m WHERE sx IS NOT NULL AND hx IS NOT NULL"""
+    f"""WITH x AS (SELECT l_orderkey, l_returnflag, l_partkey % 5 AS k, l_quantity AS x, l_discount AS y FROM lineitem), m AS (
+  SELECT l_orderkey, l_returnflag, avg(x) FILTER (WHERE k IN (0, 1)) AS sx, avg(y) FILTER (WHERE k IN (0, 1)) AS sy, avg(x) FILTER (WHERE k IN (2, 3)) AS hx, avg(y) FILTER (WHERE k IN (2, 3)) AS hy FROM x GROUP BY 1, 2
+) SELECT l_orderkey, l_returnflag, {rounded("atan2(sy - hy, sx - hx)", 4)} AS angle FROM m WHERE sx IS NOT NULL AND hx IS NOT NULL"""
 )
 def body_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of an order on one day stand for the keypoints of a sample."""
-    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", (F.col("l_partkey") % 13).alias("k"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
-    return A.spine_angles(x, ["l_orderkey"], "l_shipdate", "k", "x", "y").withColumn("angle", r(F.col("angle"), 4))
+    """Lines of an order with one flag stand for the keypoints of a sample: shoulders, hips and a nose."""
+    point = F.element_at(F.array(*map(F.lit, (5, 6, 11, 12, 0))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", point.alias("k"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
+    return A.spine_angles(x, ["l_orderkey"], "l_returnflag", "k", "x", "y").withColumn("angle", r(F.col("angle"), 4))
 
 
 @query(f"""SELECT l_orderkey, {rounded("coalesce(median(l_quantity) FILTER (WHERE l_returnflag = 'R'), median(l_quantity)) / 255", 6)} AS depth FROM lineitem GROUP BY l_orderkey""")
