@@ -197,8 +197,9 @@ def similar_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, similar
        at least k = ceil(similarity / (1 + similarity) * (m + n)) in common, so one of the first m - k + 1 of the one is among
        the first n - k + 1 of the other. Shingles that are common in a sample go last, so boilerplate makes no candidates unless
        a text is little else; the order changes the cost and never the result. Sets meet by the shingles they share
-       there: first each with one set of the shingle, which joins large groups of copies by a number of pairs in proportion to
-       their members, then all pairs that are still in different components.
+       there: first each with one set of the shingle, the same for many shingles, then with one drawn for every shingle, which
+       joins large groups of copies by a number of pairs in proportion to their rows, then all pairs that are still in
+       different components.
     """
     prints = materialise(classes.where("n > 0").groupBy("fp").agg(F.min("set_id").alias("set_id")), "copies-prints")
     of = lookup(classes.where("n > 0").select("fp", F.col("set_id").alias("a")), prints.withColumnRenamed("set_id", "b"), "fp").select("a", "b")
@@ -212,28 +213,35 @@ def similar_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, similar
     schema = "hash long, set_id long, n int, pos int, centre long, centre_n int, centre_pos int"
     rows = materialise(rows.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_shared, schema), "copies-shared")
 
-    def apart(of: DataFrame, by: list[str]) -> DataFrame:
-        """of with roots of the sets named by columns by."""
-        roots = connected_components(links)
-        for column in by:
-            of = lookup(of, roots.withColumnRenamed("node", column), column, "left").withColumn(f"root_{column}", F.coalesce("root", column)).drop("root")
-        return of
-
     def reach(na: str, pa_: str, nb: str, pb: str) -> Column:
         least = F.ceil((F.col(na) + F.col(nb)) * (similarity / (1 + similarity)) - 1e-9)
         return (F.col(pa_) <= F.col(na) - least) & (F.col(pb) <= F.col(nb) - least)
 
-    stars = apart(rows.where("set_id <> centre"), ["set_id", "centre"]).where("root_set_id <> root_centre")
-    stars = stars.where(reach("n", "pos", "centre_n", "centre_pos")).select(F.col("set_id").alias("a"), F.col("centre").alias("b"))
+    stars = rows.where((F.col("set_id") != F.col("centre")) & reach("n", "pos", "centre_n", "centre_pos")).select(F.col("set_id").alias("a"), F.col("centre").alias("b"))
+    links = links.union(_similar(_ordered(stars), classes, texts, similarity, shingle_words))
+
+    def mixed_groups(of: DataFrame, name: str) -> DataFrame:
+        """The rows of the hashes whose sets are in more than one component, with the component as root."""
+        roots = connected_components(links).withColumnRenamed("node", "set_id")
+        rooted = lookup(of.select("hash", "set_id", "n", "pos"), roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        now = materialise(rooted, "copies-rooted")
+        mixed = now.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hash")
+        out = materialise(now.join(mixed, "hash", "left_semi"), name)
+        discard(now, roots)
+        return out
+
+    some = mixed_groups(rows, "copies-mixed")
+    drawn = F.min_by(F.struct("set_id", "n", "pos", "root"), F.xxhash64("set_id", "hash"))  # another centre for every hash
+    centres = materialise(some.groupBy("hash").agg(drawn.alias("c")), "copies-centres")
+    stars = lookup(some, centres, "hash").where(F.col("root") != F.col("c.root")).select("set_id", "n", "pos", *(F.col(f"c.{c}").alias(f"centre_{c}") for c in ("set_id", "n", "pos")))
+    stars = stars.where(reach("n", "pos", "centre_n", "centre_pos")).select(F.col("set_id").alias("a"), F.col("centre_set_id").alias("b"))
     links = links.union(_similar(_ordered(stars), classes, texts, similarity, shingle_words))
 
-    now = materialise(apart(rows, ["set_id", "centre"]).withColumn("other", F.col("root_set_id") != F.col("root_centre")), "copies-rooted")
-    mixed = now.where("other").select("hash").distinct()
-    left = materialise(now.select("hash", "set_id", "n", "pos", F.col("root_set_id").alias("root")).join(mixed, "hash", "left_semi"), "copies-left")
+    left = mixed_groups(some, "copies-left")
     a, b = (left.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "pos", "root"))) for x in "ab")
     met = a.join(b, "hash").where(F.col("set_id_a") < F.col("set_id_b")).where((F.col("root_a") != F.col("root_b")) & reach("n_a", "pos_a", "n_b", "pos_b"))
     links = links.union(_similar(_ordered(met.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))), classes, texts, similarity, shingle_words))
-    discard(rows, now, left)
+    discard(rows, some, centres, left)
     return links
 
 
