@@ -18,6 +18,8 @@ from .simhash import fingerprint_links, majority
 _SAMPLE, _COMMON = 5_000, 200_000
 #: Rows of an output batch, buckets of a sketch, and set ids that are broadcast (24 bytes each); more are joined by shuffle.
 _ROWS, _BUCKETS, _BROADCAST = 256, 1024, 1_000_000
+#: 64-bit numbers of a folded sketch.
+_FOLDS = 4
 
 
 def shingle_set(text: str | None, shingle_words: int = 5, seed: int = 42) -> np.ndarray:
@@ -159,6 +161,16 @@ def _held_sets(texts: DataFrame, wanted: DataFrame, shingle_words: int) -> DataF
     return rows.mapInArrow(released(run), "set_id long, halves array<int>")
 
 
+def allowed(similarity: float) -> Column:
+    """In how many shingles sets of sizes n_a and n_b may differ, and so in how many odd buckets at most."""
+    return (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def folded(k: int) -> Column:
+    """Number k of the sketch folded to _FOLDS numbers: parities of buckets that lie 64 * _FOLDS apart add up, so it is a sketch of as many buckets."""
+    return F.aggregate(F.filter("sketch", lambda _, i: i % _FOLDS == k), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
     """Of distinct pairs (a, b) of set ids, those of similarity or more by their whole sets.
 
@@ -172,8 +184,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity:
 
     pairs = materialise(pairs, "copies-pairs")
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    allowed = (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    near = materialise(sides(pairs, classes, ["n", "sketch"]).where(apart <= allowed).select("a", "b"), "copies-near")
+    near = materialise(sides(pairs, classes, ["n", "sketch"]).where(apart <= allowed(similarity)).select("a", "b"), "copies-near")
     ids = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = materialise(classes.join(ids, "set_id", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "set_id"), "copies-wanted")
     held = materialise(_held_sets(texts, wanted, shingle_words), "copies-held")
@@ -238,10 +249,15 @@ def similar_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, similar
     links = links.union(_similar(_ordered(stars), classes, texts, similarity, shingle_words))
 
     left = mixed_groups(some, "copies-left")
-    a, b = (left.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "pos", "root"))) for x in "ab")
-    met = a.join(b, "hash").where(F.col("set_id_a") < F.col("set_id_b")).where((F.col("root_a") != F.col("root_b")) & reach("n_a", "pos_a", "n_b", "pos_b"))
+    # folded sketches tell most pairs apart where they meet, unless texts are long
+    marks = materialise(classes.select("set_id", *(folded(k).alias(f"mark{k}") for k in range(_FOLDS))), "copies-marks")
+    marked = lookup(left, marks, "set_id")
+    a, b = (marked.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "pos", "root", *(f"mark{k}" for k in range(_FOLDS))))) for x in "ab")
+    differ = sum((F.bit_count(F.col(f"mark{k}_a").bitwiseXOR(F.col(f"mark{k}_b"))) for k in range(_FOLDS)), F.lit(0))
+    new = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("root_a") != F.col("root_b")) & reach("n_a", "pos_a", "n_b", "pos_b") & (differ <= allowed(similarity))
+    met = a.join(b, "hash").where(new)
     links = links.union(_similar(_ordered(met.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))), classes, texts, similarity, shingle_words))
-    discard(rows, some, centres, left)
+    discard(rows, some, centres, left, marks)
     return links
 
 
