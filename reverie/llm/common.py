@@ -12,7 +12,7 @@ from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -109,6 +109,21 @@ def exclusive_bases(parts: DataFrame, key: str, **totals: str) -> DataFrame:
     return parts.select(key, *(F.coalesce(F.sum(total).over(before), F.lit(0)).alias(base) for base, total in totals.items()))
 
 
+def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with place: the number of each row, from 0, in the order of all rows; rows that agree in it take different places.
+
+    Rows are dealt by ranges of the order and sorted within each; the counts of the ranges give the places before them, so
+    the only window in one task has a row per range. The sorted rows are written to the shared folder, which fixes their places.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    # the id of a row is its partition in the upper bits and its place there in the lower 33
+    rows = materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), name)
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+    bases = exclusive_bases(rows.groupBy("__part").agg(F.count("*").alias("__n")), "__part", __base="__n")
+    place = F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(bases), "__part").withColumn("place", place).drop("__at", "__part", "__base")
+
+
 def read_columns(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
     """Only the named columns, so that whatever else docs carries cannot clash with working names."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), *(docs[c] for c in cols))

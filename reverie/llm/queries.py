@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import new_path, read_table
 from .decontam import contaminated
 from .langid import identify_languages, train_language_model
+from .mixing import mix
 from .oracles import decontamination_sql, secrets_sql
 from .packing import pack
 from .secrets import BASE, joined, scan_secrets
@@ -86,6 +87,10 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
@@ -122,8 +127,37 @@ FROM cut, remainders
 """
 
 
+#: A source is at its limit if the level that is left once all of lower limit by weight are at theirs reaches its own.
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [3.0::DOUBLE, 1.0, 2.0][CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / weight AS ratio, 1.5 * sum(source_size) OVER () AS budget FROM s
+), f AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) >= ratio AS capped
+  FROM o WINDOW before AS (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), r AS (
+  SELECT source, source_size, CASE WHEN capped THEN cap ELSE (budget - coalesce(sum(cap) FILTER (capped) OVER (), 0)) * weight / sum(weight) FILTER (NOT capped) OVER () END AS target,
+    CAST('0x' || substr(md5('0:' || coalesce('s' || source, 'n')), 1, 12) AS HUGEINT) AS off
+  FROM f
+), p AS (
+  SELECT d.doc_id, d.size, r.source_size, CAST(r.target AS DOUBLE) AS target, r.off,
+    CAST(coalesce(floor(r.target / nullif(r.source_size, 0) * 281474976710656), 0) AS HUGEINT) AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) - 1 AS nth
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(((nth + 1) * rate + off) // 281474976710656 - (nth * rate + off) // 281474976710656 AS BIGINT) * size AS taken
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op4_toxicity_string_kernel, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op8_viterbi_token_counts, op9_language_id, op10_byte_shards)}
+    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op4_toxicity_string_kernel, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op8_viterbi_token_counts, op9_language_id, op10_byte_shards, op12_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -132,4 +166,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_secret_scan": secrets_sql(),
         "op7_kdtree_topk": OP7_SQL,
         "op10_byte_shards": OP10_SQL,
+        "op12_source_mix": OP12_SQL,
     }
