@@ -11,6 +11,7 @@ from .common import new_path, read_table
 from .decontam import contaminated
 from .langid import identify_languages, train_language_model
 from .mixing import mix
+from .negatives import hard_negatives
 from .oracles import decontamination_sql, secrets_sql
 from .packing import pack
 from .secrets import BASE, joined, scan_secrets
@@ -63,11 +64,15 @@ def op6_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, uri, files)
 
 
-def op7_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "embeddings")
+def _integer_vectors(rows: DataFrame) -> DataFrame:
+    """Rows of finite components, as vector in 256ths, rounded down."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = rows.where(F.col("embedding").isNotNull() & finite).select("vec_id", F.transform(x, lambda v: F.floor(v * 256)).alias("vector"))
+    return rows.where(F.col("embedding").isNotNull() & finite).withColumn("vector", F.transform(x, lambda v: F.floor(v * 256)))
+
+
+def op7_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _integer_vectors(read_table(spark, sf_dir, "embeddings")).select("vec_id", "vector")
     return top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
@@ -91,6 +96,12 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _integer_vectors(read_table(spark, sf_dir, "embeddings")).select("vec_id", label.alias("label"), "vector")
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
@@ -156,8 +167,28 @@ FROM p
 """
 
 
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+  WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op4_toxicity_string_kernel, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op8_viterbi_token_counts, op9_language_id, op10_byte_shards, op12_source_mix)}
+    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op4_toxicity_string_kernel, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op8_viterbi_token_counts, op9_language_id, op10_byte_shards, op12_source_mix, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -167,4 +198,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_kdtree_topk": OP7_SQL,
         "op10_byte_shards": OP10_SQL,
         "op12_source_mix": OP12_SQL,
+        "op13_hard_negatives": OP13_SQL,
     }
