@@ -20,6 +20,7 @@ from .sharding import shard_by_bytes
 from .tokenfile import read_token_files, write_token_files
 from .topk import top_k
 from .toxicity import score_toxicity, train_toxicity
+from .variants import counted, group_variants, without, word_runs
 from .viterbi import count_tokens
 
 
@@ -92,6 +93,13 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(word_runs(F.col("text"))).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary"))
+    word = F.when(h % 97 == 0, without(F.col("run"), (h % F.length("run")).cast("int"))).otherwise(F.col("run"))
+    return group_variants(counted(runs.select(word.alias("word"))))
+
+
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -138,6 +146,47 @@ FROM cut, remainders
 """
 
 
+#: CRC-32 of distinct (document, run) as in OP10_SQL; words meet by a wildcard or a deletion of either.
+OP11_SQL = """
+WITH RECURSIVE remainders AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)
+), runs AS (
+  SELECT doc_id, run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY ALL
+), bytes AS (
+  SELECT run, times, length(run) AS size, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs
+), hashed AS (
+  SELECT run, times, size, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295) AS BIGINT) AS h
+  FROM bytes, remainders
+), v AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % size AS BIGINT)) || substr(run, CAST(h % size + 2 AS BIGINT)) ELSE run END AS word, CAST(sum(times) AS BIGINT) AS n
+  FROM hashed GROUP BY word HAVING length(word) >= 5 AND sum(times) >= 3
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v
+), wild AS (
+  SELECT word, n, left(word, p - 1) || '*' || substr(word, p + 1) AS k FROM places
+), dels AS (
+  SELECT DISTINCT word, n, left(word, p - 1) || substr(word, p + 1) AS k FROM places
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM wild a JOIN wild b ON a.k = b.k AND a.word <> b.word
+  UNION ALL SELECT d.word, v.word, v.n FROM dels d JOIN v ON v.word = d.k
+  UNION ALL SELECT v.word, d.word, d.n FROM dels d JOIN v ON v.word = d.k
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, {'n': -other_n, 'w': encode(other)}) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), formed AS (
+  SELECT v.word, v.n, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near, CASE WHEN b.other_n >= 2 * v.n THEN b.other END AS form, CASE WHEN b.other_n >= 2 * v.n THEN b.other_n END AS form_n
+  FROM v LEFT JOIN best b ON v.word = b.word
+), followed AS (
+  SELECT word, word AS root, form AS up FROM formed
+  UNION ALL SELECT w.word, f.word, f.form FROM followed w JOIN formed f ON f.word = w.up
+)
+SELECT f.word, f.form, w.root, f.n, f.n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM formed f JOIN followed w ON f.word = w.word AND w.up IS NULL
+"""
+
 #: A source is at its limit if the level that is left once all of lower limit by weight are at theirs reaches its own.
 OP12_SQL = """
 WITH d AS (
@@ -188,7 +237,7 @@ QUALIFY rank <= 3
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op4_toxicity_string_kernel, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op8_viterbi_token_counts, op9_language_id, op10_byte_shards, op12_source_mix, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_hierarchical_packing, op2_benchmark_decontamination, op3_secret_scan, op4_toxicity_string_kernel, op5_simhash_components, op6_arrow_token_files, op7_kdtree_topk, op8_viterbi_token_counts, op9_language_id, op10_byte_shards, op11_spelling_variants, op12_source_mix, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -197,6 +246,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_secret_scan": secrets_sql(),
         "op7_kdtree_topk": OP7_SQL,
         "op10_byte_shards": OP10_SQL,
+        "op11_spelling_variants": OP11_SQL,
         "op12_source_mix": OP12_SQL,
         "op13_hard_negatives": OP13_SQL,
     }
