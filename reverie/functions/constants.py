@@ -32,6 +32,8 @@ GAZE_THRESHOLDS = {"l2cs_net_3d_gaze": 0.3, "crossgaze": 0.2, "3dgazenet": 0.25}
 GAZE_TARGETS = ("Camera", "POV_Actor_Hands")
 #: velocity -> seconds after the climax at which its reaction window starts and ends
 REACTION_WINDOWS = {"fast": (0.5, 2.0), "medium": (1.0, 3.0), "slow": (2.0, 6.0)}
+#: Keypoints of shoulders, wrists and hips
+BODY_POINTS = (5, 6, 9, 10, 11, 12)
 LEAK_PATTERNS = (r"^data:image/[a-z]+;base64,", r"^/[Vv]olumes/|^/Users/|^/tmp/")
 #: layer -> (path in the task or person record, aggregate, column suffix)
 SUMMARIES = {

@@ -36,7 +36,7 @@ def gesture(nod: Column, shake: Column, least: float = 0.6, apart: float = 0.15)
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def gaze_ray(pitch: Column, yaw: Column) -> list[Column]:

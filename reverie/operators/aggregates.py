@@ -139,7 +139,7 @@ def mirroring(flow: DataFrame, angles: DataFrame, keys: list[str], flow_t: str,
     change = F.abs(F.col("after") - F.col("before"))
     first = means.where(change > 0.1).groupBy(*both).agg(F.min_by(change, flow_t).alias("__d"))
     out = (angles if each else flow).select(*both).distinct().join(first, both, "left")
-    return out.select(*both, F.col("__d").isNotNull().alias("mirroring_detected"), F.coalesce(F.least(F.lit(1.0), F.col("__d") / 0.5), F.lit(0.0)).alias("mirroring_scalar"))
+    return out.select(*both, F.col("__d").isNotNull().alias("mirroring_detected"), F.least(F.lit(1.0), F.coalesce("__d", F.lit(0.0)) / 0.5).alias("mirroring_scalar"))
 
 
 def spine_angles(samples: DataFrame, keys: list[str], t: str, point: str, x: str, y: str) -> DataFrame:

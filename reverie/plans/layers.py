@@ -11,12 +11,21 @@ from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import series as S
-from ..operators.filters import gaze_threshold
+from ..operators.filters import enough_points, gaze_threshold, pose_pick, sound_box
 
 PERSON = ["video_id", "person_id"]
 TASK = ["video_id", "task_id"]
 
 
+#: The longest reaction window: points and windows meet in time buckets of this length.
+WINDOW = max(end - start for start, end in C.REACTION_WINDOWS.values())
+
+
+def within(points: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Points within the reaction windows (win_start, win_end) of the same keys."""
+    return J.interval_join(points, windows, keys, "t", "win_start", "win_end", WINDOW)
+
+
 def tasks_of(videos: DataFrame, labels: str) -> DataFrame:
     """Valid labels of each recording as equal contiguous spans with ids t_00, t_01, ... and a velocity class."""
     from ..operators.filters import valid_tasks
@@ -68,7 +77,10 @@ def attention(gaze: DataFrame, boxes: DataFrame, intrinsics: DataFrame, toleranc
     hand = F.array_max(F.transform("hand_boxes", lambda b: alignment(*(F.get(b, i) for i in range(4))))) if hands is not None else F.lit(None).cast("double")
     scored = near.withColumns({"__person": person, "__hand": hand})
     best = F.greatest("__person", "__hand")
-    return scored.select(*PERSON, "t", "pitch_rad", "yaw_rad", M.attention_score(best).alias("score"), M.target_class(F.col("__person"), F.col("__hand")).alias("target"))
+    return scored.select(
+        *PERSON, M.r(F.col("t"), 2).alias("t"), M.r(F.col("pitch_rad"), 4).alias("pitch_rad"), M.r(F.col("yaw_rad"), 4).alias("yaw_rad"),
+        M.attention_score(best).alias("score"), M.target_class(F.col("__person"), F.col("__hand")).alias("target"),
+    )
 
 
 def attention_summary(trace: DataFrame, target: str = "target") -> DataFrame:
@@ -105,7 +117,7 @@ def plain_attention_summary(trace: DataFrame) -> DataFrame:
 def emotion(samples: DataFrame, tasks: DataFrame, attention_scores: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(slices, person scores, task scores) from emotion samples within the reaction windows."""
     keys = [*TASK, "person_id"]
-    own = J.interval_join(samples, tasks.select(*TASK, "climax_sec", "win_start", "win_end"), TASK, "t", "win_start", "win_end")
+    own = within(samples, tasks.select(*TASK, "climax_sec", "win_start", "win_end"), TASK)
     own = own.withColumn("emotion", T.folded_emotion(F.col("emotion")))
     slices = S.state_slices(own, keys, "t", "emotion", "magnitude")
     climaxes = tasks.select(*TASK, "climax_sec")
@@ -138,19 +150,26 @@ def prosody(audio: DataFrame, confident: float = 0.6) -> DataFrame:
 
 
 def proxemics(boxes: DataFrame, depth: DataFrame, noise: DataFrame, tasks: DataFrame, veto: float = 15.0) -> DataFrame:
-    """Approach or avoidance per task and person. Tasks with too much camera motion are vetoed before depth is looked at."""
+    """Approach or avoidance per task and person, with the camera motion of the task (none: 0).
+
+    Persons with fewer than two boxes in the window have no row. Tasks with too much camera motion are vetoed before depth is
+    looked at; in the others, persons whose depth has no slope (fewer than two depths, or no time between them) have no row.
+    """
     keys = [*TASK, "person_id"]
     windows = tasks.select(*TASK, "win_start", "win_end")
-    own = J.interval_join(boxes, windows, ["video_id"], "t", "win_start", "win_end")
+    own = within(boxes, windows, ["video_id"])
     area = A.area_delta(own, keys, "t", M.box_area(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
-    base = area.where(F.col("area_delta_pct").isNotNull()).join(noise, TASK, "left").withColumn("__v", F.coalesce(F.col("noise") > veto, F.lit(False)))
-    vetoed = base.where("__v").select(*keys, "area_delta_pct", F.lit(0.0).alias("depth_delta"), F.lit(0.0).alias("proxemic_vector"), F.lit("Neutral").alias("classified_action"), F.lit(0.0).alias("proxemic_confidence"))
-    picked = S.evenly_picked(J.interval_join(depth, windows, TASK, "t", "win_start", "win_end"), keys, "t")
-    rest = base.where(~F.col("__v")).join(A.slope_span(picked, keys, "t", "depth"), keys, "left").withColumn("depth_delta", F.coalesce("delta", F.lit(0.0)))
-    vector = M.proxemic_vector(F.col("area_delta_pct"), F.col("depth_delta"))
-    scored = rest.select(
-        *keys, "area_delta_pct", "depth_delta", vector.alias("proxemic_vector"), M.proxemic_action(vector).alias("classified_action"),
-        M.proxemic_confidence(F.col("area_delta_pct"), F.col("depth_delta")).alias("proxemic_confidence"),
+    base = area.where(F.col("area_delta_pct").isNotNull()).join(noise.select(*TASK, "noise"), TASK, "left").withColumn("noise", F.coalesce("noise", F.lit(0.0)))
+    shown = [*keys, M.r(F.col("area_delta_pct"), 2).alias("area_delta_pct")]
+    motion = M.r(F.col("noise"), 2).alias("optical_flow_noise")
+    vetoed = base.where(F.col("noise") > veto).select(*shown, F.lit(0.0).alias("depth_delta"), F.lit(0.0).alias("proxemic_vector"), F.lit("Neutral").alias("classified_action"), F.lit(0.0).alias("proxemic_confidence"), motion)
+    calm = base.where(F.col("noise") <= veto)
+    picked = S.evenly_picked(within(depth, windows, TASK).join(calm.select(*keys), keys, "left_semi"), keys, "t")
+    known = calm.join(A.slope_span(picked, keys, "t", "depth").where(F.col("delta").isNotNull()), keys)
+    vector = M.proxemic_vector(F.col("area_delta_pct"), F.col("delta"))
+    scored = known.select(
+        *shown, M.r(F.col("delta"), 4).alias("depth_delta"), vector.alias("proxemic_vector"), M.proxemic_action(vector).alias("classified_action"),
+        M.r(M.proxemic_confidence(F.col("area_delta_pct"), F.col("delta")), 2).alias("proxemic_confidence"), motion,
     )
     return scored.unionByName(vetoed)
 
@@ -162,70 +181,87 @@ def require(df: DataFrame | None, layer: str, needed: str) -> DataFrame:
     return df
 
 
-def gesture(trace: DataFrame | None, tasks: DataFrame, model: Column) -> DataFrame:
-    """Nods and shakes within the reaction windows; reasons in the order no_tasks, insufficient_trace. Without attention traces the run fails."""
+def gesture(trace: DataFrame | None, tasks: DataFrame, model: Column, models: DataFrame | None = None) -> DataFrame:
+    """Nods and shakes within the reaction windows. Without attention traces the run fails.
+
+    model is the gaze model, which decides how many points may be filled in; it may be a column of models (one row for each video_id).
+
+    Persons with fewer than five points in the window, without time between them, with too many points filled in, or with
+    too few even samples to filter have no row; why a recording has none at all is told by its record.
+    """
     keys = [*TASK, "person_id"]
     trace = require(trace, "03e_affirmation_gesture", "03a_attention")
-    own = J.interval_join(trace, tasks.select(*TASK, "win_start", "win_end"), ["video_id"], "t", "win_start", "win_end")
-    found = S.oscillations(own.select(*keys, "t", "pitch_rad", "yaw_rad"), keys, "t", "pitch_rad", "yaw_rad")
-    usable = F.coalesce((F.col("interpolated") <= gaze_threshold(model)) & F.col("pitch_conf").isNotNull(), F.lit(False))
-    out = found.withColumn("__u", usable).withColumn("__g", M.gesture(F.col("pitch_conf"), F.col("yaw_conf")))
+    own = within(trace, tasks.select(*TASK, "win_start", "win_end"), ["video_id"])
+    own = enough_points(own.select(*keys, "t", "pitch_rad", "yaw_rad"), keys, 5)
+    found = S.oscillations(own, keys, "t", "pitch_rad", "yaw_rad")
+    found = found if models is None else found.join(models, "video_id", "left")
+    usable = (F.col("interpolated") <= gaze_threshold(model)) & F.col("pitch_conf").isNotNull()
+    out = found.where(usable).withColumn("__g", M.gesture(F.col("pitch_conf"), F.col("yaw_conf")))
     return out.select(
         *keys, M.r(F.col("pitch_hz"), 2).alias("pitch_oscillation_hz"), M.r(F.col("yaw_hz"), 2).alias("yaw_oscillation_hz"), M.r(F.col("interpolated"), 3).alias("interpolated_fraction"),
-        F.when(F.col("__u"), F.col("__g.label")).otherwise("none").alias("gesture_detected"), F.when(F.col("__u"), M.r(F.col("__g.confidence"), 2)).otherwise(0.0).alias("confidence"),
-        F.when(~F.col("__u"), "insufficient_trace").alias("skipped_reason"),
+        F.col("__g.label").alias("gesture_detected"), M.r(F.col("__g.confidence"), 2).alias("confidence"),
     )
 
 
+def body_keypoints(poses: DataFrame) -> DataFrame:
+    """Keypoints (video_id, task_id, person_id, t, kpt, x, y) of a person's crop, from what a pose model found in it.
+
+    poses has a row per found body and point: the crop's keys and t, x1 to y2 (the person's box in the frame), width, height,
+    body (the number of the found body), kpt, x, y (within the crop), conf, and bx1 to by2 (the body's own box, null if the
+    model gives none). Boxes are cut at the frame, and degenerate ones have no points. Of several bodies the one whose box meets
+    the crop best counts, or without boxes the one of largest spread. Points count if they are among the six of arms,
+    shoulders and hips and sure enough; coordinates are over the diagonal of the crop.
+    """
+    keys = [*TASK, "person_id", "t"]
+    box = [b.cast("int") for b in M.clamp_box(*(F.col(c).cast("int") for c in ("x1", "y1", "x2", "y2")), F.col("width"), F.col("height"))]
+    rows = poses.withColumns(dict(zip(("__x1", "__y1", "__x2", "__y2"), box))).where(sound_box(*(F.col(c) for c in ("__x1", "__y1", "__x2", "__y2"))))
+    rows = rows.withColumns({"__w": F.col("__x2") - F.col("__x1"), "__h": F.col("__y2") - F.col("__y1")})
+    seen = F.col("conf") > 0
+    extent = [F.max(F.when(seen, F.col(c))) - F.min(F.when(seen, F.col(c))) for c in ("x", "y")]
+    own = [F.col(c) for c in ("bx1", "by1", "bx2", "by2")]
+    met = F.when(own[0].isNotNull(), M.iou(own, [F.lit(0.0), F.lit(0.0), F.col("__w").cast("double"), F.col("__h").cast("double")]))
+    bodies = rows.withColumn("__met", met).groupBy(*keys, "body").agg(F.max("__met").alias("__overlap"), (extent[0] * extent[1]).alias("__spread"))
+    best = pose_pick(bodies, keys, "body", "__overlap", "__spread").select(*keys, "body")
+    points = rows.join(best, [*keys, "body"]).where(F.col("kpt").isin(*C.BODY_POINTS) & (F.col("conf") > 0.5))
+    diagonal = F.hypot(F.col("__w"), F.col("__h"))
+    return points.select(*keys, "kpt", (F.col("x") / diagonal).alias("x"), (F.col("y") / diagonal).alias("y"))
+
+
 def resonance(flow: DataFrame, samples: DataFrame, angles: DataFrame | None = None) -> DataFrame:
-    """Motor resonance and mirroring per task and person from motion and keypoints; body angles come from the keypoints unless given.
+    """Motor resonance and mirroring per task and person from motion and keypoints (see body_keypoints); body angles come from the keypoints unless given.
 
     Motion is a task's, keypoints are a person's: they meet in time buckets of the task, so motion is never multiplied by persons.
+    Persons with neither a velocity nor an angle, and tasks without motion, have no row.
     """
     keys = [*TASK, "person_id"]
     if angles is None:
         angles = A.spine_angles(samples, keys, "t", "kpt", "x", "y").withColumnRenamed("t", "t_angle")
     chaos = flow.groupBy(*TASK).agg(F.max("p95_mag").alias("__c"))
     spikes = S.spikes(flow, TASK, "p95_mag").select(*TASK, F.col("t").alias("spike_t"))
-    peaks = A.velocity_peak(S.velocities(samples, keys, "t", "kpt", "x", "y"), keys, "t", "velocity")
-    people = samples.select(*keys).distinct()
+    moves = S.velocities(samples, keys, "t", "kpt", "x", "y")
+    peaks = A.velocity_peak(moves, keys, "t", "velocity")
+    people = moves.select(*keys).union(angles.select(*keys)).distinct()
     met = J.spike_response(spikes, peaks, TASK, "spike_t", "peak_t", each=["person_id"])
     out = people.join(chaos, TASK).join(peaks, keys, "left").join(met, keys, "left")
     mirrored = A.mirroring(flow, angles, TASK, "t", "mean_dy", "t_angle", "angle", each=["person_id"])
     out = out.join(mirrored, keys, "left")
     resonant = F.coalesce("detected", F.lit(False))
+    peak = F.least(F.lit(10.0), F.coalesce("peak", F.lit(0.0)) / 0.5)  # least passes over nulls
     return out.select(
-        *keys, M.r(M.normalised(F.col("__c"), 20.0), 2).alias("ego_kinetic_chaos_score"), F.coalesce(F.least(F.lit(10.0), F.col("peak") / 0.5), F.lit(0.0)).alias("bystander_pose_velocity_peak"),
-        F.coalesce("delay", F.lit(0.0)).alias("resonance_delay_sec"), resonant.alias("motor_resonance_detected"),
-        F.when(resonant, F.least(F.lit(1.0), F.col("peak") / 0.5 / 5)).otherwise(0.0).alias("empathy_scalar"),
-        F.coalesce("mirroring_detected", F.lit(False)).alias("mirroring_detected"), F.coalesce("mirroring_scalar", F.lit(0.0)).alias("mirroring_scalar"),
+        *keys, M.r(M.normalised(F.col("__c"), 20.0), 2).alias("ego_kinetic_chaos_score"), M.r(peak, 2).alias("bystander_pose_velocity_peak"),
+        M.r(F.coalesce("delay", F.lit(0.0)), 2).alias("resonance_delay_sec"), resonant.alias("motor_resonance_detected"),
+        F.when(resonant, M.r(F.least(F.lit(1.0), peak / 5), 2)).otherwise(0.0).alias("empathy_scalar"),
+        F.coalesce("mirroring_detected", F.lit(False)).alias("mirroring_detected"), M.r(F.coalesce("mirroring_scalar", F.lit(0.0)), 2).alias("mirroring_scalar"),
     )
 
 
 def shared_reality(flow: DataFrame, boxes: DataFrame, tasks: DataFrame, videos: DataFrame) -> DataFrame:
     """Whether the wearer turned the camera to a bystander after the climax."""
     windows = tasks.select(*TASK, "win_start", "win_end")
-    shift = A.camera_shift(J.interval_join(flow, windows, TASK, "t", "win_start", "win_end"), TASK, "mean_dx", "mean_dy")
-    own = J.interval_join(boxes, windows, ["video_id"], "t", "win_start", "win_end").join(videos.select("video_id", "width", "height"), "video_id")
+    shift = A.camera_shift(within(flow, windows, TASK), TASK, "mean_dx", "mean_dy")
+    own = within(boxes, windows, ["video_id"]).join(videos.select("video_id", "width", "height"), "video_id")
     centred = S.tail_centred(own, TASK, "t", "win_start", "win_end", (F.col("x1") + F.col("x2")) / 2 / F.col("width"), (F.col("y1") + F.col("y2")) / 2 / F.col("height"))
     out = tasks.select(*TASK).join(shift, TASK, "left").join(centred, TASK, "left").join(videos.select("video_id", "width", "height"), "video_id", "left")
     out = out.fillna({"shift_x": 0.0, "shift_y": 0.0, "centred": False})
     sought = M.social_reference(F.col("centred"), F.col("shift_x"), F.col("shift_y"), F.col("width"), F.col("height"))
     return out.select(*TASK, "shift_x", "shift_y", F.col("centred").alias("bystander_centered_in_fov"), F.coalesce(sought, F.lit(False)).alias("social_reference_sought"))
-
-
-#: Reasons that a layer gives for a recording without results, the first that holds.
-SENTINELS = {
-    "03d_proxemic_kinematics": ("no_output_produced",),
-    "03e_affirmation_gesture": ("no_attention_data", "no_tasks", "insufficient_trace"),
-    "03f_motor_resonance": ("file_not_found", "no_bystanders_or_tasks", "no_ego_spikes", "no_pose_data"),
-    "03g_shared_reality": ("missing_video", "no_bystanders_or_tasks", "no_valid_tasks"),
-}
-
-
-def skipped_reason(layer: str, holds: dict[str, Column]) -> Column:
-    out = None
-    for reason in SENTINELS[layer]:
-        if reason in holds:
-            out = F.when(holds[reason], reason) if out is None else out.when(holds[reason], reason)
-    return out

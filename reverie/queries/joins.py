@@ -135,7 +135,7 @@ def spike_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {TRACE}, f AS (SELECT user_id, t FROM trace WHERE event_type = 'purchase'), a AS (SELECT user_id, t AS u, score FROM trace WHERE event_type = 'view'), m AS (
   SELECT user_id, t, avg(CASE WHEN u BETWEEN t - 400000 AND t THEN score END) AS b, avg(CASE WHEN u > t AND u <= t + 400000 THEN score END) AS c FROM f JOIN a USING (user_id) WHERE abs(u - t) <= 400000 GROUP BY user_id, t
 ), k AS (SELECT user_id, abs(c - b) AS d, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM m WHERE abs(c - b) > 0.1)
-SELECT user_id, k.d IS NOT NULL AS mirroring_detected, {rounded("coalesce(least(1.0, k.d / 0.5), 0.0)", 4)} AS mirroring_scalar FROM (SELECT DISTINCT user_id FROM f) LEFT JOIN (SELECT * FROM k WHERE i = 1) k USING (user_id)"""
+SELECT user_id, k.d IS NOT NULL AS mirroring_detected, {rounded("least(1.0, coalesce(k.d, 0.0) / 0.5)", 4)} AS mirroring_scalar FROM (SELECT DISTINCT user_id FROM f) LEFT JOIN (SELECT * FROM k WHERE i = 1) k USING (user_id)"""
 )
 def mirroring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hundred thousands of seconds stand for tenths of one."""
@@ -203,7 +203,7 @@ def resolved_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, coalesce(CAST(quality AS DOUBLE), 1.0) AS weight, CASE WHEN l.doc_id IS NULL THEN 'no_attention_data' WHEN quality = 0 THEN 'insufficient_trace' END AS skipped_reason FROM documents LEFT JOIN labels l USING (doc_id)".replace("l.doc_id IS NULL", "quality IS NULL"))
 def sentinel_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.layers import skipped_reason
+    from ..plans.records import skipped_reason
 
     docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     out = docs.join(labels, "doc_id", "left")

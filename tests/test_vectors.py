@@ -240,7 +240,7 @@ def test_layer_plans_end_to_end(spark):
     t = np.linspace(1, 3, 40)
     trace = spark.createDataFrame([("v", 1, float(x), float(0.1 * np.sin(4 * np.pi * x)), 0.0) for x in t], "video_id string, person_id long, t double, pitch_rad double, yaw_rad double")
     row = layers.gesture(trace, tasks, F.lit("none")).first()
-    assert row["gesture_detected"] == "affirming_nod" and row["skipped_reason"] is None
+    assert row["gesture_detected"] == "affirming_nod" and row["interpolated_fraction"] == 0.0
     row = layers.gesture(trace.withColumn("yaw_rad", F.col("pitch_rad")), tasks, F.lit("none")).first()
     assert row["gesture_detected"] == "ambiguous_wobble"
     for missing in (None, trace.limit(0)):
