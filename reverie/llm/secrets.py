@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -197,6 +198,29 @@ def _merged(spans: Column) -> Column:
     return F.zip_with(starts, ends, lambda s, e: F.struct(s["start"].alias("start"), e["end"].alias("end")))
 
 
+#: Spans that are walked together, and code points of a block of text.
+_CHUNK, _BLOCK = 256, 1024
+
+
+def _walked(items: Column, end: Callable[[Column], Column], made: Callable[[Column, Column], Column], kind: str) -> Column:
+    """made(item, reach) of the items in order, nulls left out, where reach is the greatest end before the item, 0 at first.
+
+    Items are walked in chunks, which begin at the greatest end of all chunks before, so an item costs the same in a list of any
+    length but for the few numbers of the chunks.
+    """
+
+    def by_chunks(chunks: Column) -> Column:
+        reaches = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.coalesce(F.array_max(F.transform(c, end)), F.lit(0))))))
+        zero = lambda reach: F.struct(reach.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        step = lambda acc, x: F.struct(F.greatest(acc["at"], end(x)).alias("at"), _let(made(x, acc["at"]), lambda y: F.when(y.isNotNull(), F.concat(acc["out"], F.array(y))).otherwise(acc["out"])).alias("out"))
+        walk = lambda c, reach: F.aggregate(c, zero(reach), step, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, F.slice(reaches, 1, F.size(chunks)), walk))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _CHUNK).cast("int"))
+    chunks = F.transform(starts, lambda k: F.slice(items, k * _CHUNK + 1, _CHUNK))
+    return F.when(F.size(items) > 0, _let(chunks, by_chunks)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 def scan_secrets(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, allow: AllowList = AllowList(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Secrets in whole texts: doc_id, text, and spans array<struct<kind, start, end>> by start, then kind as listed; with keep, also those columns as the struct kept.
 
@@ -214,9 +238,12 @@ def scan_secrets(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, a
     added = [_entropy_class_spans(rank, c, allow) for rank, c in enumerate(classes, len(BASE))]
     texts = texts.withColumn("_base", F.concat(*(F.col(f"_{k}") for k in BASE)))
     texts = texts.withColumn("_added", F.concat(*added))
-    new = F.filter("_added", lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    every = F.array_sort(F.concat("_base", new))
-    return texts.select("doc_id", "text", F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"), *(["kept"] if keep else []))
+    # base spans come first of equal starts, so an added one lies within a base one if the greatest of their ends so far covers it
+    base_end = lambda s: F.when(s["rank"] < len(BASE), s["end"]).otherwise(0)
+    shown = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    every = _walked(F.array_sort(F.concat("_base", "_added")), base_end, lambda s, reach: F.when((s["rank"] < len(BASE)) | (s["end"] > reach), shown(s)), "struct<kind:string,start:int,end:int>")
+    found = F.when(F.size("_added") > 0, every).otherwise(F.transform(F.array_sort("_base"), shown))
+    return texts.select("doc_id", "text", found.alias("spans"), *(["kept"] if keep else []))
 
 
 def _base_spans(rank: int, kind: str) -> Column:
@@ -239,20 +266,24 @@ def joined(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[{}]") -> Column:
-    """The text with each span replaced by its kind; spans that begin inside an earlier one are covered by it."""
+    """The text with each span (kind, start, end, by start) replaced by its kind; spans that begin inside an earlier one are covered by it.
+
+    The text is cut into blocks of code points once, and the stretches between spans are put together from them, so time grows
+    with the text and the number of spans and not with their product. A null text, or null spans, stay as they are.
+    """
     before, after = mark.split("{}")
-    walked = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit(before), s["kind"], F.lit(after)))),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), ""),
-    )
-    return F.when(F.size(spans) > 0, walked).otherwise(text)
+    stretch = lambda s, reach: F.when(s["start"] >= reach, F.struct(reach.alias("a"), s["start"].alias("b"), F.concat(F.lit(before), s["kind"], F.lit(after)).alias("mark")))
+    kept = _walked(spans, lambda s: s["end"], stretch, "struct<a:int,b:int,mark:string>")
+    last = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("a"), F.length(text).alias("b"), F.lit("").alias("mark"))
+
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(blocks, F.floor(i / _BLOCK).cast("int")), F.lit(""))
+        inner = F.floor(b / _BLOCK).cast("int") - F.floor(a / _BLOCK).cast("int") - 1
+        across = F.concat(
+            F.substring(at(a), a % _BLOCK + 1, F.lit(_BLOCK)), F.array_join(F.slice(blocks, F.floor(a / _BLOCK).cast("int") + 2, F.greatest(F.lit(0), inner)), ""), F.substring(at(b), F.lit(1), b % _BLOCK)
+        )
+        return F.when(b <= a, F.lit("")).when(inner < 0, F.substring(at(a), a % _BLOCK + 1, b - a)).otherwise(across)
+
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    clean = _let(blocks, lambda own: F.array_join(F.transform(F.concat(kept, F.array(last)), lambda p: F.concat(cut(own, p["a"], p["b"]), p["mark"])), ""))
+    return F.when(F.size(spans) > 0, clean).otherwise(text)

@@ -549,3 +549,46 @@ def test_queries_apply_the_operators(spark, tmp_path):
     assert found == [(0, 1, 50, dot(q0, q50)), (0, 2, 55, dot(q0, q50)), (50, 1, 55, dot(q50, q50)), (50, 2, 0, dot(q0, q50))]
     shards = queries.op10_byte_shards(spark, str(tmp_path)).collect()
     assert sorted(r["size"] for r in shards) == [8, 8, 23, 23] and {r["law"] for r in shards} == {"bytes"}
+
+
+def test_redaction_is_linear_and_equals_a_plain_walk(spark):
+    import time
+
+    rng = random.Random(8)
+    rows = []
+    for size, n in ((0, 0), (1, 1), (50, 9), (5000, 40), (5000, 700), (70_000, 3000)):
+        text = "".join(rng.choice("abé😀\n ") for _ in range(size))
+        spans = sorted((a, min(size, a + rng.choice([1, 3, 30, 2500]))) for a in (rng.randrange(size) for _ in range(n)))
+        rows.append((size, text, [("hex", a, b) for a, b in spans]))
+    rows += [(None, None, []), (None, None, None), (7, "abc", None)]
+    df = spark.createDataFrame(rows, "id long, text string, spans array<struct<kind: string, start: int, end: int>>")
+    got = [r[0] for r in df.select(redact(F.col("text"), F.col("spans"))).collect()]
+
+    def plain(text, spans):
+        at, out = 0, []
+        for kind, a, b in spans or []:
+            if a >= at:
+                out += [text[at:a], f"[{kind}]"]
+            at = max(at, b)
+        return text and "".join(out) + text[at:]
+
+    assert got == [plain(t, s) for _, t, s in rows]
+    many = "".join(f"token=abc{i % 1000:03d}xyz q" for i in range(100_000))
+    df = spark.createDataFrame([(1, many)], "doc_id long, text string").repartition(1).cache()
+    assert df.count() == 1
+    began = time.monotonic()
+    clean = scan_secrets(df).select(redact(F.col("text"), F.col("spans"))).first()[0]
+    took = time.monotonic() - began
+    assert clean == "[assign] q" * 100_000 and took < 60
+
+
+def test_spans_within_base_spans_are_left_out(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    texts = [f"secret={word(40)}", f"{word(40)} token: {word(60)}", " ".join(f"token={word(30)} {word(44)}" for _ in range(400))]
+    got = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r in got:
+        base = [s for s in r["spans"] if s["kind"] in ("assign", "access", "hex")]
+        added = [s for s in r["spans"] if s not in base]
+        assert r["spans"] == sorted(r["spans"], key=lambda s: s["start"]) and not any(b["start"] <= s["start"] and s["end"] <= b["end"] for s in added for b in base)
+    assert [len(r["spans"]) for r in got] == [1, 2, 800]
