@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import uuid
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,39 +67,16 @@ def export(df: DataFrame, path: str, layers: list[str], git_sha: str = "unknown"
     return side
 
 
-#: Layers whose recordings without a result are tried again; the others record the reason and are done.
-RETRIED = ("03a_attention", "03b_reasonable_emotion", "03c_acoustic_prosody")
-
-
-def recorded(rows: DataFrame, layer: str, reason: str = "skipped_reason") -> DataFrame:
-    """The rows that a layer records: layers that are tried again leave out recordings without a result."""
-    return rows.where(F.col(reason).isNull()) if layer in RETRIED and reason in rows.columns else rows
-
-
-def append_results(spark: SparkSession, new: DataFrame, path: str, key: str = "video_id", force: bool = False) -> None:
-    """Adds results, one record for each id however often it runs: ids that are there already are passed over, or replaced with force.
-
-    Spark's commit protocol leaves no partial record, and added columns are null in older rows (read with mergeSchema). A
-    replacement is written whole beside the old table and takes its place by a rename.
-    """
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        new.dropDuplicates([key]).write.parquet(path)
-        return
-    old = spark.read.option("mergeSchema", "true").parquet(path)
-    if not force:
-        new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(*new.columns).write.mode("append").parquet(path)
-        return
-    staged = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    whole = old.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]), allowMissingColumns=True)
-    whole.write.parquet(staged)
-    fs.delete(where, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), where)
-
-
 def append_errors(errors: DataFrame, path: str) -> None:
-    errors.select("video_id", "error", "traceback").write.mode("append").json(path)
+    """Adds the errors (video_id, error, traceback) that are not there yet, so a run that is repeated adds none twice."""
+    spark = errors.sparkSession
+    new = errors.select("video_id", "error", "traceback").distinct()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        old = spark.read.schema("video_id string, error string, traceback string").json(path)
+        same = [new[c].eqNullSafe(old[c]) for c in new.columns]
+        new = new.join(old, reduce(lambda a, b: a & b, same), "left_anti")
+    new.write.mode("append").json(path)
 
 
 def rehydrate(metadata: DataFrame, files: DataFrame, persons_column: str = "03a_attention_per_person_raw") -> DataFrame:

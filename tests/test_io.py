@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reverie.operators.joins import unprocessed
 from reverie.plans.export import base_rows, wide_rows
-from reverie.sources import readers, sinks
+from reverie.sources import commits, readers, sinks
 from reverie.streaming import incremental
 
 MANIFEST = "id string, video_id string, source_dataset string, duration_sec double, fps double, identified_tasks array<struct<task_id:string,task_label:string>>"
@@ -87,14 +87,14 @@ def test_resume_and_ledgers(spark, tmp_path):
     errors = spark.createDataFrame([("a", "e", "t")], "video_id string, error string, traceback string")
     for _ in range(2):
         sinks.append_errors(errors, str(tmp_path / "errors"))
-        sinks.append_results(spark, every, str(tmp_path / "results"))
-    assert spark.read.json(str(tmp_path / "errors")).count() == 2 and spark.read.parquet(str(tmp_path / "results")).count() == 2
+        commits.append_results(spark, every, str(tmp_path / "results"))
+    assert spark.read.json(str(tmp_path / "errors")).count() == 1 and commits.read_results(spark, str(tmp_path / "results")).count() == 2
     more = spark.createDataFrame([("b", 2.0), ("c", 3.0), ("c", 3.0)], "video_id string, score double")
-    sinks.append_results(spark, more, str(tmp_path / "results"), force=True)
-    got = {r["video_id"]: r["score"] for r in spark.read.parquet(str(tmp_path / "results")).collect()}
+    commits.append_results(spark, more, str(tmp_path / "results"), force=True)
+    got = {r["video_id"]: r["score"] for r in commits.read_results(spark, str(tmp_path / "results")).collect()}
     assert got == {"a": None, "b": 2.0, "c": 3.0}
     rows = spark.createDataFrame([("a", None), ("b", "no_pose_data")], "video_id string, skipped_reason string")
-    assert sinks.recorded(rows, "03a_attention").count() == 1 and sinks.recorded(rows, "03f_motor_resonance").count() == 2
+    assert commits.recorded(rows, "03a_attention").count() == 1 and commits.recorded(rows, "03f_motor_resonance").count() == 2
 
 
 def test_incremental_run(spark, tmp_path):
