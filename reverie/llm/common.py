@@ -124,6 +124,16 @@ def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return rows.join(F.broadcast(bases), "__part").withColumn("place", place).drop("__at", "__part", "__base")
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has executors collect their garbage, so that heaps that grew in a stage before shrink to what is alive.
+
+    An executor's heap stays at the most it ever held although hardly any of it is alive, which leaves the Python workers beside
+    it the less room the longer a session runs. One small task for each core asks for it; it changes no result.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def read_columns(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
     """Only the named columns, so that whatever else docs carries cannot clash with working names."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), *(docs[c] for c in cols))
