@@ -7,11 +7,12 @@ of documents other than doc_id and text, whatever their names, pass through, and
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reverie.llm.common import delete, materialise, new_path, read_table, temporary
+from reverie.llm.common import delete, give_back, materialise, new_path, read_table, temporary
 from reverie.llm.decontam import contaminated
 from reverie.llm.jaccard import near_copies
 from reverie.llm.packing import pack
@@ -39,6 +40,21 @@ def _small(keys: DataFrame, name: str) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _roomy(stage: Stage) -> Stage:
+    """The stage, before which executors give back what the stage before left in their heaps."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_roomy
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.5 or more. Learns from the labelled rows of the corpus.
 
@@ -48,10 +64,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     model = train_toxicity(read_table(spark, sf_dir, "documents"), labels)
     columns = docs.columns
-    scored = score_toxicity(docs, model, tuple(columns)).toDF(*columns, "toxicity of the row")
-    return scored.where(F.col("toxicity of the row") < 0.5).select(*(scored[c] for c in columns))
+    score, taken = "toxicity", {c.lower() for c in columns}
+    while score in taken:
+        score += "_"
+    scored = score_toxicity(docs, model, tuple(columns)).toDF(*columns, score)
+    return scored.where(scored[score] < 0.5).select(*(scored[c] for c in columns))
 
 
+@_roomy
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of near copies: that of least doc_id, null ids last, then of least text hash.
 
@@ -70,6 +90,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.join(twice, _on(kept, twice), "left_anti").unionByName(once)
 
 
+@_roomy
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold a benchmark item, also those without a doc_id; null and empty texts hold none and stay.
 
@@ -81,6 +102,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return docs.join(found, F.xxhash64(*_key(docs)) == found["key"], "left_anti")
 
 
+@_roomy
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document and puts the kind of each secret in its place; n_chars follows the text. A null text stays null."""
     columns = docs.columns
@@ -98,12 +120,13 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return clean.select(*out)
 
 
+@_roomy
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left; a row per piece. Null and empty texts are their end id alone; repeated rows are packed each; very long texts are cut, never dropped."""
     return pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity),
     ("simhash_near_dedup", simhash_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
