@@ -24,6 +24,11 @@ INVALID_TASKS = ("idling", "no clear task", "ambiguous activity")
 SUPPORTED_DATASETS = ("ego4d",)
 POSITIVE_EMOTIONS = ("joy", "amusement", "relief")
 NEGATIVE_EMOTIONS = ("anger", "disgust", "fear", "sadness")
+DEFAULT_EXPECTATIONS = {
+    "positive_emotions": ["joy", "amusement", "relief"],
+    "negative_emotions": ["anger", "disgust", "fear", "sadness"],
+    "neutral_baseline": ["neutral", "surprise"],
+}
 EMOTION_FOLD = {"contempt": "disgust", "happiness": "joy", "unknown": "neutral"}
 VOICE_LABELS = ("angry", "happy", "sad", "surprised", "fearful", "neutral", "disgusted", "other", "unknown")
 AUDIO_EVENTS = ("laughter", "applause", "cough", "crying", "sneeze")

@@ -131,8 +131,9 @@ def test_providers(spark):
     from reverie.sources import providers
 
     requests = spark.createDataFrame([("v", "t", 1, t, 0, 0, 10, 10, 0.0, 1.0) for t in (0.1, 0.5, 0.9)], "video_id string, task_id string, person_id long, t double, x1 int, y1 int, x2 int, y2 int, win_start double, win_end double")
-    rows = providers.observe(requests, providers.MockEmotions, providers.MockEmotions.schema).orderBy("t").collect()
-    assert rows[0]["emotion"] == "neutral" and rows[2]["emotion"] in {"joy", "anger", "surprise"} and rows == providers.observe(requests, providers.MockEmotions, providers.MockEmotions.schema).orderBy("t").collect()
+    emotions = lambda: providers.split(providers.observe(requests, providers.MockEmotions, providers.MockEmotions.schema))[0].orderBy("t").collect()
+    rows = emotions()
+    assert rows[0]["emotion"] == "neutral" and rows[2]["emotion"] in {"joy", "anger", "surprise"} and rows == emotions()
 
     class Broken:
         schema = "a long"
@@ -140,7 +141,7 @@ def test_providers(spark):
         def __call__(self, requests):
             raise RuntimeError
 
-    assert providers.observe(requests, Broken, "a long").count() == 0
+    assert providers.split(providers.observe(requests, Broken, "video_id string, a long"))[0].count() == 0
     answers = ['{"positive_emotions": "joy", "negative_emotions": ["a", "b"], "neutral_baseline": []}', '{"positive_emotions": "joy"}', "no json"]
     got = spark.createDataFrame([(a,) for a in answers], "x string").select(providers.valid_expectations(F.col("x")).alias("e")).collect()
     assert got[0]["e"]["positive_emotions"] == ["joy"] and got[0]["e"]["negative_emotions"] == ["a", "b"] and got[1]["e"] is None and got[2]["e"] is None
