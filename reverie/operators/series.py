@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions.maths import r, signed_scalar
 from ..functions.text import emotion_direction
+from ..sources.shared import stored
+from .ranks import ranked
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], state: Column) -> DataFrame:
@@ -193,39 +197,145 @@ def band_pass(low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
     return gain * np.poly([1, 1, -1, -1]), np.real(np.poly(z))
 
 
+def recursion(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A filter as a recursion of its state, and the state that a constant signal of 1 leaves: state -> step @ state + gain * x, and x comes out as b[0] * x + state[0]."""
+    step = np.eye(len(a) - 1, k=1)
+    step[:, 0] -= a[1:]
+    gain = b[1:] - a[1:] * b[0]
+    return step, gain, np.linalg.solve(np.eye(len(a) - 1) - step, gain)
+
+
+def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x filtered from a state, the state at its end).
+
+    A block of samples takes a state to step^n @ state + what it leaves of no state, so all blocks are filtered from no state side
+    by side, the states at their ends follow one from another, and what a state adds to its block is a product of matrices.
+    """
+    step, gain, _ = recursion(b, a)
+    n = max(1, int(np.sqrt(len(x))))
+    blocks = x[: len(x) // n * n].reshape(-1, n)
+    out, held = np.empty_like(blocks), np.zeros((len(blocks), len(gain)))
+    adds, power = np.empty((n, len(gain))), np.eye(len(gain))
+    for i in range(n):
+        out[:, i] = b[0] * blocks[:, i] + held[:, 0]
+        held = held @ step.T + np.outer(blocks[:, i], gain)
+        adds[i] = power[0]
+        power = step @ power
+    for k, left in enumerate(held):
+        out[k] += adds @ state
+        state = power @ state + left
+    rest = np.empty(len(x) - out.size)
+    for i, value in enumerate(x[out.size :]):
+        rest[i] = b[0] * value + state[0]
+        state = step @ state + gain * value
+    return np.concatenate([out.ravel(), rest]), state
+
+
+def _ends(a: np.ndarray, b: np.ndarray) -> int:
+    """By how many samples a series is continued at either end."""
+    return 3 * max(len(a), len(b))
+
+
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward filtering of x, continued at both ends by its odd reflection, each pass from its steady state."""
-    n = 3 * max(len(a), len(b))
+    n = _ends(a, b)
     if len(x) <= n:
         raise ValueError(f"needs more than {n} samples")
-    companion = np.vstack([-a[1:], np.eye(len(a) - 2, len(a) - 1)]).T
-    steady = np.linalg.solve(np.eye(len(a) - 1) - companion, b[1:] - a[1:] * b[0])
-
-    def once(v: np.ndarray) -> np.ndarray:
-        state, out = steady * v[0], np.empty_like(v)
-        for i, value in enumerate(v):
-            out[i] = b[0] * value + state[0]
-            state = np.append(state[1:], 0.0) + b[1:] * value - a[1:] * out[i]
-        return out
-
+    steady = recursion(b, a)[2]
     y = np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]])
-    return once(once(y)[::-1])[::-1][n:-n]
+    for _ in range(2):
+        y = filtered(b, a, y, steady * y[0])[0][::-1]
+    return y[n:-n]
+
+
+def zero_phase_series(df: DataFrame, keys: list[str], order: str, value: str, b: np.ndarray, a: np.ndarray, block_rows: int = 4096) -> DataFrame:
+    """df with value filtered as by zero_phase along order, for series of any length; keys of too few samples give no rows.
+
+    A series is dealt in blocks of block_rows samples. Each block leaves a state, and is otherwise an affine map of the state that
+    it begins with; the maps of a series, a few numbers for each block, are composed in one small group, and then every
+    block is filtered from the state that is its own, once forward and once backward. So a task holds one block, and the only
+    rows of one key that meet are those of its blocks. order must not repeat within a key.
+    """
+    step, _, steady = recursion(b, a)
+    n, width = _ends(a, b), len(steady)
+    places = ranked(df.withColumn("__v", F.col(value).cast("double")), [*(F.col(k) for k in keys), F.col(order)], "__place")
+    ends = places.groupBy(*keys).agg(F.min("__place").alias("__first"), F.count("*").alias("__n"), F.min_by("__v", "__place").alias("__head"), F.max_by("__v", "__place").alias("__tail"))
+    rows = places.join(ends.where(F.col("__n") > n), keys).withColumn("__i", F.col("__place") - F.col("__first"))
+    own = rows.select(*keys, (F.col("__i") + n).alias("i"), F.col("__v").alias("v"), F.col("__n").alias("n"))
+    before = rows.where(F.col("__i").between(1, n)).select(*keys, (n - F.col("__i")).alias("i"), (2 * F.col("__head") - F.col("__v")).alias("v"), F.col("__n").alias("n"))
+    back = F.col("__n") - 1 - F.col("__i")
+    after = rows.where(back.between(1, n)).select(*keys, (n + F.col("__n") - 1 + back).alias("i"), (2 * F.col("__tail") - F.col("__v")).alias("v"), F.col("__n").alias("n"))
+    blocks = own.union(before).union(after).groupBy(*keys, F.floor(F.col("i") / block_rows).alias("block")).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vs"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        state, out = steady * pdf["head"].iloc[0], []
+        for size, left in zip(pdf["size"], pdf["left"]):
+            out.append(state.tolist())
+            state = np.linalg.matrix_power(step, int(size)) @ state + np.asarray(left)
+        return pdf[[*keys, "block"]].assign(state=out)
+
+    def passed(table: DataFrame, backward: bool) -> DataFrame:
+        flip = slice(None, None, -1) if backward else slice(None)
+
+        def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                xs = [np.asarray(v)[flip] for v in pdf["vs"]]
+                left = [filtered(b, a, x, np.zeros(width))[1].tolist() for x in xs]
+                yield pdf[[*keys, "block"]].assign(at=-pdf["block"] if backward else pdf["block"], head=[float(x[0]) for x in xs], size=[len(x) for x in xs], left=left)
+
+        def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                done = [filtered(b, a, np.asarray(v)[flip], np.asarray(s))[0][flip].tolist() for v, s in zip(pdf["vs"], pdf["state"])]
+                yield pdf[[*keys, "block", "n"]].assign(vs=done)
+
+        maps = table.mapInPandas(leave, f"{named}, block long, at long, head double, size long, left array<double>")
+        begun = maps.groupBy(*keys).applyInPandas(states, f"{named}, block long, state array<double>")
+        return table.join(begun, [*keys, "block"]).select(*keys, "block", "n", "vs", "state").mapInPandas(apply, f"{named}, block long, n long, vs array<double>")
+
+    table, _ = stored(blocks, "series-blocks")
+    table, _ = stored(passed(table, False), "series-forward")
+    out = passed(table, True).select(*keys, "n", "block", F.posexplode("vs").alias("p", "v")).withColumn("__i", F.col("block") * block_rows + F.col("p") - n)
+    out = out.where((F.col("__i") >= 0) & (F.col("__i") < F.col("n"))).select(*keys, "__i", F.col("v").alias("__f"))
+    return rows.join(out, [*keys, "__i"]).select(*(F.col("__f").alias(c) if c == value else F.col(c) for c in df.columns))
 
 
 def prominent_peaks(x: np.ndarray, least: float) -> list[int]:
-    """Middles of the plateaus higher than both neighbours that stand out by least above the higher of the lows to a higher point on either side."""
-    out, i = [], 1
-    while i < len(x) - 1:
-        j = i
-        while j + 1 < len(x) and x[j + 1] == x[i]:
-            j += 1
-        if x[i - 1] < x[i] and j + 1 < len(x) and x[j + 1] < x[i]:
-            left, right = np.flatnonzero(x[:i] > x[i]), np.flatnonzero(x[j + 1 :] > x[i])
-            base = max(x[(left[-1] if len(left) else 0) : i].min(), x[j + 1 : (j + 1 + right[0] if len(right) else len(x))].min())
-            if x[i] - base >= least:
-                out.append((i + j) // 2)
-        i = j + 1
-    return out
+    """Middles of the plateaus higher than both neighbours that stand out by least above the higher of the lows to a higher point on either side.
+
+    From a peak to the nearest higher point the series climbs on to a higher peak or an end, so only peaks and ends matter, and the
+    lows between them: one pass from either side over a stack of ever higher peaks, each with the low behind it, finds all.
+    """
+    x = np.asarray(x, float)
+    if len(x) < 3:
+        return []
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    runs_ = x[starts]
+    top = np.flatnonzero((runs_[1:-1] > runs_[:-2]) & (runs_[1:-1] > runs_[2:])) + 1
+    if not len(top):
+        return []
+    at = np.concatenate([[0], starts[top], [len(x) - 1]])
+    heights = x[at].tolist()
+    lows = np.minimum.reduceat(x, at[:-1]).tolist()  # the low from each peak or end to the next
+    lows[-1] = min(lows[-1], heights[-1])
+
+    def low_to_higher(heights: list[float], gaps: list[float]) -> list[float]:
+        """For each, the lowest point since the last higher one, or since the start."""
+        out, stack = [], []
+        for k, h in enumerate(heights):
+            low = gaps[k - 1] if k else h
+            while stack and stack[-1][0] <= h:
+                low = min(low, stack.pop()[1])
+            out.append(low)
+            stack.append((h, low))
+        return out
+
+    left = low_to_higher(heights, lows)
+    right = low_to_higher(heights[::-1], lows[::-1])[::-1]
+    stops = np.append(starts[1:], len(x)) - 1
+    return [int(starts[t] + stops[t]) // 2 for k, t in enumerate(top.tolist(), 1) if heights[k] - max(left[k], right[k]) >= least]
 
 
 def oscillation(values: np.ndarray, fps: float) -> tuple[float, float]:

@@ -341,3 +341,38 @@ def gaze_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     camera = x.select("video_id", F.lit(640).alias("width"), F.lit(480).alias("height"), *(F.lit(None).cast("double").alias(c) for c in ("cx", "cy", "focal"))).distinct()
     out = L.attention(gaze, boxes, camera, 400_000.0, hands)
     return out.select(F.col("video_id").alias("user_id"), "t", "target", "score")
+
+
+_B, _A = S.band_pass(0.125, 0.375)
+_STEADY = S.recursion(_B, _A)[2]
+
+
+def _pass(name: str, source: str) -> str:
+    """SQL of one filter pass over source (user_id, i, x), from its steady state."""
+    x, out = "e.x", f"({float(_B[0])!r} * e.x + f.s1)"
+    start = [f"({float(s)!r} * e.x)" for s in _STEADY]
+    first = f"({float(_B[0])!r} * e.x + {start[0]})"
+
+    def after(states: list[str], y: str) -> str:
+        return ", ".join(f"{states[k] if k < 4 else '0.0'} + {float(_B[k])!r} * {x} - {float(_A[k])!r} * {y}" for k in range(1, 5))
+
+    return f"""{name}(user_id, i, y, s1, s2, s3, s4) AS (
+  SELECT e.user_id, e.i, {first}, {after(start, first)} FROM {source} e WHERE e.i = 0
+  UNION ALL SELECT e.user_id, e.i, {out}, {after([f"f.s{k}" for k in range(1, 5)], out)} FROM {name} f JOIN {source} e ON e.user_id = f.user_id AND e.i = f.i + 1
+)"""
+
+
+@query(
+    f"""WITH RECURSIVE {TRACE}, n AS (
+  SELECT user_id, event_id, value AS v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, first_value(value) OVER w AS head, last_value(value) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tail
+  FROM trace WINDOW w AS (PARTITION BY user_id ORDER BY t)
+), ext AS (
+  SELECT user_id, n, i + 15 AS i, v AS x FROM n WHERE n > 15 UNION ALL SELECT user_id, n, 15 - i, 2 * head - v FROM n WHERE n > 15 AND i BETWEEN 1 AND 15
+  UNION ALL SELECT user_id, n, 15 + n - 1 + (n - 1 - i), 2 * tail - v FROM n WHERE n > 15 AND n - 1 - i BETWEEN 1 AND 15
+), {_pass("fwd", "ext")}, rev AS (SELECT user_id, max(i) OVER (PARTITION BY user_id) - i AS i, y AS x FROM fwd), {_pass("bwd", "rev")}
+SELECT n.user_id, event_id, {rounded("y", 6)} + 0.0 AS value FROM n JOIN bwd ON bwd.user_id = n.user_id AND bwd.i = n.n + 29 - (n.i + 15)"""
+)
+def zero_phase_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = trace(spark, sf_dir).select("user_id", "event_id", "t", "value")
+    out = S.zero_phase_series(x, ["user_id"], "t", "value", _B, _A, block_rows=32)
+    return out.select("user_id", "event_id", (r(F.col("value"), 6) + 0.0).alias("value"))
