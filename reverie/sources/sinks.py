@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from ..functions.text import leaks, schema_hash, stem
 
@@ -17,25 +18,54 @@ class LeakError(ValueError):
     """A column that must not be published."""
 
 
-def validate(df: DataFrame, strict: bool = False) -> None:
-    """Raises, naming the column, for binary and nested binary columns and for texts that begin as an image or a local path.
+Check = Callable[[Column], Column]
+
+
+def _checks(kind: DataType, path: str, bad: Check) -> list[tuple[str, Check]]:
+    """(path, whether a value of the type leaks there) for every text within the type: fields by .name, elements by [], keys and values of maps by {key} and {}."""
+    if isinstance(kind, BinaryType):
+        raise LeakError(f"column {path} holds bytes")
+    if isinstance(kind, StringType):
+        return [(path, bad)]
+    if isinstance(kind, StructType):
+        inner = [(f.dataType, f"{path}.{f.name}", _field(f.name)) for f in kind]
+    elif isinstance(kind, ArrayType):
+        inner = [(kind.elementType, f"{path}[]", _any(lambda c: c))]
+    elif isinstance(kind, MapType):
+        inner = [(kind.keyType, f"{path}{{key}}", _any(F.map_keys)), (kind.valueType, f"{path}{{}}", _any(F.map_values))]
+    else:
+        inner = []
+    return [(p, within(check)) for own, at, within in inner for p, check in _checks(own, at, bad)]
+
+
+def _field(name: str) -> Callable[[Check], Check]:
+    return lambda check: lambda c: check(c.getField(name))
+
+
+def _any(items: Check) -> Callable[[Check], Check]:
+    return lambda check: lambda c: F.exists(items(c), check)
 
-    All text columns are checked in one aggregate pass. strict also looks for such paths, and /home/, anywhere in a text.
+
+def leak_paths(df: DataFrame, strict: bool = False) -> list[str]:
+    """The full paths of all texts, at any depth, of which a value begins as an image or a local path; found in one aggregate pass.
+
+    strict also looks for such paths, and /home/, anywhere in a text. Bytes at any depth raise LeakError before anything is read.
     """
-    for f in df.schema:
-        if isinstance(f.dataType, BinaryType) or (isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, BinaryType)):
-            raise LeakError(f"column {f.name} holds bytes")
-    texts = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
-    if not texts:
-        return
-
-    def bad(c: str):
-        return leaks(F.col(c)) | (F.col(c).rlike(r"data:image/[a-z]+;base64,|/[Vv]olumes/|/Users/|/tmp/|/home/") if strict else F.lit(False))
-
-    row = df.agg(*(F.bool_or(bad(c)).alias(c) for c in texts)).first()
-    for c in texts:
-        if row[c]:
-            raise LeakError(f"column {c} holds an image or a local path")
+
+    def bad(c: Column) -> Column:
+        return leaks(c) | (c.rlike(r"data:image/[a-z]+;base64,|/[Vv]olumes/|/Users/|/tmp/|/home/") if strict else F.lit(False))
+
+    checks = [(path, check(F.col(f"`{f.name}`"))) for f in df.schema for path, check in _checks(f.dataType, f.name, bad)]
+    if not checks:
+        return []
+    row = df.agg(*(F.bool_or(found).alias(f"c{i}") for i, (_, found) in enumerate(checks))).first()
+    return [path for i, (path, _) in enumerate(checks) if row[i]]
+
+
+def validate(df: DataFrame, strict: bool = False) -> None:
+    """Raises, naming the full paths, for bytes and for texts that begin as an image or a local path, also within structs, arrays and maps (see leak_paths)."""
+    if found := leak_paths(df, strict):
+        raise LeakError(f"column {', '.join(found)} holds an image or a local path")
 
 
 def with_metadata(df: DataFrame, layers: list[str], git_sha: str = "unknown", version: str = "1.0.0") -> DataFrame:

@@ -63,6 +63,25 @@ def test_validation(spark):
         sinks.validate(good.withColumn("blob", F.lit("x").cast("binary")))
 
 
+def test_validation_reaches_nested_texts(spark):
+    kind = "id string, plain array<string>, deep struct<notes: array<struct<`a.b`: string, n: int>>, tags: map<string, array<string>>>, `odd.name` string"
+    row = ("x", ["ok", None], ([("fine", 1), None], {"k": ["v", None], "none": None}), None)
+    sinks.validate(spark.createDataFrame([row], kind))
+    bad = [
+        ("x", ["ok", "/tmp/f"], ([("fine", 1)], {"k": ["v"]}), "data:image/png;base64,x"),
+        ("x", None, ([("ok", 1), ("/Users/me", 2)], {"/tmp/key": ["v", "/Volumes/x"]}), None),
+        (None, None, None, None),
+    ]
+    df = spark.createDataFrame([row, *bad], kind)
+    assert sinks.leak_paths(df) == ["plain[]", "deep.notes[].a.b", "deep.tags{key}", "deep.tags{}[]", "odd.name"]
+    with pytest.raises(sinks.LeakError, match=r"deep\.tags\{\}\[\]"):
+        sinks.validate(df)
+    for nested in ("array<binary>", "struct<a: map<string, binary>>", "map<string, array<struct<b: binary>>>"):
+        with pytest.raises(sinks.LeakError, match="holds bytes"):
+            sinks.validate(spark.createDataFrame([], f"x {nested}"))
+    sinks.validate(spark.createDataFrame([], "n int"))
+
+
 def test_listings(spark, tmp_path):
     for p in ("a/x.mp4", "a/deep/y.mp4", "a/._z.mp4", "b/x.txt", "a/w.mp4"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
