@@ -6,10 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import ArrayType, BooleanType, NumericType, StructType
 
 from ..functions import constants as C
 from ..functions.maths import r, spine_angle
+from ..sources.shared import stored
 
 
 def first_max_by(value: Column, score: Column, order: Column) -> Column:
@@ -154,10 +156,80 @@ def spine_angles(samples: DataFrame, keys: list[str], t: str, point: str, x: str
     return means.select(*keys, t, angle.alias("angle")).where(F.col("angle").isNotNull())
 
 
+#: Long keys that are met by broadcast; each of the others has at most so small a part of all rows.
+_HOT_KEYS = 1_000
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], names: list[str], few: int = 100_000, bins: int = 256) -> DataFrame:
+    """Exact percentiles of each key, by line between the two order statistics next to it; null where a key has no value.
+
+    Keys of at most few rows are left to the built-in percentile, which holds the distinct values of a key. For longer ones the
+    statistics are selected by narrowing histograms: each round counts, for each key and statistic, the values of its range in
+    bins, and the bin that holds it, from its least to its greatest value, is the range of the next round, until that is one value
+    or has at most few, which are ranked. Counts are combined before the shuffle, so no task holds the values of a long key.
+    Rounds read df again, so it should be a table. NaNs count as larger than any number.
+    """
+    rows = df.select(F.struct(*keys).alias("k"), F.col(value).cast("double").alias("v"))
+    sizes, _ = stored(rows.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "percentiles-sizes")
+    long = sizes.where(F.col("n") > few)
+    n_long, total = long.count(), sizes.agg(F.sum("n")).first()[0] or 0
+    near = F.broadcast if n_long <= _HOT_KEYS else (lambda x: x)
+    short = rows.join(near(long.select("k")), "k", "left_anti") if n_long else rows
+    out = short.groupBy("k").agg(*(F.percentile("v", s).alias(n) for s, n in zip(shares, names)))
+    if n_long:
+        out = out.unionByName(_selected(rows, long, shares, names, few, bins, max(few, total // _HOT_KEYS)))
+    return out.select("k.*", *names)
+
+
+def _log_scale(x: Column) -> Column:
+    """A scale on which doubles of all sizes, of either sign, are spread evenly."""
+    return F.when(F.abs(x) > 1e-320, F.signum(x) * (F.ln(F.least(F.abs(x), F.lit(1.7e308))) + 740)).otherwise(0.0)
+
+
+def _selected(rows: DataFrame, long: DataFrame, shares: list[float], names: list[str], few: int, bins: int, hot: int) -> DataFrame:
+    """k and the percentiles of the long keys (k, n, low, high) of rows (k, v); those of more than hot rows are met by broadcast."""
+    ends = [F.array(F.floor(F.lit(s) * (F.col("n") - 1)), F.ceil(F.lit(s) * (F.col("n") - 1))) for s in shares]
+    open_ = long.select("k", F.explode(F.array_distinct(F.concat(*ends))).alias("place"), "n", "low", "high").withColumns({"rank": F.col("place"), "count": F.col("n")})
+    found = None
+
+    def within(targets: DataFrame) -> DataFrame:
+        wide, narrow = targets.where(F.col("n") > hot), targets.where(F.col("n") <= hot)
+        met = rows.join(F.broadcast(wide), "k").unionByName(rows.join(narrow, "k"))
+        return met.where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+
+    while True:
+        open_, _ = stored(open_, "percentiles-open")
+        single = F.col("low") == F.col("high")
+        order = Window.partitionBy("k", "place").orderBy("v")
+        last = within(open_.where(~single & (F.col("count") <= few))).withColumn("at", F.row_number().over(order) - 1).where(F.col("at") == F.col("rank"))
+        done = open_.where(single).select("k", "place", F.col("low").alias("v")).unionByName(last.select("k", "place", "v"))
+        found = done if found is None else found.unionByName(done)
+        left = open_.where(~single & (F.col("count") > few))
+        if left.isEmpty():
+            break
+        wide = (F.col("low") <= 0) & (F.col("high") >= 0) | (F.greatest(F.abs("low"), F.abs("high")) > 16 * F.least(F.abs("low"), F.abs("high")))
+        scaled = [F.when(wide, _log_scale(F.col(c))).otherwise(F.col(c)) for c in ("v", "low", "high")]
+        share = F.nanvl((scaled[0] - scaled[1]) / (scaled[2] - scaled[1]), F.lit(0.0))
+        bin_ = F.when(F.col("v") == F.col("high"), bins).otherwise(F.least(F.lit(bins - 1), F.floor(share * bins).cast("int")))  # the greatest value has a bin of its own, so every round narrows
+        counts = within(left).groupBy("k", "place", "n", "rank", bin_.alias("bin")).agg(F.count("*").alias("count"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = F.coalesce(F.sum("count").over(Window.partitionBy("k", "place").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        picked = counts.withColumn("before", before).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("count")))
+        open_ = picked.select("k", "place", "n", "low", "high", (F.col("rank") - F.col("before")).alias("rank"), "count")
+    values = found.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("at")).join(long.select("k", "n"), "k")
+
+    def line(s: float) -> Column:
+        at = F.lit(s) * (F.col("n") - 1)
+        lo, hi = F.element_at("at", F.floor(at)), F.element_at("at", F.ceil(at))
+        return F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+
+    return values.select("k", *(line(s).alias(n) for s, n in zip(shares, names)))
+
+
 def masked_median(df: DataFrame, keys: list[str], value: str, mask: Column, scale: float = 255.0) -> DataFrame:
     """Exact median of the values under the mask over scale; of all values where the mask of a key is empty."""
-    under, every = F.percentile(F.when(mask, F.col(value)), 0.5), F.percentile(F.col(value), 0.5)
-    return df.groupBy(*keys).agg((F.coalesce(under, every) / scale).alias("median"))
+    masked = df.withColumn("__under", F.when(mask, F.col(value).cast("double")))
+    under, every = percentiles(masked, keys, "__under", [0.5], ["__m"]), percentiles(df, keys, value, [0.5], ["__all"])
+    return every.join(under, keys, "left").select(*keys, (F.coalesce("__m", "__all") / scale).alias("median"))
 
 
 def resident_bytes(models: DataFrame, tier: str) -> DataFrame:

@@ -6,15 +6,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import carried
 
 
 def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, order: list[str], tolerance: float | None, left_id: list[str]) -> DataFrame:
     """Each left row with its nearest right row of the same keys, in either direction; equal distances go to the first by order.
 
     With a tolerance, time is cut into buckets of that length and every right row stands in its own and the two next to
-    it, so the join is an equi-join of bounded fan-out. Without one, the last right row at or before and the first after
-    are carried to every left row by windows over both tables together, and no pairs are made. Left rows without a match keep nulls.
+    it, so the join is an equi-join of bounded fan-out. Without one, the last right row at or before and the first at or after
+    are carried to every left row along both tables together (see ranks.carried), so no pairs are made and a key of any size
+    is dealt over many tasks. Left rows without a match keep nulls.
     left_id names a row of left. Right columns other than keys must not clash with left's.
     """
     mine = [c for c in right.columns if c not in keys]
@@ -26,10 +28,7 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], left_t: str
         return left.join(best, on, "left").select(*left.columns, *(F.col("__m")[c].alias(c) for c in mine))
     both = left.select(*keys, F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(F.struct(*mine).alias("m")).schema["m"].dataType).alias("__m"), F.col(left_t).alias("__t"))
     both = both.unionByName(right.groupBy(*keys, F.col(right_t).alias("__t")).agg(F.min_by(F.struct(*mine), F.struct(*order)).alias("__m")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__t", F.col("__l").isNotNull())
-    before = F.last("__m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("__before", before).withColumn("__after", after).where(F.col("__l").isNotNull())
+    found = carried(both, keys, [F.col("__t"), F.col("__l").isNotNull()], "__m", "__before", "__after").where(F.col("__l").isNotNull())
     gap_b, gap_a = F.abs(F.col("__t") - F.col("__before")[right_t]), F.abs(F.col("__after")[right_t] - F.col("__t"))
     first = F.struct(*(F.col("__before")[c] for c in order)) <= F.struct(*(F.col("__after")[c] for c in order))
     pick = F.when(F.col("__after").isNull() | (gap_b < gap_a) | ((gap_b == gap_a) & first), F.col("__before")).otherwise(F.col("__after"))

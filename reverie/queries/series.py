@@ -289,10 +289,11 @@ def signal_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = trace(spark, sf_dir)
     from ..functions.maths import normalised, peak_dbfs
 
-    stats = x.groupBy("user_id").agg(r(F.percentile("value", 0.95), 4).alias("p95"), r(peak_dbfs(F.max(F.abs("value"))), 4).alias("dbfs"), r(normalised(F.max("value"), 20.0), 4).alias("chaos"))
+    high = A.percentiles(x, ["user_id"], "value", [0.95], ["p95"], few=40).withColumn("p95", r(F.col("p95"), 4))
+    stats = x.groupBy("user_id").agg(r(peak_dbfs(F.max(F.abs("value"))), 4).alias("dbfs"), r(normalised(F.max("value"), 20.0), 4).alias("chaos"))
     shift = A.camera_shift(x, ["user_id"], "value", "score")
     var = A.normalised_variance(x, ["user_id"], "value").withColumn("variance", r(F.col("variance"), 4))
-    return stats.join(shift, "user_id").join(var, "user_id")
+    return stats.join(high, "user_id").join(shift, "user_id").join(var, "user_id")
 
 
 @query(
