@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import json
 import zipfile
 from collections.abc import Iterator
-from io import BytesIO
+from typing import BinaryIO
 
-import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
@@ -76,15 +79,55 @@ def read_csv_ids(spark: SparkSession, path: str, column: str = "video_id") -> Da
     return rows.groupBy(column).agg(F.min("_i").alias("_i")).orderBy("_i").select(column)
 
 
-def zip_members(spark: SparkSession, path: str, suffix: str = ".mp4") -> DataFrame:
-    """Stems of the members of zip archives with that suffix."""
+class ZipMembers(DataSource):
+    """Members of zip archives, read from the directories at their ends alone: format zip_members, options paths (JSON list) and suffix.
+
+    A partition is an archive. Its end is read by ranges, 64 KB and then the directory, also of archives of 4 GB and more (zip64), so
+    an archive costs about the size of its directory whatever it holds.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "zip_members"
+
+    def schema(self) -> str:
+        return "archive string, member string, size long, compressed long"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _ZipReader(self.options)
+
+
+class _Archive(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                with zipfile.ZipFile(BytesIO(content)) as z:
-                    found = [n for n in z.namelist() if n.endswith(suffix)]
-                yield pa.RecordBatch.from_arrays([pa.array([archive] * len(found), pa.string()), pa.array(found, pa.string())], names=["archive", "member"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(names, "archive string, member string").withColumn("id", stem(F.col("member")))
+class _ZipReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.paths, self.suffix = json.loads(options["paths"]), options.get("suffix", "")
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Archive(p) for p in self.paths]
+
+    def read(self, partition: _Archive) -> Iterator[tuple]:
+        with open_ranged(partition.path) as f, zipfile.ZipFile(f) as z:  # the module seeks to the directory and reads no member
+            for m in z.infolist():
+                if m.filename.endswith(self.suffix) and not m.is_dir():
+                    yield partition.path, m.filename, m.file_size, m.compress_size
+
+
+def open_ranged(path: str) -> BinaryIO:
+    """A file of any store that Arrow knows, for reading by ranges."""
+    where = path.removeprefix("file:") if path.startswith("file:/") else path
+    if "://" not in where:
+        fs, inside = pafs.LocalFileSystem(), "/" + where.lstrip("/")
+    else:
+        fs, inside = pafs.FileSystem.from_uri(where)
+    return io.BufferedReader(fs.open_input_file(inside), 1 << 16)
+
+
+def zip_members(spark: SparkSession, path: str, suffix: str = ".mp4") -> DataFrame:
+    """Members of zip archives with that suffix: archive, member, size, compressed, and id, the stem. Archives are listed by Spark and their directories read by ranges (see ZipMembers)."""
+    spark.dataSource.register(ZipMembers)
+    files = [r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # names alone: no content is read
+    return spark.read.format("zip_members").option("paths", json.dumps(files)).option("suffix", suffix).load().withColumn("id", stem(F.col("member")))

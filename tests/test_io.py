@@ -1,5 +1,6 @@
 """Sources, sinks, export and streaming."""
 
+import io
 import json
 import zipfile
 
@@ -100,6 +101,57 @@ def test_listings(spark, tmp_path):
     assert [r["id"] for r in readers.zip_members(spark, str(tmp_path / "z.zip")).collect()] == ["one"]
 
 
+def test_a_large_archive_is_listed_by_its_directory(spark, tmp_path, monkeypatch):
+    class Sparse(io.FileIO):
+        """Leaves holes for zeros."""
+
+        def write(self, data):
+            if len(data) > 4096 and not any(data[:64]):
+                self.seek(len(data), io.SEEK_CUR)
+                return len(data)
+            return super().write(data)
+
+    path = tmp_path / "large.zip"
+    with Sparse(path, "w") as f, zipfile.ZipFile(f, "w", allowZip64=True) as z:
+        with z.open("clips/big.mp4", "w", force_zip64=True) as big:
+            for _ in range(66):
+                big.write(bytes(64 << 20))
+        for i in range(200):
+            z.writestr(f"clips/{i}.mp4", b"x" * i)
+        z.writestr("notes.txt", b"x")
+    assert path.stat().st_size > 4 << 30
+    rows = readers.zip_members(spark, str(path))
+    got = {r["member"]: (r["id"], r["size"]) for r in rows.collect()}
+    assert len(got) == 201 and got["clips/big.mp4"] == ("big", 66 * (64 << 20)) and got["clips/7.mp4"] == ("7", 7)
+    read, real = [], readers.open_ranged
+
+    class Counted(io.RawIOBase):
+        def __init__(self, f):
+            self.f = f
+
+        def readable(self):
+            return True
+
+        seekable = readable
+
+        def seek(self, *a):
+            return self.f.seek(*a)
+
+        def tell(self):
+            return self.f.tell()
+
+        def readinto(self, b):
+            x = self.f.read(len(b))
+            n = len(x)
+            b[:n] = x
+            read.append(n)
+            return n
+
+    monkeypatch.setattr(readers, "open_ranged", lambda p: Counted(real(p)))
+    reader = readers._ZipReader({"paths": json.dumps([str(path)]), "suffix": ".mp4"})
+    assert len(list(reader.read(reader.partitions()[0]))) == 201 and sum(read) < 1 << 20
+
+
 def test_resume_and_ledgers(spark, tmp_path):
     every, done = spark.createDataFrame([("a",), ("b",)], "video_id string"), spark.createDataFrame([("a",), ("a",)], "video_id string")
     assert [r[0] for r in unprocessed(every, done, "video_id").collect()] == ["b"] and unprocessed(every, done, "video_id", force=True).count() == 2
