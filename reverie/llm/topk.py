@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, released
+from .common import delete, discard, materialise, new_path, released
 
 #: Inner products below these are exact in doubles and in 64-bit integers; larger ones take Python's integers.
 _DOUBLE, _LONG = 1 << 52, 1 << 62
@@ -93,22 +94,9 @@ def _by_dimension(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]
         yield own, flat[starts[own][:, None] + np.arange(size)]
 
 
-@dataclass
-class _Queries:
-    """A block of queries of one dimension, with what a task has found for them so far."""
-
-    ids: np.ndarray
-    vectors: np.ndarray
-    floors: list[int | None]
-    best: list[list[tuple[int, int]]] = field(default_factory=list)
-
-    def ask(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
-        most = _top(vectors) * _top(self.vectors) * max(1, vectors.shape[1])
-        kind = np.float64 if most < _DOUBLE else np.int64 if most < _LONG else object
-        self.best = self.best or [[] for _ in self.ids]
-        tree, queries = KDTree(ids, vectors.astype(kind)), self.vectors.astype(kind)
-        for i, q, floor, best in zip(self.ids.tolist(), queries, self.floors, self.best):
-            tree.search(q, i, k, floor, best)
+def _kind(most: int) -> type:
+    """Numbers that hold inner products of this size exactly."""
+    return np.float64 if most < _DOUBLE else np.int64 if most < _LONG else object
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -147,41 +135,72 @@ def _home(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             asks = table.column("asks").to_numpy()
             if not asks.any():
                 continue
-            asked = {q.shape[1]: _Queries(i, q, [None] * len(i)) for i, q in _vectors_of(table.filter(pa.array(asks)))}
-            for ids, vectors in _vectors_of(table.filter(pa.array(~asks))):
-                if vectors.shape[1] in asked:
-                    asked[vectors.shape[1]].ask(ids, vectors, k)
-            for q in asked.values():
-                best = q.best or [[]] * len(q.ids)
-                floors = pa.array([b[0][0] if len(b) == k and -_LONG < b[0][0] < _LONG else None for b in best], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(q.ids, pa.int64()), floors], names=["query_id", "floor"])
+            held = {x.shape[1]: (ids, x) for ids, x in _vectors_of(table.filter(pa.array(~asks)))}
+            for query_ids, queries in _vectors_of(table.filter(pa.array(asks))):
+                floors: list[int | None] = [None] * len(query_ids)
+                if (dim := queries.shape[1]) in held:
+                    ids, x = held[dim]
+                    kind = _kind(_top(x) * _top(queries) * max(1, dim))
+                    tree = KDTree(ids, x.astype(kind))
+                    for i, (own, q) in enumerate(zip(query_ids.tolist(), queries.astype(kind))):
+                        best = tree.search(q, own, k)
+                        floors[i] = best[0][0] if len(best) == k and -_LONG < best[0][0] < _LONG else None
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids, pa.int64()), pa.array(floors, pa.int64())], names=["query_id", "floor"])
 
     return released(run)
 
 
-def _search(k: int, block: list[tuple[np.ndarray, np.ndarray, list[int | None]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = {q.shape[1]: _Queries(i, q, floors) for i, q, floors in block}
-        for table in _shards(batches):
-            for ids, vectors in _vectors_of(table):
-                if vectors.shape[1] in asked:
-                    asked[vectors.shape[1]].ask(ids, vectors, k)
-        for q in asked.values():
-            found = [(i, -n, max(-(1 << 63), min((1 << 63) - 1, score))) for i, best in zip(q.ids.tolist(), q.best) for score, n in best]
+def _blocks(uri: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """The queries that lie in a folder of the shared store, so many at a time."""
+    fs, inside = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    for info in sorted(fs.get_file_info(pafs.FileSelector(inside)), key=lambda f: f.path):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(rows, columns=["vec_id", "vector", "floor"])
+
+
+def _search(k: int, uri: str, most: int, block_rows: int, held_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each task builds the trees of its shards, up to held_rows vectors at once, and passes all queries by them; most is the largest component of a query."""
+
+    def answers(trees: dict[int, list[KDTree]]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(uri, block_rows):
+            ids, floors = block.column("vec_id").to_pylist(), block.column("floor").to_pylist()
+            found = []
+            for own, queries in _by_dimension(block.column("vector")):
+                near = trees.get(queries.shape[1], [])
+                cast = {kind: queries.astype(kind) for kind in {t.vectors.dtype for t in near}}
+                for at, i in enumerate(own.tolist()):
+                    best: list[tuple[int, int]] = []
+                    for tree in near:
+                        tree.search(cast[tree.vectors.dtype][at], ids[i], k, floors[i], best)
+                    found += [(ids[i], -n, max(-(1 << 63), min((1 << 63) - 1, score))) for score, n in best]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, held = {}, 0
+        for table in _shards(batches):
+            for ids, x in _vectors_of(table):
+                trees.setdefault(x.shape[1], []).append(KDTree(ids, x.astype(_kind(_top(x) * most * max(1, x.shape[1])))))
+                held += len(ids)
+            if held >= held_rows:
+                yield from answers(trees)
+                trees, held = {}, 0
+        if trees:
+            yield from answers(trees)
+
     return released(run)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 8192, held_rows: int = 1 << 18, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
     """The k vectors of largest integer inner product for every query but itself: query_id, rank, vec_id, score.
 
     Vectors are dealt by hash to shards of about shard_rows and lie in their order, so one shuffle moves each vector once. Round
-    one asks each query in its own shard alone and so learns a kth score. Round two passes over the shards where they lie,
-    once for each block of about block_rows queries, which goes to every task (with 64 dimensions, 4 MB): a task builds
-    the tree of one shard after another, and the best of a query so far, at least its score of round one, is the bound below
-    which subtrees and rows are passed over. Only a task's k best rows for a query leave it. In many dimensions boxes bound
+    one asks each query in its own shard alone and so learns a kth score. The queries with those scores are written to the shared
+    folder once. In round two a task builds the trees of its shards, up to held_rows vectors at once, each tree once, and
+    reads the queries past them, block_rows at a time; the best of a query so far, at least its score of round one, is the bound
+    below which subtrees and rows are passed over, from tree to tree. Only a task's k best rows for a query leave it. So the
+    plan is the same for any number of queries, and none of them passes through the driver. In many dimensions boxes bound
     poorly and most leaves are read, as in any exact search.
 
     Ties go to the smaller id. Null vectors and vectors with null components take no part. Repeated rows of one id and
@@ -200,19 +219,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     every = rows.withColumn("asks", F.lit(False)).union(clean(queries).distinct().withColumn("asks", F.lit(True))).withColumn("shard", shard)
     every = materialise(every.repartition("shard").sortWithinPartitions("shard"), "topk-shards")
     asked = every.where("asks").select("vec_id", "vector")
-    n_blocks = max(1, -(-asked.count() // block_rows))
-
     floors = every.mapInArrow(_home(k), "query_id long, floor long").groupBy("query_id").agg(F.when(F.count("floor") == F.count("*"), F.min("floor")).alias("floor"))
-    block_of = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int")
-    asked = materialise(asked.join(floors, asked["vec_id"] == floors["query_id"], "left").select("vec_id", "vector", "floor", block_of.alias("block")), "topk-queries")
+    asked = asked.join(floors, asked["vec_id"] == floors["query_id"], "left").select("vec_id", "vector", "floor")
+    uri = new_path(every.sparkSession, "topk-queries")
+    asked.write.parquet(uri)
+    most = every.where("asks").agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double")))))).first()[0]
     held = every.where("not asks").select("vec_id", "vector", "shard")
-    found = None
-    for b in range(n_blocks):  # a pass over the shards for each block; a block is about block_rows vectors
-        table = asked.where(F.col("block") == b).toArrow().combine_chunks()
-        lists = table.column("vector").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int64()))
-        ids, known = table.column("vec_id").to_numpy(), table.column("floor").to_pylist()
-        block = [(ids[own], matrix, [known[i] for i in own.tolist()]) for own, matrix in _by_dimension(lists)]
-        part = held.mapInArrow(_search(k, block), "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
+    found = held.mapInArrow(_search(k, uri, int(most or 0) + 1, block_rows, held_rows), "query_id long, vec_id long, score long")
+    found = materialise(found, "topk-found")
+    delete(every.sparkSession, uri)
+    discard(every)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
