@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialise, released
+from .common import discard, materialise, released, shuffle_partitions
 
 #: Clusters of vectors whose dimension the sample does not have most often; their centre is the origin.
 _OTHERS = 16
@@ -327,7 +327,7 @@ def hard_negatives(
     high_percent: int = 95,
     clusters: int | None = None,
     sample_rows: int = 16_384,
-    group_rows: int = 65_536,
+    group_rows: int | None = None,
     id_col: str = "vec_id",
     label_col: str = "label",
     vector_col: str = "vector",
@@ -340,7 +340,7 @@ def hard_negatives(
 
     The index is k-means on at most 2 * sample_rows rows (about sqrt(rows) centres, 1024 at most, unless clusters is given), and
     every row is put in the list of its nearest centre, whose radius is stored, so the search is exact for any centres. Lists
-    are dealt to groups of about group_rows rows; a list longer than that is split by id, so equal vectors do not gather in
+    are dealt to groups of about group_rows rows (unless given, so many that every task has two, from 1,024 to 65,536); a list longer than that is split by id, so equal vectors do not gather in
     one task. An anchor first searches its own group, which gives a kth score; then it goes to the groups that have a
     cluster whose upper bound reaches that. Its positives' scores give the windows of the negatives, and it goes to the
     groups whose bounds meet one. In a group it visits clusters by upper bound, skips those outside its windows and stops when
@@ -355,7 +355,8 @@ def hard_negatives(
     v = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].cast("array<long>").alias("vector"), F.coalesce(anchors, F.lit(False)).alias("asks"))
     v = v.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & ~F.exists(F.coalesce("vector", F.array().cast("array<long>")), lambda x: x.isNull()))
     v = v.withColumn("row_key", F.xxhash64("label", "vector"))
-    index = _index(v, v.count(), clusters, sample_rows, group_rows)
+    n = v.count()
+    index = _index(v, n, clusters, sample_rows, group_rows or max(1024, min(65_536, n // (2 * shuffle_partitions(vectors.sparkSession)))))
     dealt = v.mapInArrow(_deal(index), "vec_id long, label string, vector array<long>, asks boolean, row_key long, cluster int, group long")
     lists = materialise(dealt.repartition("group").sortWithinPartitions("group", "cluster"), "negatives-lists")
 
