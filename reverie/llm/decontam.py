@@ -108,8 +108,9 @@ def contaminated(
        many as leave out fewer than that; those alone make pairs of a row and an item, and a shingle that many items hold
        makes none unless an item has no rarer ones. Pairs with enough common shingles give windows of the item's length,
        one for each alignment of a common shingle. This leaves out no similar window at such an alignment.
-    2. Candidates. A window meets its item by their SimHash fingerprints: bits are split into blocks so that fingerprints
-       within radius differ in at most `within` bits of one block; items stand at all such values, windows at their own.
+    2. Candidates. A window meets every item of its length by their SimHash fingerprints, whichever item gave the window: bits
+       are split into blocks so that fingerprints within radius differ in at most `within` bits of one block; items stand at
+       all such values, windows at their own.
     3. Verification. Candidates within radius are kept if their exact weighted-shingle similarity reaches similarity. At
        0.8, fingerprints differ in 10 bits on average and in over 20 for about one pair in 10,000, which are lost.
 
@@ -147,17 +148,17 @@ def contaminated(
     pairs = materialise(pairs, "decontam-pairs")
     windows = (
         aligned.join(F.broadcast(pairs) if pairs.count() <= broadcast_rows // 4 else pairs, ["row", "item_id"])
-        .select("row", "item_id", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("start"), "n_words", "k")
+        .select("row", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("start"), "n_words", "k")
         .distinct()
     )
-    per_row = materialise(windows.groupBy(F.col("row").alias("own")).agg(F.collect_list(F.struct("item_id", "start", "n_words", "k")).alias("windows")), "decontam-windows")
+    per_row = materialise(windows.groupBy(F.col("row").alias("own")).agg(F.collect_list(F.struct("start", "n_words", "k")).alias("windows")), "decontam-windows")
     held = F.broadcast(per_row) if per_row.select(F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()[0] <= broadcast_rows // 20 else per_row
     cut = texts.join(held, texts["row"] == per_row["own"]).select(
         "doc_id",
         F.explode(
             let(
                 words_of(F.col("text")),
-                lambda w: F.transform("windows", lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), x["n_words"].alias("n_words"), x["k"].alias("k"), F.slice(w, x["start"] + 1, x["n_words"]).alias("words"))),
+                lambda w: F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n_words"].alias("n_words"), x["k"].alias("k"), F.slice(w, x["start"] + 1, x["n_words"]).alias("words"))),
             )
         ).alias("w"),
     )
@@ -175,13 +176,17 @@ def contaminated(
 
 
 def candidates(windows: DataFrame, items: DataFrame, radius: int, within: int) -> DataFrame:
-    """windows (doc_id, item_id, start, n_words, k, words, fp) whose fingerprint lies within radius of their item's, with item_words and hamming: all of them, and each once.
+    """windows (doc_id, start, n_words, k, words, fp) with every item of their length whose fingerprint lies within radius: item_id, item_words, hamming; each pair once.
 
-    They meet at the values of multi-index blocks, so a window that agrees with its item in no block is never compared with it.
+    They meet at the values of multi-index blocks, so a window is compared with no item that it agrees with in no block.
     """
+    return met_in_blocks(windows, items, radius, within).where(F.col("hamming") <= radius).select("doc_id", "start", "n_words", "k", "words", "item_id", "item_words", "hamming").distinct()
+
+
+def met_in_blocks(windows: DataFrame, items: DataFrame, radius: int, within: int) -> DataFrame:
+    """The pairs that the index compares, once for every block that they meet in."""
     masks = hamming_blocks(radius, within)
-    prints = materialise(items.select("item_id", F.col("words").alias("item_words"), let(F.col("hashes"), simhash).alias("item_fp")), "decontam-item-prints")
+    prints = materialise(items.select("item_id", "n_words", "k", F.col("words").alias("item_words"), let(F.col("hashes"), simhash).alias("item_fp")), "decontam-item-prints")
     at_items = prints.withColumn("at", F.explode(_block_keys(F.col("item_fp"), masks, within)))
     at_windows = windows.withColumn("at", F.explode(_block_keys(F.col("fp"), masks, 0)))
-    met = at_windows.join(at_items, ["item_id", "at"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= radius)
-    return met.select("doc_id", "start", "n_words", "k", "words", "item_id", "item_words", "hamming").distinct()
+    return at_windows.join(at_items, ["n_words", "k", "at"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
