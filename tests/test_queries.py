@@ -37,12 +37,14 @@ def test_query(spark, db, name):
 
 
 def test_entry_imports_without_the_optional_operators(monkeypatch):
-    import importlib.util
     import sys
 
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("reverie.llm", "corpus_pipeline") else real(name, *a))
+    for name in [m for m in sys.modules if m == "reverie.llm" or m.startswith("reverie.llm.")]:
+        monkeypatch.delitem(sys.modules, name)
+    for name in ("reverie.llm", "corpus_pipeline"):  # as if they could not be imported
+        monkeypatch.setitem(sys.modules, name, None)
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+    monkeypatch.delattr(sys.modules["reverie"], "llm", raising=False)
     import __spark_entry__ as e
 
     assert set(e.queries()) == set(QUERIES) and e.oracle_sql() == SQL
