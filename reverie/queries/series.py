@@ -328,7 +328,7 @@ def _closest(kind: str, columns: str) -> str:
     f"""WITH {TRACE}, g AS (SELECT user_id, event_id, t, score - 0.5 AS pitch, value / 100 - 0.5 AS yaw FROM trace WHERE event_type = 'purchase'), box AS ({_closest("view", "b.value * 6 AS x, b.score * 400 AS y")}), hand AS ({_closest("signup", "b.value * 6 AS hx, b.score * 480 AS hy, b.value")}), d AS (
   SELECT user_id, g.t, {_ray("x", "y", "x + 20", "y + 40")} AS person, CASE WHEN h.value > 5 THEN greatest({_ray("hx", "hy", "hx + 30", "hy + 30")}, {_ray("(640 - hx)", "hy", "(640 - hx)", "(hy + 10)")}) END AS hand
   FROM g JOIN box b ON b.event_id = g.event_id AND b.k = 1 LEFT JOIN hand h ON h.event_id = g.event_id AND h.k = 1
-) SELECT user_id, t, CASE WHEN hand > person THEN 'POV_Actor_Hands' ELSE 'Camera' END AS target, {rounded("greatest(0.0, least(1.0, (greatest(person, coalesce(hand, person)) - 0.5) * 2))", 2)} AS score FROM d"""
+) SELECT user_id, {rounded("t", 2)} AS t, CASE WHEN hand > person THEN 'POV_Actor_Hands' ELSE 'Camera' END AS target, {rounded("greatest(0.0, least(1.0, (greatest(person, coalesce(hand, person)) - 0.5) * 2))", 2)} AS score FROM d"""
 )
 def gaze_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases stand for gaze samples, views for boxes, signups for frames with two hands, or none if their value is small."""
