@@ -117,7 +117,8 @@ def contaminated(
     Words are lower-cased runs of letters and digits, so case, punctuation and layout do not hide a passage. Items with fewer
     words than a shingle are one shingle of all their words. Null and empty texts hold nothing; items without a word match
     nothing. Rows are searched one by one; those that share a doc_id (or have none) count as one document: it holds an item if
-    one of its rows does. Equal windows tie to the smallest start. Empty tables give an empty result. Other columns are ignored.
+    one of its rows does. Equal windows tie to the smallest start. Very long texts are searched whole; a task holds the hashes of one.
+    Empty tables give an empty result. Other columns are ignored.
 
     Of the document table only shingle hashes that occur in the benchmark leave the scan; texts are read again for rows
     with windows. The item tables are broadcast up to broadcast_rows rows and joined by shuffle beyond.

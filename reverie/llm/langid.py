@@ -173,9 +173,12 @@ def identify_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, .
     """keep columns, lang_pred and score (0 to 1) of every whole text.
 
     A narrow pass: no shuffle. Null and empty texts and texts without a letter are und with score 0, as is everything under
-    a model without languages. Repeated rows and null ids are predicted like any others; ties go to the smaller name. An
-    empty table gives an empty result.
+    a model without languages. Repeated rows and null ids are predicted like any others; ties go to the smaller name. Very
+    long texts are counted whole, a chunk of bytes at a time. An empty table gives an empty result. Columns that are not
+    kept may have any name; keep must not hold a column of text_col's name, text, lang_pred or score, which raises ValueError.
     """
+    if clash := {c.lower() for c in keep} & {"text", "lang_pred", "score", text_col.lower()}:
+        raise ValueError(f"columns of the result's names cannot be kept: {', '.join(sorted(clash))}")
     texts = docs.select(*(docs[c] for c in keep), docs[text_col].cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
     return texts.mapInArrow(_predictor(model), f"{schema}, lang_pred string, score double")

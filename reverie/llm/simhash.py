@@ -290,8 +290,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle_words: int = 3, id
 
     ASCII letters are folded to lower case and words are split at ASCII white space. Null and empty texts, and texts of
     white space, have fingerprint zero and are linked like any others; fewer words than a shingle make one shingle. Repeated
-    rows share a component; rows with a null doc_id are kept, and a component with no other id has a null component_id. An
-    empty table gives an empty result. Other columns are ignored.
+    rows share a component; rows with a null doc_id are kept, and a component with no other id has a null component_id. Very
+    long texts are hashed whole. An empty table gives an empty result. Other columns are ignored.
 
     Returns doc_id, fingerprint (16 hexadecimal digits), component_id (the least doc_id of the component).
     """

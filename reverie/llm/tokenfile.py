@@ -153,7 +153,8 @@ def write_token_files(
     does not name are left over from lost attempts.
 
     Null text is empty: the end id alone. Null doc_ids come first, rows of one doc_id stand in the order of their texts'
-    hashes, repeated rows are kept; an empty table writes nothing of any length. Other columns are ignored.
+    hashes, repeated rows are kept; a very long text is encoded whole, on its own; an empty table writes nothing of any
+    length. Other columns are ignored.
     """
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     if n_files is None:
