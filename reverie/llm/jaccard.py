@@ -20,8 +20,8 @@ _SAMPLE, _COMMON = 5_000, 200_000
 _ROWS, _BUCKETS, _BROADCAST = 256, 1024, 1_000_000
 #: 64-bit numbers of a folded sketch.
 _FOLDS = 4
-#: Rounds of drawn centres at most, and how many pairs for each row are few enough to be met without another.
-_DRAWS, _DENSE = 6, 4
+#: Rounds of drawn centres.
+_DRAWS = 2
 
 
 def shingle_set(text: str | None, shingle_words: int = 5, seed: int = 42) -> np.ndarray:
@@ -210,8 +210,8 @@ def similar_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, similar
        at least k = ceil(similarity / (1 + similarity) * (m + n)) in common, so one of the first m - k + 1 of the one is among
        the first n - k + 1 of the other. Shingles that are common in a sample go last, so boilerplate makes no candidates unless
        a text is little else; the order changes the cost and never the result. Sets meet by the shingles they share
-       there: first each with one set of the shingle, the same for many shingles, then in a few rounds with one drawn for every
-       shingle, which joins large groups of copies by a number of pairs in proportion to their rows, then all pairs that are
+       there: first each with one set of the shingle, the same for many shingles, then in two rounds with one drawn for every
+       shingle from its largest component, which joins large groups of copies by a number of pairs in proportion to their rows, then all pairs that are
        still in different components.
     """
     prints = materialise(classes.where("n > 0").groupBy("fp").agg(F.min("set_id").alias("set_id")), "copies-prints")
@@ -243,18 +243,12 @@ def similar_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, similar
         discard(now, roots, mixed)
         return out
 
-    def pairs_left(of: DataFrame) -> bool:
-        """Whether more pairs of different components share a hash than _DENSE for each row."""
-        per = of.groupBy("hash", "root").agg(F.count("*").alias("m")).groupBy("hash").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        left = per.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-        return (left["pairs"] or 0) > _DENSE * (left["rows"] or 0)
-
     left = mixed_groups(rows, "copies-mixed")
     for draw in range(_DRAWS):
-        if draw and not pairs_left(left):
-            break
-        drawn = F.min_by(F.struct("set_id", "n", "pos", "root"), F.xxhash64("set_id", "hash", F.lit(draw)))  # another centre for every hash and draw
-        centres = materialise(left.groupBy("hash").agg(drawn.alias("c")), "copies-centres")
+        # a centre for every hash, drawn from the component that most of its sets are in: what belongs there finds it in a few draws
+        drawn = F.min_by(F.struct("set_id", "n", "pos", "root"), F.xxhash64("set_id", "hash", F.lit(draw)))
+        per = left.groupBy("hash", "root").agg(F.count("*").alias("m"), drawn.alias("c"))
+        centres = materialise(per.groupBy("hash").agg(F.max_by("c", F.struct("m", "root")).alias("c")), "copies-centres")
         stars = lookup(left, centres, "hash").where(F.col("root") != F.col("c.root")).select("set_id", "n", "pos", *(F.col(f"c.{c}").alias(f"centre_{c}") for c in ("set_id", "n", "pos")))
         stars = stars.where(reach("n", "pos", "centre_n", "centre_pos")).select(F.col("set_id").alias("a"), F.col("centre_set_id").alias("b"))
         links = links.union(_similar(_ordered(stars), classes, texts, similarity, shingle_words))
