@@ -125,13 +125,15 @@ def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 
 def give_back(spark: SparkSession) -> None:
-    """Has executors collect their garbage, so that heaps that grew in a stage before shrink to what is alive.
+    """Has the executors and the driver collect their garbage, so that heaps that grew in a stage before shrink to what is alive.
 
-    An executor's heap stays at the most it ever held although hardly any of it is alive, which leaves the Python workers beside
+    A heap stays at the most it ever held although hardly any of it is alive, which leaves the Python processes beside
     it the less room the longer a session runs. One small task for each core asks for it; it changes no result.
     """
     n = spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+    trim()
+    spark._jvm.System.gc()
 
 
 def read_columns(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
@@ -142,16 +144,21 @@ def read_columns(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
 _Batches = Iterator[pa.RecordBatch]
 
 
+def trim() -> None:
+    """Gives what this Python process no longer holds back to the system; the allocator keeps freed pages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if back:
+        back(0)
+
+
 def released(run: Callable[[_Batches], _Batches]) -> Callable[[_Batches], _Batches]:
     """run, after which the worker gives what it no longer holds back to the system: Python workers live on for later stages, and the allocator keeps freed pages."""
 
     @wraps(run)
     def wrapped(batches: _Batches) -> _Batches:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-        if trim:
-            trim(0)
+        trim()
 
     return wrapped
