@@ -177,7 +177,7 @@ def contaminated(
 
 
 def candidates(windows: DataFrame, items: DataFrame, radius: int, within: int) -> DataFrame:
-    """windows (doc_id, start, n_words, k, words, fp) with every item of their length whose fingerprint lies within radius: item_id, item_words, hamming; each pair once.
+    """windows (doc_id, start, n_words, k, words, fp) with every item of their length whose fingerprint lies within radius: item_id, item_words, hamming; each pair once. Windows with an item_id meet that item alone.
 
     They meet at the values of multi-index blocks, so a window is compared with no item that it agrees with in no block.
     """
@@ -190,4 +190,5 @@ def met_in_blocks(windows: DataFrame, items: DataFrame, radius: int, within: int
     prints = materialise(items.select("item_id", "n_words", "k", F.col("words").alias("item_words"), let(F.col("hashes"), simhash).alias("item_fp")), "decontam-item-prints")
     at_items = prints.withColumn("at", F.explode(_block_keys(F.col("item_fp"), masks, within)))
     at_windows = windows.withColumn("at", F.explode(_block_keys(F.col("fp"), masks, 0)))
-    return at_windows.join(at_items, ["n_words", "k", "at"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    own = [c for c in ("item_id",) if c in windows.columns]
+    return at_windows.join(at_items, ["n_words", "k", "at", *own]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
