@@ -118,9 +118,14 @@ def slope_span(df: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.when((F.count("*") >= 2) & (span > 0), F.regr_slope(value, t) * span).alias("delta"))
 
 
+def peak_of(t: str, value: str) -> list[Column]:
+    """Aggregates peak and peak_t: the largest positive value and its first time, null if there is none."""
+    moving = F.col(value) > 0
+    return [F.max(F.when(moving, F.col(value))).alias("peak"), F.max_by(t, F.when(moving, F.struct(value, -F.col(t)))).alias("peak_t")]
+
+
 def velocity_peak(df: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
-    moving = df.where(F.col(value) > 0)
-    return moving.groupBy(*keys).agg(F.max(value).alias("peak"), F.max_by(t, F.struct(value, -F.col(t))).alias("peak_t"))
+    return df.where(F.col(value) > 0).groupBy(*keys).agg(*peak_of(t, value))
 
 
 def camera_shift(df: DataFrame, keys: list[str], dx: str, dy: str, upscale: float = 1.0) -> DataFrame:
@@ -144,16 +149,20 @@ def mirroring(flow: DataFrame, angles: DataFrame, keys: list[str], flow_t: str,
     return out.select(*both, F.col("__d").isNotNull().alias("mirroring_detected"), F.least(F.lit(1.0), F.coalesce("__d", F.lit(0.0)) / 0.5).alias("mirroring_scalar"))
 
 
-def spine_angles(samples: DataFrame, keys: list[str], t: str, point: str, x: str, y: str) -> DataFrame:
-    """Angle of the line from the mean hip to the mean shoulder of each sample that shows at least one of either (points 5 and 6, 11 and 12)."""
+def spine_means(point: str, x: str, y: str) -> list[Column]:
+    """Aggregates of the points of a sample: mean shoulder (points 5 and 6) and mean hip (11 and 12), x and y of each."""
 
     def mean(points: tuple[int, int], value: str) -> Column:
         return F.avg(F.when(F.col(point).isin(*points), F.col(value)))
 
-    shoulder, hip = (5, 6), (11, 12)
-    means = samples.groupBy(*keys, t).agg(mean(shoulder, x).alias("__sx"), mean(shoulder, y).alias("__sy"), mean(hip, x).alias("__hx"), mean(hip, y).alias("__hy"))
-    angle = spine_angle(F.col("__sx"), F.col("__sy"), F.col("__hx"), F.col("__hy"))
-    return means.select(*keys, t, angle.alias("angle")).where(F.col("angle").isNotNull())
+    return [mean(points, value) for points in ((5, 6), (11, 12)) for value in (x, y)]
+
+
+def spine_angles(samples: DataFrame, keys: list[str], t: str, point: str, x: str, y: str) -> DataFrame:
+    """Angle of the line from the mean hip to the mean shoulder of each sample that shows at least one of either (points 5 and 6, 11 and 12)."""
+    names = ["__sx", "__sy", "__hx", "__hy"]
+    means = samples.groupBy(*keys, t).agg(*(c.alias(n) for n, c in zip(names, spine_means(point, x, y))))
+    return means.select(*keys, t, spine_angle(*map(F.col, names)).alias("angle")).where(F.col("angle").isNotNull())
 
 
 #: Long keys that are met by broadcast; each of the others has at most so small a part of all rows.

@@ -50,6 +50,11 @@ def interval_join(points: DataFrame, windows: DataFrame, keys: list[str], t: str
     return points.withColumn("__b", F.floor(F.col(t) / width)).join(near, [*keys, "__b"]).where(F.col(t).between(F.col(start), F.col(end))).drop("__b")
 
 
+def own_interval(points: DataFrame, windows: DataFrame, keys: list[str], t: str, start: str, end: str) -> DataFrame:
+    """Points within the closed interval of the same keys, where each key has but one: a point meets it by the keys alone, and what is grouped by them later is dealt already."""
+    return points.join(windows, keys).where(F.col(t).between(F.col(start), F.col(end)))
+
+
 def bucketed_after(causes: DataFrame, effects: DataFrame, keys: list[str], cause_t: str, effect_t: str, within: float) -> DataFrame:
     """Pairs with 0 < effect - cause <= within, by buckets of that length."""
     far = effects.withColumn("__b", F.explode(F.array(*(F.floor(F.col(effect_t) / within) + d for d in (-1, 0)))))
@@ -68,9 +73,10 @@ def spike_response(spikes: DataFrame, peaks: DataFrame, keys: list[str], spike_t
 
 def before_after_means(points: DataFrame, series: DataFrame, keys: list[str], point_t: str, series_t: str, value: str, half: float = 0.5, each: list[str] | None = None) -> DataFrame:
     """Points with the mean of the series in [t - half, t] and in (t, t + half]; points that lack either side are left out. With each, per further key of the series."""
-    far = series.withColumn("__b", F.explode(F.array(*(F.floor(F.col(series_t) / half) + d for d in (-1, 0, 1)))))
-    near = points.withColumn("__b", F.floor(F.col(point_t) / half)).join(far, [*keys, "__b"])
+    far = points.withColumn("__b", F.explode(F.array(*(F.floor(F.col(point_t) / half) + d for d in (-1, 0, 1)))))  # a point is of all persons, a series of each
+    near = far.join(series.withColumn("__b", F.floor(F.col(series_t) / half)), [*keys, "__b"])
     gap = F.col(series_t) - F.col(point_t)
+    near = near.where((gap >= -half) & (gap <= half))
     own = [*points.columns, *(each or [])]
     out = near.groupBy(*own).agg(
         F.avg(F.when((gap >= -half) & (gap <= 0), F.col(value))).alias("before"), F.avg(F.when((gap > 0) & (gap <= half), F.col(value))).alias("after")

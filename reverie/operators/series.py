@@ -137,21 +137,36 @@ def top_by_time(df: DataFrame, keys: list[str], t: str, value: str, k: int = 3)
     return df.withColumn("__r", best).where(F.col("__r") <= k).drop("__r").withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(t)))
 
 
+def successive(samples: DataFrame, keys: list[str], t: str, point: str, x: str, y: str, most_gap: float = 0.5, **aggs: Column) -> DataFrame:
+    """A row per sample (keys, t): moved, whether it shares a point with the sample before it, no longer than most_gap ago, velocity, and aggs over its points.
+
+    Velocity is the mean distance of the points common to both, over the time between them. The points of a sample are one
+    list, next to that of the sample before, so samples are shuffled once, and not at all if they are dealt by some of keys.
+    """
+    w = Window.partitionBy(*keys).orderBy(t)
+    points = F.collect_list(F.struct(F.col(point).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    rows = samples.groupBy(*keys, t).agg(points.alias("__now"), *(c.alias(n) for n, c in aggs.items())).withColumns({"__was": F.lag("__now").over(w), "__gap": F.col(t) - F.lag(t).over(w)})
+    moves = F.flatten(F.transform("__now", lambda a: F.transform(F.filter("__was", lambda b: b["k"] == a["k"]), lambda b: F.hypot(a["x"] - b["x"], a["y"] - b["y"]))))
+    rows = rows.withColumn("__d", F.when((F.col("__gap") > 0) & (F.col("__gap") <= most_gap), moves))
+    known = F.filter("__d", lambda d: d.isNotNull())
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, d: s + d) / F.size(known))
+    return rows.select(*keys, t, F.coalesce(F.size("__d") > 0, F.lit(False)).alias("moved"), (mean / F.col("__gap")).alias("velocity"), *aggs)
+
+
 def velocities(samples: DataFrame, keys: list[str], t: str, point: str, x: str, y: str, most_gap: float = 0.5) -> DataFrame:
     """Mean distance of the points common to successive samples, over the time between them; gaps over most_gap give none."""
-    order = F.dense_rank().over(Window.partitionBy(*keys).orderBy(t))
-    now = samples.select(*keys, t, point, x, y).withColumn("__n", order)
-    was = now.select(*keys, point, (F.col("__n") + 1).alias("__n"), F.col(t).alias("__t"), F.col(x).alias("__x"), F.col(y).alias("__y"))
-    pairs = now.join(was, [*keys, "__n", point])
-    gap = F.col(t) - F.col("__t")
-    out = pairs.where((gap > 0) & (gap <= most_gap)).groupBy(*keys, t).agg((F.avg(F.hypot(F.col(x) - F.col("__x"), F.col(y) - F.col("__y"))) / F.first(gap)).alias("velocity"))
-    return out
+    named = samples.dropna(subset=keys)
+    return successive(named, keys, t, point, x, y, most_gap).where("moved").select(*keys, t, "velocity")
+
+
+def central(cx: Column, cy: Column, low: float = 0.35, high: float = 0.65) -> Column:
+    return cx.between(low, high) & cy.between(low, high)
 
 
 def tail_centred(boxes: DataFrame, keys: list[str], t: str, start: str, end: str, cx: Column, cy: Column, low: float = 0.35, high: float = 0.65) -> DataFrame:
     """Whether a relative box centre lies in the central square during the last quarter of the window."""
     late = F.col(t).between(F.col(end) - 0.25 * (F.col(end) - F.col(start)), F.col(end))
-    inside = cx.between(low, high) & cy.between(low, high)
+    inside = central(cx, cy, low, high)
     return boxes.groupBy(*keys).agg(F.coalesce(F.bool_or(late & inside), F.lit(False)).alias("centred"))
 
 

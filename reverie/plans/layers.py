@@ -22,7 +22,9 @@ WINDOW = max(end - start for start, end in C.REACTION_WINDOWS.values())
 
 
 def within(points: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Points within the reaction windows (win_start, win_end) of the same keys."""
+    """Points within the reaction windows (win_start, win_end) of the same keys; a task has one window."""
+    if keys == TASK:
+        return J.own_interval(points, windows, keys, "t", "win_start", "win_end")
     return J.interval_join(points, windows, keys, "t", "win_start", "win_end", WINDOW)
 
 
@@ -234,15 +236,20 @@ def resonance(flow: DataFrame, samples: DataFrame, angles: DataFrame | None = No
     Persons with neither a velocity nor an angle, and tasks without motion, have no row.
     """
     keys = [*TASK, "person_id"]
+    means = dict(zip(("__sx", "__sy", "__hx", "__hy"), A.spine_means("kpt", "x", "y"))) if angles is None else {}
+    moves = S.successive(samples.dropna(subset=keys), keys, "t", "kpt", "x", "y", **means)
     if angles is None:
-        angles = A.spine_angles(samples, keys, "t", "kpt", "x", "y").withColumnRenamed("t", "t_angle")
+        moves = moves.withColumn("angle", M.spine_angle(*(F.col(c) for c in means)))
+        angles = moves.where(F.col("angle").isNotNull()).select(*keys, F.col("t").alias("t_angle"), "angle")
+        people = moves.where(F.col("moved") | F.col("angle").isNotNull())
+    else:
+        people = moves.where("moved").unionByName(angles.select(*keys), allowMissingColumns=True)
     chaos = flow.groupBy(*TASK).agg(F.max("p95_mag").alias("__c"))
     spikes = S.spikes(flow, TASK, "p95_mag").select(*TASK, F.col("t").alias("spike_t"))
-    moves = S.velocities(samples, keys, "t", "kpt", "x", "y")
-    peaks = A.velocity_peak(moves, keys, "t", "velocity")
-    people = moves.select(*keys).union(angles.select(*keys)).distinct()
+    people = people.groupBy(*keys).agg(*A.peak_of("t", "velocity"))
+    peaks = people.where(F.col("peak").isNotNull())
     met = J.spike_response(spikes, peaks, TASK, "spike_t", "peak_t", each=["person_id"])
-    out = people.join(chaos, TASK).join(peaks, keys, "left").join(met, keys, "left")
+    out = people.join(chaos, TASK).join(met, keys, "left")
     mirrored = A.mirroring(flow, angles, TASK, "t", "mean_dy", "t_angle", "angle", each=["person_id"])
     out = out.join(mirrored, keys, "left")
     resonant = F.coalesce("detected", F.lit(False))
@@ -259,8 +266,9 @@ def shared_reality(flow: DataFrame, boxes: DataFrame, tasks: DataFrame, videos:
     """Whether the wearer turned the camera to a bystander after the climax."""
     windows = tasks.select(*TASK, "win_start", "win_end")
     shift = A.camera_shift(within(flow, windows, TASK), TASK, "mean_dx", "mean_dy")
-    own = within(boxes, windows, ["video_id"]).join(videos.select("video_id", "width", "height"), "video_id")
-    centred = S.tail_centred(own, TASK, "t", "win_start", "win_end", (F.col("x1") + F.col("x2")) / 2 / F.col("width"), (F.col("y1") + F.col("y2")) / 2 / F.col("height"))
+    centre = (F.col("x1") + F.col("x2")) / 2 / F.col("width"), (F.col("y1") + F.col("y2")) / 2 / F.col("height")
+    inside = boxes.join(videos.select("video_id", "width", "height"), "video_id").select("video_id", "t", *(c.alias(n) for n, c in zip(("__cx", "__cy"), centre))).where(S.central(F.col("__cx"), F.col("__cy")))
+    centred = S.tail_centred(within(inside, windows, ["video_id"]), TASK, "t", "win_start", "win_end", F.col("__cx"), F.col("__cy"))
     out = tasks.select(*TASK).join(shift, TASK, "left").join(centred, TASK, "left").join(videos.select("video_id", "width", "height"), "video_id", "left")
     out = out.fillna({"shift_x": 0.0, "shift_y": 0.0, "centred": False})
     sought = M.social_reference(F.col("centred"), F.col("shift_x"), F.col("shift_y"), F.col("width"), F.col("height"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import layers as L
 from ..plans import records as R
+from ..sources.shared import stored
 from .base import query, rounded, table
 
 #: Of the tables below: when a line item was seen, in days; no two of a person share a time.
@@ -24,11 +25,13 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     day = F.expr("CAST(floor(unix_micros(CAST(l_shipdate AS TIMESTAMP)) / 86400000000) % 48 AS DOUBLE)") + F.expr(_SEEN.replace(".0", "D"))
     items = table(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("video_id")), F.col("l_orderkey") == F.col("o_orderkey"))
     items = items.select("video_id", (F.col("l_suppkey") % 3).alias("person_id"), day.alias("t"), "l_returnflag", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_partkey", "l_suppkey")
+    items, _ = stored(items, "items")  # what every table below begins with
     peopled = items.join(recordings.where("peopled").select("video_id"), "video_id", "left_semi")
     x1, y1 = (F.col("l_partkey") % 1500).cast("double"), (F.col("l_suppkey") * 7 % 800).cast("double")
     boxes = peopled.where("l_returnflag = 'A'").select("video_id", "person_id", "t", x1.alias("x1"), y1.alias("y1"), (x1 + F.col("l_quantity")).alias("x2"), (y1 + 50).alias("y2"))
-    persons = peopled.groupBy("video_id", "person_id").agg((-F.first("person_id")).alias("person_pos"))
-    in_tasks = items.join(tasks.select("video_id", "task_id"), "video_id")
+    persons = items.select("video_id", "person_id").distinct().join(recordings.where("peopled").select("video_id"), "video_id", "left_semi").withColumn("person_pos", -F.col("person_id"))
+    # what is shown of a task lies in its window, or at most a quarter of a second before it
+    in_tasks = items.join(tasks.select("video_id", "task_id", "win_start", "win_end"), "video_id").where("t BETWEEN win_start - 0.25 AND win_end").drop("win_start", "win_end")
     ends = [(0.0, 0.0), (0.25, 1.0)]
     shown = [F.struct((F.col("t") + at).alias("t"), F.lit(k).alias("kpt"), F.lit(0.1).alias("x") + (F.col("l_discount") * move if k == 5 else 0.0), F.lit(y) + (F.col("l_tax") * move if k == 11 else 0.0)) for at, move in ends for k, y in ((5, 0.2), (11, 0.6))]
     posed = in_tasks.where("l_returnflag = 'N'").join(recordings.where("c_nationkey % 5 <> 1").select("video_id"), "video_id", "left_semi")
@@ -181,6 +184,8 @@ SELECT name AS layer, video_id, coalesce(tasks, 0) AS n_tasks, coalesce(persons,
 def layer_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tasks and persons each layer's record of a recording holds, or why it holds none."""
     x = tables(spark, sf_dir)
+    for name in ("recordings", "persons"):  # every layer reads them, some more than once
+        x[name], _ = stored(x[name], name)
     common = [x[c] for c in ("recordings", "tasks", "persons")]
     made = [
         R.proxemics(*common, x["boxes"], x["depth"], x["noise"]),

@@ -301,3 +301,26 @@ def test_pose_pick_falls_back(spark):
     rows = [("one", 0, None, None), ("box", 0, 0.2, 9.0), ("box", 1, 0.5, 1.0), ("box", 2, 0.5, 2.0), ("spread", 0, 0.9, 1.0), ("spread", 1, None, 3.0), ("none", 0, None, None), ("none", 1, None, None)]
     d = spark.createDataFrame(rows, "k string, i int, iou double, spread double")
     assert {r["k"]: r["i"] for r in L.pose_pick(d, ["k"], "i", "iou", "spread").collect()} == {"one": 0, "box": 1, "spread": 1, "none": 0}
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_samples_of_a_task_are_dealt_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        samples = spark.createDataFrame([("v", "a", 1, 0.5 * i, 5, 1.0 * i, 0.0) for i in range(4)], "video_id string, task_id string, person_id int, t double, kpt int, x double, y double")
+        tasks = spark.createDataFrame([("v", "a", 0.5, 1.5)], "video_id string, task_id string, win_start double, win_end double")
+        keys = ["video_id", "task_id", "person_id"]
+        moves = S.velocities(layers.within(samples, tasks, layers.TASK), keys, "t", "kpt", "x", "y")
+        assert _shuffles(moves) == 2  # samples and windows, by task; neither the join of successive samples nor the means shuffle again
+        assert sorted((r["t"], r["velocity"]) for r in moves.collect()) == [(1.0, 2.0), (1.5, 2.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_velocities_of_repeated_and_unknown_points(spark):
+    rows = [("v", 0.0, 1, 0.0, 0.0), ("v", 0.0, 1, 0.0, 1.0), ("v", 0.5, 1, 0.0, 3.0), ("v", 0.5, None, 0.0, 9.0), ("v", 1.0, 1, None, 0.0), (None, 0.0, 1, 0.0, 0.0), (None, 0.5, 1, 0.0, 1.0)]
+    got = S.velocities(spark.createDataFrame(rows, "k string, t double, p int, x double, y double"), ["k"], "t", "p", "x", "y").collect()
+    assert sorted((r["k"], r["t"], r["velocity"]) for r in got) == [("v", 0.5, 5.0), ("v", 1.0, None)]
