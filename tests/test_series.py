@@ -95,3 +95,18 @@ def test_oscillation_of_known_movements():
     x = plain_zero_phase(*S.band_pass(0.125, 0.375), nod - nod.mean())
     extrema = len(plain_peaks(x, 0.03)) + len(plain_peaks(-x, 0.03))
     assert hz == extrema / 2 / 4 and sure == min(1.0, 0.5 + 0.1 * extrema) * min(1.0, np.sqrt((x**2).mean()) / 0.05)
+
+
+def test_blocks_are_filtered_side_by_side(spark):
+    b, a = S.band_pass(0.125, 0.375)
+    rng = np.random.default_rng(8)
+    xs = [rng.normal(size=n) for n in (1, 32, 32, 7, 32, 900, 32, 32, 32, 32, 7, 7, 7)]
+    begun = rng.normal(size=(len(xs), 4))
+    out, left = S.filtered_all(b, a, xs, begun)
+    for x, s, y, e in zip(xs, begun, out, left):
+        want = S.filtered(b, a, x, s)
+        assert np.abs(y - want[0]).max() < 1e-12 and np.abs(e - want[1]).max() < 1e-12
+    df = spark.createDataFrame([(k, i, float(x)) for k in range(40) for i, x in enumerate(rng.normal(size=20 + k))], "k int, i int, x double")
+    filtered = S.zero_phase_series(df, ["k"], "i", "x", b, a, block_rows=32)
+    assert "FlatMapGroupsInPandas" not in filtered._jdf.queryExecution().executedPlan().toString()  # many short series are no Python call each
+    assert filtered.count() == df.count()
