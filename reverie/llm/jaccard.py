@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import discard, lookup, materialise, released
 from .components import connected_components
@@ -16,10 +17,10 @@ from .simhash import fingerprint_links, majority
 
 #: Texts whose shingles are counted for the order, and shingles that the order puts last.
 _SAMPLE, _COMMON = 5_000, 200_000
-#: Rows of an output batch, buckets of a sketch, and set ids that are broadcast (24 bytes each); more are joined by shuffle.
+#: Rows of an output batch, buckets of a sketch at least, and set ids that are broadcast (24 bytes each); more are joined by shuffle.
 _ROWS, _BUCKETS, _BROADCAST = 256, 1024, 1_000_000
 #: 64-bit numbers of a folded sketch.
-_FOLDS = 4
+_FOLDS = 8
 #: Rounds of drawn centres.
 _DRAWS = 2
 
@@ -45,6 +46,11 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - ceil(similarity * n - 1e-9) + 1
 
 
+def buckets(n: int) -> int:
+    """Buckets of the sketch of a set of size n: a power of two, twice the size at least, so that sets that differ in more than a similarity allows do not fill it."""
+    return max(_BUCKETS, 1 << (2 * n - 1).bit_length())
+
+
 def _lists(rows: list[np.ndarray], dtype: type) -> pa.ListArray:
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate([np.empty(0, dtype), *rows])))
@@ -71,7 +77,7 @@ class _Prefix:
 def shingle_sets(texts: DataFrame, common: np.ndarray, similarity: float, shingle_words: int) -> DataFrame:
     """doc_id, text_hash, set_id (equal for equal sets), n (its size), fp (SimHash of the set), sketch, prefix.
 
-    sketch: whether each of _BUCKETS buckets holds an odd number of the set's hashes, as bits. prefix: the first
+    sketch: whether each of buckets(n) buckets holds an odd number of the set's hashes, as bits. prefix: the first
     prefix_length shingles in the common order, once for equal sets of a task and empty where repeated.
     """
     columns = ("doc_id", "text_hash", "set_id", "n", "fp", "sketch", "prefix")
@@ -94,7 +100,7 @@ def shingle_sets(texts: DataFrame, common: np.ndarray, similarity: float, shingl
                 ids = np.fromiter((xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
                 sizes = np.fromiter(map(len, sets), np.int32, len(sets))
                 prints = np.fromiter((majority([s.view(np.uint64)]) for s in sets), np.int64, len(sets))
-                odd = [np.packbits(np.bincount(s & (_BUCKETS - 1), minlength=_BUCKETS) & 1).view(np.int64) for s in sets]
+                odd = [np.packbits(np.bincount(s & (m - 1), minlength=m) & 1).view(np.int64) for s, m in zip(sets, map(buckets, map(len, sets)))]
                 prefixes = [fresh(i, s) for i, s in zip(ids.tolist(), sets)]
                 cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(ids), pa.array(sizes), pa.array(prints), _lists(odd, np.int64), _lists(prefixes, np.int64)]
                 yield pa.RecordBatch.from_arrays(cols, names=columns)
@@ -163,6 +169,11 @@ def _held_sets(texts: DataFrame, wanted: DataFrame, shingle_words: int) -> DataF
     return rows.mapInArrow(released(run), "set_id long, halves array<int>")
 
 
+def overlap(na: str, nb: str, similarity: float) -> Column:
+    """How many shingles sets of these sizes share at least."""
+    return F.ceil((F.col(na) + F.col(nb)) * (similarity / (1 + similarity)) - 1e-9)
+
+
 def allowed(similarity: float) -> Column:
     """In how many shingles sets of sizes n_a and n_b may differ, and so in how many odd buckets at most."""
     return (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
@@ -173,6 +184,18 @@ def folded(k: int) -> Column:
     return F.aggregate(F.filter("sketch", lambda _, i: i % _FOLDS == k), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
 
 
+def apart() -> Column:
+    """In how many buckets the sketches of sets a and b differ. Sizes of similar sets are so near that the one sketch is at most twice as long; its halves add up to the other's length."""
+
+    def even(own: str, other: str) -> Column:
+        half = F.size(own) - F.size(other)
+        twice = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(half > 0, twice).otherwise(F.col(own))
+
+    bits = F.zip_with(even("sketch_a", "sketch_b"), even("sketch_b", "sketch_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda n, x: n + x)
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
     """Of distinct pairs (a, b) of set ids, those of similarity or more by their whole sets.
 
@@ -185,8 +208,8 @@ def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity:
         return of.join(a, "a").join(b, "b")
 
     pairs = materialise(pairs, "copies-pairs")
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = materialise(sides(pairs, classes, ["n", "sketch"]).where(apart <= allowed(similarity)).select("a", "b"), "copies-near")
+    sized = F.least("n_a", "n_b") >= overlap("n_a", "n_b", similarity)
+    near = materialise(sides(pairs, classes, ["n", "sketch"]).where(sized & (apart() <= allowed(similarity))).select("a", "b"), "copies-near")
     ids = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = materialise(classes.join(ids, "set_id", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "set_id"), "copies-wanted")
     held = materialise(_held_sets(texts, wanted, shingle_words), "copies-held")
@@ -213,6 +236,10 @@ def similar_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, similar
        there: first each with one set of the shingle, the same for many shingles, then in two rounds with one drawn for every
        shingle from its largest component, which joins large groups of copies by a number of pairs in proportion to their rows, then all pairs that are
        still in different components.
+    3. In that last step, prefixes hold more than one shingle of a similar set: sets share k shingles, and after the end of the
+       prefix that ends first its set, of size n, has ceil(similarity * n) - 1 left, so prefixes share what remains of k at least. Shingles that
+       the same sets have are one, with their number as weight. Each set's are put in the order of how many sets have them,
+       and the first that two sets share is followed by that weight in both, so they meet only at shingles where it is.
     """
     prints = materialise(classes.where("n > 0").groupBy("fp").agg(F.min("set_id").alias("set_id")), "copies-prints")
     of = lookup(classes.where("n > 0").select("fp", F.col("set_id").alias("a")), prints.withColumnRenamed("set_id", "b"), "fp").select("a", "b")
@@ -227,19 +254,23 @@ def similar_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, similar
     rows = materialise(rows.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_shared, schema), "copies-shared")
 
     def reach(na: str, pa_: str, nb: str, pb: str) -> Column:
-        least = F.ceil((F.col(na) + F.col(nb)) * (similarity / (1 + similarity)) - 1e-9)
+        least = overlap(na, nb, similarity)
         return (F.col(pa_) <= F.col(na) - least) & (F.col(pb) <= F.col(nb) - least)
 
     stars = rows.where((F.col("set_id") != F.col("centre")) & reach("n", "pos", "centre_n", "centre_pos")).select(F.col("set_id").alias("a"), F.col("centre").alias("b"))
     links = links.union(_similar(_ordered(stars), classes, texts, similarity, shingle_words))
 
-    def mixed_groups(of: DataFrame, name: str) -> DataFrame:
-        """The rows of the hashes whose sets are in more than one component, with the component as root."""
+    def mixed_groups(of: DataFrame, name: str, last: bool = False) -> DataFrame:
+        """The rows of the hashes whose sets are in more than one component, with the component as root; at last one hash of those with the same sets, with held (its sets) and weight (such hashes)."""
         roots = connected_components(links).withColumnRenamed("node", "set_id")
         rooted = lookup(of.select("hash", "set_id", "n", "pos"), roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         now = materialise(rooted, "copies-rooted")
-        mixed = materialise(now.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hash"), "copies-mixed-hashes")
-        out = materialise(now.join(F.broadcast(mixed) if mixed.count() <= _BROADCAST else mixed, "hash", "left_semi"), name)
+        sets_of = [F.count("*").alias("held"), *(F.bit_xor(F.xxhash64("set_id", F.lit(i))).alias(f"sets{i}") for i in range(2))] if last else []
+        mixed = now.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y"), *sets_of).where("x <> y").drop("x", "y")
+        if last:
+            mixed = mixed.groupBy("held", "sets0", "sets1").agg(F.min("hash").alias("hash"), F.count("*").alias("weight")).select("hash", "held", "weight")
+        mixed = materialise(mixed, "copies-mixed-hashes")
+        out = materialise(now.join(F.broadcast(mixed) if mixed.count() <= _BROADCAST else mixed, "hash"), name)
         discard(now, roots, mixed)
         return out
 
@@ -252,19 +283,23 @@ def similar_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, similar
         stars = lookup(left, centres, "hash").where(F.col("root") != F.col("c.root")).select("set_id", "n", "pos", *(F.col(f"c.{c}").alias(f"centre_{c}") for c in ("set_id", "n", "pos")))
         stars = stars.where(reach("n", "pos", "centre_n", "centre_pos")).select(F.col("set_id").alias("a"), F.col("centre_set_id").alias("b"))
         links = links.union(_similar(_ordered(stars), classes, texts, similarity, shingle_words))
-        now = mixed_groups(left, "copies-left")
+        now = mixed_groups(left, "copies-left", draw == _DRAWS - 1)
         discard(left, centres)
         left = now
 
     # folded sketches tell most pairs apart where they meet, unless texts are long
-    marks = materialise(classes.select("set_id", *(folded(k).alias(f"mark{k}") for k in range(_FOLDS))), "copies-marks")
-    marked = lookup(left, marks, "set_id")
-    a, b = (marked.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "pos", "root", *(f"mark{k}" for k in range(_FOLDS))))) for x in "ab")
+    own = Window.partitionBy("set_id")
+    before = F.coalesce(F.sum("weight").over(own.orderBy("held", "hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = left.select("hash", "set_id", "n", "root", (F.sum("weight").over(own) - before).cast("int").alias("ahead"))
+    marked = ahead.join(classes.select("set_id", *(folded(k).alias(f"mark{k}") for k in range(_FOLDS))), "set_id")
+    a, b = (marked.select("hash", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "root", "ahead", *(f"mark{k}" for k in range(_FOLDS))))) for x in "ab")
     differ = sum((F.bit_count(F.col(f"mark{k}_a").bitwiseXOR(F.col(f"mark{k}_b"))) for k in range(_FOLDS)), F.lit(0))
-    new = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("root_a") != F.col("root_b")) & reach("n_a", "pos_a", "n_b", "pos_b") & (differ <= allowed(similarity))
-    met = a.join(b, "hash").where(new)
+    shared = overlap("n_a", "n_b", similarity)
+    within = shared - F.greatest(*(F.ceil(F.col(n) * similarity - 1e-9) - 1 for n in ("n_a", "n_b")))
+    new = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= shared)
+    met = a.join(b, "hash").where(new & (F.least("ahead_a", "ahead_b") >= within) & (differ <= allowed(similarity)))
     links = links.union(_similar(_ordered(met.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))), classes, texts, similarity, shingle_words))
-    discard(rows, left, marks)
+    discard(rows, left)
     return links
 
 

@@ -245,6 +245,42 @@ def test_near_copies_against_all_pairs(spark, docs, empty):
     assert near_copies(empty).count() == 0
 
 
+
+def test_near_copies_of_long_texts(spark, monkeypatch):
+    """Relatives below the threshold are told apart by sketches, and shingles of the same sets meet once; similar sets whose sketches differ in length are found."""
+    from reverie.llm import jaccard as J
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    texts = []
+    for i in range(8):
+        own = list(base)
+        for at in range(0, 3000, 250):  # about 0.7 of each other
+            start = at + rng.randrange(225)
+            own[start : start + 20] = [f"v{rng.randrange(10**6)}" for _ in range(20)]
+        texts.append(" ".join(own))
+    pair = [f"u{i}" for i in range(2200)]
+    texts += [" ".join(pair), " ".join(pair[:1950])]
+    sets = [set(shingle_set(t).tolist()) for t in texts]
+    assert all(0.6 < jaccard(sets[i], sets[j]) < 0.79 for i in range(8) for j in range(i))
+    made, write = {}, J.materialise
+
+    def kept(df, name):
+        out = write(df, name)
+        made.setdefault(name, []).append(out.count())
+        if name == "copies-left":
+            made["hashes"] = out.select("hash").distinct().count()
+        return out
+
+    monkeypatch.setattr(J, "materialise", kept)
+    rows = J.near_copies(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {**{i: i for i in range(9)}, 9: 8}
+    assert sum(made["copies-near"]) <= 2  # the similar pair, by either search; strangers are not compared by their whole sets
+    together = Counter(tuple(i for i, s in enumerate(sets) if h in s) for h in set().union(*sets[:8]))
+    assert 0 < made["hashes"] <= sum(len(k) > 1 for k in together)
+    assert J.buckets(len(sets[8])) == 2 * J.buckets(len(sets[9])) and J.buckets(10) == 1024
+
+
 def test_decontamination_recall(spark):
     """Passages edited to about the threshold: against exact similarity at the alignments, and all fingerprints within the radius."""
     from reverie.llm import decontam
