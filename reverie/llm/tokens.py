@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_KEPT = 200_000
+#: Pieces of the table; those of the text of a task (32 MB in token files) mostly fit, so few are encoded again.
+_KEPT = 800_000
 _LONGEST = 64
 _BYTES_AT_ONCE = 1 << 20
 _LINES = 1 << 15

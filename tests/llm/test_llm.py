@@ -246,6 +246,20 @@ def test_near_copies_against_all_pairs(spark, docs, empty):
 
 
 
+def test_pieces_of_a_task_are_encoded_once(monkeypatch):
+    import pyarrow as pa
+    from reverie.llm.tokens import Encoder, default_path
+
+    coder, learnt, learn = Encoder(default_path()), [], Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", lambda self, pieces: learnt.append(len(pieces)) or learn(self, pieces))
+    texts = pa.array([" ".join(f"q{i}" for i in range(at, at + 1000)) for at in range(0, 300_000, 1000)])
+    first = list(coder.encode(texts))
+    once = sum(learnt)
+    again = list(coder.encode(texts))
+    assert sum(learnt) == once and all((a == b).all() for a, b in zip(first, again))
+    assert (first[7] == coder.whole([texts[7].as_py()])[0]).all()
+
+
 def test_near_copies_of_long_texts(spark, monkeypatch):
     """Relatives below the threshold are told apart by sketches, and shingles of the same sets meet once; similar sets whose sketches differ in length are found."""
     from reverie.llm import jaccard as J
