@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -410,26 +411,55 @@ def filled_by_index(x: np.ndarray) -> tuple[np.ndarray, float]:
     return np.interp(np.arange(len(x)), np.flatnonzero(~missing), x[~missing]), float(missing.mean())
 
 
-def oscillations(traces: DataFrame, keys: list[str], t: str, pitch: str, yaw: str) -> DataFrame:
-    """Per key: nod and shake frequency and confidence after filling, even resampling and zero-phase filtering; traces too short to filter have none."""
+def _oscillations_of(times: np.ndarray, pitch: np.ndarray, yaw: np.ndarray) -> tuple[float | None, ...]:
+    """(Hz of pitch, Hz of yaw, confidence of pitch, confidence of yaw, share filled in) of a trace in order of time, None where it is too short."""
+    span = times[-1] - times[0]
+    if not (len(times) >= 5 and span > 0):
+        return (None,) * 5
+    n = max(5, int(span * (1 / np.diff(times).mean())))
+    fps, grid = (n - 1) / span, np.linspace(times[0], times[-1], n)
+    found, shares = [], []
+    for x in (pitch, yaw):
+        filled, share = filled_by_index(x)
+        shares.append(share)
+        found.append(oscillation(np.interp(grid, times, filled), fps) if n > 15 else (None, None))
+    return found[0][0], found[1][0], found[0][1], found[1][1], max(shares)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t, kind="stable")
-        times = pdf[t].to_numpy(float)
-        row = {k: pdf[k].iloc[0] for k in keys} | {"n": len(pdf), "pitch_hz": None, "yaw_hz": None, "pitch_conf": None, "yaw_conf": None, "interpolated": None}
-        span = times[-1] - times[0]
-        if len(pdf) >= 5 and span > 0:
-            n = max(5, int(span * (1 / np.diff(times).mean())))
-            fps, grid = (n - 1) / span, np.linspace(times[0], times[-1], n)
-            fractions = []
-            for name, column in (("pitch", pitch), ("yaw", yaw)):
-                filled, share = filled_by_index(pdf[column].to_numpy(float))
-                fractions.append(share)
-                if n > 15:
-                    row[f"{name}_hz"], row[f"{name}_conf"] = oscillation(np.interp(grid, times, filled), fps)
-            row["interpolated"] = max(fractions)
-        return pd.DataFrame([row])
+
+def oscillations(traces: DataFrame, keys: list[str], t: str, pitch: str, yaw: str, least: int = 1) -> DataFrame:
+    """Per key: nod and shake frequency and confidence after filling, even resampling and zero-phase filtering; traces too short to filter have none.
+
+    Keys of fewer than least samples have no row. The rows of a key lie together in order of time, so a batch of rows holds many
+    short traces, and a call of Python is no longer one per key; a trace longer than a batch is held alone.
+    """
+    values, names = ["__t", "__p", "__y"], ["pitch_hz", "yaw_hz", "pitch_conf", "yaw_conf", "interpolated"]
+    w = Window.partitionBy(*keys).orderBy(*values)
+    size = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = traces.select(*keys, *(F.col(c).cast("double").alias(n) for n, c in zip(values, (t, pitch, yaw))))
+    rows = rows.withColumns({"__i": F.row_number().over(w), "__n": size}).where(F.col("__n") >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, wanted = [], 1
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < wanted:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = np.flatnonzero(table["__i"].to_numpy() == 1)
+            sizes = table["__n"].to_numpy()[starts]
+            ends = starts + sizes
+            if ends[-1] > len(table):  # the last trace goes on in the next batch
+                held, wanted = table.slice(starts[-1]).to_batches(), int(sizes[-1])
+                starts, sizes, ends = starts[:-1], sizes[:-1], ends[:-1]
+            else:
+                held, wanted = [], 1
+            if len(starts):
+                x = [table[c].to_numpy() for c in values]
+                found = zip(*(_oscillations_of(*(v[a:b] for v in x)) for a, b in zip(starts.tolist(), ends.tolist())))
+                first = table.select(keys).take(pa.array(starts)).combine_chunks()
+                own = [c.chunk(0) for c in first.columns]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *(pa.array(f, pa.float64()) for f in found)], names=[*keys, "n", *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in traces.schema}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, pitch_hz double, yaw_hz double, pitch_conf double, yaw_conf double, interpolated double"
-    return traces.groupBy(*keys).applyInPandas(one, schema)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, " + ", ".join(f"{c} double" for c in names)
+    return rows.sortWithinPartitions(*keys, *values).mapInArrow(run, schema)

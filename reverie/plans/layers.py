@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import series as S
-from ..operators.filters import enough_points, gaze_threshold, pose_pick, sound_box
+from ..operators.filters import gaze_threshold, pose_pick, sound_box
 
 PERSON = ["video_id", "person_id"]
 TASK = ["video_id", "task_id"]
@@ -194,8 +194,7 @@ def gesture(trace: DataFrame | None, tasks: DataFrame, model: Column, models: Da
     keys = [*TASK, "person_id"]
     trace = require(trace, "03e_affirmation_gesture", "03a_attention")
     own = within(trace, tasks.select(*TASK, "win_start", "win_end"), ["video_id"])
-    own = enough_points(own.select(*keys, "t", "pitch_rad", "yaw_rad"), keys, 5)
-    found = S.oscillations(own, keys, "t", "pitch_rad", "yaw_rad")
+    found = S.oscillations(own, keys, "t", "pitch_rad", "yaw_rad", least=5)
     found = found if models is None else found.join(models, "video_id", "left")
     usable = (F.col("interpolated") <= gaze_threshold(model)) & F.col("pitch_conf").isNotNull()
     out = found.where(usable).withColumn("__g", M.gesture(F.col("pitch_conf"), F.col("yaw_conf")))

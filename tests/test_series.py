@@ -110,3 +110,27 @@ def test_blocks_are_filtered_side_by_side(spark):
     filtered = S.zero_phase_series(df, ["k"], "i", "x", b, a, block_rows=32)
     assert "FlatMapGroupsInPandas" not in filtered._jdf.queryExecution().executedPlan().toString()  # many short series are no Python call each
     assert filtered.count() == df.count()
+
+
+def test_traces_of_many_persons_share_a_batch(spark):
+    rng = np.random.default_rng(9)
+    sizes = [*rng.integers(1, 40, 300).tolist(), 25_000, 3]  # one is longer than two batches of Arrow
+    rows = [(None if k == 7 else f"v{k % 5}", k, i / 8, float("nan") if x > 2 else float(x) / 10, None if x < -2 else float(y)) for k, n in enumerate(sizes) for i, (x, y) in enumerate(rng.normal(size=(n, 2)))]
+    df = spark.createDataFrame(rows, "v string, k int, t double, p double, y double").repartition(5)
+    for least in (1, 5):
+        found = S.oscillations(df, ["v", "k"], "t", "p", "y", least)
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()  # no Python call for each person
+        got = {r["k"]: r for r in found.collect()}
+        assert sorted(got) == [k for k, n in enumerate(sizes) if n >= least]
+        for k, n in enumerate(sizes):
+            if n < least:
+                continue
+            own = [r for r in rows if r[1] == k]
+            x = [np.array([np.nan if r[c] is None else r[c] for r in own]) for c in (3, 4)]
+            filled = [S.filled_by_index(v) for v in x]
+            r = got[k]
+            assert r["n"] == n and r["v"] == own[0][0] and r["interpolated"] == (max(s for _, s in filled) if n >= 5 else None)
+            if n > 16:  # spaced evenly by eighths, so n samples again or one less
+                grid = np.linspace(0, (n - 1) / 8, max(5, int((n - 1) / 8 * (1 / np.diff(np.arange(n) / 8).mean()))))
+                want = [S.oscillation(np.interp(grid, np.arange(n) / 8, v), (len(grid) - 1) / ((n - 1) / 8)) for v, _ in filled]
+                assert (r["pitch_hz"], r["pitch_conf"]) == want[0] and (r["yaw_hz"], r["yaw_conf"]) == want[1]
