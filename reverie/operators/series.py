@@ -406,6 +406,8 @@ def oscillation(values: np.ndarray, fps: float) -> tuple[float, float]:
 
 def filled_by_index(x: np.ndarray) -> tuple[np.ndarray, float]:
     missing = np.isnan(x)
+    if not missing.any():
+        return x, 0.0
     if missing.all():
         return np.zeros_like(x), 1.0
     return np.interp(np.arange(len(x)), np.flatnonzero(~missing), x[~missing]), float(missing.mean())

@@ -12,6 +12,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import series as S
 from ..operators.filters import gaze_threshold, pose_pick, sound_box
+from ..sources.shared import stored
 
 PERSON = ["video_id", "person_id"]
 TASK = ["video_id", "task_id"]
@@ -228,33 +229,41 @@ def body_keypoints(poses: DataFrame) -> DataFrame:
     return points.select(*keys, "kpt", (F.col("x") / diagonal).alias("x"), (F.col("y") / diagonal).alias("y"))
 
 
-def resonance(flow: DataFrame, samples: DataFrame, angles: DataFrame | None = None) -> DataFrame:
+def chaos(flow: DataFrame) -> DataFrame:
+    """Most motion of each task: most_motion, its score, and whether any of it is a spike (see series.spikes)."""
+    top = F.col("most_motion")
+    tasks = flow.groupBy(*TASK).agg(F.max("p95_mag").alias("most_motion"))
+    return tasks.withColumns({"ego_kinetic_chaos_score": M.r(M.normalised(top, 20.0), 2), "spiked": F.coalesce((top >= 3.0) & (top > 0.7 * top), F.lit(False))})
+
+
+def resonance(flow: DataFrame, samples: DataFrame, angles: DataFrame | None = None, motion: DataFrame | None = None) -> DataFrame:
     """Motor resonance and mirroring per task and person from motion and keypoints (see body_keypoints); body angles come from the keypoints unless given.
 
     Motion is a task's, keypoints are a person's: they meet in time buckets of the task, so motion is never multiplied by persons.
-    Persons with neither a velocity nor an angle, and tasks without motion, have no row.
+    Persons with neither a velocity nor an angle, and tasks without motion, have no row. motion is chaos(flow), if it is known already.
+    Samples with their velocity and angle are stored, as both are read more than once.
     """
     keys = [*TASK, "person_id"]
     means = dict(zip(("__sx", "__sy", "__hx", "__hy"), A.spine_means("kpt", "x", "y"))) if angles is None else {}
     moves = S.successive(samples.dropna(subset=keys), keys, "t", "kpt", "x", "y", **means)
     if angles is None:
         moves = moves.withColumn("angle", M.spine_angle(*(F.col(c) for c in means)))
-        angles = moves.where(F.col("angle").isNotNull()).select(*keys, F.col("t").alias("t_angle"), "angle")
-        people = moves.where(F.col("moved") | F.col("angle").isNotNull())
+        people, _ = stored(moves.where(F.col("moved") | F.col("angle").isNotNull()).select(*keys, "t", "velocity", "angle"), "resonance-moves")
+        angles = people.where(F.col("angle").isNotNull()).select(*keys, F.col("t").alias("t_angle"), "angle")
     else:
         people = moves.where("moved").unionByName(angles.select(*keys), allowMissingColumns=True)
-    chaos = flow.groupBy(*TASK).agg(F.max("p95_mag").alias("__c"))
+    motion = chaos(flow) if motion is None else motion
     spikes = S.spikes(flow, TASK, "p95_mag").select(*TASK, F.col("t").alias("spike_t"))
     people = people.groupBy(*keys).agg(*A.peak_of("t", "velocity"))
     peaks = people.where(F.col("peak").isNotNull())
     met = J.spike_response(spikes, peaks, TASK, "spike_t", "peak_t", each=["person_id"])
-    out = people.join(chaos, TASK).join(met, keys, "left")
+    out = people.join(motion.select(*TASK, "ego_kinetic_chaos_score"), TASK).join(met, keys, "left")
     mirrored = A.mirroring(flow, angles, TASK, "t", "mean_dy", "t_angle", "angle", each=["person_id"])
     out = out.join(mirrored, keys, "left")
     resonant = F.coalesce("detected", F.lit(False))
     peak = F.least(F.lit(10.0), F.coalesce("peak", F.lit(0.0)) / 0.5)  # least passes over nulls
     return out.select(
-        *keys, M.r(M.normalised(F.col("__c"), 20.0), 2).alias("ego_kinetic_chaos_score"), M.r(peak, 2).alias("bystander_pose_velocity_peak"),
+        *keys, "ego_kinetic_chaos_score", M.r(peak, 2).alias("bystander_pose_velocity_peak"),
         M.r(F.coalesce("delay", F.lit(0.0)), 2).alias("resonance_delay_sec"), resonant.alias("motor_resonance_detected"),
         F.when(resonant, M.r(F.least(F.lit(1.0), peak / 5), 2)).otherwise(0.0).alias("empathy_scalar"),
         F.coalesce("mirroring_detected", F.lit(False)).alias("mirroring_detected"), M.r(F.coalesce("mirroring_scalar", F.lit(0.0)), 2).alias("mirroring_scalar"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..sources.shared import stored
 from . import layers as L
 
 KEY = "video_id"
@@ -202,11 +203,11 @@ def resonance(recordings: DataFrame, tasks: DataFrame, persons: DataFrame, flow:
     own = windows(tasks).join(there, KEY, "left_semi")
     spans = own.select(*L.TASK, "win_start", "win_end")
     moved, points = (L.within(x, spans, L.TASK).drop("win_start", "win_end") for x in (flow, keypoints))
-    rows = L.resonance(moved, points)
-    spiked = L.S.spikes(moved, L.TASK, "p95_mag").select(KEY)
-    chaos = own.join(rows.groupBy(*L.TASK).agg(F.max("ego_kinetic_chaos_score").alias("ego_kinetic_chaos_score")), L.TASK)
+    motion, _ = stored(L.chaos(moved), "resonance-motion")
+    rows = L.resonance(moved, points, motion=motion)
+    chaos = own.join(motion.select(*L.TASK, "ego_kinetic_chaos_score"), L.TASK)  # tasks without persons go when the record is folded
     fields = {c: c for c in ("bystander_pose_velocity_peak", "resonance_delay_sec", "motor_resonance_detected", "empathy_scalar", "mirroring_detected", "mirroring_scalar")}
-    seen = evidence(recordings.select(KEY, "found", "n_tasks", "n_bystanders"), {"spiked": spiked})
+    seen = evidence(recordings.select(KEY, "found", "n_tasks", "n_bystanders"), {"spiked": motion.where("spiked")})
     holds = {
         "file_not_found": ~F.col("found"),
         "no_bystanders_or_tasks": (F.col("n_tasks") == 0) | (F.col("n_bystanders") == 0),
